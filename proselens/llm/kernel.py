@@ -164,11 +164,12 @@ class Bits:
         self.seg = log2_bits - parts
         self.data = data
 
-    def where(self, keys: np.ndarray, level: int | np.ndarray) -> list[np.ndarray]:
-        g = mix(keys + np.asarray(level, U64) * U64(0xA0761D6478BD642F))
-        step = (mix(g) << U64(1)) | U64(1)
-        mask = U64((1 << self.seg) - 1)
-        return [((g + U64(i) * step) >> U64(7)) & mask for i in range(self.k)]
+    def _seed(self, keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        g = mix(keys + U64(level * 0xA0761D6478BD642F & (2**64 - 1)))
+        return g, (g * U64(0xE7037ED1A0B428DB) >> U64(9)) | U64(1)
+
+    def _spot(self, g: np.ndarray, step: np.ndarray, i: int) -> np.ndarray:
+        return ((g + U64(i) * step) >> U64(7)) & U64((1 << self.seg) - 1)
 
     def segment(self, keys: np.ndarray, levels: np.ndarray) -> bytes:
         """The bytes of one segment that holds the keys up to their levels."""
@@ -177,21 +178,22 @@ class Bits:
         keys, levels = keys[order], levels[order]
         for level in range(1, int(levels[0]) + 1 if len(levels) else 1):
             n = int(np.searchsorted(-levels.astype(np.int64), -level, "right"))
-            for at in self.where(keys[:n], level):
-                bits[at.astype(np.int64)] = True
+            g, step = self._seed(keys[:n], level)
+            for i in range(self.k):
+                bits[self._spot(g, step, i).astype(np.int64)] = True
         return np.packbits(bits, bitorder="little").tobytes()
 
     def has(self, keys: np.ndarray, level: int = 1) -> np.ndarray:
-        yes = np.ones(len(keys), bool)
-        left = np.arange(len(keys))
-        base = (keys >> U64(64 - self.parts)).astype(np.int64) << (self.seg - 3) if self.parts else np.zeros(len(keys), np.int64)
-        for at in self.where(keys, level):
-            at = at.astype(np.int64)[left]
-            hit = (self.data[base[left] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1
-            yes[left[hit == 0]] = False
-            left = left[hit == 1]
-            if not len(left):
-                break
+        yes = np.zeros(len(keys), bool)
+        left, (g, step) = np.arange(len(keys)), self._seed(keys, level)
+        base = (keys >> U64(64 - self.parts)) << U64(self.seg)
+        for i in range(self.k):
+            at = self._spot(g, step, i) + base
+            hit = np.flatnonzero((self.data[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1)
+            left = left[hit]
+            if i < self.k - 1:
+                g, step, base = g[hit], step[hit], base[hit]
+        yes[left] = True
         return yes
 
     def level(self, keys: np.ndarray, most: int) -> np.ndarray:

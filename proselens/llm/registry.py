@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, mixing, quality, sharding, toxicity, urls
+from . import decontamination, language, lm, mixing, near, quality, sharding, toxicity, urls
 
 QUERIES = {
+    "op1_lm_bloom": lm.query,
     "op2_quality_forest": quality.query,
     "op3_language_id": language.query,
+    "op4_near_join": near.query,
     "op5_kd_sharding": sharding.query,
     "op6_url_trie": urls.query,
     "op7_decontamination": decontamination.query,
@@ -14,6 +16,7 @@ QUERIES = {
     "op10_systematic_mixing": mixing.query,
 }
 ORACLE_SQL = {
+    "op4_near_join": near.SQL,
     "op6_url_trie": urls.SQL,
     "op7_decontamination": decontamination.SQL,
     "op10_systematic_mixing": mixing.SQL,
