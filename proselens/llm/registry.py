@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, lm, mixing, near, quality, sharding, toxicity, urls
+from . import decontamination, language, lm, mixing, near, pii, quality, sharding, toxicity, urls
 
 QUERIES = {
     "op1_lm_bloom": lm.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_kd_sharding": sharding.query,
     "op6_url_trie": urls.query,
     "op7_decontamination": decontamination.query,
+    "op8_private_terms": pii.query,
     "op9_toxicity_grammar": toxicity.query,
     "op10_systematic_mixing": mixing.query,
 }
