@@ -1,6 +1,75 @@
-"""The registered queries, and their SQL."""
+"""The registered queries, by the ids of the operators that they apply."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import oracles
+from .functions import text as tx
+from .operators import align, corpus, fingerprint, glossary, history, markers, revision, rules, targets
+from .plans import seed
+
+S = SparkSession
+
+
+def _docs(s: S, d: str) -> DataFrame:
+    return seed.documents(s, d)
+
+
+def _pairs(s: S, d: str) -> DataFrame:
+    return seed.pairs(s, d)
+
+
+def _report(s: S, d: str) -> DataFrame:
+    return rules.report(_docs(s, d))
+
+
+def _values(pairs: DataFrame, make) -> DataFrame:  # type: ignore[no-untyped-def]
+    return pairs.select("pair_id", F.explode(make("before")).alias("value")).groupBy("pair_id", "value").agg(F.count("*").alias("n"))
+
+
+def _one_rule(n: int):  # type: ignore[no-untyped-def]
+    return lambda s, d: _report(s, d).where((F.col("rule") == n) & (F.col("hits") > 0)).select("doc_id", "hits")
+
+
+_RULES = {1: "importance", 2: "adjective", 3: "domain_phrase", 4: "filler", 5: "connectors", 6: "shell", 7: "nominals", 8: "paraphrase", 9: "hedges", 10: "participle", 11: "copula", 12: "not_only", 13: "triple", 14: "dashes"}
+
+QUERIES = {
+    "rule_density_by_doc": lambda s, d: _report(s, d).select("doc_id", "rule", "hits", "density"),
+    "r16_rule_report": lambda s, d: rules.report(_docs(s, d), floor="warn"),
+    "r16_verdict": lambda s, d: rules.verdict(_docs(s, d)),
+    "a6_rule_totals": lambda s, d: _report(s, d).groupBy("rule", "severity").agg(F.sum("hits").alias("hits"), F.count_if(F.col("hits") > 0).alias("docs")),
+    **{f"r{n}_{name}": _one_rule(n) for n, name in _RULES.items()},
+    "r15_phrases": lambda s, d: rules.phrase_hits(_docs(s, d)).groupBy("doc_id", "phrase").agg(F.count("*").cast("int").alias("hits")),
+    "r17_located_findings": lambda s, d: rules.located(_docs(s, d)).where("rule <> 10"),
+    "p3_paragraphs": lambda s, d: _docs(s, d).select("doc_id", F.size(tx.paragraphs("text")).alias("paragraphs"), F.coalesce(F.array_max(F.transform(tx.paragraphs("text"), F.length)), F.lit(0)).alias("longest")),
+    "p4_sentence_spans": lambda s, d: _docs(s, d).select("doc_id", F.size(tx.sentence_spans("text")).alias("spans")),
+    "p6_sentences": lambda s, d: _docs(s, d).select("doc_id", F.posexplode(tx.paragraphs("text")).alias("par_no", "p")).select("doc_id", "par_no", F.size(tx.sentences("p")).alias("sentences")),
+    "p7_scopes": lambda s, d: _docs(s, d).select("doc_id", F.size(tx.scopes("text")).alias("scopes")),
+    "p17_words": lambda s, d: _docs(s, d).select("doc_id", F.size(tx.words("text")).alias("words"), F.size(tx.letter_words("text")).alias("letter_words"), F.size(tx.tokens("text")).alias("tokens")),
+    "p35_slugs": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", tx.slug("url").alias("slug")),
+    "p9_sections": lambda s, d: tx.sections(_docs(s, d), "text", ["doc_id"]).select("doc_id", "sec_no", "title", tx.section_type("title").alias("section_type"), F.length(tx.squeeze("body")).alias("size")),
+    "a1_fingerprint": lambda s, d: fingerprint.by_document(_docs(s, d)).select("doc_id", *oracles.METRIC_COLUMNS),
+    "a2_sections": lambda s, d: fingerprint.by_section(_docs(s, d)).select("doc_id", "sec_no", "title", "section_type", *oracles.METRIC_COLUMNS),
+    "p32_openings": lambda s, d: fingerprint.openings(_docs(s, d)),
+    "w2_gaps": lambda s, d: fingerprint.adjacent_gaps(_docs(s, d)),
+    "w6_claims": lambda s, d: fingerprint.claim_positions(_docs(s, d)),
+    "a31_synonyms": lambda s, d: fingerprint.synonyms(_docs(s, d)),
+    "a4_baseline": lambda s, d: fingerprint.baseline(fingerprint.by_document(_docs(s, d)).join(_docs(s, d).select("doc_id", "source"), "doc_id"), "source").select("paper_count", "status", F.round("mean_sentence_length_mean", 6).alias("mean_sentence_length_mean"), F.round("mean_sentence_length_sd", 6).alias("mean_sentence_length_sd"), F.round("em_dash_per_1000_words_mean", 6).alias("em_dash_per_1000_words_mean")),
+    "j1_differences": lambda s, d: revision.differences(_pairs(s, d)),
+    "j2_category_report": lambda s, d: revision.category_report(revision.differences(_pairs(s, d))),
+    "j3_immutable_verdict": lambda s, d: revision.immutable_verdict(_pairs(s, d)),
+    "j4_guard_verdict": lambda s, d: revision.guard_verdict(_pairs(s, d)),
+    "p28_claim_classes": lambda s, d: _values(_pairs(s, d), markers.claims),
+    "p20_references": lambda s, d: _values(_pairs(s, d), markers.references),
+    "p19_numbers": lambda s, d: _values(_pairs(s, d), markers.numbers),
+    "p22_math": lambda s, d: _values(_pairs(s, d), markers.math),
+    "p27_terms": lambda s, d: _values(_pairs(s, d), lambda t: markers.term_counts(t, revision.TERMS)),
+    "j5_strength_moves": lambda s, d: revision.moves(_pairs(s, d)),
+    "j12_crypto_moves": lambda s, d: revision.moves(_pairs(s, d), {k: v for k, v in revision.CRYPTO.items() if k not in revision.ANCHORS}),
+    "j6_comparison_flips": lambda s, d: revision.flips(_pairs(s, d)),
+    "j7_removed_modals": lambda s, d: revision.removed_by_count(_pairs(s, d), revision.MODAL, "modal").select("pair_id", F.lower("match").alias("match")),
+}
+
+ORACLE_SQL: dict[str, str] = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
