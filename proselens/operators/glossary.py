@@ -18,7 +18,7 @@ LAYERS = [
     ("L0", 2, "bootstrapping", None, ["refresh ciphertext bootstrapping"], ["boot-strapping"]),
     ("L1", 0, "Key-Switching", "KSW", ["key swap"], ["key switching"]),
     ("L1", 1, "fully homomorphic encryption", "FHE", ["full homomorphic encryption"], ["fully-homomorphic encryption"]),
-    ("L2", 0, "bootstrapping", "BTS", ["refreshing"], ["boot strapping"]),
+    ("L2", 0, "bootstrapping", "BTS", ["refreshing", "noisy bootstrapping step"], ["boot strapping"]),
     ("L2", 1, "method", None, ["approach"], ["methods"]),
 ]
 

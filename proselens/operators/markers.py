@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 
@@ -83,7 +84,7 @@ def math_canonical(text: Column | str) -> Column:
     return F.transform(math(text), lambda m: F.regexp_replace(m, r"\s+", ""))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def balanced(bodies: pd.Series, commands: pd.Series) -> pd.Series:
     """Arguments of a command with braces counted, as no regular expression can."""
     import re

@@ -264,3 +264,151 @@ SQL |= {
     "j7_removed_modals": f"""{P}, m AS (SELECT pair_id, list_transform(regexp_extract_all({_dbl('before')}, {Q(r'(?i)(?:^|[^\p{L}\p{N}_])(may|might|could|can|should|would)(?:[^\p{L}\p{N}_]|$)')}, 1), lambda x: lower(x)) AS b, len(regexp_extract_all({_dbl('after')}, {Q(r'(?i)(?:^|[^\p{L}\p{N}_])(?:may|might|could|can|should|would)(?:[^\p{L}\p{N}_]|$)')})) AS a FROM pairs)
 SELECT pair_id, unnest(b[a + 1:len(b)]) AS match FROM m WHERE len(b) > a""",
 }
+
+
+def _values(rows: list[tuple]) -> str:
+    lit = lambda v: "NULL" if v is None else "[" + ", ".join(Q(x) for x in v) + "]::VARCHAR[]" if isinstance(v, list) else Q(v) if isinstance(v, str) else repr(v)
+    return ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+
+
+LAYERS = f"WITH e(layer, pos, term, abbreviation, synonyms, variants) AS (VALUES {_values(gl.LAYERS)})"
+_LAST = "l AS (SELECT *, row_number() OVER (PARTITION BY lower(term) ORDER BY layer DESC, pos DESC) AS r, min(layer || lpad(pos::VARCHAR, 6, '0')) OVER (PARTITION BY lower(term)) AS f FROM e), m AS (SELECT row_number() OVER (ORDER BY f)::INT AS place, * EXCLUDE (r, f, pos) FROM l WHERE r = 1)"
+SQL |= {
+    "j28_merged_glossary": f"{LAYERS}, {_LAST} SELECT place, layer, term, abbreviation, array_to_string(synonyms, '|') AS synonyms, array_to_string(variants, '|') AS variants FROM m",
+    "j28_conflicts": f"""{LAYERS}, o AS (SELECT *, lag(layer) OVER w AS ol, lag(abbreviation) OVER w AS oa, lag(synonyms) OVER w AS os, lag(variants) OVER w AS ov FROM e WINDOW w AS (PARTITION BY lower(term) ORDER BY layer, pos))
+SELECT term, ol AS overridden, layer AS overriding, array_to_string(list_filter([CASE WHEN abbreviation IS DISTINCT FROM oa THEN 'abbreviation' END, CASE WHEN synonyms <> os THEN 'synonyms' END, CASE WHEN variants <> ov THEN 'variants' END], lambda x: x IS NOT NULL), ',') AS fields FROM o WHERE ol IS NOT NULL""",
+    "a25_deletion_risks": f"""{LAYERS}, {_LAST}, f AS (SELECT term, 'forbidden_synonym' AS kind, unnest(synonyms) AS form FROM m UNION ALL SELECT term, 'plural_or_hyphen_variant', unnest(variants) FROM m)
+SELECT term, kind, form, (len(regexp_extract_all(form, '[A-Za-z0-9]+')) - len(regexp_extract_all(term, '[A-Za-z0-9]+')))::INT AS extra FROM f WHERE len(regexp_extract_all(form, '[A-Za-z0-9]+')) > len(regexp_extract_all(term, '[A-Za-z0-9]+')) AND contains(lower(form), lower(term))""",
+    "a26_active_rules": f"{LAYERS}, {_LAST} SELECT sum(len(synonyms) + len(variants))::BIGINT AS active_rules FROM m",
+}
+
+
+def _masked(x: str) -> str:
+    out = f"regexp_replace({x}, '(^|[^\\\\])%[^\\n]*', '\\1 ', 'g')"
+    out = f"regexp_replace({out}, '(?s)\\\\begin\\{{equation\\}}.*?\\\\end\\{{equation\\}}', ' ', 'g')"
+    out = f"regexp_replace({out}, '(?s)\\$\\$.*?\\$\\$', ' ', 'g')"
+    out = f"regexp_replace({out}, '(?s)\\$[^$]*\\$', ' ', 'g')"
+    out = f"regexp_replace({out}, {Q(mk.REFERENCE)}, ' ', 'g')"
+    return f"regexp_replace({out}, '\\\\[A-Za-z@]+\\*?', ' ', 'g')"
+
+
+def _count(side: str, form: str, flags: str = "(?i)") -> str:
+    """Whole-token matches; every character that is no letter or digit stands twice."""
+    import re
+
+    body = re.sub(r"([^A-Za-z0-9])", lambda m: re.escape(m[1]) * 2, form)
+    return f"len(regexp_extract_all({side}, {Q(flags + '(?:^|[^A-Za-z0-9])' + body + '(?:[^A-Za-z0-9]|$)')}))"
+
+
+def _merged_rows() -> list[tuple]:
+    last: dict[str, tuple] = {}
+    for r in gl.LAYERS:
+        last[r[2].lower()] = r
+    return list(last.values())
+
+
+def _term_findings(residual: bool) -> str:
+    b, a = ("''" if residual else "b2"), "a2"
+    rows = []
+    for _, _, term, short, synonyms, variants in _merged_rows():
+        for kind, forms in (("forbidden_synonym", synonyms), ("plural_or_hyphen_variant", variants)):
+            rows += [(term, kind, f, f"greatest({_count(a, f)} - {_count(b, f)}, 0)") for f in forms]
+        if short:
+            af, ash, bf, bs = _count(a, term), _count(a, short, ""), _count(b, term), _count(b, short, "")
+            mix = f"CASE WHEN {af} > 0 AND {ash} > 0 THEN {ash} ELSE 0 END" if residual else f"CASE WHEN {bf} > 0 AND {bs} = 0 AND {ash} > 0 THEN {ash} WHEN {bs} > 0 AND {bf} = 0 AND {af} > 0 THEN {af} ELSE 0 END"
+            rows.append((term, "abbreviation_full_name_mix", short, mix))
+        capital = term[:1].upper() + term[1:]
+        odd = lambda side, raw: f"({_count(side, term)} - {_count(side, term, '')}" + ("" if capital == term else f" - len(regexp_extract_all({raw}, {Q('(?:^|[.!?:][ ' + chr(92) + 't]+|' + chr(92) + 'n[ ' + chr(92) + 't]*)' + capital + '(?:[^A-Za-z0-9]|$)')}))") + ")"
+        before = "0" if residual else odd(b, "b1")
+        rows.append((term, "case_inconsistency", term, f"greatest({odd(a, 'a1')} - {before}, 0)"))
+    items = ", ".join(f"{{'term': {Q(t)}, 'kind': {Q(k)}, 'form': {Q(f)}, 'n': ({n})::BIGINT}}" for t, k, f, n in rows)
+    twice = lambda x: f"regexp_replace({x}, '([^A-Za-z0-9])', '\\1\\1', 'g')"
+    return f"""{P}, mm AS (SELECT pair_id, {_masked('before')} AS b1, {_masked('after')} AS a1 FROM pairs), mt AS (SELECT *, {twice('b1')} AS b2, {twice('a1')} AS a2 FROM mm)
+SELECT * FROM (SELECT pair_id, unnest([{items}], recursive := true) FROM mt) WHERE n > 0"""
+
+
+SQL |= {"j11_term_findings": _term_findings(False), "j11_term_residual": _term_findings(True)}
+
+TURNS = "stages AS (SELECT conv_id AS series, turn AS stage, coalesce(text, '') AS text FROM conversations)"
+_NEXT = "adj AS (SELECT series, stage, lead(stage) OVER w AS next_stage, text AS before, lead(text) OVER w AS after FROM stages WINDOW w AS (PARTITION BY series ORDER BY stage)), pr AS (SELECT * FROM adj WHERE next_stage IS NOT NULL)"
+
+
+def _common(items: str) -> str:
+    return f"""WITH {TURNS}, k AS (SELECT series, count(DISTINCT stage) AS n FROM stages GROUP BY series),
+i AS (SELECT series, stage, unnest(v) AS spelling, generate_subscripts(v, 1) AS pos FROM (SELECT series, stage, {items} AS v FROM stages)),
+g AS (SELECT series, lower(spelling) AS key, count(DISTINCT stage) AS m, min_by(spelling, stage * 1000000 + pos) AS spelling FROM i GROUP BY ALL)
+"""
+
+
+_SHINGLES = f"list_filter(list_transform(range(1, greatest(len(w) - 3, 0) + 1), lambda j: w[j:j + 3]), lambda r: list_max(list_transform(r, lambda x: length(x))) >= 6)"
+SQL |= {
+    "j19_adjacent_stages": f"WITH {TURNS}, {_NEXT} SELECT series, stage, next_stage, length(before)::INT AS size_before, length(after)::INT AS size_after FROM pr",
+    "j20_drivers": f"WITH {TURNS}, {_NEXT} SELECT driver, count(*)::BIGINT AS pairs FROM (SELECT CASE WHEN (stage, next_stage) IN ((0, 1), (2, 3)) THEN 'reviewer-driven' WHEN (stage, next_stage) IN ((1, 2)) THEN 'author-advisor' ELSE 'unclassified' END AS driver FROM pr) GROUP BY driver",
+    "j22_common_words": _common(WORDS("text")) + "SELECT series, key, g.spelling FROM g JOIN k USING (series) WHERE m = n",
+    "j22_common_expressions": f"""WITH {seed.PAIRS_SQL}, stages AS (SELECT pair_id AS series, 0 AS stage, before AS text FROM pairs UNION ALL SELECT pair_id, 1, after FROM pairs), k AS (SELECT series, count(DISTINCT stage) AS n FROM stages GROUP BY series),
+sw AS (SELECT series, stage, list_transform({WORDS('text')}, lambda x: lower(x)) AS w FROM stages), sh AS (SELECT series, stage, unnest({_SHINGLES}) AS r FROM sw),
+g AS (SELECT series, array_to_string(r, ' ') AS expression, count(DISTINCT stage) AS m FROM sh GROUP BY ALL),
+p AS (SELECT series, expression, row_number() OVER (PARTITION BY series ORDER BY expression)::INT AS place FROM g JOIN k USING (series) WHERE m = n)
+SELECT series, place, expression FROM p WHERE place <= 20""",
+    "j23_without_reserved": f"WITH {TURNS}, pa AS (SELECT series, stage, (generate_subscripts(x, 1) - 1)::INT AS par_no, unnest(x) AS p FROM (SELECT series, stage, string_split(text, chr(10)) AS x FROM stages)) SELECT series, stage, par_no, length(p)::INT AS size FROM pa WHERE NOT (stage = 1 AND par_no = 0)",
+}
+
+TWO = "two AS (SELECT pair_id AS series, 0 AS stage, before, after FROM pairs)"
+_NUM = r"\d+(?:\.\d+)?"
+
+
+def _two_reports() -> str:
+    """Rule counts of both sides of the pairs."""
+    body = REPORT.split("\ns AS (SELECT", 1)[1]
+    return f"WITH {seed.PAIRS_SQL}, docs AS (SELECT pair_id * 2 AS doc_id, before AS text FROM pairs UNION ALL SELECT pair_id * 2 + 1, after FROM pairs), s AS (SELECT{body}"
+
+
+_CHANGED = "ch AS (SELECT b.doc_id // 2 AS series, b.rule, b.hits AS n_before, a.hits AS n_after FROM rep b JOIN rep a ON a.doc_id = b.doc_id + 1 AND a.rule = b.rule WHERE b.doc_id % 2 = 0)"
+SQL |= {
+    "a9_rule_changes": f"{_two_reports()}, {_CHANGED} SELECT series::BIGINT AS series, rule, n_before, n_after FROM ch WHERE n_before <> n_after",
+    "a12_change_passes": f"""{_two_reports()}, {_CHANGED}, r AS (SELECT series, bool_or(n_before <> n_after) AS any_rule, bool_or(rule = 3 AND n_before <> n_after) AS three FROM ch GROUP BY series)
+SELECT pair_id AS series, CASE WHEN before = after THEN 'equal' ELSE 'modified' END AS status,
+  array_to_string(list_filter([CASE WHEN regexp_extract_all(before, '{_NUM}') <> regexp_extract_all(after, '{_NUM}') THEN 'P1' END, CASE WHEN three THEN 'P3' END, CASE WHEN before <> after THEN 'P4' END, CASE WHEN any_rule THEN 'P5' END], lambda x: x IS NOT NULL), ',') AS passes FROM pairs JOIN r ON r.series = pair_id""",
+    "a21_rule_convergence": f"""{_two_reports()}, {_CHANGED}, t AS (SELECT series, rule, n_before, n_after AS n_output, (rule % 3 = 0)::INT AS n_target FROM ch),
+x AS (SELECT series, sum(abs(n_before - n_target))::BIGINT AS initial, sum(CASE WHEN n_before <> n_target THEN abs(n_output - n_target) ELSE 0 END)::BIGINT AS revised, count_if(n_before = n_target AND n_output <> n_target)::BIGINT AS off_target FROM t GROUP BY series)
+SELECT series::BIGINT AS series, initial, revised, off_target, CASE WHEN off_target > 0 THEN 'worsened' WHEN initial = 0 THEN 'insufficient_signal' WHEN revised < initial THEN 'improved' WHEN revised = initial THEN 'unchanged' ELSE 'worsened' END AS status FROM x""",
+    "a13_screening": f"""{DOC_BLOCK}, m AS ({_metrics('doc_id')}), v AS (SELECT doc_id, sqrt(greatest(0.0::DOUBLE, (w2 * paragraph_count - word_count * word_count)::DOUBLE)) / greatest(paragraph_count, 1) AS pw FROM ps)
+SELECT doc_id, d.dimension, CASE WHEN d.ok THEN 'exemplar' ELSE 'rule' END AS source FROM (SELECT doc_id, unnest([{{'dimension': 'sentence_length', 'ok': sentence_count >= 5}}, {{'dimension': 'length_variation', 'ok': sentence_count >= 5 AND sentence_length_sd > 0}}, {{'dimension': 'connectives', 'ok': sentence_count >= 5}}, {{'dimension': 'paragraphs', 'ok': paragraph_count >= 2}}, {{'dimension': 'paragraph_variation', 'ok': paragraph_count >= 2 AND pw > 0}}, {{'dimension': 'voice', 'ok': sentence_count >= 5}}, {{'dimension': 'hedging', 'ok': word_count >= 100}}, {{'dimension': 'dashes', 'ok': word_count >= 100}}, {{'dimension': 'claims', 'ok': claim_sentence_count >= 1}}]) AS d FROM m JOIN v USING (doc_id))""",
+    "a15_resolved_fields": f"""WITH prof(venue, field, source, confidence, value, pass) AS (VALUES {_values(tg.PROFILES)}),
+w AS (SELECT doc_id AS key, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Journal  of Maps' WHEN 2 THEN 'Letters' ELSE 'Elsewhere' END AS venue FROM documents),
+k AS (SELECT key, w.venue AS asked, v.venue AS known FROM w LEFT JOIN (SELECT DISTINCT venue FROM prof) v ON trim(regexp_replace(lower(w.venue), '\\s+', ' ', 'g')) = v.venue),
+r AS (SELECT key, coalesce(known, 'default') AS venue, CASE WHEN asked IS NULL THEN 'unstated' WHEN known IS NULL THEN 'default' ELSE 'matched' END AS venue_match FROM k),
+g AS (SELECT r.key, r.venue, r.venue_match, count(p.field)::BIGINT AS fields, count_if(p.source = 'exemplar')::BIGINT AS exemplars FROM r LEFT JOIN prof p ON p.venue = r.venue AND p.pass IN ('P4', 'P5') GROUP BY ALL)
+SELECT *, CASE WHEN exemplars = 0 THEN 'none' WHEN exemplars = fields THEN 'ok' ELSE 'partial' END AS status FROM g""",
+    "a19_preflight": f"""{DOC_BLOCK}, m AS ({_metrics('doc_id')}), v AS (SELECT doc_id, sqrt(greatest(0.0::DOUBLE, (w2 * paragraph_count - word_count * word_count)::DOUBLE)) / greatest(paragraph_count, 1) AS pw FROM ps), {REPORT.split(',' + chr(10), 1)[1]},
+h AS (SELECT doc_id, list('R' || rule ORDER BY 'R' || rule) AS rules FROM rep WHERE hits > 0 GROUP BY doc_id),
+t AS (SELECT m.doc_id, sentence_count, list_concat(list_filter([CASE WHEN sentence_count >= 3 AND sentence_length_sd < 3.0 THEN 'low_variance' END, CASE WHEN paragraph_count > 1 AND pw < 1 THEN 'uniform_paragraphs' END, CASE WHEN connective_count / greatest(sentence_count, 1) > 0.6::DOUBLE THEN 'connective_ceiling' END, CASE WHEN max_hedges_in_sentence > 2 THEN 'hedge_ceiling' END], lambda x: x IS NOT NULL), coalesce(rules, [])) AS g FROM m JOIN v USING (doc_id) LEFT JOIN h USING (doc_id))
+SELECT doc_id, array_to_string(g, ',') AS triggers, CASE WHEN sentence_count = 0 THEN 'no_prose' WHEN len(g) > 0 THEN 'revise' ELSE 'preserve' END AS decision FROM t""",
+}
+
+_LINK = '(?is)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+_LINKS = f"""lk AS (SELECT page_id, url, (i - 1)::INT AS place, trim(h[i]) AS href, t[i] AS tx FROM (SELECT page_id, url, h, t, unnest(range(1, len(h) + 1)) AS i FROM (SELECT page_id, url, regexp_extract_all(html, {Q(_LINK)}, 1) AS h, regexp_extract_all(html, {Q(_LINK)}, 2) AS t FROM pages))),
+links AS (SELECT page_id, place, {SQ("regexp_replace(tx, '<[^>]*>', ' ', 'g')")} AS text, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([A-Za-z]+:)', 1) || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || href ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || href END AS target FROM lk)"""
+_BIB = "rows AS (SELECT 'T' || conv_id AS title, CASE conv_id % 3 WHEN 0 THEN 'Journal X' WHEN 1 THEN 'Workshop & Co' ELSE 'arXiv' END AS venue, 2000 + min(turn) + conv_id % 20 AS year FROM conversations GROUP BY conv_id)"
+SQL |= {
+    "src16_links": f"WITH {_LINKS} SELECT * FROM links",
+    "p34_keyword_links": f"WITH {_LINKS} SELECT page_id, place, target FROM links WHERE contains(lower(text), 'the') OR contains(lower(text), 'und')",
+    "w8_links_per_page": f"WITH {_LINKS} SELECT page_id, target FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY place) AS r FROM links) WHERE r <= 3",
+    "a28_coverage": "SELECT source, lang, count(*)::BIGINT AS n FROM documents GROUP BY ALL",
+    "snk4_bibliography": f"WITH {_BIB} SELECT row_number() OVER (ORDER BY year, lower(title), title)::INT AS place, CASE WHEN regexp_matches(lower(venue), 'journal|transactions|letters') THEN 'article' WHEN regexp_matches(lower(venue), 'arxiv|eprint|preprint') THEN 'misc' ELSE 'inproceedings' END AS kind, year FROM rows",
+    "j25_hashed_tokens": f"SELECT doc_id, sha256(t) AS digest, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), {Q(tx.TOKEN)})) AS t FROM documents) WHERE t IN ('than', 'license', 'idiot') GROUP BY ALL",
+    "a27_manifest": "SELECT source, count(*)::BIGINT AS files, sha256(string_agg(lpad(doc_id::VARCHAR, 20, '0') || ':' || sha256(coalesce(text, '')), chr(10) ORDER BY lpad(doc_id::VARCHAR, 20, '0'))) AS digest FROM documents GROUP BY source",
+    "j27_manifest_diff": "WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN upper(coalesce(text, '')) ELSE coalesce(text, '') END AS t FROM documents WHERE doc_id % 11 <> 0) SELECT doc_id, CASE WHEN b.t IS NULL THEN 'source_only' WHEN a.t IS NULL THEN 'installed_only' WHEN a.t <> b.t THEN 'changed' ELSE 'same' END AS status FROM a FULL JOIN b USING (doc_id)",
+    "p38_sensitivity": D + "SELECT doc_id, e AS emails, l AS licenses, e > 0 OR l > 0 AS flagged FROM (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]{2,}'))::BIGINT AS e, len(regexp_extract_all(text, '(?i)\\blicen[sc]ed?\\b'))::BIGINT AS l FROM docs)",
+    "p37_numeric_lines": D + "SELECT doc_id, i::INT AS line_no FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs) WHERE regexp_matches(line, '\\d+(?:\\.\\d+)?\\s*(?:%|ms|GB|MB|KB|bits?)') AND NOT starts_with(trim(line), 'Moreover')",
+    "snk8_upsert": "SELECT doc_id, 'new' AS origin FROM labels WHERE quality = 1 AND doc_id IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'old' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
+    "j29_wiring": D + "SELECT a.anchor, count(l.line)::BIGINT AS n, count(l.line) = 1 AS wired FROM (VALUES ('technical packaging'), ('no such anchor'), ('Introduction')) a(anchor) LEFT JOIN (SELECT unnest(string_split(text, chr(10))) AS line FROM docs) l ON contains(l.line, a.anchor) GROUP BY a.anchor",
+    "g2_reachability": """WITH RECURSIVE edges AS (SELECT DISTINCT doc_id AS src, (doc_id * 7 + 3) % (SELECT count(*) FROM documents) AS dst FROM documents WHERE doc_id % 5 <> 0 UNION SELECT doc_id, doc_id + 1 FROM documents WHERE doc_id % 4 = 1),
+walk AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 32)
+SELECT node::BIGINT AS node, min(depth)::INT AS depth FROM walk GROUP BY node""",
+    "j30_missing_labels": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "j26_rule_sets": "SELECT lang, 'missing' AS side FROM (SELECT DISTINCT lang FROM documents) WHERE lang NOT IN ('en', 'it') UNION ALL SELECT 'it', 'extra'",
+    "a29_command_coverage": D + "SELECT source, count_if(regexp_matches(text, '\\\\cite'))::BIGINT AS cite, count_if(regexp_matches(text, '\\\\ref'))::BIGINT AS ref, count_if(regexp_matches(text, '\\\\label'))::BIGINT AS label FROM docs GROUP BY source",
+    "g10_direction_matrix": f"{REPORT} SELECT lang, rule, sum(hits)::BIGINT AS hits FROM rep JOIN docs USING (doc_id) GROUP BY ALL",
+    "p42_variants": f"{LAYERS} SELECT layer, term, array_to_string(list_filter(list_distinct(list_filter([CASE WHEN contains(term, '-') THEN replace(term, '-', ' ') END, CASE WHEN contains(term, ' ') THEN regexp_replace(term, '\\s+', '-', 'g') END], lambda x: x IS NOT NULL)), lambda x: x <> term), '|') AS variants FROM e",
+}

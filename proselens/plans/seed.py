@@ -13,18 +13,18 @@ from pyspark.sql import functions as F
 
 PASSAGES = [
     "This groundbreaking system is pivotal. It serves as a tool for review. In other words, it works.",
-    "Moreover, the method is efficient. Furthermore, the cost is 12.5 ms per query. However, the error may grow. Additionally, we show a bound.",
+    "Moreover, the method is efficient. Furthermore, the cost is 12.5 ms per query. However, the error may grow in the worst case setting. Additionally, we show a bound.",
     "The evaluation demonstrates the implementation of the configuration and the optimization. The result suggests a limit. It appears to hold; we conjecture more.",
     "We leverage a seamless landscape — it is important to note — that this helps. The design is not only fast but also small.",
     "# Introduction\nThe technical packaging is described. Our method achieves 40% less overhead than the baseline (\\cite{smith2020,lee2021}).\n\n# Evaluation\nThe runtime is 3 GB and 25 ms under \\ref{tab:cost}. The cost was measured by Ada.",
     "The scheme suggests adaptive security, thereby improving trust. It guarantees perfect privacy. Under the background of growth, the approach proves that the map is correct.",
-    "The server is semi-honest and it shows no leakage. All values are exact. We might not need approximate arithmetic in the honest setting.",
+    "The server is semi-honest and it shows no leakage. All approximate values are kept. We might not need approximate arithmetic in the honest setting.",
     "Some users often see higher latency than others. Many users usually see lower cost; a few see none, and most see better results.",
     "\\section{Methods}\nThe cipher text is packed, stored, and sent. The key-switching step and the Key-Switching step differ. FHE is used with bootstrapping.\n\\begin{equation}\na + b = c\n\\end{equation}\nInline $x^2 + y$ is kept.",
     "\\begin{figure}\n\\caption{Cost by \\textbf{size} in Fig. 3 and \\ref{fig:a}}\n\\label{fig:cost}\n\\end{figure}\nThe figure shows 128 bits and \\SI{10}{ms}.",
     "The result is consistent with theory. It is significantly faster on the evaluated workload. Limitation: it does not scale. However, future work will help.",
     "Although the map is large, we propose a fast path. Because it is small, it fits. Quickly the queue drains. Under load it stalls. We present a proof.",
-    "The ciphertext is an encrypted value. The method and the framework differ in overhead and expense. At least three trials ran; every trial ended.",
+    "The ciphertext is an encrypted value. The method and the framework differ in overhead and expense. At least three trials ran; every trial ended. The peer is semi-honest.",
     "It should be noted that the system boasts speed, scale, and trust. Essentially that is all. The experiment result shows growth.",
     "The adversary cannot win. It can't read the key and it won't stop. Neither side must fail, and nobody could prove it never will.",
     "",
@@ -33,18 +33,18 @@ PASSAGES = [
 #: (old, new) that the revision of passage k applies, or None for no change
 EDITS = [
     ("groundbreaking", "useful"),
-    ("12.5 ms", "14 ms"),
+    ("error may grow in the worst case setting", "error grows"),
     ("suggests", "proves"),
     (" — it is important to note —", ""),
     ("lee2021", "park2022"),
     ("suggests adaptive security", "shows selective security"),
-    ("semi-honest", "malicious"),
+    ("All approximate values", "All exact values"),
     ("higher latency", "lower latency"),
-    ("cipher text", "ciphertext"),
+    ("cipher text is packed", "cipher text and the cipher-text are packed"),
     ("128 bits", "256 bits"),
     ("It is significantly faster", "It may be faster"),
     ("we propose a fast path", "we prove a fast path"),
-    ("every trial ended", "each trial ended"),
+    ("every trial ended. The peer is semi-honest", "each trial ended. The peer is malicious"),
     ("boasts speed, scale, and trust", "has speed"),
     ("cannot win", "can win"),
     None,

@@ -25,6 +25,108 @@ def _report(s: S, d: str) -> DataFrame:
     return rules.report(_docs(s, d))
 
 
+def _raw(s: S, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _pages(s: S, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/pages.parquet")
+
+
+def _turns(s: S, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("series"), F.col("turn").alias("stage"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _series(s: S, d: str) -> DataFrame:
+    return _pairs(s, d).select(F.col("pair_id").alias("series"), F.lit(0).alias("stage"), "before", "after")
+
+
+def _versions(s: S, d: str) -> DataFrame:
+    """Both sides of the pairs as two stages."""
+    rows = _pairs(s, d).select(F.col("pair_id").alias("series"), F.explode(F.array(F.struct(F.lit(0).alias("stage"), F.col("before").alias("text")), F.struct(F.lit(1).alias("stage"), F.col("after").alias("text")))).alias("x"))
+    return rows.select("series", "x.stage", "x.text")
+
+
+def _joined(entries: DataFrame) -> DataFrame:
+    return entries.withColumns({x: F.array_join(x, "|") for x in ("synonyms", "variants")})
+
+
+def _without_reserved(s: S, d: str) -> DataFrame:
+    paras = _turns(s, d).select("series", "stage", F.posexplode(F.split("text", "\n")).alias("par_no", "p"))
+    reserved = _turns(s, d).where("stage = 1").select("series", "stage", F.lit(0).alias("par_no"))
+    return history.without_reserved(paras, reserved).select("series", "stage", "par_no", F.length("p").alias("size"))
+
+
+def _rule_convergence(s: S, d: str) -> DataFrame:
+    hits = lambda side: F.transform(rules.hits(side), lambda h: h["rule"])
+    rows = _series(s, d).select("series", hits("before").alias("b"), hits("after").alias("a")).withColumn("rule", F.explode(F.array(*[F.lit(n) for n in rules.SEVERITY])))
+    n = lambda x: F.size(F.filter(x, lambda v: v == F.col("rule")))
+    return targets.rule_convergence(rows.select("series", "rule", n("b").alias("n_before"), n("a").alias("n_output"), (F.col("rule") % 3 == 0).cast("int").alias("n_target")), "series")
+
+
+def _wanted(s: S, d: str) -> DataFrame:
+    k = F.col("doc_id") % 4
+    return _raw(s, d).select(F.col("doc_id").alias("key"), F.when(k == 1, "Journal  of Maps").when(k == 2, "Letters").when(k == 3, "Elsewhere").alias("venue"))
+
+
+def _bibliography(s: S, d: str) -> DataFrame:
+    one = s.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.min("turn").alias("t"))
+    k = F.col("conv_id") % 3
+    rows = one.select(F.concat(F.lit("T"), F.col("conv_id").cast("string")).alias("title"), F.when(k == 0, "Journal X").when(k == 1, "Workshop & Co").otherwise("arXiv").alias("venue"), (F.col("t") + 2000 + F.col("conv_id") % 20).alias("year"))
+    return corpus.bibliography(rows).select("place", "kind", F.regexp_extract("entry", r"year=\{(\d+)\}", 1).cast("long").alias("year"))
+
+
+def _hashed_tokens(s: S, d: str) -> DataFrame:
+    private = s.createDataFrame([("than",), ("license",), ("idiot",)], "t string").select(F.sha2("t", 256).alias("digest"))
+    return corpus.hashed_hits(_raw(s, d), private)
+
+
+def _reachability(s: S, d: str) -> DataFrame:
+    docs = _raw(s, d).select("doc_id")
+    n = docs.count()
+    edges = docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("src"), ((F.col("doc_id") * 7 + 3) % n).alias("dst")).union(docs.where("doc_id % 4 = 1").select("doc_id", F.col("doc_id") + 1)).distinct()
+    return corpus.reachable(edges, s.createDataFrame([(1,)], "node long"))
+
+
+def _rule_sets(s: S, d: str) -> DataFrame:
+    have, want = _raw(s, d).select("lang").distinct(), s.createDataFrame([("en",), ("it",)], "lang string")
+    return have.exceptAll(want).withColumn("side", F.lit("missing")).unionByName(want.exceptAll(have).withColumn("side", F.lit("extra")))
+
+
+def _swapped(pairs: DataFrame) -> DataFrame:
+    return pairs.select("pair_id", F.lit("").alias("before"), F.col("before").alias("after"))
+
+
+def _pass_verdict(s: S, d: str) -> DataFrame:
+    pairs, entries = _pairs(s, d), glossary.merged(glossary.layers(s))
+    report = revision.category_report(revision.differences(pairs))
+    return glossary.pass_verdict(report, glossary.findings(pairs, entries), glossary.findings(_swapped(pairs), entries, True), glossary.findings(pairs, entries, True), pairs)
+
+
+def _contract(s: S, d: str) -> DataFrame:
+    """The four steps in order; the first that blocks is named, the last never blocks."""
+    pairs, entries = _pairs(s, d), glossary.merged(glossary.layers(s))
+    immutable = revision.immutable_verdict(pairs).select("pair_id", F.col("passed").alias("immutable"))
+    strength = revision.strength_verdict(pairs).select("pair_id", F.col("passed").alias("strength"))
+    terms = glossary.findings(pairs, entries).where("kind <> 'case_inconsistency'").groupBy("pair_id").agg(F.count("*").alias("n"))
+    rows = immutable.join(strength, "pair_id").join(terms, "pair_id", "left")
+    step = F.when(~F.col("immutable"), "immutable").when(~F.col("strength"), "strength").when(F.col("n") > 0, "terminology").otherwise("none")
+    return rows.select("pair_id", step.alias("blocked_by"), (step == "none").alias("proceed"))
+
+
+def _distances(s: S, d: str) -> DataFrame:
+    pairs = _pairs(s, d)
+    side = lambda x, name: fingerprint.by_document(pairs.select(F.col("pair_id").alias("doc_id"), F.col(x).alias("text"))).select("doc_id", F.struct("paragraph_count", *targets.METRICS).alias(name))
+    goal = side("before", "target").select((F.col("doc_id") + 1).alias("doc_id"), "target")
+    rows = side("before", "before").join(side("after", "output"), "doc_id").join(goal, "doc_id")
+    return targets.distances(rows, "doc_id")
+
+
+def _drift(s: S, d: str) -> DataFrame:
+    measured = fingerprint.by_document(_docs(s, d)).join(_raw(s, d).select("doc_id", "source"), "doc_id")
+    return fingerprint.compared(measured, fingerprint.baseline(measured, "source")).select("doc_id", "metric", "drift")
+
+
 def _values(pairs: DataFrame, make) -> DataFrame:  # type: ignore[no-untyped-def]
     return pairs.select("pair_id", F.explode(make("before")).alias("value")).groupBy("pair_id", "value").agg(F.count("*").alias("n"))
 
@@ -70,6 +172,51 @@ QUERIES = {
     "j12_crypto_moves": lambda s, d: revision.moves(_pairs(s, d), {k: v for k, v in revision.CRYPTO.items() if k not in revision.ANCHORS}),
     "j6_comparison_flips": lambda s, d: revision.flips(_pairs(s, d)),
     "j7_removed_modals": lambda s, d: revision.removed_by_count(_pairs(s, d), revision.MODAL, "modal").select("pair_id", F.lower("match").alias("match")),
+    "j28_merged_glossary": lambda s, d: _joined(glossary.merged(glossary.layers(s))),
+    "j28_conflicts": lambda s, d: glossary.conflicts(glossary.layers(s)),
+    "a25_deletion_risks": lambda s, d: glossary.deletion_risks(glossary.merged(glossary.layers(s))),
+    "a26_active_rules": lambda s, d: glossary.active_rules(glossary.merged(glossary.layers(s))),
+    "p42_variants": lambda s, d: glossary.layers(s).select("layer", "term", F.array_join(glossary.derived_variants("term"), "|").alias("variants")),
+    "j11_term_findings": lambda s, d: glossary.findings(_pairs(s, d), glossary.merged(glossary.layers(s))),
+    "j11_term_residual": lambda s, d: glossary.findings(_pairs(s, d), glossary.merged(glossary.layers(s)), True),
+    "j19_adjacent_stages": lambda s, d: history.adjacent(_turns(s, d)).select("series", "stage", "next_stage", F.length("before").alias("size_before"), F.length("after").alias("size_after")),
+    "j20_drivers": lambda s, d: history.drivers(history.adjacent(_turns(s, d)), [(0, 1), (2, 3)], [(1, 2)]).groupBy("driver").agg(F.count("*").alias("pairs")),
+    "j22_common_words": lambda s, d: history.common(_turns(s, d), tx.words("text")),
+    "j22_common_expressions": lambda s, d: history.common_expressions(_versions(s, d)),
+    "j23_without_reserved": lambda s, d: _without_reserved(s, d),
+    "a9_rule_changes": lambda s, d: history.rule_changes(_series(s, d)).drop("stage"),
+    "a12_change_passes": lambda s, d: history.classified(_series(s, d)).select("series", "status", F.array_join("passes", ",").alias("passes")),
+    "a21_rule_convergence": _rule_convergence,
+    "a13_screening": lambda s, d: targets.screening(fingerprint.by_document(_docs(s, d))),
+    "a15_resolved_fields": lambda s, d: targets.resolved(_wanted(s, d), targets.profiles(s), ["P4", "P5"]),
+    "a19_preflight": lambda s, d: targets.preflight(fingerprint.by_document(_docs(s, d)), rules.findings(_docs(s, d))),
+    "src16_links": lambda s, d: corpus.links(_pages(s, d)),
+    "p34_keyword_links": lambda s, d: corpus.with_keyword(corpus.links(_pages(s, d)), "text", ["the", "und"]).drop("text"),
+    "w8_links_per_page": lambda s, d: corpus.per_group(corpus.links(_pages(s, d)), ["page_id"], ["place"]).select("page_id", "target"),
+    "a28_coverage": lambda s, d: corpus.coverage(s.read.parquet(f"{d}/documents.parquet"), "source", "lang"),
+    "snk4_bibliography": _bibliography,
+    "j25_hashed_tokens": _hashed_tokens,
+    "a27_manifest": lambda s, d: corpus.manifest(_raw(s, d).withColumn("path", F.lpad(F.col("doc_id").cast("string"), 20, "0")), ["source"], "path", "text"),
+    "j27_manifest_diff": lambda s, d: corpus.manifest_diff(_raw(s, d).where("doc_id % 7 <> 0"), _raw(s, d).where("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.upper("text")).otherwise(F.col("text"))), "doc_id", "text"),
+    "p38_sensitivity": lambda s, d: corpus.sensitivity(_docs(s, d)),
+    "p37_numeric_lines": lambda s, d: corpus.numeric_lines(_docs(s, d), ["Moreover"]),
+    "snk8_upsert": lambda s, d: corpus.upsert(_raw(s, d).select("doc_id", F.lit("old").alias("origin")), s.read.parquet(f"{d}/labels.parquet").where("quality = 1").select("doc_id", F.lit("new").alias("origin")), "doc_id"),
+    "j29_wiring": lambda s, d: corpus.anchors(_docs(s, d).select(F.explode(F.split("text", "\n")).alias("line")), s.createDataFrame([("technical packaging",), ("no such anchor",), ("Introduction",)], "anchor string")),
+    "g2_reachability": _reachability,
+    "j30_missing_labels": lambda s, d: _raw(s, d).select("doc_id").join(s.read.parquet(f"{d}/labels.parquet").select("doc_id"), "doc_id", "left_anti"),
+    "j26_rule_sets": _rule_sets,
+    "a29_command_coverage": lambda s, d: _docs(s, d).groupBy("source").agg(*[F.count_if(F.col("text").contains("\\" + x)).alias(x) for x in ("cite", "ref", "label")]),
+    "g10_direction_matrix": lambda s, d: _report(s, d).join(_raw(s, d).select("doc_id", "lang"), "doc_id").groupBy("lang", "rule").agg(F.sum("hits").alias("hits")),
+    "j14_scope_alignment": lambda s, d: align.scopes(seed.passages(s, d).select("pair_id", tx.scopes(markers.prose("before")).alias("old"), tx.scopes(markers.prose("after")).alias("new"))),
+    "j17_paragraph_alignment": lambda s, d: align.paragraphs(_pairs(s, d).select("pair_id", F.split("before", "\n").alias("old"), F.split("after", "\n").alias("new"))),
+    "a24_pass_verdict": _pass_verdict,
+    "g11_contract": _contract,
+    "a20_distances": _distances,
+    "a5_drift": lambda s, d: _drift(s, d),
+    "j8_removed_qualifiers": lambda s, d: revision.removed_by_token(_pairs(s, d)),
+    "j13_candidates": lambda s, d: revision.candidates(_pairs(s, d)),
+    "p25_figures": lambda s, d: revision.figure_differences(_pairs(s, d)),
+    "strength_verdict": lambda s, d: revision.strength_verdict(_pairs(s, d)),
 }
 
 ORACLE_SQL: dict[str, str] = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
