@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, split_of, table
+from .common import is_small, keep, split_of, table
 from .kernel import ALNUM_WORD, Words, blob, hash_spans
 
 #: labelled rows of each label that are learned from
@@ -259,7 +259,8 @@ def learn(rows: DataFrame, labels: DataFrame) -> Scorer:
         return Scorer({})
     draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
     rate = F.when(F.col("toxic") > 0, min(1.0, SAMPLE / counts[1])).otherwise(min(1.0, SAMPLE / counts[0]))
-    sample = keep(rows.join(marks.where(draw < rate), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic"), "labelled")
+    few = keep(marks.where(draw < rate), "marks")  # about SAMPLE of each label, whatever the input
+    sample = keep(rows.join(F.broadcast(few) if is_small(few) else few, "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic"), "labelled")
     n = {int(r["toxic"]): r["n"] for r in sample.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return Scorer({})
