@@ -65,7 +65,7 @@ def sentences(paragraph: Column | str) -> Column:
 
 def sentence_spans(text: Column | str) -> Column:
     """Runs up to a mark or line end, that are not blank."""
-    return F.filter(every(text, r"[^.!?\n]+[.!?]?"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")
+    return F.filter(every(text, r"[^.!?\n]+[.!?]?"), lambda s: s.rlike(r"\S"))
 
 
 def scopes(prose: Column | str) -> Column:
