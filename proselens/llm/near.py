@@ -21,6 +21,11 @@ is 0.75 or more.  The join is exact:
    in length; they are verified on their whole sets.  As reached documents drop
    out, a block of near copies costs about one pass and not all pairs.
 
+6. A block of more than `BLOCK` documents is not given to one task.  Its star edges
+   are verified as rows; that ties most of a group of near copies together.  The
+   documents outside of the block's largest tied part are then held against it in
+   tasks of about `BLOCK` documents each, and the parts that link are joined.
+
 Chunks of documents travel as packed arrays, one row for each range of hashes.
 
 Defined results: null or empty texts, and texts without words, have no shingles
@@ -49,6 +54,8 @@ WORDS = 5
 UP, AT = 100, 75
 #: k is n // SPARE + 1 in the overlap filter
 SPARE = 12
+#: documents of a block that one task verifies
+BLOCK = 256
 #: shingles that a task packs before it passes them on
 FLUSH = 400_000
 _SALT = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x2545F4914F6CDD1D))
@@ -336,6 +343,87 @@ def verified(sets: list[np.ndarray], prefixes: list[list[np.ndarray]]) -> np.nda
     return comp
 
 
+_SETS = ("tokens", "first", "second", "third")
+
+
+def _cells(t: pa.Table) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
+    cells = [[np.frombuffer(v, np.uint64) for v in t.column(x).to_pylist()] for x in _SETS]
+    return cells[0], cells[1:]
+
+
+def in_blocks(found: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(node, component) of blocks that fit one task each."""
+
+    def verify(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        node = t.column("node").to_numpy()
+        return pa.table({"node": node, "component": node[verified(*_cells(t))]})
+
+    inside = found.join(F.broadcast(blocks) if is_small(blocks) else blocks, "node")
+    return inside.groupBy("block").applyInArrow(verify, "node long, component long")
+
+
+def tied_stars(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """The star edges whose two documents link."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yes = [bool(linked(np.frombuffer(a, np.uint64), [np.frombuffer(b, np.uint64)])[0]) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
+            yield batch.select(["low", "node"]).filter(pa.array(yes, pa.bool_()))
+
+    rows = edges.join(found.select(F.col("node").alias("low"), F.col("tokens").alias("a")), "low").join(found.select("node", F.col("tokens").alias("b")), "node")
+    return keep(rows.select("low", "node", "a", "b").mapInArrow(check, "low long, node long"), "tied")
+
+
+def across(sets: list[np.ndarray], prefixes: list[list[np.ndarray]], part: np.ndarray, rest: np.ndarray, own: bool) -> list[tuple[int, int]]:
+    """Links between parts: of each document of `rest` with the others, and with
+    those of `rest` if `own`; parts that a link has joined are one from then on."""
+    m, size, label, out = len(sets), np.array([len(s) for s in sets]), part.copy(), []
+    lists = [_Lists(p, np.arange(m)) for p in prefixes]
+    for x in np.flatnonzero(rest):
+        fits = (label != label[x]) & (UP * size >= AT * size[x]) & (AT * size <= UP * size[x])
+        if not own:
+            fits &= ~rest
+        for each, p in zip(lists, prefixes):
+            if fits.any():
+                fits &= each.share(p[x], m)
+        near = np.flatnonzero(fits)
+        if len(near):
+            for y in near[linked(sets[x], [sets[y] for y in near])]:
+                if label[y] != label[x]:
+                    out.append((int(part[x]), int(part[y])))
+                    label[label == label[y]] = label[x]
+    return out
+
+
+def in_large_blocks(found: DataFrame, edges: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(node, component) of blocks too large for one task.  blocks: node, block."""
+    inside = blocks.select("node")
+    found = found.join(F.broadcast(inside) if is_small(inside) else inside, "node", "left_semi")
+    one = edges.groupBy("node").agg(F.min("low").alias("low"))  # a star edge for each document is enough to begin with
+    tied = tied_stars(found, one.join(F.broadcast(inside) if is_small(inside) else inside, "node", "left_semi"))
+    parts = components(tied)
+    members = keep(blocks.join(parts.withColumnRenamed("block", "part"), "node", "left").select("node", "block", F.coalesce("part", "node").alias("part")), "members")
+    main = members.groupBy("block", "part").agg(F.count("*").alias("n")).groupBy("block").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("n"), F.count("*").alias("parts"))
+    main = keep(main.where("parts > 1").select("block", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("salts")), "main")
+    if not main.limit(1).count():
+        return members.select("node", F.col("part").alias("component"))
+    rows = members.join(F.broadcast(main) if is_small(main) else main, "block").withColumn("rest", F.col("part") != F.col("main"))
+    salt = F.when(F.col("rest"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")))
+    rows = rows.select("node", "block", "part", "rest", F.explode(salt).alias("salt"))
+
+    def cross(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        rest = t.column("rest").to_numpy().astype(bool)
+        got = across(*_cells(t), t.column("part").to_numpy(), rest, t.column("salt")[0].as_py() == 0)
+        return pa.table({"low": pa.array([min(x) for x in got], pa.int64()), "node": pa.array([max(x) for x in got], pa.int64())})
+
+    inside = rows.join(found.select("node", *_SETS), "node")
+    more = keep(inside.groupBy("block", "salt").applyInArrow(cross, "low long, node long").distinct(), "across")
+    whole = components(more).select(F.col("node").alias("part"), F.col("block").alias("whole"))
+    return members.join(whole, "part", "left").select("node", F.coalesce("whole", "part").alias("component"))
+
+
 def joined(docs: DataFrame) -> DataFrame:
     """docs: (doc_id, text).  A row per document: doc_id, n_shingles, component_id."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
@@ -343,17 +431,15 @@ def joined(docs: DataFrame) -> DataFrame:
     state = states(docs, parts)
     classes = keep(state.where("alive").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("members")), "classes")
     found = candidates(docs, classes, parts)
-    blocks = keep(components(stars(found)), "blocks")
-
-    def verify(t: pa.Table) -> pa.Table:
-        t = t.sort_by("node")
-        cells = {x: [np.frombuffer(v, np.uint64) for v in t.column(x).to_pylist()] for x in ("tokens", "first", "second", "third")}
-        comp = verified(cells["tokens"], [cells[x] for x in ("first", "second", "third")])
-        name = t.column("node").to_numpy()[comp]
-        return pa.table({"s1": t.column("s1"), "s2": t.column("s2"), "component": pa.array(name)})
-
-    inside = found.join(F.broadcast(blocks) if is_small(blocks) else blocks, "node")
-    parts_of = keep(inside.groupBy("block").applyInArrow(verify, "s1 long, s2 long, component long"), "verified").join(classes, ["s1", "s2"])
+    edges = stars(found)
+    blocks = keep(components(edges), "blocks")
+    large = keep(blocks.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("block"), "large")
+    split = F.broadcast(large) if is_small(large) else large
+    comps = in_blocks(found, keep(blocks.join(split, "block", "left_anti").select("node", "block"), "few"))
+    if large.limit(1).count():
+        comps = comps.unionByName(in_large_blocks(found, edges, keep(blocks.join(split, "block", "left_semi").select("node", "block"), "many")))
+    comps = keep(comps, "components")
+    parts_of = found.select("node", "s1", "s2").join(comps, "node").join(classes, ["s1", "s2"])
     lowest = parts_of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     names = parts_of.select("s1", "s2", "component").distinct().join(lowest, "component").groupBy("s1", "s2").agg(F.min("component_id").alias("component_id"))
     names = classes.join(names, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("members") > 1).alias("many"), F.col("component_id").isNotNull().alias("tied"))
