@@ -27,7 +27,8 @@ _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 2**64)
 _NGRAM = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
-_BLOCK = 1 << 22
+#: bytes hashed at once: two tables of powers and three temporaries of eight times that size
+_BLOCK = 1 << 18
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
