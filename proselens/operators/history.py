@@ -44,9 +44,13 @@ def sentences(text: Column | str = "text") -> Column:
 
 def shingles(text: Column | str = "text", n: int = 4, long_word: int = 6) -> Column:
     """Runs of four words that hold a word of six characters or more."""
-    w = F.transform(tx.words(text), F.lower)
-    runs = F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.slice(w, i, F.lit(n)))).otherwise(F.array().cast("array<array<string>>"))
-    return F.transform(F.filter(runs, lambda r: F.exists(r, lambda x: F.length(x) >= long_word)), lambda r: F.array_join(r, " "))
+
+    def of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.slice(w, i, F.lit(n)))
+        good = F.filter(runs, lambda r: F.exists(r, lambda x: F.length(x) >= long_word))
+        return F.when(F.size(w) >= n, F.transform(good, lambda r: F.array_join(r, " "))).otherwise(F.array().cast("array<string>"))
+
+    return tx.let(F.transform(tx.words(text), F.lower), of)
 
 
 def common_expressions(stages: DataFrame, most: int = EXPRESSIONS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles
+from . import oracles, record_queries
 from .functions import text as tx
 from .operators import align, corpus, fingerprint, glossary, history, markers, revision, rules, targets
 from .plans import seed
@@ -219,4 +219,5 @@ QUERIES = {
     "strength_verdict": lambda s, d: revision.strength_verdict(_pairs(s, d)),
 }
 
-ORACLE_SQL: dict[str, str] = {k: v for k, v in oracles.SQL.items() if k in QUERIES}
+QUERIES |= record_queries.QUERIES
+ORACLE_SQL: dict[str, str] = {k: v for k, v in (oracles.SQL | record_queries.SQL).items() if k in QUERIES}
