@@ -204,3 +204,33 @@ def test_paragraph_alignment_covers_both_sides(old, new):
     assert sorted(i for _, i, _, _ in got if i >= 0) == list(range(len(old)))
     assert sorted(j for _, _, j, _ in got if j >= 0) == list(range(len(new)))
     assert all(s == "equal" for s, *_ in align.paragraph_pairs(old, old))
+
+
+def test_markers_that_move_between_scopes_are_relocations(spark):
+    from proselens.operators import relocation
+
+    rows = [
+        (1, "The map may hold for the whole town. The bridge stands near the old mill.", "The map holds for the whole town. The bridge may stand near the old mill."),
+        (2, "The map may hold for the whole town.", "The map must hold for the whole town."),
+        (3, "The map may hold.", "The map may hold."),
+        (4, "", ""),
+    ]
+    pairs = spark.createDataFrame(rows, "pair_id long, before string, after string")
+    assert [r["pair_id"] for r in relocation.relocations(pairs).collect()] == [1]
+    assert {r["pair_id"] for r in relocation.scoped_differences(pairs).collect()} == {1, 2}
+
+
+def test_records_take_nulls_and_empty_tables(spark):
+    from proselens.operators import records
+
+    files = spark.createDataFrame([(1, None), (2, ""), (3, "x")], "doc_id long, text string")
+    none = spark.createDataFrame([], "digest string")
+    assert not any(r["admitted"] for r in records.admitted(files, none, "doc_id", "text").collect())
+    titles = spark.createDataFrame([], "title string")
+    assert records.canonical(files.selectExpr("doc_id", "text as title"), titles).count() == 3
+    parts = spark.createDataFrame([(1, 0, "a"), (1, 1, None)], "series long, place int, text string")
+    got = {r["series"]: r["equal"] for r in records.same_order(parts, parts.where("place = 0")).collect()}
+    assert got == {1: False}
+    assert records.same_order(parts, parts).first()["equal"]
+    edges = records.mentions(spark.createDataFrame([("a/x.md", "see y.md and z.md and a/x.md"), ("a/y.md", ""), ("b/z.md", None)], "path string, text string"))
+    assert {(r["mention"], r["target"], r["how"]) for r in edges.collect()} == {("y.md", "a/y.md", "sibling"), ("z.md", "b/z.md", "name")}
