@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,9 @@ from ..functions import text as tx
 LINK = r'(?is)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
 #: rows of a group that a per-group limit keeps
 PER_GROUP = 3
+#: nodes up to which a round broadcasts them and keeps them in few files, and rounds
+#: between merges of more
+FEW, FILES, MERGE = 100_000, 8, 16
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -92,23 +96,36 @@ def anchors(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(got, "anchor", "left").select("anchor", F.coalesce("n", F.lit(0)).cast("long").alias("n"), (F.coalesce("n", F.lit(0)) == 1).alias("wired"))
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most: int = 32) -> DataFrame:
-    """Nodes with their least distance from a root, breadth first: each round
-    joins the newest nodes only, and is written so that plans stay short."""
-    seen = roots.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint() if _shared(roots) else roots.select("node").distinct().withColumn("depth", F.lit(0)).cache()
-    newest = seen
-    for depth in range(1, most + 1):
-        step = newest.join(edges, newest["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        newest = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth))
-        newest = newest.checkpoint() if _shared(roots) else newest.cache()
-        if not newest.limit(1).count():
-            break
-        seen = seen.unionByName(newest)
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes with their least distance from a root, breadth first, until a round
+    finds no new node.  Each round joins the newest nodes only; what it finds is cut
+    from its plan, and so is all found, while it is small or every `MERGE` rounds."""
+    edges = _cut(edges.select("src", "dst").repartition("src"))
+    newest = _cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen, total, depth = newest, 0, 0
+    while n := newest.count():
+        if depth:
+            seen = seen.unionByName(newest)
+        depth, total = depth + 1, total + n
+        if total <= FEW:
+            seen = _cut(seen.coalesce(FILES))
+        elif depth % MERGE == 0:
+            seen = _cut(seen.repartition("node"))
+        new = F.broadcast(newest) if n <= FEW else newest
+        known = F.broadcast(seen) if total <= FEW else seen
+        step = edges.join(new, edges["src"] == new["node"]).select(F.col("dst").alias("node")).distinct()
+        newest = _cut(step.join(known, "node", "left_anti").withColumn("depth", F.lit(depth)))
     return seen
 
 
-def _shared(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext.getCheckpointDir() is not None
+def _cut(df: DataFrame) -> DataFrame:
+    """Checkpointed in the folder all executors see; where none is set, one beside
+    the warehouse."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="stages-") if local else df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages")
+    return df.checkpoint()
 
 
 def sensitivity(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

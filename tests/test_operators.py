@@ -234,3 +234,20 @@ def test_records_take_nulls_and_empty_tables(spark):
     assert records.same_order(parts, parts).first()["equal"]
     edges = records.mentions(spark.createDataFrame([("a/x.md", "see y.md and z.md and a/x.md"), ("a/y.md", ""), ("b/z.md", None)], "path string, text string"))
     assert {(r["mention"], r["target"], r["how"]) for r in edges.collect()} == {("y.md", "a/y.md", "sibling"), ("z.md", "b/z.md", "name")}
+
+
+def test_reachability_has_no_depth_limit(spark, monkeypatch):
+    chain = [(k, k + 1) for k in range(40)] + [(40, 3), (5, 100), (100, 39), (200, 201)]
+    edges = spark.createDataFrame(chain, "src long, dst long")
+    want, queue = {0: 0}, [0]
+    for a in queue:
+        for src, dst in chain:
+            if src == a and dst not in want:
+                want[dst] = want[a] + 1
+                queue.append(dst)
+    long = [(a, b) for a, b in chain if a != 100]
+    got = {r["node"]: r["depth"] for r in corpus.reachable(edges, spark.createDataFrame([(0,)], "node long")).collect()}
+    assert got == want
+    monkeypatch.setattr(corpus, "FEW", 3)
+    got = corpus.reachable(spark.createDataFrame(long, "src long, dst long"), spark.createDataFrame([(0,)], "node long"))
+    assert sorted(map(tuple, got.where("node <= 40").collect())) == [(k, k) for k in range(41)]
