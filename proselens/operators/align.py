@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -34,19 +35,83 @@ def greedy(scores: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]
 
 
 def scope_pairs(old: list[list[str]], new: list[list[str]]) -> list[tuple[int, int, float]]:
-    """Aligned scopes; a scope whose two best partners are too close to call has none."""
-    scores = [(ratio(a, b), i, j) for i, a in enumerate(old) for j, b in enumerate(new) if possible(a, b, SCOPE)]
-    scores = [x for x in scores if x[0] >= SCOPE]
+    """Aligned scopes; a scope whose two best partners are too close to call has none.
+
+    Equal scopes score 1, need no margin and so come first, the nearest places before
+    others.  What equals a scope of the other side then has a rival of 1 against any
+    other partner, so only scopes without an equal are compared, each with all of the
+    other side, as their rivals count too."""
+    old, new = [tuple(x) for x in old], [tuple(x) for x in new]
+    at_old, at_new = _places(old), _places(new)
+    out = [(1.0, i, j) for x in at_old.keys() & at_new.keys() if x for i, j in nearest(at_old[x], at_new[x])]
+    rows, columns = at_old.keys() - at_new.keys(), at_new.keys() - at_old.keys()
+    with_old, with_new = _holders(at_old), _holders(at_new)
+    scores = {}
+    for x in rows:
+        scores |= {(x, y): s for y in _sharing(x, with_new) if (s := _score(x, y)) >= SCOPE}
+    for y in columns:
+        scores |= {(x, y): s for x in _sharing(y, with_old) if (x, y) not in scores and (s := _score(x, y)) >= SCOPE}
+    # by place of either side: the two best of a line, one for a pair's own place
+    best_old: dict = defaultdict(list)
+    best_new: dict = defaultdict(list)
+    for (x, y), s in scores.items():
+        best_old[x] = sorted([*best_old[x], *[s] * min(2, len(at_new[y]))])[-2:]
+        best_new[y] = sorted([*best_new[y], *[s] * min(2, len(at_old[x]))])[-2:]
     kept = []
-    for s, i, j in scores:
-        rival = max([t for t, k, m in scores if (k == i) != (m == j)], default=0.0)
-        if a_exact(old[i], new[j]) or s - rival >= MARGIN:
-            kept.append((s, i, j))
-    return [(i, j, s) for s, i, j in sorted(greedy(kept), key=lambda x: x[1])]
+    for (x, y), s in scores.items():
+        if x in rows and y in columns:
+            rival = max(_without(best_old[x], s), _without(best_new[y], s))
+            if s - rival >= MARGIN:
+                kept += [(s, i, j) for i in at_old[x] for j in at_new[y]]
+    return [(i, j, s) for s, i, j in sorted(out + greedy(kept), key=lambda x: x[1])]
+
+
+def _places(scopes_: list[tuple[str, ...]]) -> dict[tuple[str, ...], list[int]]:
+    out: dict[tuple[str, ...], list[int]] = defaultdict(list)
+    for k, x in enumerate(scopes_):
+        out[x].append(k)
+    return out
+
+
+def _holders(places: dict[tuple[str, ...], list[int]]) -> dict[str, list[tuple[tuple[str, ...], int]]]:
+    """The scopes that hold each word, and how often."""
+    out: dict[str, list[tuple[tuple[str, ...], int]]] = defaultdict(list)
+    for x in places:
+        for w, n in Counter(x).items():
+            out[w].append((x, n))
+    return out
+
+
+def _sharing(x: tuple[str, ...], holders: dict[str, list[tuple[tuple[str, ...], int]]]) -> list[tuple[str, ...]]:
+    """Scopes that share enough words for the similarity; both ratios count at most
+    the words in common."""
+    common: Counter = Counter()
+    for w, n in Counter(x).items():
+        for y, m in holders.get(w, ()):
+            common[y] += min(n, m)
+    return [y for y, n in common.items() if 2.0 * n / (len(x) + len(y)) >= SCOPE]
 
 
-def a_exact(a: list[str], b: list[str]) -> bool:
-    return a == b
+def _score(x: tuple[str, ...], y: tuple[str, ...]) -> float:
+    return ratio(list(x), list(y)) if possible(x, y, SCOPE) else 0.0
+
+
+def _without(best: list[float], own: float) -> float:
+    """The best of a line beside one that has the score `own`."""
+    return best[-1] if best[-1] != own else best[0] if len(best) > 1 else 0.0
+
+
+def nearest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Greedy one-to-one places of equal scopes: nearest first, then the earliest."""
+    left, right, out, gap = dict.fromkeys(a), dict.fromkeys(b), [], 0
+    while left and right:
+        for i in list(left):
+            for j in (i - gap, i + gap):
+                if i in left and j in right:
+                    del left[i], right[j]
+                    out.append((i, j))
+        gap += 1
+    return out
 
 
 def paragraph_pairs(old: list[str], new: list[str]) -> list[tuple[str, int, int, float]]:

@@ -37,10 +37,15 @@ HEDGED = ["possibility", "probability", "improbability", "appearance", "tentativ
 CONTRACTIONS = [(r"\bcannot\b|\bcan't\b", "can not"), (r"\bwon't\b", "will not"), (r"\bshan't\b", "shall not")] + [(rf"\b{x}n't\b", f"{x} not") for x in ("is", "are", "was", "were", "does", "do", "did", "has", "have", "had", "would", "should", "could", "might", "must", "need")]
 
 
+#: up to the next dollar without a backslash; a group for each character would
+#: overflow Java's stack on long texts
+INLINE = r"(?<!\\)\$[^$]*+(?:(?<=\\)\$[^$]*+)*+(?<!\\)\$"
+
+
 def prose(text: Column | str) -> Column:
     """Prose for claim markers: no LaTeX regions, lower case, contractions apart,
     and `not only` as one word."""
-    drop = [r"(?<!\\)%[^\n]*", MATH_ENV, FIGURE_ENV, r"(?s)\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)", r"(?s)(?<!\\)\$(?:\\.|[^$])*?(?<!\\)\$", REFERENCE, r"\\[A-Za-z@]+\*?"]
+    drop = [r"(?<!\\)%[^\n]*", MATH_ENV, FIGURE_ENV, r"(?s)\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)", INLINE, REFERENCE, r"\\[A-Za-z@]+\*?"]
     t = reduce(lambda t, p: F.regexp_replace(t, p, " "), drop, tx.c(text))
     t = F.lower(F.replace(t, F.lit("’"), F.lit("'")))
     t = reduce(lambda t, x: F.regexp_replace(t, x[0], x[1]), CONTRACTIONS, t)

@@ -83,12 +83,5 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("pair_id"), F.concat(own, _pick(PASSAGES)).alias("before"), F.concat(own, _pick(REVISED)).alias("after"))
 
 
-def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pair_id, before, after: the passages alone, for operators whose cost is in alignment."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.col("doc_id").alias("pair_id"), _pick(PASSAGES).alias("before"), _pick(REVISED).alias("after"))
-
-
 DOCS_SQL = f"docs AS (SELECT doc_id, lang, source, coalesce(text, '') || chr(10) || chr(10) || {_pick_sql(PASSAGES)} AS text FROM documents)"
 PAIRS_SQL = f"pairs AS (SELECT doc_id AS pair_id, coalesce(text, '') || chr(10) || chr(10) || {_pick_sql(PASSAGES)} AS before, coalesce(text, '') || chr(10) || chr(10) || {_pick_sql(REVISED)} AS after FROM documents)"
-PASSAGES_SQL = f"pairs AS (SELECT doc_id AS pair_id, {_pick_sql(PASSAGES)} AS before, {_pick_sql(REVISED)} AS after FROM documents)"

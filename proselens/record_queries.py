@@ -89,13 +89,13 @@ QUERIES = {
     "g1_mentions": lambda s, d: records.mentions(_files(s, d)),
     "g6_digest_set": lambda s, d: records.digest_set(_docs(s, d), "lang"),
     "g8_limits": lambda s, d: records.limits(_docs(s, d)),
-    "j15_scoped_markers": lambda s, d: relocation.scoped_differences(seed.passages(s, d)),
-    "j16_relocations": lambda s, d: relocation.relocations(seed.passages(s, d)),
+    "j15_scoped_markers": lambda s, d: relocation.scoped_differences(seed.pairs(s, d)),
+    "j16_relocations": lambda s, d: relocation.relocations(seed.pairs(s, d)),
     "j18_numbers_in_spans": lambda s, d: records.by_span(_docs(s, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "[0-9]+"),
     "j24_canonical_titles": _titles,
     "j31_admission": _admission,
     "j32_same_order": _order,
-    "p14_claim_prose": lambda s, d: seed.passages(s, d).select("pair_id", tx.squeeze(markers.prose("after")).alias("prose")),
+    "p14_claim_prose": lambda s, d: seed.pairs(s, d).select("pair_id", tx.squeeze(markers.prose("after")).alias("prose")),
     "p36_entry_types": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", corpus.entry_type("url").alias("kind")),
     "p40_ranges": lambda s, d: _docs(s, d).select("doc_id", targets.valid_range(F.when(F.col("doc_id") % 4 != 1, (F.col("doc_id") % 7 - 1).cast("double")), (F.col("doc_id") % 5).cast("double")).alias("valid")),
     "r18_rule_contract": _contract,

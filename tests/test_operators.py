@@ -251,3 +251,58 @@ def test_reachability_has_no_depth_limit(spark, monkeypatch):
     monkeypatch.setattr(corpus, "FEW", 3)
     got = corpus.reachable(spark.createDataFrame(long, "src long, dst long"), spark.createDataFrame([(0,)], "node long"))
     assert sorted(map(tuple, got.where("node <= 40").collect())) == [(k, k) for k in range(41)]
+
+
+def all_scope_pairs(old, new):
+    """Each scope against each, as J14 states it."""
+    scores = [(align.ratio(a, b), i, j) for i, a in enumerate(old) for j, b in enumerate(new) if align.possible(a, b, align.SCOPE)]
+    scores = [x for x in scores if x[0] >= align.SCOPE]
+    kept = [(s, i, j) for s, i, j in scores if old[i] == new[j] or s - max([t for t, k, m in scores if (k == i) != (m == j)], default=0.0) >= align.MARGIN]
+    return [(i, j, s) for s, i, j in sorted(align.greedy(kept), key=lambda x: x[1])]
+
+
+near_words = st.lists(st.sampled_from("a b c".split()), max_size=6)
+
+
+@settings(max_examples=400, deadline=None, suppress_health_check=[HealthCheck.too_slow])
+@given(st.lists(words | near_words, max_size=9), st.lists(words | near_words, max_size=9))
+def test_scope_alignment_agrees_with_each_against_each(old, new):
+    assert align.scope_pairs(old, new) == all_scope_pairs(old, new)
+    assert align.scope_pairs(old, old[1:] + new) == all_scope_pairs(old, old[1:] + new)
+
+
+def test_scope_queries_read_whole_texts(spark, tmp_path):
+    from proselens.operators import relocation
+    from proselens.plans import seed
+    from proselens.queries import QUERIES
+
+    own = "No bridge may hold. It is not larger than ten; the mill stands. Some maps must fail.\nThe river cannot rise."
+    rows = [(14, own), (0, None), (15, own)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    pairs = {r["pair_id"]: r for r in seed.pairs(spark, str(tmp_path)).collect()}
+    prose = {r["pair_id"]: r["prose"] for r in QUERIES["p14_claim_prose"](spark, str(tmp_path)).collect()}
+    assert prose[15] == "no bridge may hold. it is not larger than ten; the mill stands. some maps must fail. the river can not rise."
+    cut = lambda t: spark.range(1).select(tx.scopes(markers.prose(F.lit(t)))).first()[0]
+    bare = lambda x: [w for w in x.split() if w not in align.STOP]
+    want = {(k, i, j, s) for k, r in pairs.items() for i, j, s in all_scope_pairs([bare(x) for x in cut(r["before"])], [bare(x) for x in cut(r["after"])])}
+    got = {tuple(r) for r in QUERIES["j14_scope_alignment"](spark, str(tmp_path)).collect()}
+    assert got == want
+    assert {i for k, i, _, _ in got if k == 15} == set(range(5))
+    scoped = QUERIES["j15_scoped_markers"](spark, str(tmp_path)).collect()
+    assert {r["pair_id"] for r in scoped} == {14} and {r["scope"] for r in scoped} <= {5, -6}
+    moved = spark.createDataFrame([(1, "It may hold. " + own, own + " It may hold."), (2, own, own)], "pair_id long, before string, after string")
+    assert relocation.scoped_differences(moved).count() == 0
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="a\\$\n", max_size=14))
+def test_inline_math_is_what_the_plain_pattern_finds(text):
+    import re
+
+    plain = re.compile(r"(?s)(?<!\\)\$(?:\\.|[^$])*?(?<!\\)\$")
+    assert [m.span() for m in re.finditer(markers.INLINE, text)] == [m.span() for m in plain.finditer(text)]
+
+
+def test_prose_takes_long_texts_between_dollars(spark):
+    rows = one(spark, "It costs $5. " + "The map holds. " * 20000 + "It costs $6.")
+    assert rows.select(F.trim(markers.prose("text"))).first()[0] == "it costs  6."
