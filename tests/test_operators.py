@@ -306,3 +306,30 @@ def test_inline_math_is_what_the_plain_pattern_finds(text):
 def test_prose_takes_long_texts_between_dollars(spark):
     rows = one(spark, "It costs $5. " + "The map holds. " * 20000 + "It costs $6.")
     assert rows.select(F.trim(markers.prose("text"))).first()[0] == "it costs  6."
+
+
+def test_located_findings_hold_trailing_participles(spark, tmp_path):
+    import re
+
+    from proselens.queries import QUERIES
+
+    plain = lambda p: re.compile(p, re.ASCII)
+    pattern = plain(dict((n, p) for n, _, p in rules.PATTERNS)[10])
+    unless = [plain(rules.EVIDENCE), plain(rules.MECHANISM)]
+    rows = [
+        (0, "First line.\nThe map is old, making it rare. It is kept, thereby saving\nspace! It fell, causing 12 ms of delay."),
+        (1, "It ran, using a cache. It ran, opening the gate? It ran, ending"),
+        (15, None),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "'en' AS lang", "'x' AS source", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    from proselens.plans import seed
+
+    want = set()
+    for r in seed.documents(spark, str(tmp_path)).collect():
+        for m in pattern.finditer(r["text"]):
+            if not any(u.search(m[0]) for u in unless):
+                line = r["text"][: m.start()].split("\n")
+                want.add((r["doc_id"], 10, "info", m[0], m.start(), len(line), len(line[-1]) + 1))
+    got = QUERIES["r17_located_findings"](spark, str(tmp_path)).where("rule = 10").select("doc_id", "rule", "severity", "match", "start", "line", "column")
+    assert {tuple(r) for r in got.collect()} == want
+    assert {(k, m) for k, _, _, m, *_ in want} >= {(0, ", making it rare"), (0, ", thereby saving\nspace"), (1, ", opening the gate")}
