@@ -165,8 +165,8 @@ class Bits:
         self.seg = log2_bits - parts
         self.data = data
 
-    def _seed(self, keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        g = mix(keys + U64(level * 0xA0761D6478BD642F & (2**64 - 1)))
+    def _seed(self, keys: np.ndarray, level: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        g = mix(keys + np.asarray(level).astype(U64) * U64(0xA0761D6478BD642F))
         return g, (g * U64(0xE7037ED1A0B428DB) >> U64(9)) | U64(1)
 
     def _spot(self, g: np.ndarray, step: np.ndarray, i: int) -> np.ndarray:
@@ -184,10 +184,10 @@ class Bits:
                 bits[self._spot(g, step, i).astype(np.int64)] = True
         return np.packbits(bits, bitorder="little").tobytes()
 
-    def has(self, keys: np.ndarray, level: int = 1) -> np.ndarray:
+    def has(self, keys: np.ndarray, level: int | np.ndarray = 1) -> np.ndarray:
         yes = np.zeros(len(keys), bool)
         left, (g, step) = np.arange(len(keys)), self._seed(keys, level)
-        base = (keys >> U64(64 - self.parts)) << U64(self.seg)
+        base = (keys >> U64(64 - self.parts)) << U64(self.seg) if self.parts else np.zeros(len(keys), U64)
         for i in range(self.k):
             at = self._spot(g, step, i) + base
             hit = np.flatnonzero((self.data[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1)
@@ -198,12 +198,20 @@ class Bits:
         return yes
 
     def level(self, keys: np.ndarray, most: int) -> np.ndarray:
-        """The highest level that holds each key: probes go on until a miss."""
-        out = np.zeros(len(keys), np.int16)
-        left = np.arange(len(keys))
-        for level in range(1, most + 1):
-            left = left[self.has(keys[left], level)]
-            if not len(left):
-                break
-            out[left] = level
+        """The level that each key is held with: probes at levels 1, 2, 4, ... until
+        a miss, then between the last two."""
+        out = np.zeros(len(keys), np.int64)
+        left, top = np.arange(len(keys)), 1
+        while len(left) and top <= most:
+            left = left[self.has(keys[left], top)]
+            out[left] = top
+            top *= 2
+        step = top // 2
+        while step > 1:
+            step //= 2
+            some = np.flatnonzero((out > step) & (out + step <= most))
+            # a key whose last hit is at 2**n may gain less than 2**n
+            some = some[out[some] + step < 2 * (1 << np.log2(out[some]).astype(np.int64))]
+            some = some[self.has(keys[some], out[some] + step)]
+            out[some] += step
         return out
