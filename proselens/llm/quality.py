@@ -12,7 +12,8 @@ the smallest hash of their statistics.  Everything else covers all rows.
 Defined results: null or empty text has no words and fails the base rules; equal
 rows get equal verdicts; labels that are null, or whose document is missing, are
 not used; without labels of both kinds `THRESHOLD` holds; an empty table gives an
-empty result; other columns pass through (own columns start with `_q_`).
+empty result; a verdict rests on the text alone.  `kept_documents` returns all
+columns of its input, whatever their names; the statistics are narrow rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, table
+from .common import keep, lean, table, trim
 from .kernel import SPACE_WORD, Words, hash_spans, mix, ngrams, spans
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -168,18 +169,17 @@ def fails(s: dict[str, np.ndarray]) -> np.ndarray:
     return (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEAT * s["n_words"])
 
 
-def with_statistics(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The named columns of docs, and _q_ with STATS."""
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id of docs, and _q_ with STATS."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = statistics(batch.column("_q_text"))
-            yield pa.RecordBatch.from_arrays([*[batch.column(f"c{k}") for k in range(len(columns))], *[pa.array(own[x].astype(np.int64)) for x in STATS]], names=names)
+            own = statistics(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(own[x].astype(np.int64)) for x in STATS]], names=["doc_id", *[f"_q_{x}" for x in STATS]])
 
-    names = [f"c{k}" for k in range(len(columns))] + [f"_q_{x}" for x in STATS]
-    narrow = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)], F.col("text").alias("_q_text"))
-    schema = T.StructType([*narrow.schema.fields[:-1], *[T.StructField(f"_q_{x}", T.LongType()) for x in STATS]])
-    return narrow.mapInArrow(count, schema).toDF(*columns, *names[len(columns) :])
+    narrow = docs.select("doc_id", "text")
+    schema = T.StructType([narrow.schema["doc_id"], *[T.StructField(f"_q_{x}", T.LongType()) for x in STATS]])
+    return narrow.mapInArrow(lean(count), schema)
 
 
 def _stats_of(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -210,7 +210,7 @@ def fit(measured: DataFrame, labels: DataFrame | None) -> tuple[Forest, float]:
 
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = measured.select("doc_id", *stats).join(marks, "doc_id")
-    got = rows.mapInArrow(bins, "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n")).collect()
+    got = rows.mapInArrow(lean(bins), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n")).collect()
     seen = np.zeros((2, SCORE_BINS))
     for r in got:
         seen[r["q"], r["bin"]] = r["n"]
@@ -235,7 +235,6 @@ def judged(measured: DataFrame, forest: Forest, cut: float) -> DataFrame:
     """Adds _q_score, _q_base_failed and _q_kept to rows with _q_ statistics."""
     sent = measured.sparkSession.sparkContext.broadcast(forest)
 
-
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series, f: pd.Series) -> pd.Series:
         own = dict(zip(STATS, (x.to_numpy() for x in (a, b, c, d, e, f))))
@@ -247,14 +246,25 @@ def judged(measured: DataFrame, forest: Forest, cut: float) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """docs without the rejected ones, columns as they were."""
-    forest, cut = fit(keep(with_statistics(docs, ["doc_id"]), "stats"), labels)
-    return judged(with_statistics(docs, docs.columns), forest, cut).where("_q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without the rejected ones, columns as they were.  The second look at the
+    texts spares a shuffle of whole rows; Python gets the text and returns a flag."""
+    forest, cut = fit(keep(with_statistics(docs), "stats"), labels)
+    sent = docs.sparkSession.sparkContext.broadcast(forest)
+
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
+        own = statistics(text)
+        ok = ~fails(own)
+        ok[ok] = sent.value.score(features({k: v[ok] for k, v in own.items()})) < cut
+        trim()
+        return pa.array(ok)
+
+    return docs.where(good(F.col("text")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    measured = keep(with_statistics(docs, ["doc_id"]), "stats")
+    measured = keep(with_statistics(docs), "stats")
     forest, cut = fit(measured, table(spark, sf_dir, "labels"))
     out = judged(measured, forest, cut)
     stats = [F.col(f"_q_{x}").alias(x) for x in STATS if x != "n_lines"]

@@ -11,16 +11,19 @@ rows, so the driver sees numbers of fixed size, never rows.
 
 Law: bytes; the sizes of the shards are near equal.
 
+Slots go by a hash of the id (without one, of the text), ties by id and text, so
+reruns agree.
+
 Defined results: null text has no bytes and crc 0; a null source or language is a
 value; repeated rows are units of one group; more shards than units leaves
-shards empty; an empty table gives an empty result; other columns pass through
-(own columns start with `_kd_`).
+shards empty; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, lookup, table
+from .common import keep, lean, lookup, table, trim
 from .numbering import hash32, numbered
 
 SHARDS = 24
@@ -94,7 +97,7 @@ def _sums(units: DataFrame, root: Node, live: set[int], fine: bool) -> dict[int,
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), k, np.int32)), pa.array(b.astype(np.int32)), pa.array(v[b].astype(np.int64))], names=["node", "bin", "w"])
 
     out: dict[int, dict[int, int]] = {}
-    for r in units.select(*DIMS, "_kd_sub", "_kd_bytes").mapInArrow(add, "node int, bin int, w long").groupBy("node", "bin").agg(F.sum("w").alias("w")).collect():
+    for r in units.select(*DIMS, "_kd_sub", "_kd_bytes").mapInArrow(lean(add), "node int, bin int, w long").groupBy("node", "bin").agg(F.sum("w").alias("w")).collect():
         out.setdefault(r["node"], {})[r["bin"]] = r["w"]
     return out
 
@@ -111,7 +114,7 @@ def _ranges(units: DataFrame, root: Node) -> dict[int, dict]:
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("node", pa.int32()), ("w", pa.int64())] + [(f"{x}{k}", pa.float64()) for k in range(len(dims)) for x in ("lo", "hi")]))
 
     kind = "node int, w long" + "".join(f", lo{k} double, hi{k} double" for k in range(len(DIMS)))
-    got = units.select(*DIMS, "_kd_sub", "_kd_bytes").mapInArrow(look, kind).groupBy("node")
+    got = units.select(*DIMS, "_kd_sub", "_kd_bytes").mapInArrow(lean(look), kind).groupBy("node")
     return {r["node"]: r.asDict() for r in got.agg(F.sum("w").alias("w"), *[f(f"{x}{k}").alias(f"{x}{k}") for k in range(len(DIMS)) for x, f in (("lo", F.min), ("hi", F.max))]).collect()}
 
 
@@ -160,15 +163,16 @@ def tree(units: DataFrame, shards: int) -> Node:
 
 
 def sharded(rows: DataFrame, shards: int = SHARDS, target_bytes: int | None = None) -> DataFrame:
-    """Rows with doc_id, source, lang, _kd_bytes and _kd_text (a hash that tells
-    texts apart), and whatever else; each gets _kd_shard and _kd_slot."""
+    """Rows of `measured`; each gets _kd_shard and _kd_slot.  Texts are told apart by
+    a hash, their length and their crc."""
+    same = ["_kd_text", "_kd_bytes", "_kd_crc"]
     total = rows.agg(F.sum("_kd_bytes")).first()[0] or 0
     if target_bytes:
         shards = max(1, -(-int(total) // target_bytes))
     unit = lambda c: F.xxhash64(F.coalesce(c.cast("string"), F.lit("\0"))) / F.lit(float(2**63))
-    groups = rows.groupBy("_kd_text").agg(F.count("*").alias("n"), F.sum("_kd_bytes").alias("w"), F.min(F.struct("doc_id", "source", "lang")).alias("rep")).where("n > 1")
+    groups = rows.groupBy(*same).agg(F.count("*").alias("n"), F.sum("_kd_bytes").alias("w"), F.min(F.struct("doc_id", "source", "lang")).alias("rep")).where("n > 1")
     groups = keep(groups, "groups")
-    rows = lookup(rows.alias("d"), groups.alias("g"), F.col("d._kd_text") == F.col("g._kd_text")).select("d.*", "g.w", "g.rep")
+    rows = lookup(rows.alias("d"), groups.alias("g"), reduce(lambda a, b: a & b, [F.col(f"d.{x}") == F.col(f"g.{x}") for x in same])).select("d.*", "g.w", "g.rep")
     alone = F.col("rep").isNull() | (F.col("w") > F.lit(HEAVY * total / shards))
     pick = lambda name: F.when(alone, F.col(name)).otherwise(F.col(f"rep.{name}"))
     own = F.when(F.col("rep").isNotNull() & alone, F.xxhash64("doc_id", "_kd_text")).otherwise(F.col("_kd_text"))
@@ -187,8 +191,9 @@ def sharded(rows: DataFrame, shards: int = SHARDS, target_bytes: int | None = No
         return pd.Series(out)
 
     out = keep(units.withColumn("_kd_shard", leaf(*DIMS, "_kd_sub")).drop(*DIMS, "_kd_sub"), "leaves")
-    out = out.withColumn("_kd_hash", hash32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    out = numbered(out, ["_kd_shard"], "_kd_hash", ["_kd_bytes"], "_kd_slot")
+    # rows without an id go by their text; what still ties is equal in all that is returned
+    out = out.withColumn("_kd_hash", hash32(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(" "), F.col("_kd_text").cast("string")))))
+    out = numbered(out, ["_kd_shard"], "_kd_hash", ["doc_id", *same], "_kd_slot")
     return out.withColumn("_kd_slot", F.col("_kd_slot") - 1).drop("_kd_hash")
 
 
