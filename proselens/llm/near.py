@@ -21,12 +21,16 @@ is 0.75 or more.  The join is exact:
    in length; they are verified on their whole sets.  As reached documents drop
    out, a block of near copies costs about one pass and not all pairs.
 
-6. A block of more than `BLOCK` documents is not given to one task.  Its star edges
-   are verified as rows; that ties most of a group of near copies together.  The
-   documents outside of the block's largest tied part are then held against it in
-   tasks of about `BLOCK` documents each, and the parts that link are joined.
+6. A block of more than `BLOCK` documents is not given to one task.  One star edge
+   of each document is verified as a row, then all star edges of the documents
+   outside of the block's largest tied part; that ties groups of near copies
+   together.  The documents still outside are cut into tiles of about `BLOCK`, by size
+   and hash, and the largest part too; a task holds one tile of those outside
+   against one other tile of fitting size, and the parts that link are joined.
 
-Chunks of documents travel as packed arrays, one row for each range of hashes.
+Chunks of documents travel as packed arrays, one row for each range of hashes.  A
+token that several documents of a chunk share travels once, so what everybody
+has costs a number for each chunk and not for each document.
 
 Defined results: null or empty texts, and texts without words, have no shingles
 and link with nothing; a text of one to four words has one shingle, the whole
@@ -46,7 +50,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import filter_of
-from .common import is_small, keep, parts_for, table
+from .common import chunk_bytes, is_small, keep, lean, lean_group, lookup, merged, parts_for, table
 from .kernel import SPACE_WORD, Words, blob, mix, ngrams, sequence_hash, unblob
 
 WORDS = 5
@@ -89,14 +93,16 @@ def prefix(n: int) -> int:
 
 PACKED = "part int, chunk long, a binary, b binary, c binary, ids array<long>"
 _PACKED = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("ids", pa.list_(pa.int64()))])
+#: in place of a document: a token that several documents of the chunk have
+SEVERAL = np.uint32(0xFFFFFFFF)
 
 
-def _packed(chunk: int, parts: int, tokens: np.ndarray, local: np.ndarray, facts: np.ndarray, ids: list, sets: bytes = b"") -> pa.RecordBatch:
-    """Rows of tokens by range of hashes (low bits, as prefixes hold the small
-    ones), and one of facts about the documents, with a negative part."""
+def _packed(chunk: int, parts: int, tokens: np.ndarray, marks: np.ndarray, facts: np.ndarray, ids: list, sets: bytes = b"") -> pa.RecordBatch:
+    """Rows of tokens, each with its mark, by range of hashes (low bits, as prefixes
+    hold the small ones), and one of facts about the documents, with a negative part."""
     part = (tokens & np.uint64((1 << parts) - 1)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    tokens, local, part = tokens[order], local[order].astype(np.uint32), part[order]
+    tokens, marks, part = tokens[order], marks[order].astype(np.uint32), part[order]
     cut = np.searchsorted(part, np.arange((1 << parts) + 1))
     full = np.flatnonzero(np.diff(cut)).tolist()
     n = len(full)
@@ -105,7 +111,7 @@ def _packed(chunk: int, parts: int, tokens: np.ndarray, local: np.ndarray, facts
             pa.array([*full, -1 - int(mix(np.array([chunk], np.uint64))[0] % np.uint64(1 << parts))], pa.int32()),
             pa.array([chunk] * (n + 1), pa.int64()),
             pa.array([*[blob(tokens[cut[p] : cut[p + 1]]) for p in full], blob(facts)], pa.binary()),
-            pa.array([*[blob(local[cut[p] : cut[p + 1]]) for p in full], sets], pa.binary()),
+            pa.array([*[blob(marks[cut[p] : cut[p + 1]]) for p in full], sets], pa.binary()),
             pa.array([None] * (n + 1), pa.binary()),
             pa.array([*[None] * n, ids], pa.list_(pa.int64())),
         ],
@@ -113,28 +119,30 @@ def _packed(chunk: int, parts: int, tokens: np.ndarray, local: np.ndarray, facts
     )
 
 
-def _counted(t: pa.Table, with_tokens: bool) -> pa.Table:
-    """Which tokens of a range occur in more than one document: for each chunk
-    the documents, and how many such tokens (or which, and in how many)."""
+def _replied(t: pa.Table, counts: bool) -> pa.Table:
+    """Which tokens of a range more than one document has.  Marks are documents (or
+    SEVERAL): for each chunk the documents and how many such tokens each has, beside
+    those of SEVERAL.  Marks are counts: for each chunk the tokens and their counts."""
     rows = t.to_pylist()
     if not rows or rows[0]["part"] < 0:
         return t
     tokens = [np.frombuffer(r["a"], np.uint64) for r in rows]
-    distinct, place, n = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    marks = np.concatenate([np.frombuffer(r["b"], np.uint32) for r in rows])
+    distinct, place = np.unique(np.concatenate(tokens), return_inverse=True)
+    n = np.bincount(place, marks if counts else None, len(distinct)).astype(np.int64)
     out, at = [], 0
     for r, own in zip(rows, tokens):
-        df = n[place[at : at + len(own)]]
+        df, mark = n[place[at : at + len(own)]], marks[at : at + len(own)]
         at += len(own)
-        some = np.flatnonzero(df > 1)
+        some = np.flatnonzero(df > 1 if counts else (df > 1) & (mark != SEVERAL))
         if not len(some):
             continue
-        doc = np.frombuffer(r["b"], np.uint32)[some]
-        if with_tokens:
-            a, b, c = blob(doc), blob(own[some]), blob(df[some].astype(np.int64))
+        if counts:
+            a, b = blob(own[some]), blob(df[some])
         else:
-            who, many = np.unique(doc, return_counts=True)
-            a, b, c = blob(who), blob(many.astype(np.uint32)), None
-        out.append({"part": r["part"], "chunk": r["chunk"], "a": a, "b": b, "c": c, "ids": None})
+            who, many = np.unique(mark[some], return_counts=True)
+            a, b = blob(who), blob(many.astype(np.uint32))
+        out.append({"part": r["part"], "chunk": r["chunk"], "a": a, "b": b, "c": None, "ids": None})
     return pa.Table.from_pylist(out, _PACKED)
 
 
@@ -144,39 +152,41 @@ def states(docs: DataFrame, parts: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
-        for k, batch in enumerate(batches):
-            facts = np.zeros((batch.num_rows, 4), np.int64)
+        for k, batch in enumerate(merged(batches, chunk_bytes(parts))):
+            facts = np.zeros((batch.num_rows, 5), np.int64)
             seen: dict[tuple[int, int], int] = {}
-            tokens, local = [], []
+            tokens, local = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for d, own in enumerate(sets_of(batch.column("text"))):
                 n = len(own)
                 if not n:
                     continue
                 sig = signature(own)
                 first = seen.setdefault(sig, d)
-                facts[d] = n, *sig, first != d
+                facts[d, :4] = n, *sig, first != d
                 if first != d:
                     facts[first, 3] = 1  # equal sets in one chunk: sent once, and alive
                     continue
                 p = min(n, n - least(n) + n // SPARE + 1)
                 tokens.append(own[:p])
                 local.append(np.full(p, d))
-            empty = np.zeros(0, np.uint64)
-            yield _packed(task + k, parts, np.concatenate([empty, *tokens]), np.concatenate([empty, *local]), facts, batch.column("doc_id").to_pylist())
+            every, doc = np.concatenate(tokens), np.concatenate(local)
+            distinct, first, place, n = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
+            facts[:, 4] = np.bincount(doc, n[place] > 1, len(facts))
+            yield _packed(task + k, parts, distinct, np.where(n > 1, SEVERAL, doc[first]), facts, batch.column("doc_id").to_pylist())
 
     def finish(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
         top = next(r for r in rows if r["part"] < 0)
-        facts = np.frombuffer(top["a"], np.int64).reshape(-1, 4)
-        shared = np.zeros(len(facts), np.int64)
+        facts = np.frombuffer(top["a"], np.int64).reshape(-1, 5)
+        shared = facts[:, 4].copy()
         for r in rows:
             if r["part"] >= 0:
                 np.add.at(shared, np.frombuffer(r["a"], np.uint32), np.frombuffer(r["b"], np.uint32))
         alive = (facts[:, 3] > 0) | (facts[:, 0] > 0) & (shared >= least(facts[:, 0]) // SPARE + 1)
         return pa.table({"doc_id": pa.array(top["ids"], pa.int64()), "n": facts[:, 0], "s1": facts[:, 1], "s2": facts[:, 2], "alive": alive})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, PACKED)
-    rows = rows.groupBy("part").applyInArrow(lambda t: _counted(t, False), PACKED)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(scan), PACKED)
+    rows = rows.groupBy("part").applyInArrow(lean_group(lambda t: _replied(t, False)), PACKED)
     return keep(rows.groupBy("chunk").applyInArrow(finish, "doc_id long, n long, s1 long, s2 long, alive boolean"), "states")
 
 
@@ -198,8 +208,8 @@ def candidates(docs: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             facts = np.array([[len(own), *signature(own)] for _, own in held], np.int64).reshape(-1, 3)
             tokens = np.concatenate([own for _, own in held])
-            local = np.repeat(np.arange(len(held)), [len(own) for _, own in held])
-            return _packed(task + k, parts, tokens, local, facts, [i for i, _ in held], blob(tokens))
+            distinct, n = np.unique(tokens, return_counts=True)
+            return _packed(task + k, parts, distinct, n, facts, [i for i, _ in held], blob(tokens))
 
         for batch in batches:
             some = np.flatnonzero(sent.value.has(batch.column("key").to_numpy().view(np.uint64)))
@@ -221,26 +231,27 @@ def candidates(docs: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
         top = next(r for r in rows if r["part"] < 0)
         facts = np.frombuffer(top["a"], np.int64).reshape(-1, 3)
         tokens = np.frombuffer(top["b"], np.uint64)
-        doc, hash_, df = (np.concatenate([np.zeros(0, kind), *[np.frombuffer(r[x], kind) for r in rows if r["part"] >= 0]]) for x, kind in (("a", np.uint32), ("b", np.uint64), ("c", np.int64)))
-        order = np.argsort(doc, kind="stable")
-        doc, hash_, df = doc[order], hash_[order], df[order]
-        cut = np.searchsorted(doc, np.arange(len(facts) + 1))
+        token, count = (np.concatenate([np.zeros(0, kind), *[np.frombuffer(r[x], kind) for r in rows if r["part"] >= 0]]) for x, kind in (("a", np.uint64), ("b", np.int64)))
+        order = np.argsort(token)
+        token, count = token[order], count[order]
         start = np.concatenate([[0], np.cumsum(facts[:, 0])])
         out = []
         for d, (n, s1, s2) in enumerate(facts.tolist()):
-            h, f = hash_[cut[d] : cut[d + 1]], df[cut[d] : cut[d + 1]]
+            own = tokens[start[d] : start[d + 1]]
+            at = np.minimum(np.searchsorted(token, own), max(0, len(token) - 1))
+            hit = token[at] == own if len(token) else np.zeros(n, bool)
+            h, f = own[hit], count[at[hit]] if len(token) else count
             room = prefix(n) - (n - len(h))  # unique tokens come first
             if room <= 0:
                 continue
-            own = tokens[start[d] : start[d + 1]]
             first, second = h[np.lexsort((h, f))[:room]], h[np.lexsort((mix(h), f))[:room]]
             third = own[np.argsort(mix(own ^ _SALT[0]))[: prefix(n)]]
             out.append({"node": (top["chunk"] >> 32 << 43) + ((top["chunk"] & 0xFFFFFFFF) << 20) + d, "s1": s1, "s2": s2, "n": n, "tokens": blob(own), "first": blob(first), "second": blob(second), "third": blob(third)})
         return pa.Table.from_pylist(out, pa.schema([(x, pa.int64()) for x in ("node", "s1", "s2", "n")] + [(x, pa.binary()) for x in ("tokens", "first", "second", "third")]))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _mixed("doc_id").alias("key")).mapInArrow(scan, PACKED)
-    rows = rows.groupBy("part").applyInArrow(lambda t: _counted(t, True), PACKED)
-    rows = rows.groupBy("chunk").applyInArrow(finish, CANDIDATE)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _mixed("doc_id").alias("key")).mapInArrow(lean(scan), PACKED)
+    rows = rows.groupBy("part").applyInArrow(lean_group(lambda t: _replied(t, True)), PACKED)
+    rows = rows.groupBy("chunk").applyInArrow(lean_group(finish), CANDIDATE)
     exact = classes.select("s1", "s2")
     return keep(rows.join(F.broadcast(exact) if is_small(exact) else exact, ["s1", "s2"], "left_semi"), "candidates")
 
@@ -258,9 +269,10 @@ def stars(found: DataFrame) -> DataFrame:
             node = np.repeat(batch.column("node").to_numpy(), [len(x) for x in first])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *first])), pa.array(node)], names=["token", "node"])
 
-    posts = found.select("node", "first").mapInArrow(unpack, "token long, node long")
-    low = posts.groupBy("token").agg(F.min("node").alias("low"))
-    return keep(posts.join(low, "token").where("node > low").select("low", "node").distinct(), "stars")
+    posts = keep(found.select("node", "first").mapInArrow(lean(unpack), "token long, node long"), "posts")
+    low = keep(posts.groupBy("token").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n"), "low")
+    rows = lookup(posts.alias("p"), low.alias("l"), F.col("p.token") == F.col("l.token"), "inner")
+    return keep(rows.where("p.node > l.low").select("l.low", "p.node").distinct(), "stars")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -268,13 +280,13 @@ def components(edges: DataFrame) -> DataFrame:
     edges lead to.  Small-star and large-star steps in turn; each step is written."""
     while True:
         both = edges.unionByName(edges.select(F.col("node").alias("low"), F.col("low").alias("node")))
-        best = both.groupBy("node").agg(F.least(F.min("low"), F.min("node")).alias("best"))
+        best = keep(both.groupBy("node").agg(F.least(F.min("low"), F.min("node")).alias("best")), "best")
         # large star: larger neighbours of a node move to its smallest neighbour
-        large = both.join(best, "node").where("low > node").select(F.col("best").alias("low"), F.col("low").alias("node")).where("low < node").distinct()
-        large = keep(large, "large")
+        large = lookup(both.where("low > node").alias("e"), best.alias("b"), F.col("e.node") == F.col("b.node"), "inner")
+        large = keep(large.select(F.col("b.best").alias("low"), F.col("e.low").alias("node")).where("low < node").distinct(), "large")
         # small star: smaller neighbours of a node, and itself, move to the smallest
-        least_ = large.groupBy("node").agg(F.min("low").alias("best"))
-        moved = large.join(least_, "node").select("best", "low", "node")
+        least_ = keep(large.groupBy("node").agg(F.min("low").alias("best")), "least")
+        moved = lookup(large.alias("e"), least_.alias("b"), F.col("e.node") == F.col("b.node"), "inner").select("b.best", "e.low", "e.node")
         small = moved.select(F.col("best").alias("low"), F.explode(F.array("low", "node")).alias("node")).where("low < node").distinct()
         small = keep(small, "small")
         if small.count() == edges.count() and not small.join(edges, ["low", "node"], "left_anti").limit(1).count():
@@ -364,26 +376,32 @@ def in_blocks(found: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def tied_stars(found: DataFrame, edges: DataFrame) -> DataFrame:
-    """The star edges whose two documents link."""
+    """The star edges whose two documents share a prefix token under every order,
+    and link."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yes = [bool(linked(np.frombuffer(a, np.uint64), [np.frombuffer(b, np.uint64)])[0]) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
+            rows = batch.to_pylist()
+            cells = lambda r, side: {x: np.frombuffer(r[side][x], np.uint64) for x in _SETS}
+            yes = []
+            for r in rows:
+                a, b = cells(r, "a"), cells(r, "b")
+                shared = all(np.isin(a[x], b[x], assume_unique=True).any() for x in _SETS[1:])
+                yes.append(shared and bool(linked(a["tokens"], [b["tokens"]])[0]))
             yield batch.select(["low", "node"]).filter(pa.array(yes, pa.bool_()))
 
-    rows = edges.join(found.select(F.col("node").alias("low"), F.col("tokens").alias("a")), "low").join(found.select("node", F.col("tokens").alias("b")), "node")
-    return keep(rows.select("low", "node", "a", "b").mapInArrow(check, "low long, node long"), "tied")
+    sets = F.struct(*_SETS)
+    rows = edges.join(found.select(F.col("node").alias("low"), sets.alias("a")), "low").join(found.select("node", sets.alias("b")), "node")
+    return keep(rows.select("low", "node", "a", "b").mapInArrow(lean(check), "low long, node long"), "tied")
 
 
-def across(sets: list[np.ndarray], prefixes: list[list[np.ndarray]], part: np.ndarray, rest: np.ndarray, own: bool) -> list[tuple[int, int]]:
-    """Links between parts: of each document of `rest` with the others, and with
-    those of `rest` if `own`; parts that a link has joined are one from then on."""
+def across(sets: list[np.ndarray], prefixes: list[list[np.ndarray]], part: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links of documents of `left` with those of `right`, where their parts differ;
+    parts that a link has joined are one from then on."""
     m, size, label, out = len(sets), np.array([len(s) for s in sets]), part.copy(), []
     lists = [_Lists(p, np.arange(m)) for p in prefixes]
-    for x in np.flatnonzero(rest):
-        fits = (label != label[x]) & (UP * size >= AT * size[x]) & (AT * size <= UP * size[x])
-        if not own:
-            fits &= ~rest
+    for x in np.flatnonzero(left):
+        fits = right & (label != label[x]) & (UP * size >= AT * size[x]) & (AT * size <= UP * size[x])
         for each, p in zip(lists, prefixes):
             if fits.any():
                 fits &= each.share(p[x], m)
@@ -396,31 +414,57 @@ def across(sets: list[np.ndarray], prefixes: list[list[np.ndarray]], part: np.nd
     return out
 
 
+def members_of(blocks: DataFrame, tied: DataFrame) -> DataFrame:
+    """node, n, block, part (component over tied edges), main (the part is its block's
+    largest).  blocks: node, n, block."""
+    parts = components(tied).withColumnRenamed("block", "part")
+    rows = blocks.join(parts, "node", "left").select("node", "n", "block", F.coalesce("part", "node").alias("part"))
+    rows = keep(rows, "members")
+    top = rows.groupBy("block", "part").agg(F.count("*").alias("many")).groupBy("block").agg(F.max_by("part", F.struct("many", "part")).alias("top"))
+    rows = lookup(rows.alias("r"), keep(top, "top").alias("t"), F.col("r.block") == F.col("t.block"), "inner")
+    return keep(rows.select("r.*", (F.col("r.part") == F.col("t.top")).alias("main")), "members")
+
+
 def in_large_blocks(found: DataFrame, edges: DataFrame, blocks: DataFrame) -> DataFrame:
     """(node, component) of blocks too large for one task.  blocks: node, block."""
-    inside = blocks.select("node")
-    found = found.join(F.broadcast(inside) if is_small(inside) else inside, "node", "left_semi")
-    one = edges.groupBy("node").agg(F.min("low").alias("low"))  # a star edge for each document is enough to begin with
-    tied = tied_stars(found, one.join(F.broadcast(inside) if is_small(inside) else inside, "node", "left_semi"))
-    parts = components(tied)
-    members = keep(blocks.join(parts.withColumnRenamed("block", "part"), "node", "left").select("node", "block", F.coalesce("part", "node").alias("part")), "members")
-    main = members.groupBy("block", "part").agg(F.count("*").alias("n")).groupBy("block").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("n"), F.count("*").alias("parts"))
-    main = keep(main.where("parts > 1").select("block", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("salts")), "main")
-    if not main.limit(1).count():
+    found = lookup(found.alias("f"), blocks.alias("b"), F.col("f.node") == F.col("b.node"), "inner").select("f.*", "b.block")
+    found = keep(found, "found")
+    blocks = found.select("node", "n", "block")
+    edges = lookup(edges.alias("e"), blocks.select("node").alias("b"), F.col("e.node") == F.col("b.node"), "left_semi")
+    first = edges.groupBy("node").agg(F.min("low").alias("low")).select("low", "node")
+    tied = tied_stars(found, first)
+    members = members_of(blocks, tied)
+    outside = members.where("not main")
+    if not outside.limit(1).count():
         return members.select("node", F.col("part").alias("component"))
-    rows = members.join(F.broadcast(main) if is_small(main) else main, "block").withColumn("rest", F.col("part") != F.col("main"))
-    salt = F.when(F.col("rest"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")))
-    rows = rows.select("node", "block", "part", "rest", F.explode(salt).alias("salt"))
+    # the other star edges, of documents outside of the largest part
+    more = lookup(edges.alias("e"), outside.select("node", "part").alias("o"), F.col("e.node") == F.col("o.node"), "inner").select("e.low", "e.node")
+    tied = keep(tied.unionByName(tied_stars(found, keep(more.exceptAll(first), "more"))), "tied")
+    members = members_of(blocks, tied)
+    # sizes that fit differ by a third at most, and so by one class at most
+    kind = F.floor(F.ln("n") / F.lit(float(np.log(1.34)))).cast("int")
+    members = members.withColumn("kind", kind)
+    tiles = keep(members.groupBy("block", "kind", "main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("tiles")), "tiles")
+    tiled = lookup(members.alias("m"), tiles.alias("t"), (F.col("m.block") == F.col("t.block")) & (F.col("m.kind") == F.col("t.kind")) & (F.col("m.main") == F.col("t.main")), "inner")
+    tiled = keep(tiled.select("m.*", F.pmod(F.xxhash64("m.node"), F.col("t.tiles")).cast("int").alias("tile")), "tiled")
+    spots = tiles.select("block", "kind", "main", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    own = lambda x: F.struct(F.col(f"{x}.kind"), F.col(f"{x}.main"), F.col(f"{x}.tile"))
+    twice = (F.col("a.block") == F.col("b.block")) & ~F.col("a.main") & (F.abs(F.col("a.kind") - F.col("b.kind")) <= 1)
+    pairs = spots.alias("a").join(spots.alias("b"), twice & (F.col("b.main") | (own("a") <= own("b"))))
+    pairs = keep(pairs.select(F.col("a.block").alias("block"), own("a").alias("a"), own("b").alias("b"), F.xxhash64("a.block", own("a"), own("b")).alias("task")), "pairs")
+    sides = pairs.select("task", "block", F.explode(F.array_distinct(F.array("a", "b"))).alias("spot"), "a", "b")
+    sides = sides.select("task", "block", "spot.kind", "spot.main", "spot.tile", (F.col("spot") == F.col("a")).alias("left"), (F.col("spot") == F.col("b")).alias("right"))
+    dealt = sides.join(tiled, ["block", "kind", "main", "tile"]).select("task", "node", "part", "left", "right")
 
     def cross(t: pa.Table) -> pa.Table:
         t = t.sort_by("node")
-        rest = t.column("rest").to_numpy().astype(bool)
-        got = across(*_cells(t), t.column("part").to_numpy(), rest, t.column("salt")[0].as_py() == 0)
+        sides = [t.column(x).to_numpy().astype(bool) for x in ("left", "right")]
+        got = across(*_cells(t), t.column("part").to_numpy(), *sides)
         return pa.table({"low": pa.array([min(x) for x in got], pa.int64()), "node": pa.array([max(x) for x in got], pa.int64())})
 
-    inside = rows.join(found.select("node", *_SETS), "node")
-    more = keep(inside.groupBy("block", "salt").applyInArrow(cross, "low long, node long").distinct(), "across")
-    whole = components(more).select(F.col("node").alias("part"), F.col("block").alias("whole"))
+    inside = dealt.join(found.select("node", *_SETS), "node")
+    links = keep(inside.groupBy("task").applyInArrow(lean_group(cross), "low long, node long").distinct(), "across")
+    whole = components(links).select(F.col("node").alias("part"), F.col("block").alias("whole"))
     return members.join(whole, "part", "left").select("node", F.coalesce("whole", "part").alias("component"))
 
 
