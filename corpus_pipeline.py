@@ -4,8 +4,12 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
 kept.  All but the last return the columns of documents.
 
 Defined results: rows with a null doc_id cannot be named and pass the near-copy
-and decontamination stages; of rows that are equal in doc_id and text one stays;
-an empty table gives an empty result.
+and decontamination stages; a null text is empty and fails the quality rules; of
+linked documents the smallest doc_id stays, of rows that are equal in doc_id and
+text one (which, if other columns differ, is not defined); of rows that share a
+doc_id but not their text, all go if one is linked to a smaller id or is
+contaminated; an empty table gives an empty result; columns beyond those of
+documents pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,12 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proselens.llm import decontamination, mixing, near, quality, sharding
-from proselens.llm.common import is_small, keep, table
+from proselens.llm.common import is_small, keep, passing, table
 
 
 def _without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = keep(ids.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if is_small(ids) else ids, F.col("doc_id") == F.col("_id"), "left_anti")
+    ids = keep(ids.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "dropped")
+    return docs.alias("d").join((F.broadcast(ids) if is_small(ids) else ids).alias("i"), F.col("d.doc_id") == F.col("i.doc_id"), "left_anti")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,5 +75,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        with passing() as last:  # what a stage wrote for itself goes with it
+            docs = last(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
