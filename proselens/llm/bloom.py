@@ -13,18 +13,21 @@ PARTS = 5
 
 
 def filter_of(keys: DataFrame, n: int, most: int = 26, k: int = 4) -> Bits:
-    """A filter of the long column `key` of about n keys, of at most 2**most
-    bits.  Beyond that size it lets more other keys pass, never fewer of its
-    own, so an exact join must follow."""
+    """A filter of the long column `key` (with its level in a column `level`, if there
+    is one) of about n keys and levels, of at most 2**most bits.  Beyond that size it
+    lets more other keys pass, or gives a higher level, never a lower one, so an
+    exact join must follow."""
     log2_bits = min(most, max(PARTS + 10, int(max(1, n) * 10).bit_length()))
     bits = Bits(PARTS, log2_bits, k)
+    if "level" not in keys.columns:
+        keys = keys.select("key", F.lit(1).alias("level"))
 
     def segment(t: pa.Table) -> pa.Table:
-        own = np.unique(t.column("key").to_numpy()).view(np.uint64)
-        return pa.table({"part": t.column("part")[:1], "bits": pa.array([bits.segment(own, np.ones(len(own), np.int64))], pa.binary())})
+        own = t.column("key").to_numpy().view(np.uint64)
+        return pa.table({"part": t.column("part")[:1], "bits": pa.array([bits.segment(own, t.column("level").to_numpy())], pa.binary())})
 
     part = F.shiftrightunsigned("key", 64 - PARTS).cast("int")
-    rows = keys.select("key", part.alias("part")).groupBy("part").applyInArrow(segment, "part int, bits binary").collect()
+    rows = keys.select("key", "level", part.alias("part")).groupBy("part").applyInArrow(segment, "part int, bits binary").collect()
     return assembled(bits, {r["part"]: bytes(r["bits"]) for r in rows})
 
 

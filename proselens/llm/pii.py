@@ -1,9 +1,9 @@
 """Personal data and terms that reveal it (operator 8).
 
 Entities are e-mail addresses, IP addresses, card numbers and phone numbers, found
-by rules.  Terms are words near an entity (`WINDOW` words on either side).  Over
-the whole corpus, n(t) documents hold the term, n(e) the entity, and n(t, e) hold
-them near each other.  A term discloses the share
+by rules.  Terms are words of the documents that hold an entity, wherever they
+stand.  Over the whole corpus, n(t) documents hold the term, n(e) the entity, and
+n(t, e) both.  A term discloses the share
 
     log2(N n(t, e) / (n(t) n(e))) / log2(N / n(e))
 
@@ -12,8 +12,12 @@ share passes `DISCLOSE` for some entity, seen together in at least `SUPPORT`
 documents, are sanitised wherever they occur; above `REMOVE` they are removed,
 below generalised.
 
-Candidate terms are counted over all documents; a Bloom filter of fixed greatest
-size spares the tokens that are no candidates, and a join makes it exact.
+The share asks for n(t) <= n(e) (N / n(e)) ** (1 - DISCLOSE).  So pairs are not
+formed with words that are known to be in more documents: the sum of a word's
+documents over those batches that have it in `OFTEN` or more is a bound from below.
+Entities in fewer than `SUPPORT` documents have no terms.  Both tests lose nothing;
+what is left is counted exactly.  Bloom filters of fixed greatest size hold the
+entities with the level of their count, and the terms; joins make them exact.
 
 Defined results: null text is empty and has no spans; adjacent matches of a kind
 are apart; a term span that overlaps a base span is left out; repeated rows count
@@ -32,11 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import filter_of
-from .common import is_small, keep, table
+from .common import is_small, keep, lean, lookup, table
 from .kernel import ALNUM_WORD, LOWER, Words, buffer, code_points
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, SUPPORT, DISCLOSE, REMOVE = 5, 3, 0.9, 0.97
+SUPPORT, DISCLOSE, REMOVE = 3, 0.9, 0.97
+#: documents of a batch from which on a word is counted as frequent, and words that
+#: are broadcast as such (more would only spare more work)
+OFTEN, FREQUENT = 4, 1 << 18
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -104,61 +111,114 @@ def entities(text: str) -> list[tuple[str, int, int]]:
 
 
 SPAN = "struct<kind:string,start:int,end:int>"
-FOUND = f"doc_id long, text_hash long, spans array<{SPAN}>, pairs array<struct<e:long,t:long>>"
+FOUND = f"doc_id long, text_hash long, spans array<{SPAN}>, entities array<long>, words array<struct<t:long,n:long>>"
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-_PAIR = pa.struct([("e", pa.int64()), ("t", pa.int64())])
+_WORD = pa.struct([("t", pa.int64()), ("n", pa.int64())])
+
+
+def marked(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, offsets, and which texts have a digit or an @."""
+    data, offs = buffer(col)
+    marks = np.concatenate([[0], np.cumsum((data == 0x40) | ((data >= 0x30) & (data <= 0x39)))])
+    return data, offs, np.flatnonzero(marks[offs[1:]] > marks[offs[:-1]])
+
+
+def names_of(text: str, got: list[tuple[str, int, int]]) -> np.ndarray:
+    """A hash of each entity, whatever its case."""
+    return Words.of(pa.array([text[s:e] for _, s, e in got]), np.ones(256, bool)).hash
+
+
+def in_documents(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of each text of a batch: text and hash, by text."""
+    order = np.lexsort((words.hash, words.doc))
+    doc, own = words.doc[order], words.hash[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (own[1:] != own[:-1])]) if len(own) else np.zeros(0, bool)
+    return doc[new], own[new]
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """A row per document: base spans, and the entity and term hashes that occur
-    near each other (distinct).  docs: (doc_id, text)."""
+    """A row per document: base spans and the hashes of its entities (distinct); the
+    first of each batch has the words that many documents of the batch hold."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = buffer(batch.column("text"))
-            marks = np.concatenate([[0], np.cumsum((data == 0x40) | ((data >= 0x30) & (data <= 0x39)))])
+            data, offs, some = marked(batch.column("text"))
             n = len(offs) - 1
             spans: list = [[] for _ in range(n)]
-            pairs: list = [[] for _ in range(n)]
-            for d in np.flatnonzero(marks[offs[1:]] > marks[offs[:-1]]):
-                own = data[offs[d] : offs[d + 1]]
-                text = own.tobytes().decode("utf-8", "replace")
-                spans[d] = got = entities(text)
+            names: list = [[] for _ in range(n)]
+            for d in some:
+                text = data[offs[d] : offs[d + 1]].tobytes().decode("utf-8", "replace")
+                got = entities(text)
                 if got:
-                    pairs[d] = near_terms(own, text, got)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("text_hash"),
-                    pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans], pa.list_(_SPAN)),
-                    pa.array([[{"e": e, "t": t} for e, t in x] for x in pairs], pa.list_(_PAIR)),
-                ],
-                names=["doc_id", "text_hash", "spans", "pairs"],
-            )
+                    spans[d] = [{"kind": k, "start": s, "end": e} for k, s, e in got]
+                    names[d] = np.unique(names_of(text, got).view(np.int64)).tolist()
+            t, many = np.unique(in_documents(Words.of(batch.column("text"), ALNUM_WORD))[1], return_counts=True)
+            often = np.flatnonzero(many >= OFTEN)
+            words: list = [[] for _ in range(n)]
+            if n:
+                words[0] = [{"t": a, "n": b} for a, b in zip(t[often].view(np.int64).tolist(), many[often].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(spans, pa.list_(_SPAN)), pa.array(names, pa.list_(pa.int64())), pa.array(words, pa.list_(_WORD))], names=["doc_id", "text_hash", "spans", "entities", "words"])
 
-    return keep(hashed(docs).mapInArrow(look, FOUND), "entities")
+    return keep(hashed(docs).mapInArrow(lean(look), FOUND), "entities")
 
 
 def hashed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
 
 
-def near_terms(own: np.ndarray, text: str, got: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Distinct (entity, term) hashes of words within WINDOW of an entity."""
-    words = Words(own, np.array([0, len(own)]), ALNUM_WORD)
-    points = code_points(own)
-    starts, ends = points[words.starts], points[words.ends]
-    free = np.ones(len(starts), bool)
-    for _, s, e in got:
-        free[np.searchsorted(ends, s, "right") : np.searchsorted(starts, e, "left")] = False
-    out = set()
-    names = Words.of(pa.array([text[s:e] for _, s, e in got]), np.ones(256, bool)).hash.view(np.int64)
-    for name, (_, s, e) in zip(names.tolist(), got):
-        a, b = np.searchsorted(ends, s, "right"), np.searchsorted(starts, e, "left")
-        near = np.concatenate([np.arange(max(0, a - WINDOW), a), np.arange(b, min(len(starts), b + WINDOW))])
-        near = near[free[near]]
-        out.update((name, t) for t in words.hash[near].view(np.int64).tolist())
-    return sorted(out)
+def limits(levels: np.ndarray, total: int) -> np.ndarray:
+    """The most documents that a term of an entity may be in, from the level of the
+    entity's count: level k stands for fewer than 2**k documents."""
+    most = np.minimum(2.0 ** np.minimum(levels, 60), total)
+    return most * (total / most) ** (1 - DISCLOSE) * (1 + 1e-9)
+
+
+def together(docs: DataFrame, base: DataFrame, holders: DataFrame, total: int) -> DataFrame:
+    """(e, t, both): documents that hold an entity of `holders` and a term."""
+    spark = docs.sparkSession
+    rows = base.where(F.size("words") > 0).select(F.explode("words").alias("w")).groupBy("w.t").agg(F.sum("w.n").alias("n"))
+    often = rows.where(F.col("n") > float(limits(np.array([2]), total)[0])).orderBy(F.desc("n"), "t").limit(FREQUENT).collect()
+    often.sort(key=lambda r: r["t"] & (2**64 - 1))
+    frequent = np.array([r["t"] for r in often], np.int64).view(np.uint64)
+    at_least = np.array([r["n"] for r in often], np.float64)
+    level = holders.select(F.col("e").alias("key"), F.length(F.bin("n_e")).alias("level"))
+    known = filter_of(level, int(level.agg(F.sum("level")).first()[0]))
+    sent = spark.sparkContext.broadcast((known, frequent, at_least))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, frequent, at_least = sent.value
+        for batch in batches:
+            data, offs, some = marked(batch.column("text"))
+            out = [np.zeros((2, 0), np.uint64)]
+            for d in some:
+                own = data[offs[d] : offs[d + 1]]
+                text = own.tobytes().decode("utf-8", "replace")
+                got = entities(text)
+                if not got:
+                    continue
+                names = np.unique(names_of(text, got))
+                levels = known.level(names, 62)
+                names, most = names[levels > 0], limits(levels[levels > 0], total)
+                if not len(names):
+                    continue
+                words = Words(own, np.array([0, len(own)]), ALNUM_WORD)
+                points = code_points(own)
+                starts, ends = points[words.starts], points[words.ends]
+                free = np.ones(len(starts), bool)
+                for _, s, e in got:
+                    free[np.searchsorted(ends, s, "right") : np.searchsorted(starts, e, "left")] = False
+                terms = np.unique(words.hash[free])
+                at = np.minimum(np.searchsorted(frequent, terms), max(0, len(frequent) - 1))
+                least = np.where(frequent[at] == terms, at_least[at], 0) if len(frequent) else np.zeros(len(terms))
+                e, t = np.nonzero(least[None, :] <= most[:, None])
+                out.append(np.stack([names[e], terms[t]]))
+            both = np.concatenate(out, axis=1)
+            both = both[:, np.lexsort(both[::-1])]
+            new = np.flatnonzero(np.concatenate([[True], (both[:, 1:] != both[:, :-1]).any(axis=0)])) if both.shape[1] else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[new].view(np.int64)) for x in both], pa.array(np.diff(np.append(new, both.shape[1])))], names=["e", "t", "both"])
+
+    rows = docs.select("text").mapInArrow(lean(pairs), "e long, t long, both long")
+    return rows.groupBy("e", "t").agg(F.sum("both").alias("both")).where(F.col("both") >= SUPPORT)
 
 
 def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -173,22 +233,25 @@ def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
             t, n = np.unique(pairs[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n.astype(np.int64))], names=["t", "n"])
 
-    seen = docs.select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    seen = docs.select("text").mapInArrow(lean(count), "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
     return seen.join(terms, "t", "left_semi")
 
 
 def revealing(docs: DataFrame, base: DataFrame) -> DataFrame:
     """(t, share): terms that disclose an entity beyond the threshold."""
-    pairs = base.select(F.explode("pairs").alias("p")).select("p.e", "p.t")
-    both = keep(pairs.groupBy("e", "t").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT), "pairs")
-    holders = base.select(F.explode(F.array_distinct(F.col("pairs.e"))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
     total = base.count()
+    holders = base.where(F.size("entities") > 0).select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
+    holders = keep(holders.where((F.col("n_e") >= SUPPORT) & (F.col("n_e") < total)), "holders")
+    none = docs.sparkSession.createDataFrame([], "t long, share double")
+    if not holders.limit(1).count():
+        return none
+    both = keep(lookup(together(docs, base, holders, total).alias("b"), holders.alias("h"), F.col("b.e") == F.col("h.e"), "inner").select("b.e", "b.t", "b.both", "h.n_e"), "pairs")
     terms = keep(both.select("t").distinct(), "terms")
     if not terms.limit(1).count():
-        return terms.withColumn("share", F.lit(0.0))
+        return none
     counted = frequencies(docs, terms)
     share = F.log2(F.lit(float(total)) * F.col("both") / (F.col("n") * F.col("n_e"))) / F.log2(F.lit(float(total)) / F.col("n_e"))
-    rows = both.join(holders, "e").join(counted, "t").where(F.col("n_e") < total).withColumn("share", share)
+    rows = both.join(counted, "t").withColumn("share", share)
     return keep(rows.where(F.col("share") >= DISCLOSE).groupBy("t").agg(F.max("share").alias("share")), "revealing")
 
 
@@ -208,7 +271,7 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 names=["doc_id", "text_hash", "t", "start", "end"],
             )
 
-    rows = hashed(docs).mapInArrow(look, "doc_id long, text_hash long, t long, start int, end int")
+    rows = hashed(docs).mapInArrow(lean(look), "doc_id long, text_hash long, t long, start int, end int")
     exact = F.broadcast(terms) if is_small(terms) else terms
     kind = F.when(F.col("share") >= REMOVE, F.lit("term")).otherwise(F.lit("hint"))
     rows = rows.join(exact, "t").select("doc_id", "text_hash", F.struct(kind.alias("kind"), "start", "end").alias("span"))
