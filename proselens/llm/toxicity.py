@@ -3,20 +3,24 @@
 A lexicon acceptor reads each word and gives it a class: insult (with a learned
 weight), threat, target, negation or reported speech.  Insults are words or word
 starts that labelled toxic texts have far more often than clean ones (a
-likelihood-ratio test); the other classes are closed lists of function words.
-Five small transducers read the classes of a clause: insult and threat collect
-weight, target, negation and report change how it counts.  Their composition is
-one deterministic machine; it runs over the clauses that hold an insult or a
-threat, and emits the clause's weight as plain, aimed, negated or reported.  A
-logistic regression over a text's sums and their density gives the score.
+likelihood-ratio test); the other classes are word lists that a caller may pass,
+by default short closed lists.
+
+Five weighted transducers read the classes of a clause.  Insult and threat emit a
+weight under a label of their own; negation and report, and at the clause's end the
+target, rewrite the label by the state they are in.  Their composition is one
+deterministic machine, whose states are made as they are first reached.  It runs
+over the clauses that hold an insult or a threat, and sums weights by label: plain,
+aimed, negated, reported, threat.  A logistic regression over a text's sums and
+their density gives the score.
 
 The lexicon and the regression are fitted on at most about `SAMPLE` labelled rows
 of each label, whole texts.
 
 Defined results: null and empty texts have no clause and get a score as any other
 clean text; without labels of both kinds every score is 0; labels that are null
-are not used; rows with equal texts get equal scores; other columns pass through
-(own columns start with `_t_`).
+are not used; rows with equal texts get equal scores; other columns pass through,
+but for one named `_t_score`, which the score replaces.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import is_small, keep, split_of, table
+from .common import is_small, keep, lean, split_of, table, trim
 from .kernel import ALNUM_WORD, Words, blob, hash_spans
 
 #: labelled rows of each label that are learned from
@@ -40,7 +44,7 @@ SUPPORT, ODDS, TEST = 6, 1.4, 30.0
 CUT = 0.7
 
 INSULT, THREAT, TARGET, NEGATION, REPORT = 1, 2, 3, 4, 5
-#: closed classes, in the languages of the corpus
+#: closed classes, in the languages of the corpus; a default
 CLOSED = {
     THREAT: "kill hurt beat destroy burn shoot stab smash töten schlagen verletzen tuer frapper brûler matar golpear quemar",
     TARGET: "you your yours they them he him she her people du dich dir ihr euch ihnen tu te toi vous eux usted ustedes tú ellos",
@@ -73,11 +77,14 @@ def forms(words: Words) -> list[np.ndarray]:
 
 
 class Machine:
-    """A transducer over word classes.  A state maps (class, near) to the next
-    state; near tells whether the word before it is at most three words away."""
+    """A weighted transducer over word classes.  arcs: (state, class, near) to the
+    next state, where near tells whether the word before is at most three words away
+    and class 0 stands for any other; emits: class to label; rewrites: (state, label)
+    to label, for what other machines emit; ends: the same at the clause's end.  A
+    label of None drops the weight."""
 
-    def __init__(self, start: int, arcs: dict[tuple[int, int, bool], int]):
-        self.start, self.arcs = start, arcs
+    def __init__(self, arcs: dict | None = None, emits: dict | None = None, rewrites: dict | None = None, ends: dict | None = None):
+        self.arcs, self.emits, self.rewrites, self.ends = arcs or {}, emits or {}, rewrites or {}, ends or {}
 
     def step(self, state: int, kind: int, near: bool) -> int:
         return self.arcs.get((state, kind, near), self.arcs.get((state, 0, near), state))
@@ -87,39 +94,56 @@ def _both(state: int, kind: int, to: int) -> dict[tuple[int, int, bool], int]:
     return {(state, kind, near): to for near in (False, True)}
 
 
-TARGETED = Machine(0, _both(0, TARGET, 1))
-REPORTED = Machine(0, _both(0, REPORT, 1))
+INSULTS = Machine(emits={INSULT: "insult"})
+THREATS = Machine(emits={THREAT: "threat"})
 #: a negation holds for three words; a second one takes it back
-NEGATED = Machine(0, {**_both(0, NEGATION, 1), (1, NEGATION, True): 0, (1, NEGATION, False): 1, (1, 0, False): 0, (1, INSULT, False): 0, (1, THREAT, False): 0})
+NEGATED = Machine({**_both(0, NEGATION, 1), (1, NEGATION, True): 0, (1, NEGATION, False): 1, (1, 0, False): 0, (1, INSULT, False): 0, (1, THREAT, False): 0}, rewrites={(1, "insult"): "negated", (1, "threat"): None})
+REPORTED = Machine(_both(0, REPORT, 1), rewrites={(1, "insult"): "reported", (1, "negated"): "reported"})
+#: a target anywhere in the clause aims its insults; a threat without one is none
+TARGETED = Machine(_both(0, TARGET, 1), ends={(0, "insult"): "plain", (1, "insult"): "aimed", (0, "threat"): None})
 
 
 class Grammar:
-    """The composition of the transducers: states are triples, made as they are
-    first reached; an insult or threat word emits its weight in the state's
-    channel."""
+    """The composition of the transducers."""
 
-    CHANNELS = ("plain", "aimed", "negated", "reported")
+    LABELS = ("plain", "aimed", "negated", "reported", "threat")
 
-    def __init__(self):
-        self.parts = (TARGETED, NEGATED, REPORTED)
+    def __init__(self, parts: tuple[Machine, ...] = (INSULTS, THREATS, NEGATED, REPORTED, TARGETED)):
+        self.parts = parts
         self.next: dict[tuple, tuple] = {}
+        self.last: dict[tuple, str | None] = {}
+
+    def _step(self, state: tuple, kind: int, near: bool) -> tuple[tuple, str | None]:
+        """The next state, and the label of what is emitted on the way."""
+        to = tuple(m.step(s, kind, near) for m, s in zip(self.parts, state))
+        label = next((m.emits[kind] for m in self.parts if kind in m.emits), None)
+        for m, s in zip(self.parts, to):
+            label = m.rewrites.get((s, label), label)
+        return to, label
+
+    def _end(self, state: tuple, label: str) -> str | None:
+        for m, s in zip(self.parts, state):
+            label = m.ends.get((s, label), label)
+        return label
 
     def clause(self, kinds: list[int], near: list[bool], weights: list[float]) -> tuple[list[float], float]:
-        """Weights by channel, and the weight of threats at a target."""
-        state = tuple(m.start for m in self.parts)
-        out, threat, pending = [0.0] * 4, 0.0, []
+        """Weights of insults by label, and the weight of threats."""
+        state, sums = (0,) * len(self.parts), dict.fromkeys(self.LABELS, 0.0)
+        emitted: dict[str, float] = {}
         for kind, close, weight in zip(kinds, near, weights):
             key = (state, kind, close)
             if key not in self.next:
-                self.next[key] = tuple(m.step(s, kind, close) for m, s in zip(self.parts, state))
-            state = self.next[key]
-            if kind == INSULT:
-                pending.append((weight, state[1], state[2]))
-            elif kind == THREAT and not state[1]:
-                threat += 1.0
-        for weight, negated, reported in pending:
-            out[3 if reported else 2 if negated else 1 if state[0] else 0] += weight
-        return out, threat if state[0] else 0.0
+                self.next[key] = self._step(*key)
+            state, label = self.next[key]
+            if label is not None:
+                emitted[label] = emitted.get(label, 0.0) + weight
+        for label, weight in emitted.items():
+            key = (state, label)
+            if key not in self.last:
+                self.last[key] = self._end(*key)
+            if self.last[key] is not None:
+                sums[self.last[key]] += weight
+        return [sums[x] for x in self.LABELS[:4]], sums["threat"]
 
 
 FEATURES = 9
@@ -128,14 +152,14 @@ FEATURES = 9
 class Scorer:
     """The lexicon, the grammar and the regression."""
 
-    def __init__(self, lexicon: dict[int, float]):
+    def __init__(self, lexicon: dict[int, float], closed: dict[int, str] = CLOSED):
         keys = sorted(lexicon)
         self.keys = np.array(keys, np.uint64)
         self.weights = np.array([lexicon[k] for k in keys])
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.keys >> np.uint64(36)).astype(np.int64) & ((1 << 20) - 1)] = True
-        self.closed = np.concatenate([_hashes(v.split()) for v in CLOSED.values()])
-        self.kinds = np.concatenate([np.full(len(v.split()), k) for k, v in CLOSED.items()])
+        self.closed = np.concatenate([_hashes(v.split()) for v in closed.values()])
+        self.kinds = np.concatenate([np.full(len(v.split()), k) for k, v in closed.items()])
         order = np.argsort(self.closed)
         self.closed, self.kinds = self.closed[order], self.kinds[order]
         self.coef: np.ndarray | None = None
@@ -171,7 +195,8 @@ class Scorer:
         pick = np.flatnonzero((kind > 0) & np.isin(clause, clause[hot]))
         cuts = np.flatnonzero(np.concatenate([[True], clause[pick][1:] != clause[pick][:-1], [True]]))
         near = np.concatenate([[False], (pick[1:] - pick[:-1]) <= 3])
-        kinds, close, weights, doc = kind[pick].tolist(), near.tolist(), weight[pick].tolist(), words.doc[pick]
+        kinds, close, doc = kind[pick].tolist(), near.tolist(), words.doc[pick]
+        weights = np.where(kind[pick] == THREAT, 1.0, weight[pick]).tolist()
         grammar = Grammar()
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             channels, threat = grammar.clause(kinds[a:b], close[a:b], weights[a:b])
@@ -225,7 +250,7 @@ def lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[int, float]:
             u, n = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], names=["form", "n"])
 
-    toxic = sample.where("toxic > 0").select("text").mapInArrow(count, "form long, n long").groupBy("form").agg(F.sum("n").alias("n")).where(F.col("n") >= SUPPORT)
+    toxic = sample.where("toxic > 0").select("text").mapInArrow(lean(count), "form long, n long").groupBy("form").agg(F.sum("n").alias("n")).where(F.col("n") >= SUPPORT)
     some = {r["form"]: r["n"] for r in toxic.collect()}
     keys = np.array(sorted(some), np.int64)
     sent = sample.sparkSession.sparkContext.broadcast(keys)
@@ -241,7 +266,7 @@ def lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[int, float]:
         yield pa.RecordBatch.from_arrays([pa.array([blob(total)], pa.binary())], names=["n"])
 
     other = np.zeros(len(keys), np.int64)
-    for r in sample.where("toxic <= 0").select("text").mapInArrow(clean, "n binary").collect():
+    for r in sample.where("toxic <= 0").select("text").mapInArrow(lean(clean), "n binary").collect():
         other = other + np.frombuffer(bytes(r["n"]), np.int64)
     t, c = np.array([some[k] for k in keys.tolist()], float), other.astype(float)
     odds = np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1))
@@ -251,20 +276,21 @@ def lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[int, float]:
     return {int(k): float(w) for k, w in zip(keys[good].view(np.uint64), odds[good])}
 
 
-def learn(rows: DataFrame, labels: DataFrame) -> Scorer:
-    """rows: (doc_id, text); labels: (doc_id, toxic)."""
+def learn(rows: DataFrame, labels: DataFrame, closed: dict[int, str] = CLOSED) -> Scorer:
+    """rows: (doc_id, text); labels: (doc_id, toxic); closed: the words of THREAT,
+    TARGET, NEGATION and REPORT."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {int(r["toxic"] > 0): r["n"] for r in marks.join(rows.select("doc_id"), "doc_id").groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
-        return Scorer({})
+        return Scorer({}, closed)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
     rate = F.when(F.col("toxic") > 0, min(1.0, SAMPLE / counts[1])).otherwise(min(1.0, SAMPLE / counts[0]))
     few = keep(marks.where(draw < rate), "marks")  # about SAMPLE of each label, whatever the input
     sample = keep(rows.join(F.broadcast(few) if is_small(few) else few, "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic"), "labelled")
     n = {int(r["toxic"]): r["n"] for r in sample.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
-        return Scorer({})
-    scorer = Scorer(lexicon(sample, n[1], n[0]))
+        return Scorer({}, closed)
+    scorer = Scorer(lexicon(sample, n[1], n[0]), closed)
     sent = sample.sparkSession.sparkContext.broadcast(scorer)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +298,7 @@ def learn(rows: DataFrame, labels: DataFrame) -> Scorer:
             x = sent.value.features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column("toxic").cast(pa.int32())], names=["x", "y"])
 
-    got = sample.mapInArrow(rows_of, "x array<double>, y int").collect()
+    got = sample.mapInArrow(lean(rows_of), "x array<double>, y int").collect()
     x = np.array([r["x"] for r in got])
     y = np.array([float(r["y"] > 0) for r in got])
     order = np.lexsort((*x.T, y))
@@ -285,7 +311,9 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        return pa.array(sent.value.score(text))
+        out = pa.array(sent.value.score(text))
+        trim()
+        return out
 
     return docs.withColumn("_t_score", score("text"))
 
