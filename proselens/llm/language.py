@@ -7,14 +7,17 @@ trained with follow-the-regularised-leader (proximal, per coordinate) under L1
 and L2 penalties, so most weights are exactly zero; a temperature fitted on other
 rows of the sample then calibrates the probabilities.
 
-The regression is fitted on at most about `PER_LANG` texts of each language, those
-with the smallest hash of their id; whole texts, no prefixes.  The document
-frequencies cover all learning rows.
+The regression is fitted on at most about `PER_LANG` texts of each language, and at
+most about `SAMPLE` in all, drawn by a hash of their id; whole texts, no prefixes.
+The document frequencies cover all learning rows.  More than `MAX_LANGS` languages
+raise an error.  A prediction gathers weights for `CELLS` characters times languages
+at a time, whatever the length of a text or the number of languages.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as
 is everything if nothing could be learned; rows with a null language only get
 predictions; ties go to the first language by name; repeated rows get equal
-results; other columns pass through (own columns start with `_l_`).
+results; other columns pass through, but for those named `_l_lang` and `_l_score`,
+which the prediction replaces.
 """
 
 from __future__ import annotations
@@ -26,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import split_of, table
+from .common import fresh, lean, split_of, table, trim
 from .kernel import LOWER, blob, buffer, code_points
 
 ORDERS, BITS = 3, 16
 #: texts of a language that the regression sees; of them, one in five calibrates
-PER_LANG, CALIBRATE = 600, 5
+PER_LANG, SAMPLE, CALIBRATE = 600, 50_000, 5
 MAX_LANGS = 1000
+#: characters times languages whose weights are gathered at once
+CELLS = 1 << 21
 ALPHA, BETA, L1, L2, EPOCHS, SCALE = 0.5, 1.0, 0.02, 0.02, 4, 10.0
 SLICES = 16
 
@@ -91,7 +96,7 @@ def document_frequency(texts: DataFrame) -> np.ndarray:
         rows = [np.frombuffer(x, np.int64) for x in t.column("n").to_pylist()]
         return pa.table({"slice": t.column("slice")[:1], "n": pa.array([blob(sum(rows))], pa.binary())})
 
-    got = texts.mapInArrow(count, "slice int, n binary").groupBy("slice").applyInArrow(add, "slice int, n binary").collect()
+    got = texts.mapInArrow(lean(count), "slice int, n binary").groupBy("slice").applyInArrow(add, "slice int, n binary").collect()
     rows = {r["slice"]: np.frombuffer(bytes(r["n"]), np.int64) for r in got}
     return np.concatenate([rows[k] for k in range(SLICES)]) if rows else np.zeros(WIDTH, np.int64)
 
@@ -110,7 +115,7 @@ def _sample(texts: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
                 share.append(blob((n / max(1, b - a)).astype(np.float32)))
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(at, pa.binary()), pa.array(share, pa.binary())], names=["lang", "at", "share"])
 
-    got = texts.select("lang", "text").mapInArrow(rows, "lang string, at binary, share binary").collect()
+    got = texts.select("lang", "text").mapInArrow(lean(rows), "lang string, at binary, share binary").collect()
     rows = [(r["lang"], np.frombuffer(bytes(r["at"]), np.int32), np.frombuffer(bytes(r["share"]), np.float32)) for r in got]
     return sorted(rows, key=lambda r: (r[1].tobytes(), r[0]))
 
@@ -125,10 +130,13 @@ class Model:
         chars, offs = characters(col)
         n = len(offs) - 1
         out = np.zeros((n, len(self.langs)))
-        full = np.flatnonzero(np.diff(offs))
-        if len(full):
-            own = sum(self.weights[g] for g in grams(chars, offs))
-            out[full] = np.add.reduceat(own, offs[full], axis=0)
+        every, size = grams(chars, offs), max(1, CELLS // max(1, len(self.langs)))
+        doc = np.repeat(np.arange(n), np.diff(offs))
+        for a in range(0, len(chars), size):
+            own = sum(self.weights[g[a : a + size]] for g in every)
+            who = doc[a : a + size]
+            first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+            out[who[first]] += np.add.reduceat(own, first, axis=0)
         return out / np.maximum(1, np.diff(offs))[:, None] + self.bias
 
     def predict(self, col: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -155,6 +163,29 @@ def has_letter(col: pa.Array) -> np.ndarray:
     return out
 
 
+class Ftrl:
+    """Follow-the-regularised-leader, per coordinate, for a multinomial model; the
+    last coordinate is the bias, which has no L1 penalty."""
+
+    def __init__(self, classes: int):
+        self.z, self.n = np.zeros((WIDTH + 1, classes)), np.zeros((WIDTH + 1, classes))
+
+    def weights(self, at: np.ndarray) -> np.ndarray:
+        z = self.z[at]
+        l1 = np.where(at == WIDTH, 0.0, L1)[:, None]
+        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2))
+
+    def learn(self, y: int, at: np.ndarray, x: np.ndarray) -> None:
+        at, x = np.append(at, WIDTH), np.append(x, 1.0)
+        w = self.weights(at)
+        p = softmax((x @ w)[None])[0]
+        p[y] -= 1.0
+        g = x[:, None] * p
+        step = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / ALPHA
+        self.z[at] += g - step * w
+        self.n[at] += g * g
+
+
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> Model:
     langs = sorted({r[0] for r in rows})
     if not langs:
@@ -164,26 +195,11 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> Mo
     data = [(place[lang], at, share.astype(float) * idf[at] * SCALE) for lang, at, share in rows]
     fitted = [d for k, d in enumerate(data) if k % CALIBRATE or len(data) < 50]
     other = [d for k, d in enumerate(data) if k % CALIBRATE == 0]
-    z, n = np.zeros((WIDTH + 1, c)), np.zeros((WIDTH + 1, c))
-    rng = np.random.default_rng(3)
-
-    def weights(at: np.ndarray) -> np.ndarray:
-        zz = z[at]
-        l1 = np.where(at == WIDTH, 0.0, L1)[:, None]
-        return np.where(np.abs(zz) <= l1, 0.0, -(zz - np.sign(zz) * l1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
-
+    ftrl, rng = Ftrl(c), np.random.default_rng(3)
     for _ in range(EPOCHS):
         for k in rng.permutation(len(fitted)):
-            y, at, x = fitted[k]
-            at, x = np.append(at, WIDTH), np.append(x, 1.0)
-            w = weights(at)
-            p = softmax((x @ w)[None])[0]
-            p[y] -= 1.0
-            g = x[:, None] * p
-            step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
-            z[at] += g - step * w
-            n[at] += g * g
-    w = weights(np.arange(WIDTH + 1))
+            ftrl.learn(*fitted[k])
+    w = ftrl.weights(np.arange(WIDTH + 1))
     w[WIDTH - 1] = 0.0
     logit = np.array([x @ w[at] + w[WIDTH] for _, at, x in other])
     y = np.array([d[0] for d in other])
@@ -203,7 +219,7 @@ def learn(rows: DataFrame) -> Model:
     idf = np.log((1 + sum(counts.values())) / (1 + df)) + 1
     if not counts:
         return train([], idf)
-    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, PER_LANG / n))])
+    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, min(PER_LANG, SAMPLE // len(counts)) / n))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     return train(_sample(rows.where(draw < rate[F.col("lang")])), idf)
 
@@ -215,10 +231,12 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     @F.arrow_udf("lang string, score double")
     def predict(text: pa.Array) -> pa.Array:
         lang, score = sent.value.predict(text)
+        trim()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang", "score"])
 
-    out = docs.withColumn("_l", predict("text"))
-    return out.withColumns({"_l_lang": F.col("_l.lang"), "_l_score": F.col("_l.score")}).drop("_l")
+    name = fresh(docs, "_l")
+    out = docs.withColumn(name, predict("text"))
+    return out.withColumns({"_l_lang": F.col(f"{name}.lang"), "_l_score": F.col(f"{name}.score")}).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
