@@ -124,13 +124,52 @@ def test_lm_base_score_is_exact(spark, small, texts):
     assert all(r["score"] < 0 for r in rows)
 
 
+def lm_rows(spark):
+    train = [(i, "the cat sat on the mat", False) for i in range(40)] + [(99, "zebra", False)]
+    return spark.createDataFrame([*train, (201, "the cat sat", True), (202, "cat the sat", True), (203, None, True)], "doc_id long, text string, held_out boolean")
+
+
 def test_lm_scores_follow_from_probes(spark):
-    docs = spark.createDataFrame([(i, "the cat sat on the mat") for i in range(40)] + [(99, "zebra")], "doc_id long, text string")
-    model, counts = lm.model_for(docs)
+    docs = lm_rows(spark)
+    model, counts = lm.model_for(docs.where("not held_out"))
     level = model.levels(kernel.Words.of(pa.array(["the cat unseen"])).hash)
     assert lm.DECODE[level[0]] == pytest.approx(80, rel=0.2) and lm.DECODE[level[1]] == pytest.approx(40, rel=0.2) and level[2] == 0
-    out = {r["doc_id"]: r for r in lm.scored(spark.createDataFrame([(1, "the cat sat", True), (2, "cat the sat", True)], "doc_id long, text string, held_out boolean"), model, counts).collect()}
-    assert out[1]["score"] > out[2]["score"] and out[1]["base_score"] == pytest.approx(out[2]["base_score"])
+    out = {r["doc_id"]: r for r in lm.learned_scores(docs).collect()}
+    assert out[201]["score"] > out[202]["score"] and out[201]["base_score"] == pytest.approx(out[202]["base_score"])
+
+
+def test_lm_score_by_brute_force(spark):
+    """Counts quantised, weights from the tally, the formula for each token."""
+    docs = lm_rows(spark)
+    model, counts = lm.model_for(docs.where("not held_out"))
+    looked = lm.looked_up(docs, model, counts)
+    model.weights = lm.fit(looked, model.floor)
+    words, pairs = Counter(), Counter()
+    own = lambda t: [*WORD.findall((t or "").translate(AZ)), "\0"]
+    for r in docs.collect():
+        if not r["held_out"]:
+            w = own(r["text"])
+            words.update(w)
+            pairs.update(zip(["\0", *w], w))
+    about = lambda c: lm.DECODE[lm.quantised(np.array([c]))[0]] if c else 0.0
+    got = {r["doc_id"]: r["score"] for r in lm.scored(looked, model, counts).collect()}
+    for r in docs.collect():
+        w, total = own(r["text"]), 0.0
+        for before, word in zip(["\0", *w], w):
+            a = model.weights[lm.quantised(np.array([words[before]]))[0] if words[before] else 0]
+            seen = min(1.0, about(pairs[before, word]) / max(about(words[before]), 1.0))
+            total += math.log10(a * seen + (1 - a) * (about(words[word]) + 0.5) / model.floor)
+        assert got[r["doc_id"]] == pytest.approx(total, rel=1e-9)
+
+
+def test_lm_filter_in_segments_scores_alike(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", (common.split_of(F.col("doc_id"), 5) == 1).alias("held_out"))
+    whole = {r["doc_id"]: tuple(r) for r in lm.learned_scores(docs).collect()}
+    monkeypatch.setattr(lm, "MOST_BITS", 8)
+    apart = {r["doc_id"]: tuple(r) for r in lm.learned_scores(docs).collect()}
+    assert whole.keys() == apart.keys()
+    for k, v in whole.items():
+        assert apart[k][:5] == v[:5] and apart[k][5:] == pytest.approx(v[5:], rel=1e-9)
 
 
 # 2 quality
@@ -160,6 +199,36 @@ def test_quality_verdicts_follow_labels(spark):
     assert n.get((0, True), 0) <= 0.05 * n[(0, False)] and n.get((1, False), 0) <= 0.03 * n[(1, True)]
 
 
+def test_quality_verdicts_by_brute_force(spark, small, texts):
+    """Each tree walked node by node, the mean path, the threshold, the verdict."""
+    measured = quality.with_statistics(spark.read.parquet(f"{small}/documents.parquet"))
+    forest, cut = quality.fit(measured, spark.read.parquet(f"{small}/labels.parquet"))
+    got = {r["doc_id"]: r["kept"] for r in registry.QUERIES["op2_quality_forest"](spark, small).collect()}
+    kept = {r["doc_id"] for r in quality.kept_documents(spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")).collect()}
+    assert kept == {d for d, k in got.items() if k}
+    for r in measured.collect():
+        s = {x: np.array([r[f"_q_{x}"]]) for x in quality.STATS}
+        x, total = quality.features(s)[0], 0.0
+        for feat, at, left, right, path in forest.trees:
+            k = 0
+            while feat[k] >= 0:
+                k = left[k] if x[feat[k]] < at[k] else right[k]
+            total += path[k]
+        score = 2 ** (-total / len(forest.trees) / forest._average(forest.each))
+        failed = r["_q_n_words"] < 50 or 100 * r["_q_n_repeat_words"] > 50 * r["_q_n_words"]
+        assert got[r["doc_id"]] == (not failed and score < cut)
+
+
+def test_quality_verdicts_are_stable_over_samples(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    measured = common.keep(quality.with_statistics(spark.read.parquet(f"{sf}/documents.parquet")), "stats")
+    labels, verdicts = spark.read.parquet(f"{sf}/labels.parquet"), []
+    for seed in (11, 12):
+        monkeypatch.setattr(quality.Forest.__init__, "__defaults__", (quality.TREES, quality.EACH, seed))
+        verdicts.append({r["doc_id"]: r["_q_kept"] for r in quality.judged(measured, *quality.fit(measured, labels)).collect()})
+    assert sum(verdicts[0][d] != verdicts[1][d] for d in verdicts[0]) <= 0.02 * len(verdicts[0])
+
+
 def test_forest_paths_are_shorter_outside():
     rng = np.random.default_rng(0)
     forest = quality.Forest(np.vstack([rng.normal(size=(500, 2)), [[9, 9]]]))
@@ -200,6 +269,51 @@ def test_language_weights_are_sparse(spark, small):
     assert 0 < (model.weights != 0).any(axis=1).mean() < 0.5 and model.temperature > 0
 
 
+def test_ftrl_against_a_plain_loop():
+    rng = np.random.default_rng(4)
+    got, z, n = language.Ftrl(3), {}, {}
+
+    def weight(i, k):
+        a = z.get((i, k), 0.0)
+        l1 = 0.0 if i == language.WIDTH else language.L1
+        return 0.0 if abs(a) <= l1 else -(a - math.copysign(l1, a)) / ((language.BETA + math.sqrt(n.get((i, k), 0.0))) / language.ALPHA + language.L2)
+
+    for _ in range(40):
+        at, y = np.sort(rng.choice(50, 6, replace=False)), int(rng.integers(3))
+        x = rng.random(6) * 5
+        got.learn(y, at, x)
+        row = [*zip(at.tolist(), x.tolist()), (language.WIDTH, 1.0)]
+        w = {(i, k): weight(i, k) for i, _ in row for k in range(3)}
+        e = [math.exp(sum(v * w[i, k] for i, v in row)) for k in range(3)]
+        for i, v in row:
+            for k in range(3):
+                g = v * (e[k] / sum(e) - (k == y))
+                step = (math.sqrt(n.get((i, k), 0.0) + g * g) - math.sqrt(n.get((i, k), 0.0))) / language.ALPHA
+                z[i, k] = z.get((i, k), 0.0) + g - step * w[i, k]
+                n[i, k] = n.get((i, k), 0.0) + g * g
+    at = np.append(np.arange(50), language.WIDTH)
+    assert got.weights(at) == pytest.approx(np.array([[weight(i, k) for k in range(3)] for i in at.tolist()]))
+
+
+def test_predictions_against_a_plain_sum(monkeypatch):
+    rng = np.random.default_rng(5)
+    model = language.Model(["a", "b", "c"], rng.normal(size=(language.WIDTH, 3)).astype(np.float32), rng.normal(size=3), 1.7)
+    texts = ["Der Hund", None, "", "é 日本 x", LONG[:3000], "12"]
+    col = pa.array(texts)
+    whole = model.logits(col)
+    monkeypatch.setattr(language, "CELLS", 30)
+    assert model.logits(col) == pytest.approx(whole, abs=1e-4)
+    chars, offs = language.characters(col)
+    every = language.grams(chars, offs)
+    for k, t in enumerate(texts):
+        own = sum((model.weights[g[i]].astype(float) for g in every for i in range(offs[k], offs[k + 1])), np.zeros(3)) / max(1, offs[k + 1] - offs[k])
+        assert whole[k] == pytest.approx(own + model.bias, abs=1e-3)
+    lang, score = model.predict(col)
+    p = np.exp(whole / 1.7) / np.exp(whole / 1.7).sum(axis=1, keepdims=True)
+    assert lang == [model.langs[p[k].argmax()] if t and any(c.isalpha() for c in t) else "und" for k, t in enumerate(texts)]
+    assert [s for s in score if s] == pytest.approx([p[k].max() for k in (0, 3, 4)], abs=1e-6)
+
+
 # 4 near copies
 
 
@@ -243,6 +357,25 @@ def test_near_join_on_edited_copies(spark, monkeypatch, block):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(docs)
 
 
+@pytest.mark.parametrize("block", [4, 16])
+def test_large_blocks_of_template_texts(spark, monkeypatch, block):
+    """Texts that share sentences and mostly do not link: one block, many parts, and
+    no task gets more than two tiles."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    rng, most = np.random.default_rng(11), []
+    shared = [" ".join(f"s{k}x{j}" for j in range(9)) for k in range(6)]
+    docs = {}
+    for d in range(90):
+        own = [" ".join(f"o{d % 70}y{k}z{j}" for j in range(9)) for k in range(4)]
+        if d >= 70:
+            own[0] = own[0].replace("z0", "edited")
+        docs[d] = " ".join([shared[k] for k in sorted(rng.choice(6, 3, replace=False))] + own) if d < 70 else docs[d - 70].replace("z0", "zz")
+    own = near.across
+    monkeypatch.setattr(near, "across", lambda sets, *a: most.append(len(sets)) or own(sets, *a))
+    got = near.joined(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(docs)
+
+
 def test_block_search_equals_all_pairs():
     rng = np.random.default_rng(2)
     base = np.unique(rng.integers(0, 2**62, 60, dtype=np.uint64))
@@ -283,6 +416,94 @@ def test_equal_texts_share_a_shard_unless_heavy(spark):
     assert size.max() / size.min() < 1.1
 
 
+def test_tree_against_a_plain_one(spark):
+    """Each node split by plain loops at the weighted median along its widest side."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 900))) + f" {i % 1500}", f"l{rng.integers(4)}", f"s{rng.integers(9)}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    seen = {}
+    own = sharding.tree
+    sharding.tree = lambda units, shards: seen.setdefault("rows", units.toPandas()) is None or own(units, shards)
+    try:
+        got = {r["doc_id"]: r["shard"] for r in sharding.digest(docs).collect()}
+    finally:
+        sharding.tree = own
+    units = seen["rows"].to_dict("records")
+    spread = {d: (max(u[d] for u in units) - min(u[d] for u in units)) or 1.0 for d in sharding.DIMS}
+    want = {}
+
+    def cut(weights, n, goal):
+        total = 0.0
+        for b in range(n):
+            if total + weights.get(b, 0) > goal:
+                return b, total
+            total += weights.get(b, 0)
+        return n, total
+
+    def add(out, key, w):
+        out[key] = out.get(key, 0) + w
+
+    def grow(part, first, last):
+        if last - first == 1 or not part:
+            want.update({u["doc_id"]: first for u in part})
+            return
+        wide = {d: max(u[d] for u in part) - min(u[d] for u in part) for d in sharding.DIMS}
+        dim = max(sharding.DIMS, key=lambda d: wide[d] / spread[d])
+        low = min(u[dim] for u in part)
+        place = lambda u: 0 if not wide[dim] else min(sharding.BINS - 1, int((u[dim] - low) / wide[dim] * sharding.BINS))
+        half = (last - first) // 2
+        coarse, fine = {}, {}
+        for u in part:
+            add(coarse, place(u), u["_kd_bytes"])
+        goal = sum(coarse.values()) * half / (last - first)
+        b, done = cut(coarse, sharding.BINS, goal)
+        for u in part:
+            if place(u) == b:
+                add(fine, u["_kd_sub"], u["_kd_bytes"])
+        s, more = cut(fine, sharding.SUB, goal - done)
+        if s < sharding.SUB and goal - done - more > fine.get(s, 0) / 2:
+            s += 1
+        left = [(place(u), u["_kd_sub"]) < (b, s) for u in part]
+        grow([u for u, x in zip(part, left) if x], first, first + half)
+        grow([u for u, x in zip(part, left) if not x], first + half, last)
+
+    grow(units, 0, sharding.SHARDS)
+    assert got == want
+
+
+def test_a_group_is_cut_just_above_the_bound(spark, monkeypatch):
+    rows = [(i, f"{i:06d}" + "y" * 86, "en", "s") for i in range(2400)]
+    total = 2500 * 100
+    for n, one in ((2, True), (3, False)):  # 200 and 300 bytes; the bound lies between
+        monkeypatch.setattr(sharding, "HEAVY", 250 * sharding.SHARDS / total)
+        copies = [(9000 + k, "z" * 92, "en", f"s{k}") for k in range(n)]
+        made = spark.createDataFrame(rows + copies, "doc_id long, text string, lang string, source string")
+        seen = {}
+        own = sharding.tree
+        sharding.tree = lambda units, shards: seen.setdefault("rows", units.toPandas()) is None or own(units, shards)
+        try:
+            sharding.digest(made)
+        finally:
+            sharding.tree = own
+        copies = seen["rows"][seen["rows"].doc_id >= 9000]
+        assert (copies["_kd_sub"].nunique() == 1 and copies["_kd_source"].nunique() == 1) == one
+
+
+def test_slots_and_copies_do_not_depend_on_order(spark):
+    """Ids with equal hashes, rows without an id, and partitions in another order."""
+    h = lambda x: hashlib.md5(x.encode()).hexdigest()[:8]
+    first, same = {}, []
+    for i in range(200_000):
+        if (j := first.setdefault(h(str(i)), i)) != i:
+            same += [j, i]
+    rows = [(i, f"word {i % 3}", "en", "s") for i in [*same, *range(40)]] + [(None, f"none {k}", "en", "s") for k in range(20)]
+    kind = "doc_id long, text string, lang string, source string"
+    a, b = spark.createDataFrame(rows, kind).coalesce(1), spark.createDataFrame(rows[::-1], kind).repartition(7)
+    assert same and sorted(map(str, sharding.digest(a).collect())) == sorted(map(str, sharding.digest(b).collect()))
+    drawn = [sorted(str(r) for r in mixing.with_copies(common.keep(mixing.sized(x), "mix")).collect()) for x in (a, b)]
+    assert drawn[0] == drawn[1]
+
+
 def test_shards_by_target_bytes(spark):
     rows = sharding.measured(spark.createDataFrame([(i, "x" * 92, "en", "s") for i in range(100)], "doc_id long, text string, lang string, source string"))
     assert sharding.sharded(rows, target_bytes=2500).select("_kd_shard").distinct().count() == 4
@@ -322,6 +543,25 @@ def brute_hits(docs, items, n=13):
     return out
 
 
+def brute_near(docs, items):
+    cut = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = {d: cut.findall((t or "").translate(AZ)) for d, t in docs.items()}
+    df = Counter(w for own in words.values() for w in set(own))
+    found = {d: [] for d in docs}
+    for i in sorted({str(i) for i, _ in items}):
+        own = {w for j, t in items if str(j) == i for w in cut.findall((t or "").translate(AZ))}
+        few = sorted((df[w], w.encode()) for w in own if w in df)[: decontamination.TERMS]
+        if len(few) < decontamination.LEAST:
+            continue
+        few = [w.decode() for _, w in few]
+        need = math.ceil(decontamination.SHARE_NEAR * len(few))
+        for d, w in words.items():
+            centres = [k for k, x in enumerate(w) if x in few[: len(few) - need + 1]]
+            if any(len({x for x in w[max(0, k - decontamination.SPREAD) : k + decontamination.SPREAD + 1] if x in few}) >= need for k in centres):
+                found[d].append(i)
+    return {d: (len(x), hashlib.sha256(",".join(sorted(x)).encode()).hexdigest()) for d, x in found.items()}
+
+
 @pytest.mark.parametrize("block", [decontamination.BLOCK_WORDS, 10])
 def test_decontamination_by_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
@@ -330,14 +570,18 @@ def test_decontamination_by_brute_force(spark, monkeypatch, block):
     items = [(k, " ".join(word(int(rng.integers(0, 18))))) for k in range(8)] + [(9, " ".join(f"u{k}" for k in range(20)))]
     docs = {k: " ".join(word(60)) + ". " + items[k % 9][1].upper() for k in range(30)} | {40: "", 41: " ".join(f"u{k}" for k in range(2, 17))}
     got = decontamination.digest(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert {r["doc_id"]: tuple(r)[1:] for r in got.collect()} == brute_hits(docs, items)
+    got = got.collect()
+    assert {r["doc_id"]: (*tuple(r)[1:5], r["contaminated"]) for r in got} == brute_hits(docs, items)
+    assert {r["doc_id"]: (r["n_near"], r["near_sha256"]) for r in got} == brute_near(docs, items)
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "alpha " + "x " * 30 + "beta gamma")], "doc_id long, text string")
-    tests = decontamination.compile_tests([("i", "gamma beta alpha")])
-    got = decontamination.near(decontamination.index(docs), tests, within=6).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, "i")}
+def test_proximity_finds_reworded_passages(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    other = "filler words " * 40
+    docs = {1: f"{other} kappa x alpha beta y gamma delta z epsilon new eta theta {other}", 2: f"alpha {other} beta {other} gamma {other} delta", 3: item, 4: "", 5: other}
+    got = decontamination.digest(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame([("i", item), ("short", "alpha beta")], "item_id string, text string")).collect()
+    assert {r["doc_id"]: (r["n_near"], r["near_sha256"]) for r in got} == brute_near(docs, [("i", item), ("short", "alpha beta")])
+    assert {r["doc_id"]: r["n_near"] for r in got} == {1: 1, 2: 0, 3: 1, 4: 0, 5: 0}
 
 
 # 8 personal data
@@ -374,6 +618,42 @@ def test_terms_that_reveal_are_found(spark):
     assert "zorblat" not in clean[900] and "[EMAIL]" in clean[0] and clean[150] == dict(rows)[150]
 
 
+def test_terms_by_direct_counting(spark):
+    """All words of documents with an entity, near or far, against plain counts."""
+    rng = np.random.default_rng(8)
+    docs = {}
+    for d in range(400):
+        words = [f"v{x}" for x in rng.zipf(1.5, 30) % 300]
+        if d % 40 == 0:
+            words = ["Heading", "quirinal", *words, f"mail me{d // 400}@site.org"]
+        if d % 57 == 0:
+            words += ["10.0.0.7"] + ["often"] * (d % 3)
+        docs[d] = " ".join(words)
+    cut = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    holds, has = {}, {}
+    for d, t in docs.items():
+        own, spans = pii.entities(t), set()
+        for _, s, e in own:
+            holds.setdefault(t[s:e], set()).add(d)
+            spans |= set(range(s, e))
+        for m in cut.finditer(t.translate(AZ)):
+            has.setdefault(m[0], {"all": set(), "free": set()})["all"].add(d)
+            if not spans & set(range(*m.span())):
+                has[m[0]]["free"].add(d)
+    n, want = len(docs), {}
+    for e, de in holds.items():
+        for t, dt in has.items():
+            both = len(de & dt["free"])
+            if both >= pii.SUPPORT and len(de) >= pii.SUPPORT:
+                share = math.log2(n * both / (len(dt["all"]) * len(de))) / math.log2(n / len(de))
+                if share >= pii.DISCLOSE:
+                    want[t] = max(share, want.get(t, 0))
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r["t"]: r["share"] for r in pii.revealing(rows, pii.found(rows)).collect()}
+    names = {t: int(kernel.Words.of(pa.array([t]), kernel.ALNUM_WORD).hash.view(np.int64)[0]) for t in want}
+    assert "quirinal" in want and got == {names[t]: pytest.approx(s) for t, s in want.items()}
+
+
 # 9 toxicity
 
 
@@ -393,7 +673,46 @@ def test_grammar_scores_clauses():
     run = lambda *k, near=True: g.clause(list(k), [near] * len(k), [2.0] * len(k))[0]
     assert run(i) == [2, 0, 0, 0] and run(t, i) == [0, 2, 0, 0] and run(n, i) == [0, 0, 2, 0] and run(r, t, i) == [0, 0, 0, 2]
     assert run(n, n, i) == [2, 0, 0, 0] and run(n, i, near=False) == [2, 0, 0, 0]
-    assert g.clause([toxicity.THREAT, t], [True, True], [0, 0])[1] == 1 and g.clause([n, toxicity.THREAT, t], [True] * 3, [0] * 3)[1] == 0
+    assert g.clause([toxicity.THREAT, t], [True, True], [1.0, 0])[1] == 1 and g.clause([n, toxicity.THREAT, t], [True] * 3, [0] * 3)[1] == 0
+
+
+def test_machine_against_a_direct_reading():
+    """Every clause of up to five classes: what the words say, read off directly."""
+    from itertools import product
+
+    i, t, n, r, th = toxicity.INSULT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.THREAT
+    g = toxicity.Grammar()
+    assert len(g.parts) == 5
+    for size in range(1, 5):
+        for kinds in product((i, t, n, r, th), repeat=size):
+            for near in product((False, True), repeat=size):
+                out, threat, negated = [0.0] * 4, 0.0, False
+                for k, kind in enumerate(kinds):
+                    if kind == n:
+                        negated = not negated if near[k] else True
+                    elif negated and not near[k]:
+                        negated = False
+                    if kind == i:
+                        out[3 if r in kinds[:k] else 2 if negated else 1 if t in kinds else 0] += 2.0
+                    if kind == th and not negated and t in kinds:
+                        threat += 1.0
+                assert g.clause(list(kinds), list(near), [1.0 if k == th else 2.0 for k in kinds]) == (out, threat), (kinds, near)
+
+
+def test_toxicity_scores_follow_from_features(spark):
+    """A scorer's features by plain reading of the clauses, and the regression."""
+    key = int(toxicity.forms(kernel.Words.of(pa.array(["zorg"]), kernel.ALNUM_WORD))[0][0])
+    scorer = toxicity.Scorer({key: 2.0}, {toxicity.THREAT: "smite", toxicity.TARGET: "thou", toxicity.NEGATION: "nay", toxicity.REPORT: "quoth"})
+    texts = ["Thou zorg!", "a zorg. Quoth he zorg", "nay zorg", "I smite thou", "", None, "clean text only"]
+    x = scorer.features(pa.array(texts))
+    log = lambda *v: pytest.approx([math.log1p(y) for y in v])
+    assert x[:, 0] == log(0, 2, 0, 0, 0, 0, 0) and x[:, 1] == log(2, 0, 0, 0, 0, 0, 0)
+    assert x[:, 2] == log(0, 0, 2, 0, 0, 0, 0) and x[:, 3] == log(0, 2, 0, 0, 0, 0, 0)
+    assert x[:, 4] == log(0, 0, 0, 1, 0, 0, 0) and x[:, 8] == log(2, 5, 2, 3, 0, 0, 3)
+    scorer.coef, scorer.centre, scorer.width = np.arange(10) / 10, np.zeros(9), np.ones(9)
+    got = scorer.score(pa.array(texts))
+    for k in range(len(texts)):
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(x[k], scorer.coef)) - 0.9)))
 
 
 # 10 mixing
