@@ -255,26 +255,55 @@ def revealing(docs: DataFrame, base: DataFrame) -> DataFrame:
     return keep(rows.where(F.col("share") >= DISCLOSE).groupBy("t").agg(F.max("share").alias("share")), "revealing")
 
 
+TERMS = f"doc_id long, text_hash long, terms array<{SPAN}>"
+
+
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, terms): where the revealing terms occur."""
-    known = docs.sparkSession.sparkContext.broadcast(filter_of(terms.select(F.col("t").alias("key")), terms.count()))
+    """(doc_id, text_hash, terms): where the revealing terms occur, a row for each
+    document that has one.  Terms few enough to be broadcast are matched in place;
+    more are matched by a Bloom filter and a join."""
+    few = is_small(terms)
+    if few:
+        rows = sorted(((r["t"] & (2**64 - 1), r["share"] >= REMOVE) for r in terms.collect()))
+        known = (np.array([t for t, _ in rows], np.uint64), np.array([x for _, x in rows], bool))
+    else:
+        known = filter_of(terms.select(F.col("t").alias("key")), terms.count())
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, hash, start and end of each term, and whether it is to go."""
+        words, known = Words.of(batch.column("text"), ALNUM_WORD), sent.value
+        if isinstance(known, tuple):
+            at = np.minimum(np.searchsorted(known[0], words.hash), len(known[0]) - 1)
+            some = np.flatnonzero(known[0][at] == words.hash)
+            gone = known[1][at[some]]
+        else:
+            some = np.flatnonzero(known.has(words.hash))
+            gone = np.zeros(len(some), bool)
+        points, doc = code_points(words.data), words.doc[some]
+        own = points[words.offs[doc]]
+        return doc, words.hash[some], points[words.starts[some]] - own, points[words.ends[some]] - own, gone
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = Words.of(batch.column("text"), ALNUM_WORD)
-            some = np.flatnonzero(known.value.has(words.hash))
-            points = code_points(words.data)
-            doc = words.doc[some]
-            own = points[words.offs[doc]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(doc)), batch.column("text_hash").take(pa.array(doc)), pa.array(words.hash[some].view(np.int64)), pa.array((points[words.starts[some]] - own).astype(np.int32)), pa.array((points[words.ends[some]] - own).astype(np.int32))],
-                names=["doc_id", "text_hash", "t", "start", "end"],
-            )
-
-    rows = hashed(docs).mapInArrow(lean(look), "doc_id long, text_hash long, t long, start int, end int")
-    exact = F.broadcast(terms) if is_small(terms) else terms
+            doc, _, start, end, gone = places(batch)
+            first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+            spans = pa.StructArray.from_arrays([pa.array(np.where(gone, "term", "hint"), pa.string()), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], fields=list(_SPAN))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), spans)
+            who = pa.array(doc[first])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(who), batch.column("text_hash").take(who), lists], names=["doc_id", "text_hash", "terms"])
+
+    def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, own, start, end, _ = places(batch)
+            who = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(who), batch.column("text_hash").take(who), pa.array(own.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "text_hash", "t", "start", "end"])
+
+    if few:  # rows that share an id and a text have the same spans
+        return hashed(docs).mapInArrow(lean(packed), TERMS).dropDuplicates(["doc_id", "text_hash"])
+    rows = hashed(docs).mapInArrow(lean(loose), "doc_id long, text_hash long, t long, start int, end int")
     kind = F.when(F.col("share") >= REMOVE, F.lit("term")).otherwise(F.lit("hint"))
-    rows = rows.join(exact, "t").select("doc_id", "text_hash", F.struct(kind.alias("kind"), "start", "end").alias("span"))
+    rows = rows.join(terms, "t").select("doc_id", "text_hash", F.struct(kind.alias("kind"), "start", "end").alias("span"))
     return rows.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("span")).alias("terms"))
 
 
@@ -285,9 +314,9 @@ def spans(docs: DataFrame) -> DataFrame:
     if not terms.limit(1).count():
         return base.select("doc_id", "text_hash", "spans", F.array().cast(f"array<{SPAN}>").alias("terms"))
     more = keep(term_spans(docs, terms), "terms")
-    more = F.broadcast(more) if is_small(more) else more
     on = F.col("b.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("b.text_hash") == F.col("m.text_hash"))
-    apart = F.filter("m.terms", lambda t: ~F.exists("b.spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    ordered = F.array_sort("m.terms")
+    apart = F.filter(ordered, lambda t: ~F.exists("b.spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     return base.alias("b").join(more.alias("m"), on, "left").select("b.doc_id", "b.text_hash", "b.spans", F.coalesce(apart, F.array().cast(f"array<{SPAN}>")).alias("terms"))
 
 

@@ -609,11 +609,13 @@ def test_entities_by_brute_force(spark, small, texts):
         assert rows[d]["base_sha256"] == hashlib.sha256(line.encode()).hexdigest() and rows[d]["spans"].startswith(line)
 
 
-def test_terms_that_reveal_are_found(spark):
+def test_terms_that_reveal_are_found(spark, monkeypatch):
     rows = [(i, f"filler{i} words zorblat wrote from zor@mail.org about things {i} today") for i in range(6)] + [(100 + i, f"filler{i} words about common things today number {i}") for i in range(200)] + [(900, "only zorblat is named here")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r for r in pii.spans(docs).collect()}
     assert [x["kind"] for x in got[900]["terms"]] in (["term"], ["hint"]) and got[900]["spans"] == [] and got[150]["terms"] == []
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)  # the same by a filter and a join
+    assert {r["doc_id"]: r for r in pii.spans(docs).collect()} == got
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
     assert "zorblat" not in clean[900] and "[EMAIL]" in clean[0] and clean[150] == dict(rows)[150]
 
