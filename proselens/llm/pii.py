@@ -28,7 +28,7 @@ columns are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import filter_of
-from .common import is_small, keep, lean, lookup, table
-from .kernel import ALNUM_WORD, LOWER, Words, buffer, code_points
+from .common import is_small, keep, lean, lean_group, lookup, parts_for, table
+from .kernel import ALNUM_WORD, Words, blob, buffer, code_points, unblob
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, DISCLOSE, REMOVE = 3, 0.9, 0.97
@@ -166,6 +166,53 @@ def hashed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
 
 
+COUNTS = "part int, e binary, t binary, n binary"
+#: keys that a task holds before it passes their counts on
+FLUSH = 1_000_000
+
+
+def _summed(e: np.ndarray, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts added up by (t, e), in that order."""
+    order = np.lexsort((e, t))
+    e, t, n = e[order], t[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (e[1:] != e[:-1])])) if len(t) else np.zeros(0, np.int64)
+    return e[new], t[new], np.add.reduceat(n, new) if len(new) else n
+
+
+def counted(texts: DataFrame, of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], parts: int, least: int = 1) -> DataFrame:
+    """(e, t, n): how many documents give each (e, t).  of: a batch's pairs, one for
+    each document that has it.  Tasks add up what they see and pass it on packed, a
+    row for each range of t; a range is one group, and pairs below `least` end there."""
+
+    def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        e, t, n = _summed(*(np.concatenate(x) for x in zip(*held)))
+        part = (t >> np.uint64(64 - parts)).astype(np.int64)
+        cut = np.searchsorted(part, np.arange((1 << parts) + 1))
+        full = np.flatnonzero(np.diff(cut))
+        packed = lambda x: pa.array([blob(x[cut[p] : cut[p + 1]]) for p in full], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), packed(e), packed(t), packed(n.astype(np.int64))], names=["part", "e", "t", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            e, t = of(batch)
+            held.append((e, t, np.ones(len(t), np.int64)))
+            size += len(t)
+            if size >= FLUSH:
+                yield flush(held)
+                held, size = [], 0
+        if size:
+            yield flush(held)
+
+    def add(rows: pa.Table) -> pa.Table:
+        e, t, n = _summed(*(unblob(rows.column(x), kind) for x, kind in (("e", np.uint64), ("t", np.uint64), ("n", np.int64))))
+        some = np.flatnonzero(n >= least)
+        return pa.table({"e": e[some].view(np.int64), "t": t[some].view(np.int64), "n": n[some]})
+
+    rows = texts.mapInArrow(lean(count), COUNTS)
+    return rows.groupBy("part").applyInArrow(lean_group(add), "e long, t long, n long")
+
+
 def limits(levels: np.ndarray, total: int) -> np.ndarray:
     """The most documents that a term of an entity may be in, from the level of the
     entity's count: level k stands for fewer than 2**k documents."""
@@ -173,7 +220,7 @@ def limits(levels: np.ndarray, total: int) -> np.ndarray:
     return most * (total / most) ** (1 - DISCLOSE) * (1 + 1e-9)
 
 
-def together(docs: DataFrame, base: DataFrame, holders: DataFrame, total: int) -> DataFrame:
+def together(docs: DataFrame, base: DataFrame, holders: DataFrame, total: int, parts: int) -> DataFrame:
     """(e, t, both): documents that hold an entity of `holders` and a term."""
     spark = docs.sparkSession
     rows = base.where(F.size("words") > 0).select(F.explode("words").alias("w")).groupBy("w.t").agg(F.sum("w.n").alias("n"))
@@ -185,73 +232,66 @@ def together(docs: DataFrame, base: DataFrame, holders: DataFrame, total: int) -
     known = filter_of(level, int(level.agg(F.sum("level")).first()[0]))
     sent = spark.sparkContext.broadcast((known, frequent, at_least))
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         known, frequent, at_least = sent.value
-        for batch in batches:
-            data, offs, some = marked(batch.column("text"))
-            out = [np.zeros((2, 0), np.uint64)]
-            for d in some:
-                own = data[offs[d] : offs[d + 1]]
-                text = own.tobytes().decode("utf-8", "replace")
-                got = entities(text)
-                if not got:
-                    continue
-                names = np.unique(names_of(text, got))
-                levels = known.level(names, 62)
-                names, most = names[levels > 0], limits(levels[levels > 0], total)
-                if not len(names):
-                    continue
-                words = Words(own, np.array([0, len(own)]), ALNUM_WORD)
-                points = code_points(own)
-                starts, ends = points[words.starts], points[words.ends]
-                free = np.ones(len(starts), bool)
-                for _, s, e in got:
-                    free[np.searchsorted(ends, s, "right") : np.searchsorted(starts, e, "left")] = False
-                terms = np.unique(words.hash[free])
-                at = np.minimum(np.searchsorted(frequent, terms), max(0, len(frequent) - 1))
-                least = np.where(frequent[at] == terms, at_least[at], 0) if len(frequent) else np.zeros(len(terms))
-                e, t = np.nonzero(least[None, :] <= most[:, None])
-                out.append(np.stack([names[e], terms[t]]))
-            both = np.concatenate(out, axis=1)
-            both = both[:, np.lexsort(both[::-1])]
-            new = np.flatnonzero(np.concatenate([[True], (both[:, 1:] != both[:, :-1]).any(axis=0)])) if both.shape[1] else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*[pa.array(x[new].view(np.int64)) for x in both], pa.array(np.diff(np.append(new, both.shape[1])))], names=["e", "t", "both"])
-
-    rows = docs.select("text").mapInArrow(lean(pairs), "e long, t long, both long")
-    return rows.groupBy("e", "t").agg(F.sum("both").alias("both")).where(F.col("both") >= SUPPORT)
-
-
-def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
+        data, offs, some = marked(batch.column("text"))
+        es, ts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for d in some:
+            own = data[offs[d] : offs[d + 1]]
+            text = own.tobytes().decode("utf-8", "replace")
+            got = entities(text)
+            if not got:
+                continue
+            names = np.unique(names_of(text, got))
+            levels = known.level(names, 62)
+            names, most = names[levels > 0], limits(levels[levels > 0], total)
+            if not len(names):
+                continue
+            words = Words(own, np.array([0, len(own)]), ALNUM_WORD)
+            points = code_points(own)
+            starts, ends = points[words.starts], points[words.ends]
+            free = np.ones(len(starts), bool)
+            for _, s, e in got:
+                free[np.searchsorted(ends, s, "right") : np.searchsorted(starts, e, "left")] = False
+            terms = np.unique(words.hash[free])
+            at = np.minimum(np.searchsorted(frequent, terms), max(0, len(frequent) - 1))
+            least = np.where(frequent[at] == terms, at_least[at], 0) if len(frequent) else np.zeros(len(terms))
+            e, t = np.nonzero(least[None, :] <= most[:, None])
+            es.append(names[e]), ts.append(terms[t])
+        return np.concatenate(es), np.concatenate(ts)
+
+    return counted(docs.select("text"), pairs, parts, SUPPORT).withColumnRenamed("n", "both")
+
+
+def frequencies(docs: DataFrame, terms: DataFrame, parts: int) -> DataFrame:
     """(t, n): the number of documents with each of the terms (column t)."""
     known = docs.sparkSession.sparkContext.broadcast(filter_of(terms.select(F.col("t").alias("key")), terms.count()))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = Words.of(batch.column("text"), ALNUM_WORD)
-            some = np.flatnonzero(known.value.has(words.hash))
-            pairs = np.unique(np.stack([words.doc[some].astype(np.uint64), words.hash[some]]), axis=1) if len(some) else np.zeros((2, 0), np.uint64)
-            t, n = np.unique(pairs[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n.astype(np.int64))], names=["t", "n"])
+    def those(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        own = in_documents(Words.of(batch.column("text"), ALNUM_WORD))[1]
+        own = own[known.value.has(own)]
+        return np.zeros(len(own), np.uint64), own
 
-    seen = docs.select("text").mapInArrow(lean(count), "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    return seen.join(terms, "t", "left_semi")
+    rows = keep(counted(docs.select("text"), those, parts), "seen")
+    return lookup(rows.alias("r"), terms.alias("t"), F.col("r.t") == F.col("t.t"), "left_semi").select("t", "n")
 
 
 def revealing(docs: DataFrame, base: DataFrame) -> DataFrame:
     """(t, share): terms that disclose an entity beyond the threshold."""
     total = base.count()
+    parts = parts_for(int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0))
     holders = base.where(F.size("entities") > 0).select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
     holders = keep(holders.where((F.col("n_e") >= SUPPORT) & (F.col("n_e") < total)), "holders")
     none = docs.sparkSession.createDataFrame([], "t long, share double")
     if not holders.limit(1).count():
         return none
-    both = keep(lookup(together(docs, base, holders, total).alias("b"), holders.alias("h"), F.col("b.e") == F.col("h.e"), "inner").select("b.e", "b.t", "b.both", "h.n_e"), "pairs")
+    both = keep(lookup(together(docs, base, holders, total, parts).alias("b"), holders.alias("h"), F.col("b.e") == F.col("h.e"), "inner").select("b.e", "b.t", "b.both", "h.n_e"), "pairs")
     terms = keep(both.select("t").distinct(), "terms")
     if not terms.limit(1).count():
         return none
-    counted = frequencies(docs, terms)
+    seen = frequencies(docs, terms, parts)
     share = F.log2(F.lit(float(total)) * F.col("both") / (F.col("n") * F.col("n_e"))) / F.log2(F.lit(float(total)) / F.col("n_e"))
-    rows = both.join(counted, "t").withColumn("share", share)
+    rows = both.join(seen, "t").withColumn("share", share)
     return keep(rows.where(F.col("share") >= DISCLOSE).groupBy("t").agg(F.max("share").alias("share")), "revealing")
 
 
