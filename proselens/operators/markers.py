@@ -3,7 +3,9 @@ terms and claim classes, as multisets in long form."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from itertools import accumulate, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 
-#: fixed values
+#: fixed values: patterns of markers
 NUMBER = r"(?U)(?<![\w.])\d+(?:\.\d+)?(?:\s*(?:%|[xX]|ms|s|GB|MB|KB|bits?))?(?![\w.])"
 SI = r"\\SI\s*\{([^{}]+)\}\s*\{([^{}]+)\}"
 UNIT_NUMBER = r"(?U)(?<![\w.])(\d+(?:\.\d+)?)\s*(%|ms|s|GB|MB|KB|bits?)(?![\w.])"
@@ -21,7 +23,7 @@ MATH_ENV = r"(?s)\\begin\{(equation\*?|align\*?|gather\*?|multline\*?|displaymat
 MATH = [r"(?s)\$\$(.*?)\$\$", r"(?s)\\\[(.*?)\\\]", r"(?s)\\\((.*?)\\\)", r"(?s)(?<!\\)\$(?!\$)((?:\\.|[^$])*?)(?<!\\)\$(?!\$)"]
 FIGURE_ENV = r"(?s)\\begin\{(figure\*?|table\*?)\}(.*?)\\end\{\1\}"
 LITERAL_REFERENCE = r"(?i)\b(?:Fig(?:ure)?|Table|Sec(?:tion)?|Eq(?:uation)?)\.?\s*\d+"
-#: classes of claim markers: word lists as patterns of a whole token or phrase
+#: fixed values: classes of claim markers, word lists as patterns of a whole token or phrase
 NEGATION = {"not": "not", "no": "no", "never": "never", "without": "without", "neither": "neither", "nor": "nor", "none": "none"}
 MODALITY = {x: x for x in ("may", "might", "can", "could", "should", "would", "must", "will")}
 QUANTIFIER = {"at_least": r"at\s+least", "at_most": r"at\s+most", "more_than": r"more\s+than", "less_than": r"less\s+than"} | {x: x for x in ("all", "any", "each", "every", "both", "either", "neither", "none", "some", "several", "many", "most", "few", "only", "no")}
@@ -34,7 +36,9 @@ STRENGTH = {
 }
 CLASSES = {"negation": NEGATION, "modality": MODALITY, "quantifier_scope": QUANTIFIER, "comparison": COMPARISON, "claim_strength": STRENGTH}
 HEDGED = ["possibility", "probability", "improbability", "appearance", "tentative"]
-CONTRACTIONS = [(r"\bcannot\b|\bcan't\b", "can not"), (r"\bwon't\b", "will not"), (r"\bshan't\b", "shall not")] + [(rf"\b{x}n't\b", f"{x} not") for x in ("is", "are", "was", "were", "does", "do", "did", "has", "have", "had", "would", "should", "could", "might", "must", "need")]
+#: fixed values: words whose contraction with `not` is written out
+WITH_NOT = ["is", "are", "was", "were", "does", "do", "did", "has", "have", "had", "would", "should", "could", "might", "must", "need"]
+CONTRACTIONS = [(r"\bcannot\b|\bcan't\b", "can not"), (r"\bwon't\b", "will not"), (r"\bshan't\b", "shall not"), (r"\b(" + "|".join(WITH_NOT) + r")n't\b", "$1 not")]
 
 
 #: up to the next dollar without a backslash; a group for each character would
@@ -92,23 +96,28 @@ def math_canonical(text: Column | str) -> Column:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def balanced(bodies: pd.Series, commands: pd.Series) -> pd.Series:
     """Arguments of a command with braces counted, as no regular expression can."""
-    import re
-
     def arguments(body: str, command: str) -> list[str]:
-        found = []
-        for m in re.finditer(rf"\\{command}\*?\s*(?:\[[^\]]*\]\s*)*\{{", body):
-            depth, at = 1, m.end()
-            for at in range(m.end(), len(body)):
-                if body[at] in "{}" and body[at - 1] != "\\":
-                    depth += 1 if body[at] == "{" else -1
-                    if not depth:
-                        found.append(" ".join(body[m.end() : at].split()))
-                        break
+        found, marks = [], [(m.start(), m[0]) for m in re.finditer(r"(?<!\\)[{}]", body)]
+        for head in re.finditer(rf"\\{command}\*?\s*(?:\[[^\]]*\]\s*)*\{{", body):
+            sums = accumulate((1 if c == "{" else -1 for at, c in marks if at >= head.end()), initial=1)
+            ends = [at for at, _ in marks if at >= head.end()]
+            close = next((at for at, depth in zip(ends, islice(sums, 1, None)) if not depth), None)
+            if close is not None:
+                found.append(" ".join(body[head.end() : close].split()))
         return found
 
     return pd.Series([arguments(b, c) if b is not None else [] for b, c in zip(bodies, commands)])
 
 
+def guard_figures(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, value: labels and whole captions of figure and table environments."""
+    envs = F.arrays_zip(tx.every(text, FIGURE_ENV, 1).alias("name"), tx.every(text, FIGURE_ENV, 2).alias("body"))
+    rows = docs.where(F.col(text).rlike(FIGURE_ENV)).select(key, F.explode(envs).alias("e")).select(key, "e.name", "e.body", balanced("e.body", F.lit("caption")).alias("captions"))
+    labels = F.transform(tx.every("body", r"\\label\s*\{([^{}]+)\}", 1), lambda x: F.concat(F.col("name"), F.lit(":label:"), F.trim(x)))
+    whole = F.transform("captions", lambda x: F.concat(F.col("name"), F.lit(":caption:"), x))
+    return rows.select(key, F.explode(F.concat(labels, whole)).alias("value"))
+
+
 def figures(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, value: labels, references and literal references of figure and table
     captions.  Only texts with such an environment reach Python."""
@@ -127,27 +136,33 @@ def term_counts(text: Column | str, terms: list[str]) -> Column:
     return F.flatten(F.array(*[F.array_repeat(F.lit(x), F.regexp_count(t, F.lit(rf"(?i)(?<![A-Za-z0-9])\Q{x}\E(?![A-Za-z0-9])")).cast("int")) for x in terms]))
 
 
+def _forms(pattern: str) -> list[str]:
+    """The words and phrases that a class pattern stands for."""
+    out: list[str] = []
+    for part in re.split(r"\|(?![^(]*\))", pattern.replace(r"\s+", " ")):
+        m = re.fullmatch(r"([^(]*)\(\?:([^)]*)\)(\??)", part)
+        out += [part] if not m else [m[1] + x for x in [*m[2].split("|"), *([""] if m[3] else [])]]
+    return out
+
+
 def claims(text: Column | str) -> Column:
     """kind:class for each claim marker in the prose of a text."""
-    t = prose(text)
 
-    def named(kind: str, classes: dict[str, str]):  # type: ignore[no-untyped-def]
-        tests = [(name, rf"^(?:{p})$") for name, p in reversed(list(classes.items()))]
-        label = lambda name: F.lit(f"{kind}:{'hedged' if name in HEDGED else name}")
-        return lambda m: reduce(lambda out, x: F.when(m.rlike(x[1]), label(x[0])).otherwise(out), tests, F.lit(None).cast("string"))
+    def named(kind: str, classes: dict[str, str], t: Column) -> Column:
+        label = {f: f"{kind}:{'hedged' if name in HEDGED else name}" for name, p in reversed(list(classes.items())) for f in _forms(p)}
+        known = F.create_map(*[F.lit(x) for kv in label.items() for x in kv])
+        return F.transform(tx.every(t, r"\b(?:" + "|".join(classes.values()) + r")\b"), lambda m: known[tx.squeeze(m)])
 
-    return F.concat(*[F.transform(tx.every(t, r"\b(?:" + "|".join(classes.values()) + r")\b"), named(kind, classes)) for kind, classes in CLASSES.items()])
+    return tx.let(prose(text), lambda t: F.concat(*[named(kind, classes, t) for kind, classes in CLASSES.items()]))
 
 
 def long_form(pairs: DataFrame, extractors: dict, key: str = "pair_id") -> DataFrame:
     """pair_id, category, value, before, after: how often each value stands on
     either side.  extractors: category to a function from text to an array."""
 
-    def side(name: str) -> DataFrame:
-        rows = F.array(*[F.struct(F.lit(cat).alias("category"), make(name).alias("values")) for cat, make in extractors.items()])
-        return pairs.select(key, F.lit(name).alias("side"), F.explode(rows).alias("x")).select(key, "side", "x.category", F.explode("x.values").alias("value"))
-
-    return counted(side("before").unionByName(side("after")), key)
+    each = [F.struct(F.lit(side).alias("side"), F.lit(cat).alias("category"), make(side).alias("values")) for side in ("before", "after") for cat, make in extractors.items()]
+    rows = pairs.select(key, F.explode(F.array(*each)).alias("x")).select(key, "x.side", "x.category", F.explode("x.values").alias("value"))
+    return counted(rows, key)
 
 
 def counted(rows: DataFrame, key: str = "pair_id") -> DataFrame:

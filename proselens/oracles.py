@@ -85,13 +85,16 @@ SQL["r15_phrases"] = f"WITH {seed.DOCS_SQL} SELECT doc_id, p.phrase, len(p.m)::I
 def _located() -> str:
     parts = []
     for n, s, p in ru.PATTERNS:
+        body, after = (p.replace("(?=[.!?])", "([.!?])"), chr(92) + "1") if n == 10 else (p, "")
         if n == 10:
-            continue
-        parts.append(f"SELECT doc_id, {n} AS rule, {Q(s)} AS severity, text, string_split(replace(regexp_replace(text, {Q(p)}, chr(1) || '\\0' || chr(2), 'g'), chr(2), chr(1)), chr(1)) AS x FROM docs")
+            body, after = "(?i)(" + body.removeprefix("(?i)").removesuffix("([.!?])") + ")([.!?])", chr(92) + "2"
+        hit = chr(92) + ("1" if n == 10 else "0")
+        parts.append(f"SELECT doc_id, {n} AS rule, {Q(s)} AS severity, text, string_split(replace(regexp_replace(text, {Q(body)}, chr(1) || '{hit}' || chr(2) || '{after}', 'g'), chr(2), chr(1)), chr(1)) AS x FROM docs")
     return f"""WITH {seed.DOCS_SQL}, m AS ({' UNION ALL '.join(parts)}),
 h AS (SELECT doc_id, rule, severity, text, x[2 * i] AS match, length(array_to_string(x[1:2 * i - 1], ''))::INT AS start FROM (SELECT *, unnest(range(1, (len(x) - 1) // 2 + 1)) AS i FROM m WHERE len(x) > 1))
 SELECT doc_id, rule, severity, match, start, (length(substr(text, 1, start)) - length(replace(substr(text, 1, start), chr(10), '')) + 1)::INT AS line,
-       (length(string_split(substr(text, 1, start), chr(10))[-1]) + 1)::INT AS column FROM h"""
+       (length(string_split(substr(text, 1, start), chr(10))[-1]) + 1)::INT AS column FROM h
+WHERE rule <> 10 OR (NOT regexp_matches(match, {Q(_no_look(ru.EVIDENCE))}) AND NOT regexp_matches(match, {Q(ru.MECHANISM)}))"""
 
 
 SQL["r17_located_findings"] = _located()
@@ -173,7 +176,7 @@ def _prose(x: str) -> str:
     out = f"regexp_replace({out}, {Q(mk.REFERENCE)}, ' ', 'g')"
     out = f"regexp_replace({out}, '\\\\[A-Za-z@]+\\*?', ' ', 'g')"
     out = f"lower(replace({out}, '’', chr(39)))"
-    for old, new in mk.CONTRACTIONS:
+    for old, new in [(o, n.replace("$1", chr(92) + "1")) for o, n in mk.CONTRACTIONS]:
         out = f"regexp_replace({out}, {Q(old)}, {Q(new)}, 'g')"
     return f"regexp_replace({out}, '\\bnot\\s+only\\b', 'not_only', 'g')"
 
@@ -404,8 +407,8 @@ SQL |= {
     "snk8_upsert": "SELECT doc_id, 'new' AS origin FROM labels WHERE quality = 1 AND doc_id IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'old' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "j29_wiring": D + "SELECT a.anchor, count(l.line)::BIGINT AS n, count(l.line) = 1 AS wired FROM (VALUES ('technical packaging'), ('no such anchor'), ('Introduction')) a(anchor) LEFT JOIN (SELECT unnest(string_split(text, chr(10))) AS line FROM docs) l ON contains(l.line, a.anchor) GROUP BY a.anchor",
     "g2_reachability": """WITH RECURSIVE edges AS (SELECT DISTINCT doc_id AS src, (doc_id * 7 + 3) % (SELECT count(*) FROM documents) AS dst FROM documents WHERE doc_id % 5 <> 0 UNION SELECT doc_id, doc_id + 1 FROM documents WHERE doc_id % 4 = 1),
-walk AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 32)
-SELECT node::BIGINT AS node, min(depth)::INT AS depth FROM walk GROUP BY node""",
+walk(node, depth) USING KEY (node) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, min(w.depth) + 1 FROM walk w JOIN edges e ON e.src = w.node LEFT JOIN recurring.walk r ON r.node = e.dst WHERE r.node IS NULL GROUP BY e.dst)
+SELECT node::BIGINT AS node, depth::INT AS depth FROM walk""",
     "j30_missing_labels": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "j26_rule_sets": "SELECT lang, 'missing' AS side FROM (SELECT DISTINCT lang FROM documents) WHERE lang NOT IN ('en', 'it') UNION ALL SELECT 'it', 'extra'",
     "a29_command_coverage": D + "SELECT source, count_if(regexp_matches(text, '\\\\cite'))::BIGINT AS cite, count_if(regexp_matches(text, '\\\\ref'))::BIGINT AS ref, count_if(regexp_matches(text, '\\\\label'))::BIGINT AS label FROM docs GROUP BY source",
