@@ -41,6 +41,14 @@ def opening(sentence: Column | str) -> Column:
     )
 
 
+OPENINGS = ["connective", "clause", "prepositional_phrase", "adverbial", "noun_phrase_subject", "other"]
+
+
+def _flag(kind: Column) -> Column:
+    """A bit for each kind of opening, so that kinds are counted without a list."""
+    return reduce(lambda out, x: F.when(kind == x[1], F.lit(1 << x[0])).otherwise(out), enumerate(OPENINGS), F.lit(None).cast("int"))
+
+
 def hedge_count(text: Column) -> Column:
     return reduce(lambda a, h: a + F.regexp_count(text, F.lit(rf"(?i)\b{h}\b")), HEDGES, F.lit(0))
 
@@ -67,6 +75,8 @@ def paragraph_rows(docs: DataFrame, keep: list[str], text: str = "text") -> Data
         .withColumn("contributions", F.regexp_count("paragraph", F.lit(CONTRIBUTION)))
         .withColumn("limitations", F.regexp_count("paragraph", F.lit(LIMITATION)))
         .withColumn("gap_sum", gaps)
+        .withColumn("openings", F.aggregate(F.transform("sentences", lambda x: _flag(x["opening"])), F.lit(0), lambda a, x: a.bitwiseOR(x)))
+        .withColumn("first_opening", F.coalesce(_flag(F.get("sentences", F.lit(0))["opening"]), F.lit(0)))
     )
 
 
@@ -98,6 +108,9 @@ def metrics(paras: DataFrame, by: list[str]) -> DataFrame:
         F.sum("contributions").alias("contribution_move_count"),
         F.sum("limitations").alias("limitation_move_count"),
         F.avg(F.col("gap_sum") / (F.size("sentences") - 1)).alias("alternation"),
+        F.count_if(F.size("sentences") > 0).alias("paragraph_opening_count"),
+        F.bit_count(F.bit_or("openings")).alias("opening_type_count"),
+        F.bit_count(F.bit_or("first_opening")).alias("paragraph_opening_type_count"),
     )
     n = F.col("sentence_count")
     safe = F.greatest(n, F.lit(1))
@@ -108,7 +121,7 @@ def metrics(paras: DataFrame, by: list[str]) -> DataFrame:
         F.coalesce("min_sentence_length", F.lit(0)).alias("min_sentence_length"),
         F.coalesce("max_sentence_length", F.lit(0)).alias("max_sentence_length"),
         F.coalesce("max_hedges_in_sentence", F.lit(0)).alias("max_hedges_in_sentence"),
-        "passive_sentences", "hedge_count", "connective_count", "em_dashes", "first_person",
+        "passive_sentences", "hedge_count", "connective_count", "em_dashes", "first_person", "paragraph_opening_count", "opening_type_count", "paragraph_opening_type_count",
         (F.col("word_count") / F.col("paragraph_count")).alias("mean_paragraph_words"),
         (n / F.col("paragraph_count")).alias("mean_sentences_per_paragraph"),
         (F.col("length_sum") / safe).alias("mean_sentence_length"),
@@ -124,18 +137,32 @@ def metrics(paras: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """docs with the LaTeX of `.tex` texts removed; without a column `suffix` no text
+    is one."""
+    return docs.withColumn("text", F.when(F.col("suffix") == ".tex", tx.without_latex("text")).otherwise(F.col("text"))) if "suffix" in docs.columns else docs
+
+
 def by_document(docs: DataFrame) -> DataFrame:
-    return metrics(paragraph_rows(docs, ["doc_id"]), ["doc_id"])
+    return metrics(paragraph_rows(plain(docs), ["doc_id"]), ["doc_id"])
+
+
+def _bodies(docs: DataFrame) -> DataFrame:
+    """Sections without the preamble, typed; LaTeX goes from the bodies, as headings
+    are LaTeX too."""
+    more = ["suffix"] if "suffix" in docs.columns else []
+    rows = tx.sections(docs, "text", ["doc_id", *more]).where("title <> 'Preamble'").withColumn("section_type", tx.section_type("title"))
+    return plain(rows.withColumnRenamed("body", "text")).withColumnRenamed("text", "body")
 
 
 def by_section(docs: DataFrame) -> DataFrame:
-    body = tx.sections(docs, "text", ["doc_id"]).where("title <> 'Preamble'").withColumn("section_type", tx.section_type("title"))
+    body = _bodies(docs)
     return metrics(paragraph_rows(body, ["doc_id", "sec_no", "title", "section_type"], "body"), ["doc_id", "sec_no", "title", "section_type"])
 
 
 def by_section_type(docs: DataFrame) -> DataFrame:
     """Types pooled over a document's sections: metrics of the joint paragraphs."""
-    body = tx.sections(docs, "text", ["doc_id"]).where("title <> 'Preamble'").withColumn("section_type", tx.section_type("title"))
+    body = _bodies(docs)
     return metrics(paragraph_rows(body, ["doc_id", "section_type"], "body"), ["doc_id", "section_type"])
 
 

@@ -12,6 +12,8 @@ from . import rules
 #: shared four-word expressions that are reported
 EXPRESSIONS = 20
 PASSES = ["P1", "P2", "P3", "P4", "P5"]
+#: fixed values: words whose change is one of claim scope
+CLAIM_WORDS = r"(?i)\b(?:may|might|could|suggests?|shows?|proves?|guarantees?|always|never)\b"
 
 
 def adjacent(stages: DataFrame) -> DataFrame:
@@ -76,12 +78,12 @@ def classified(pairs: DataFrame) -> DataFrame:
     """The passes that a change of one text belongs to."""
     count = lambda t: F.array_sort(F.transform(rules.hits(t), lambda h: h["rule"]))
     three = lambda t: F.size(F.filter(count(t), lambda r: r == 3))
-    numbers = lambda t: tx.every(t, r"\d+(?:\.\d+)?")
+    scope = lambda t: tx.every(t, CLAIM_WORDS)
     status = F.when(F.col("before") == F.col("after"), "equal").when(F.trim("before") == "", "inserted").when(F.trim("after") == "", "deleted").otherwise("modified")
     rows = pairs.withColumn("status", status)
     passes = F.array_compact(
         F.array(
-            F.when(numbers("before") != numbers("after"), "P1"),
+            F.when(scope("before") != scope("after"), "P1"),
             F.when(F.col("status").isin("inserted", "deleted"), "P2"),
             F.when(three("before") != three("after"), "P3"),
             F.when(F.col("status") == "modified", "P4"),

@@ -10,15 +10,16 @@ from . import align
 from . import markers as mk
 
 
-def scoped_differences(pairs: DataFrame) -> DataFrame:
+def scoped_differences(pairs: DataFrame, once: tuple[str, ...] = ()) -> DataFrame:
     """Markers removed and added between aligned scopes; all markers of a scope
-    without partner were removed or added.  Scopes without markers give no row."""
+    without partner were removed or added.  Scopes without markers give no row.  Kinds in
+    `once` count once in a scope, however often they stand there."""
     cut = pairs.select("pair_id", tx.scopes(mk.prose("before")).alias("old"), tx.scopes(mk.prose("after")).alias("new"))
     aligned = align.scopes(cut)
 
     def side(column: str, at: str, n: str) -> DataFrame:
         rows = cut.select("pair_id", F.posexplode(column).alias(at, "_text")).select("pair_id", at, F.explode(mk.claims("_text")).alias("value"))
-        return rows.groupBy("pair_id", at, "value").agg(F.count("*").alias(n))
+        return rows.groupBy("pair_id", at, "value").agg((F.when(F.substring_index("value", ":", 1).isin(*once), 1).otherwise(F.count("*")) if once else F.count("*")).cast("long").alias(n))
 
     old = side("old", "old_at", "n_old").join(aligned.select("pair_id", "old_at", "new_at"), ["pair_id", "old_at"], "left")
     old = old.select("pair_id", F.coalesce(F.col("new_at"), -1 - F.col("old_at")).alias("scope"), "value", "n_old")

@@ -14,6 +14,7 @@ from . import markers as mk
 #: terms that the registered queries protect
 TERMS = ["bootstrapping", "ciphertext", "key-switching", "FHE"]
 IMMUTABLE = {"numbers_units": mk.unit_numbers, "latex_keys": mk.reference_families, "math": mk.math_canonical, "glossary_terms": lambda t: mk.term_counts(t, TERMS), "claims": mk.claims}
+#: categories of the guard that are counted over whole texts
 GUARD = {"numbers": mk.numbers, "references": mk.references, "math": mk.math, "terms": lambda t: mk.term_counts(t, TERMS)}
 
 #: fixed values: ladders of claim strength, weakest first, and their anchors
@@ -37,6 +38,7 @@ ANCHORS = {
     "privacy_guarantee": ["privacy", "security", "secrecy", "indistinguishability", "hiding", "binding", "zero-knowledge", "soundness", "correctness"],
     "exactness": ["arithmetic", "homomorphic", "encryption", "computation", "evaluation", "result", "scheme", "HE", "CKKS", "BFV", "BGV", "TFHE"],
 }
+#: fixed values: opposite comparisons, and the words that weaken or bound a claim
 COMPARISONS = {"performance": (["outperforms", "outperform", "outperformed"], ["underperforms", "underperform", "underperformed"]), "magnitude": (["higher", "greater", "larger"], ["lower", "less", "smaller"]), "speed": (["faster"], ["slower"]), "quality": (["better", "superior"], ["worse", "inferior"])}
 NEGATION = r"(?i)\b(?:not|no|never|without|neither|nor|none|cannot|can['’]t|(?:is|are|was|were|do|does|did|has|have|had|would|should|could|might|must|need)n['’]t)\b"
 MODAL = r"(?i)\b(?:may|might|could|can|should|would)\b"
@@ -59,20 +61,46 @@ def category_report(diff: DataFrame, key: str = "pair_id") -> DataFrame:
     return rows.select(key, "category", F.array_join("gone", "|").alias("removed"), F.array_join("came", "|").alias("added"), F.array_join(changed, "|").alias("changed"), F.greatest(F.size("gone"), F.size("came")).alias("violations"))
 
 
+def _figures(pairs: DataFrame, make) -> DataFrame:  # type: ignore[no-untyped-def]
+    """Differences of figures and tables, as rows of `differences`."""
+    side = lambda s: make(pairs, "pair_id", s).select("pair_id", F.lit(s).alias("side"), F.lit("figures").alias("category"), "value")
+    rows = mk.counted(side("before").unionByName(side("after")))
+    return rows.select("pair_id", "category", "value", F.greatest(F.col("before") - F.col("after"), F.lit(0)).alias("removed"), F.greatest(F.col("after") - F.col("before"), F.lit(0)).alias("added")).where("removed + added > 0")
+
+
+def immutable_differences(pairs: DataFrame) -> DataFrame:
+    """All six categories."""
+    return differences(pairs).unionByName(_figures(pairs, mk.figures))
+
+
 def immutable_verdict(pairs: DataFrame) -> DataFrame:
     """Violations over all categories, zero for pairs without any."""
-    own = category_report(differences(pairs)).groupBy("pair_id").agg(F.sum("violations").alias("violations"))
+    own = category_report(immutable_differences(pairs)).groupBy("pair_id").agg(F.sum("violations").alias("violations"))
     return pairs.select("pair_id").join(own, "pair_id", "left").select("pair_id", F.coalesce("violations", F.lit(0)).cast("long").alias("violations"), F.col("violations").isNull().alias("passed"))
 
 
-def guard_verdict(pairs: DataFrame, allow: list[str] | None = None) -> DataFrame:
-    """Categories that differ; terms are reported but do not fail."""
-    own = differences(pairs, GUARD).groupBy("pair_id").agg(F.array_sort(F.collect_set("category")).alias("failed"))
+def _verdict(pairs: DataFrame, failed: DataFrame, allow: list[str] | None) -> DataFrame:
+    own = failed.groupBy("pair_id").agg(F.array_sort(F.collect_set("category")).alias("failed"))
     out = pairs.select("pair_id").join(own, "pair_id", "left").withColumn("failed", F.coalesce("failed", F.array().cast("array<string>")))
     blocking = F.array_except("failed", F.array(*[F.lit(x) for x in ["terms", *(allow or [])]]))
     return out.select("pair_id", F.array_join("failed", ",").alias("failed"), (F.size(blocking) == 0).alias("passed"))
 
 
+def frozen_verdict(pairs: DataFrame, allow: list[str] | None = None) -> DataFrame:
+    """J4 without claims: categories that differ; terms are reported but do not fail."""
+    return _verdict(pairs, differences(pairs, GUARD).unionByName(_figures(pairs, mk.guard_figures)), allow)
+
+
+def guard_verdict(pairs: DataFrame, allow: list[str] | None = None) -> DataFrame:
+    """Nine categories that block (numbers, references, math, figures, and five
+    classes of claim markers within aligned scopes), and terms, which are reported."""
+    from . import relocation  # it uses what stands here
+
+    claims = relocation.scoped_differences(pairs, once=("claim_strength",)).select("pair_id", F.substring_index("value", ":", 1).alias("category"))
+    own = differences(pairs, GUARD).unionByName(_figures(pairs, mk.guard_figures)).select("pair_id", "category")
+    return _verdict(pairs, own.unionByName(claims), allow)
+
+
 def figure_differences(pairs: DataFrame) -> DataFrame:
     """Labels and captions of figures and tables that changed."""
     side = lambda s: mk.figures(pairs, "pair_id", s).select("pair_id", F.lit(s).alias("side"), F.lit("figures").alias("category"), "value")
@@ -123,6 +151,18 @@ def moves(pairs: DataFrame, ladders: dict[str, list[list[str]]] = LADDERS, ancho
     return both.where("n.level <> o.level").select("pair_id", "ladder", "ordinal", F.lower("o.match").alias("original"), F.lower("n.match").alias("revised"), (F.col("n.level") - F.col("o.level")).alias("span"))
 
 
+def _levels(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("pair_id", "ladder").agg(F.array_sort(F.collect_list("level")).alias(name))
+
+
+def crypto_moves(pairs: DataFrame) -> DataFrame:
+    """Moves on all eight ladders, words next to their anchors only.  Where both
+    sides hold each level equally often nothing moved: at most, words changed place."""
+    old, new = (occurrences(pairs, CRYPTO, side, True) for side in ("before", "after"))
+    same = _levels(old, "a").join(_levels(new, "b"), ["pair_id", "ladder"]).where("a = b").select("pair_id", "ladder")
+    return moves(pairs, CRYPTO, True).join(same, ["pair_id", "ladder"], "left_anti")
+
+
 def candidates(pairs: DataFrame) -> DataFrame:
     """Upward moves of anchored ladders without an anchor on both sides."""
     own = {k: v for k, v in CRYPTO.items() if k in ANCHORS}
@@ -156,7 +196,7 @@ def strength_verdict(pairs: DataFrame) -> DataFrame:
     """Upward moves, removed negations and modals, flips and removed qualifiers; a
     negation `no` that went with `no leakage` is let off once for each such move."""
     up = moves(pairs).where("span > 0").select("pair_id")
-    crypto = moves(pairs, CRYPTO, True)
+    crypto = crypto_moves(pairs)
     down = crypto.where("span < 0 and ladder = 'leakage' and original = 'no leakage'").groupBy("pair_id").agg(F.count("*").alias("spared"))
     gone = removed_by_count(pairs, NEGATION, "negation").groupBy("pair_id").agg(F.count("*").alias("n"), F.count_if(F.lower("match") == "no").alias("no"))
     gone = gone.join(down, "pair_id", "left").select("pair_id", (F.col("n") - F.least("no", F.coalesce("spared", F.lit(0)))).alias("n"))

@@ -2,43 +2,59 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 #: fixed values: metrics whose distance is measured; the active ratio only describes
-METRICS = ["mean_sentence_length", "sentence_length_sd", "alternation_index", "connective_density", "em_dash_per_1000_words", "mean_paragraph_words", "paragraph_word_sd", "mean_sentences_per_paragraph", "passive_sentence_ratio", "active_sentence_ratio", "hedges_per_1000_words"]
+METRICS = ["mean_sentence_length", "sentence_length_sd", "mean_paragraph_words", "paragraph_word_sd", "mean_sentences_per_paragraph", "alternation_index", "connective_density", "active_sentence_ratio", "passive_sentence_ratio", "first_person_per_1000_words", "hedges_per_1000_words"]
 DESCRIPTIVE = ["active_sentence_ratio"]
 PARAGRAPH = ["mean_paragraph_words", "paragraph_word_sd", "mean_sentences_per_paragraph"]
-#: what preflight triggers on
-LOW_SD, MIN_SENTENCES, CONNECTIVES, HEDGES_IN_SENTENCE = 3.0, 3, 0.6, 2
-
-
-def distances(rows: DataFrame, key: str) -> DataFrame:
+#: fixed values: dimensions of a target, their pass, metrics, and the rules that spoil them
+DIMENSION_PASS = {"sentence_length": "P4", "paragraph_length": "P4", "opening_structure": "P4", "connectives": "P5", "hedging": "P5", "active_passive_by_section": "P6", "first_person": "P6"}
+DIMENSION_METRICS = {"sentence_length": ["mean_sentence_length", "sentence_length_sd", "alternation_index"], "paragraph_length": PARAGRAPH, "opening_structure": [], "connectives": ["connective_density"], "active_passive_by_section": ["active_sentence_ratio", "passive_sentence_ratio"], "first_person": ["first_person_per_1000_words"], "hedging": ["hedges_per_1000_words"]}
+DIMENSION_RULES = {"sentence_length": [6, 7, 8, 10, 12, 13, 14], "paragraph_length": [8], "opening_structure": [5, 6], "connectives": [5], "active_passive_by_section": [], "first_person": [], "hedging": [9], "claim_position": [1, 2, 3], "contribution_limitation_moves": [1, 2, 3]}
+#: fixed values: what holds where no exemplar gives a value
+RULE_VALUES = {
+    "sentence_length": {"mean_range_words": [12, 30], "minimum_sd_words": 4.0},
+    "paragraph_length": {"word_range": [40, 180], "sentences_per_paragraph": [2, 7]},
+    "opening_structure": {},
+    "connectives": {"maximum_per_sentence": 0.6},
+    "hedging": {},
+}
+#: fixed values: the least sentences whose lengths are judged, and limits of the policy
+MIN_SENTENCES, MIN_SD, DENSITY, MIN_WORDS = 4, 4.0, 0.6, 50
+
+
+def distances(rows: DataFrame, key: str, rule_sourced: tuple[str, ...] = (), passes: tuple[str, ...] = ("P4", "P5", "P6")) -> DataFrame:
     """Rows with (before, output, target) structs of metrics; for each metric
-    gaps to the target, convergence in percent, and one of five statuses."""
-    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"before.{m}").cast("double").alias("b"), F.col(f"output.{m}").cast("double").alias("o"), F.col(f"target.{m}").cast("double").alias("t")) for m in METRICS])
+    gaps to the target, convergence in percent, and one of five statuses.  Metrics
+    count to four places.  Not eligible are metrics that only describe, those of
+    paragraphs where a text has fewer than two, and those of dimensions whose target
+    is a rule or whose pass did not run."""
+    masked = {m for d, p in DIMENSION_PASS.items() if d in rule_sourced or p not in passes for m in DIMENSION_METRICS[d]} | set(DESCRIPTIVE)
+    value = lambda side, m: F.round(F.col(f"{side}.{m}").cast("double"), 4)
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), value("before", m).alias("b"), value("output", m).alias("o"), value("target", m).alias("t")) for m in METRICS])
     few = reduce(lambda a, s: a | (F.col(f"{s}.paragraph_count") < 2), ["before", "output", "target"], F.lit(False))
     x = rows.select(key, few.alias("few"), F.explode(each).alias("x")).select(key, "few", "x.*")
-    x = x.withColumn("gap_before", F.abs(F.col("b") - F.col("t"))).withColumn("gap_output", F.abs(F.col("o") - F.col("t")))
-    status = (
-        F.when((F.col("gap_before") == 0) & (F.col("gap_output") > 0), "diverged_from_exact_match")
-        .when(F.col("gap_before") == 0, "exact")
-        .when(F.col("gap_output") < F.col("gap_before"), "improved")
-        .when(F.col("gap_output") == F.col("gap_before"), "unchanged")
-        .otherwise("worsened")
-    )
-    eligible = ~F.col("metric").isin(DESCRIPTIVE) & ~(F.col("few") & F.col("metric").isin(PARAGRAPH))
+    x = x.withColumn("gap_before", F.round(F.abs(F.col("b") - F.col("t")), 6)).withColumn("gap_output", F.round(F.abs(F.col("o") - F.col("t")), 6))
+    gap = F.signum(F.col("gap_output") - F.col("gap_before"))
+    status = F.when(F.col("gap_before") == 0, F.when(F.col("gap_output") > 0, "diverged_from_exact_match").otherwise("exact_match_preserved"))
+    status = status.otherwise(F.when(gap < 0, "closer").when(gap > 0, "farther").otherwise("unchanged"))
+    eligible = ~F.col("metric").isin(*masked) & ~(F.col("few") & F.col("metric").isin(PARAGRAPH))
     scale = F.greatest(F.abs("t"), F.lit(1.0))
-    return x.select(key, "metric", status.alias("status"), eligible.alias("eligible"), F.when(F.col("gap_before") > 0, (1 - F.col("gap_output") / F.col("gap_before")) * 100).alias("convergence"), (F.col("gap_before") / scale).alias("scaled_before"), (F.col("gap_output") / scale).alias("scaled_output"))
+    return x.select(key, "metric", status.alias("status"), eligible.alias("eligible"), F.when(F.col("gap_before") > 0, F.round((1 - F.col("gap_output") / F.col("gap_before")) * 100, 4)).alias("convergence"), (F.col("gap_before") / scale).alias("scaled_before"), (F.col("gap_output") / scale).alias("scaled_output"))
 
 
 def structural(dist: DataFrame, key: str) -> DataFrame:
-    """Eligible and improved metrics of each case, and whether the mean gap fell."""
-    rows = dist.where("eligible").groupBy(key).agg(F.count("*").alias("eligible"), F.count_if(F.col("status") == "improved").alias("improved"), F.avg("scaled_before").alias("b"), F.avg("scaled_output").alias("o"))
-    return rows.select(key, "eligible", "improved", (F.col("o") < F.col("b")).alias("closer"))
+    """Eligible metrics of each case, those that came closer, and by how many percent
+    the mean of the scaled gaps fell (null where it was zero)."""
+    rows = dist.where("eligible").groupBy(key).agg(F.count("*").alias("eligible"), F.count_if(F.col("status") == "closer").alias("closer"), F.avg("scaled_before").alias("b"), F.avg("scaled_output").alias("o"))
+    return rows.select(key, "eligible", "closer", F.when(F.col("b") > 0, F.round((1 - F.col("o") / F.col("b")) * 100, 4)).alias("convergence"))
 
 
 def rule_convergence(counts: DataFrame, key: str) -> DataFrame:
@@ -55,23 +71,51 @@ def overall(structural_closer: Column, rule_status: Column, preserved: Column) -
     return F.when(~preserved, "not_preserved").when(rule_status == "worsened", "worsened").when(structural_closer & rule_status.isin("improved", "insufficient_signal"), "improved").otherwise("mixed")
 
 
-def preflight(measured: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Triggers from metrics and rule hits; revise if there is any."""
-    hits = found.groupBy(key).agg(F.array_sort(F.collect_set(F.concat(F.lit("R"), F.col("rule").cast("string")))).alias("rules"))
+def _outside(metric: str, low: float, high: float) -> Column:
+    return ~F.round(metric, 4).between(low, high)
+
+
+def _triggers(fields: dict[str, dict], from_rules: frozenset[str] | None) -> list[Column]:
+    """What fields of a target ask for, each as a name where it is not met.
+    from_rules: the fields whose value is a rule (None: all)."""
+    known = {f: fields[f] for f in ("sentence_length", "paragraph_length", "opening_structure", "connectives", "hedging") if f in fields}
+    lengths, paras, hedging = (known.get(f, {}) for f in ("sentence_length", "paragraph_length", "hedging"))
+    by = "RULE" if from_rules is None or "sentence_length" in from_rules else "TARGET"
+    enough, many = F.col("sentence_count") >= MIN_SENTENCES, F.col("paragraph_count") > 1
+    out = []
+
+    def ask(name: str, missed: Column) -> None:
+        out.append(F.when(missed, F.lit(name)))
+
+    if "mean_range_words" in lengths:
+        ask(f"P4_{by}_SENTENCE_MEAN_OUT_OF_RANGE", enough & _outside("mean_sentence_length", *lengths["mean_range_words"]))
+    if "minimum_sd_words" in lengths:
+        ask(f"P4_{by}_SENTENCE_SD_LOW", enough & (F.round("sentence_length_sd", 4) < lengths["minimum_sd_words"]) & (F.col("opening_type_count") <= 1))
+    if "word_range" in paras:
+        ask("P4_PARAGRAPH_WORDS_OUT_OF_RANGE", many & _outside("mean_paragraph_words", *paras["word_range"]))
+    if "sentences_per_paragraph" in paras:
+        ask("P4_PARAGRAPH_SENTENCES_OUT_OF_RANGE", many & _outside("mean_sentences_per_paragraph", *paras["sentences_per_paragraph"]))
+    if "minimum_distinct_types" in known.get("opening_structure", {}):
+        ask("P4_OPENING_DIVERSITY_LOW", many & (F.col("paragraph_opening_type_count") < known["opening_structure"]["minimum_distinct_types"]))
+    if "connectives" in known:
+        limit = known["connectives"].get("maximum_per_sentence")
+        ask("P5_CONNECTIVE_DENSITY_ABOVE_POLICY" if limit is None else "P5_CONNECTIVE_DENSITY_ABOVE_LIMIT", F.round("connective_density", 4) > (DENSITY if limit is None else limit))
+    if "maximum_per_1000_words" in hedging:
+        ask("P5_HEDGE_DENSITY_ABOVE_LIMIT", F.round("hedges_per_1000_words", 4) > hedging["maximum_per_1000_words"])
+    if "maximum_layers_per_sentence" in hedging:
+        ask("P5_HEDGE_LAYER_COUNT_ABOVE_LIMIT", F.col("max_hedges_in_sentence") > hedging["maximum_layers_per_sentence"])
+    return out
+
+
+def preflight(measured: DataFrame, found: DataFrame, key: str = "doc_id", fields: dict[str, dict] = RULE_VALUES, from_rules: frozenset[str] | None = None) -> DataFrame:
+    """Triggers from metrics and rule hits, in order of their names;
+    revise if there is any."""
+    name = F.concat(F.lit("P5_AI_R"), F.lpad(F.col("rule").cast("string"), 2, "0"))
+    hits = found.groupBy(key).agg(F.collect_set(name).alias("rules"))
     rows = measured.join(hits, key, "left")
-    triggers = F.concat(
-        F.array_compact(
-            F.array(
-                F.when((F.col("sentence_count") >= MIN_SENTENCES) & (F.col("sentence_length_sd") < LOW_SD), "low_variance"),
-                F.when((F.col("paragraph_count") > 1) & (F.col("paragraph_word_sd") < 1), "uniform_paragraphs"),
-                F.when(F.col("connective_density") > CONNECTIVES, "connective_ceiling"),
-                F.when(F.col("max_hedges_in_sentence") > HEDGES_IN_SENTENCE, "hedge_ceiling"),
-            )
-        ),
-        F.coalesce("rules", F.array().cast("array<string>")),
-    )
-    decision = F.when(F.col("sentence_count") == 0, "no_prose").when(F.size(triggers) > 0, "revise").otherwise("preserve")
-    return rows.select(key, F.array_join(triggers, ",").alias("triggers"), decision.alias("decision"))
+    none = F.array().cast("array<string>")
+    triggers = F.array_sort(F.concat(F.array_compact(F.array(*_triggers(fields, from_rules))), F.coalesce("rules", none)))
+    return rows.select(key, F.array_join(triggers, ",").alias("triggers"), F.when(F.size(triggers) > 0, "revise").otherwise("preserve").alias("decision"))
 
 
 PROFILE = "venue string, field string, source string, confidence string, value double, pass string"
@@ -104,11 +148,68 @@ def resolved(wanted: DataFrame, profile: DataFrame, passes: list[str]) -> DataFr
     return out.withColumn("status", status)
 
 
-def screening(measured: DataFrame, key: str = "doc_id") -> DataFrame:
-    """For each dimension, whether a text can serve as exemplar, and why not."""
-    dims = [("sentence_length", F.col("sentence_count") >= 5), ("length_variation", (F.col("sentence_count") >= 5) & (F.col("sentence_length_sd") > 0)), ("connectives", F.col("sentence_count") >= 5), ("paragraphs", F.col("paragraph_count") >= 2), ("paragraph_variation", (F.col("paragraph_count") >= 2) & (F.col("paragraph_word_sd") > 0)), ("voice", F.col("sentence_count") >= 5), ("hedging", F.col("word_count") >= 100), ("dashes", F.col("word_count") >= 100), ("claims", F.col("claim_sentence_count") >= 1)]
-    each = F.array(*[F.struct(F.lit(n).alias("dimension"), c.alias("ok")) for n, c in dims])
-    return measured.select(key, F.explode(each).alias("x")).select(key, "x.dimension", F.when(F.col("x.ok"), "exemplar").otherwise("rule").alias("source"))
+def screening(measured: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """For each dimension, whether a text can serve as exemplar, and if not, why.
+    found: findings of the rules (key, rule)."""
+    r4 = lambda c: F.round(c, 4)
+    thin = {
+        "sentence_length": ("sentence sample or variance below policy threshold", (F.col("sentence_count") < MIN_SENTENCES) | (r4("sentence_length_sd") < MIN_SD)),
+        "paragraph_length": ("fewer than 2 paragraphs", F.col("paragraph_count") < 2),
+        "opening_structure": ("fewer than 2 paragraphs with 2 distinct paragraph-opening types", F.least("paragraph_count", "paragraph_opening_count", "paragraph_opening_type_count") < 2),
+        "connectives": ("connective density exceeds policy threshold", r4("connective_density") > DENSITY),
+        "active_passive_by_section": ("too few sentences for a voice ratio", F.col("sentence_count") < MIN_SENTENCES),
+        "first_person": (f"fewer than {MIN_WORDS} words", F.col("word_count") < MIN_WORDS),
+        "hedging": ("no hedge observation", F.col("max_hedges_in_sentence") == 0),
+        "claim_position": ("no claim-position observation", F.col("claim_sentence_count") == 0),
+        "contribution_limitation_moves": ("no contribution or limitation move observed", F.col("contribution_move_count") + F.col("limitation_move_count") == 0),
+    }
+    hits = found.groupBy(key).agg(F.array_sort(F.collect_set("rule")).alias("rules"))
+    rows = measured.join(hits, key, "left").withColumn("rules", F.coalesce("rules", F.array().cast("array<int>")))
+
+    def dimension(name: str) -> Column:
+        hit = F.array_intersect("rules", F.array(*[F.lit(n) for n in DIMENSION_RULES[name]]).cast("array<int>"))
+        spoiled = F.when(F.size(hit) > 0, F.concat(F.lit("AI-tell rules hit: ["), F.array_join(F.transform(hit, lambda n: n.cast("string")), ", "), F.lit("]")))
+        why, short = thin[name]
+        return F.struct(F.lit(name).alias("dimension"), F.array_compact(F.array(spoiled, F.when(short, F.lit(why)))).alias("why"))
+
+    each = rows.select(key, F.explode(F.array(*[dimension(n) for n in DIMENSION_RULES])).alias("x")).select(key, "x.*")
+    clean = F.size("why") == 0
+    return each.select(key, "dimension", F.when(clean, "exemplar").otherwise("rule").alias("source"), F.when(clean, "clean and sufficiently observed").otherwise(F.array_join("why", "; ")).alias("reason"))
+
+
+def profile(measured: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The fields of a target built from one text: source and confidence of each
+    dimension, and its value as JSON; dimensions that a text cannot serve take the
+    values of the rules."""
+    r4 = lambda c: F.round(c, 4)
+    half = F.greatest(r4("sentence_length_sd") / 2, F.lit(1.0))
+    mean = r4("mean_sentence_length")
+    value = {
+        "sentence_length": F.struct(F.array(r4(F.greatest(F.lit(1.0), mean - half)), r4(mean + half)).alias("mean_range_words"), r4("sentence_length_sd").alias("minimum_sd_words"), F.struct("short_1_14", "medium_15_29", "long_30_plus").alias("distribution")),
+        "paragraph_length": F.struct(r4("mean_paragraph_words").alias("mean_words"), r4("paragraph_word_sd").alias("word_sd"), r4("mean_sentences_per_paragraph").alias("mean_sentences")),
+        "opening_structure": F.struct(F.col("paragraph_opening_type_count").alias("distinct_types")),
+        "connectives": F.struct(r4("connective_density").alias("density_per_sentence")),
+        "active_passive_by_section": F.struct(r4("active_sentence_ratio").alias("active_ratio"), r4("passive_sentence_ratio").alias("passive_ratio")),
+        "first_person": F.struct(r4("first_person_per_1000_words").alias("per_1000_words")),
+        "hedging": F.struct(r4("hedges_per_1000_words").alias("per_1000_words"), F.col("max_hedges_in_sentence").alias("maximum_layers_per_sentence")),
+        "claim_position": F.struct(F.col("claim_sentence_count").alias("observations")),
+        "contribution_limitation_moves": F.struct("contribution_move_count", "limitation_move_count", F.lit(True).alias("form_only")),
+    }
+    rules = F.create_map(*[F.lit(x) for d in DIMENSION_RULES for x in (d, json.dumps(RULE_VALUES.get(d, {}), separators=(",", ":")))])
+    own = reduce(lambda out, x: F.when(F.col("dimension") == x[0], F.to_json(x[1])).otherwise(out), value.items(), F.lit(None).cast("string"))
+    rows = screening(measured, found, key).join(measured, key)
+    taken = F.col("source") == "exemplar"
+    return rows.select(key, "dimension", "source", F.when(taken & (F.col("sentence_count") >= 8), "high").otherwise("medium").alias("confidence"), F.when(taken, own).otherwise(rules[F.col("dimension")]).alias("value"))
+
+
+def preserved(cases: DataFrame, key: str) -> DataFrame:
+    """Cases whose input already equals their target (before, output, target,
+    frozen: whether the guard passed, changes: how many the report names): whether
+    nothing was harmed.  Cases that are not of this kind give no row."""
+    even = lambda c: F.trim(tx.lf(c))
+    rows = cases.where(even("before") == even("target"))
+    same = even("output") == even("before")
+    return rows.select(key, same.alias("exact"), "frozen", (F.col("changes") == 0).alias("none_reported"), (same & F.col("frozen") & (F.col("changes") == 0)).alias("preserved"))
 
 
 def latest(versions: DataFrame) -> DataFrame:
@@ -120,7 +221,3 @@ def valid_range(low: Column, high: Column) -> Column:
     """A finite, ordered, non-negative range."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x < float("inf"))
     return F.coalesce(fine(low) & fine(high) & (low <= high), F.lit(False))
-
-
-def ranked(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("r", F.row_number().over(W.orderBy("pass", "field")))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from .functions import text as tx
 from .operators import fingerprint as fp
 from .operators import glossary as gl
+from .operators import history as hi
 from .operators import markers as mk
 from .operators import revision as rv
 from .operators import rules as ru
@@ -229,7 +230,7 @@ SQL |= {
     "j1_differences": _diff(_IMMUTABLE, "SELECT * FROM diff"),
     "j2_category_report": _diff(_IMMUTABLE, f", {_LISTS} SELECT pair_id, category, array_to_string(gone, '|') AS removed, array_to_string(came, '|') AS added, array_to_string(list_transform(range(1, least(len(gone), len(came)) + 1), lambda i: gone[i] || ' -> ' || came[i]), '|') AS changed, greatest(len(gone), len(came))::INT AS violations FROM rep"),
     "j3_immutable_verdict": _diff(_IMMUTABLE, f", {_LISTS}, v AS (SELECT pair_id, sum(greatest(len(gone), len(came)))::BIGINT AS n FROM rep GROUP BY pair_id) SELECT p.pair_id, coalesce(n, 0)::BIGINT AS violations, n IS NULL AS passed FROM pairs p LEFT JOIN v USING (pair_id)"),
-    "j4_guard_verdict": _diff(_GUARD, ", f AS (SELECT pair_id, list(DISTINCT category ORDER BY category) AS c FROM diff GROUP BY pair_id) SELECT p.pair_id, coalesce(array_to_string(c, ','), '') AS failed, coalesce(len(list_filter(c, lambda x: x <> 'terms')), 0) = 0 AS passed FROM pairs p LEFT JOIN f USING (pair_id)"),
+    "j4_frozen_verdict": _diff(_GUARD, ", f AS (SELECT pair_id, list(DISTINCT category ORDER BY category) AS c FROM diff GROUP BY pair_id) SELECT p.pair_id, coalesce(array_to_string(c, ','), '') AS failed, coalesce(len(list_filter(c, lambda x: x <> 'terms')), 0) = 0 AS passed FROM pairs p LEFT JOIN f USING (pair_id)"),
     "p28_claim_classes": f"{SIDES}, pr AS (SELECT pair_id, side, {_dbl(_prose('t'))} AS dbl FROM sides), long AS ({_claim_rows()}) SELECT pair_id, value, count(*)::BIGINT AS n FROM long WHERE side = 'before' GROUP BY ALL",
     "p20_references": f"{SIDES} SELECT pair_id, cmd || ':' || key AS value, count(*)::BIGINT AS n FROM {_REFS} WHERE side = 'before' GROUP BY ALL",
     "p19_numbers": f"{SIDES} SELECT pair_id, {SQ('m')} AS value, count(*)::BIGINT AS n FROM (SELECT pair_id, side, unnest(regexp_extract_all({_DBL_DOT}, {Q(_EDGE_NUMBER)}, 1)) AS m FROM sides WHERE side = 'before') GROUP BY ALL",
@@ -251,18 +252,65 @@ def _occurrences(ladders: dict, side: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+_NEAR_WORD = r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*"
+
+
+def _anchored(name: str, left: str, right: str) -> str:
+    """Whether an anchor of the ladder is one of the two words on either side."""
+    own = rv.ANCHORS.get(name)
+    if not own:
+        return "true"
+    any_of = "|".join([f"(?i:{a})" for a in own if not a.isupper()] + [a for a in own if a.isupper()])
+    before, after = rf"(?:^|[^A-Za-z0-9-])(?:{any_of})(?:\s+{_NEAR_WORD})?\s+$", rf"^\s+(?:{_NEAR_WORD}\s+)?(?:{any_of})(?:[^A-Za-z0-9-]|$)"
+    return f"(regexp_matches({left}, {Q(before)}) OR regexp_matches({right}, {Q(after)}))"
+
+
+def _crypto(side: str) -> str:
+    """Words of all eight ladders, with their level, and whether they are anchored."""
+    parts = []
+    for name, tiers in rv.CRYPTO.items():
+        level = {w.lower(): k for k, t in enumerate(tiers) for w in t}
+        case = " ".join(f"WHEN {Q(w)} THEN {k}" for w, k in level.items())
+        body = "|".join(sorted(level, key=lambda f: (-len(f), f)))
+        near = _anchored(name, "array_to_string(x[1:2 * i - 1], '')", "array_to_string(x[2 * i + 1:], '')")
+        parts.append(f"""SELECT pair_id, {Q(name)} AS ladder, i, lower(x[2 * i]) AS word, CASE lower(x[2 * i]) {case} END AS level, {near} AS anchored FROM (SELECT pair_id, x, unnest(range(1, (len(x) - 1) // 2 + 1)) AS i FROM (
+  SELECT pair_id, string_split(replace(regexp_replace({side}, {Q('(?i)' + chr(92) + 'b(?:' + body + ')' + chr(92) + 'b')}, chr(1) || '\\0' || chr(2), 'g'), chr(2), chr(1)), chr(1)) AS x FROM pairs))""")
+    return " UNION ALL ".join(parts)
+
+
+_NTH = "row_number() OVER (PARTITION BY pair_id, ladder ORDER BY i) AS ordinal"
+_CRYPTO = f"""ob AS MATERIALIZED ({_crypto('before')}), nb AS MATERIALIZED ({_crypto('after')}),
+oc AS (SELECT *, {_NTH} FROM ob WHERE anchored), nc AS (SELECT *, {_NTH} FROM nb WHERE anchored),
+same AS (SELECT pair_id, ladder FROM (SELECT pair_id, ladder, list_sort(list(level)) AS a FROM oc GROUP BY ALL) JOIN (SELECT pair_id, ladder, list_sort(list(level)) AS b FROM nc GROUP BY ALL) USING (pair_id, ladder) WHERE a = b),
+cm AS (SELECT pair_id, ladder, ordinal::INT AS ordinal, o.word AS original, n.word AS revised, (n.level - o.level)::INT AS span FROM oc o JOIN nc n USING (pair_id, ladder, ordinal) WHERE n.level <> o.level AND (pair_id, ladder) NOT IN (SELECT (pair_id, ladder) FROM same))"""
+
+
 def _moves(ladders: dict, where: str, columns: str) -> str:
     return f"""{P}, o AS ({_occurrences(ladders, 'before')}), n AS ({_occurrences(ladders, 'after')})
 SELECT {columns} FROM o JOIN n USING (pair_id, ladder, ordinal) WHERE {where}"""
 
 
-_PLAIN = {k: v for k, v in rv.CRYPTO.items() if k not in rv.ANCHORS}
+_QUALIFIERS = f"""qx AS (SELECT pair_id, after, string_split(replace(regexp_replace(before, {Q(rv.QUALIFIER)}, chr(1) || '\\0' || chr(2), 'g'), chr(2), chr(1)), chr(1)) AS x FROM pairs),
+qm AS (SELECT pair_id, after, x[2 * i] AS match, length(array_to_string(x[1:2 * i - 1], '')) AS start FROM (SELECT *, unnest(range(1, (len(x) - 1) // 2 + 1)) AS i FROM qx)),
+gone_q AS (SELECT pair_id, match, start FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, lower(match) ORDER BY start) AS r FROM qm) WHERE r > len(list_filter({ALL('after', rv.QUALIFIER)}, lambda m: lower(m) = lower(match))))"""
 _SIGNED = {k: [neg, pos] for k, (pos, neg) in rv.COMPARISONS.items()}
 _COLS = "pair_id, ladder, ordinal::INT AS ordinal, o.word AS original, n.word AS revised, (n.level - o.level)::INT AS span"
 _NEG = r"(?i)(?:^|[^\p{L}\p{N}_])(not|no|never|without|neither|nor|none|cannot|can['’]t|(?:is|are|was|were|do|does|did|has|have|had|would|should|could|might|must|need)n['’]t)(?:[^\p{L}\p{N}_]|$)"
 SQL |= {
     "j5_strength_moves": _moves(rv.LADDERS, "n.level <> o.level", _COLS),
-    "j12_crypto_moves": _moves(_PLAIN, "n.level <> o.level", _COLS),
+    "j12_crypto_moves": f"{P}, {_CRYPTO} SELECT * FROM cm",
+    "j13_candidates": f"""{P}, {_CRYPTO}, oa AS (SELECT *, {_NTH} FROM ob WHERE ladder IN ({", ".join(Q(x) for x in rv.ANCHORS)})), na AS (SELECT *, {_NTH} FROM nb)
+SELECT pair_id, ladder, o.word AS original, n.word AS revised FROM oa o JOIN na n USING (pair_id, ladder, ordinal) WHERE n.level > o.level AND NOT (o.anchored AND n.anchored)""",
+    "j8_removed_qualifiers": f"""{P}, {_QUALIFIERS} SELECT pair_id, match, start::INT AS start FROM gone_q""",
+    "strength_verdict": f"""{P}, {_CRYPTO}, {_QUALIFIERS}, up AS (SELECT pair_id FROM ({_moves(rv.LADDERS, "n.level > o.level", "pair_id").replace(P + ",", "WITH ", 1)})),
+fl AS (SELECT pair_id FROM ({_moves(_SIGNED, "n.level <> o.level", "pair_id").replace(P + ",", "WITH ", 1)})),
+c AS (SELECT pair_id, {ALL('before', rv.NEGATION)} AS nb, {N('after', rv.NEGATION)} AS na, {N('before', rv.MODAL)} - {N('after', rv.MODAL)} AS m FROM pairs),
+k AS (SELECT pair_id, greatest(len(nb) - na, 0) AS n, len(list_filter(nb[greatest(na, 0) + 1:], lambda x: lower(x) = 'no')) AS no, greatest(m, 0) AS m FROM c),
+sp AS (SELECT pair_id, count(*) AS spared FROM cm WHERE span < 0 AND ladder = 'leakage' AND original = 'no leakage' GROUP BY pair_id),
+t AS (SELECT pair_id, (SELECT count(*) FROM up WHERE up.pair_id = p.pair_id)::BIGINT AS upward, (k.n - least(CASE WHEN k.n > 0 THEN k.no ELSE 0 END, coalesce(spared, 0)))::BIGINT AS negations, k.m::BIGINT AS modals, (SELECT count(*) FROM fl WHERE fl.pair_id = p.pair_id)::BIGINT AS flips,
+  (SELECT count(*) FROM gone_q g WHERE g.pair_id = p.pair_id)::BIGINT AS qualifiers, (SELECT count(*) FROM cm WHERE cm.pair_id = p.pair_id AND span > 0)::BIGINT AS crypto_upward FROM pairs p JOIN k USING (pair_id) LEFT JOIN sp USING (pair_id))
+SELECT *, upward + negations + modals + flips + qualifiers + crypto_upward = 0 AS passed FROM t""",
+    "p14_claim_prose": f"{P} SELECT pair_id, {SQ(_prose('after'))} AS prose FROM pairs",
     "j6_comparison_flips": _moves(_SIGNED, "n.level <> o.level", "pair_id, ladder AS \"group\", ordinal::INT AS ordinal, o.word AS original, n.word AS revised"),
     "j7_removed_modals": f"""{P}, m AS (SELECT pair_id, list_transform(regexp_extract_all({_dbl('before')}, {Q(r'(?i)(?:^|[^\p{L}\p{N}_])(may|might|could|can|should|would)(?:[^\p{L}\p{N}_]|$)')}, 1), lambda x: lower(x)) AS b, len(regexp_extract_all({_dbl('after')}, {Q(r'(?i)(?:^|[^\p{L}\p{N}_])(?:may|might|could|can|should|would)(?:[^\p{L}\p{N}_]|$)')})) AS a FROM pairs)
 SELECT pair_id, unnest(b[a + 1:len(b)]) AS match FROM m WHERE len(b) > a""",
@@ -367,26 +415,59 @@ def _two_reports() -> str:
 
 
 _CHANGED = "ch AS (SELECT b.doc_id // 2 AS series, b.rule, b.hits AS n_before, a.hits AS n_after FROM rep b JOIN rep a ON a.doc_id = b.doc_id + 1 AND a.rule = b.rule WHERE b.doc_id % 2 = 0)"
+_R4 = lambda x: f"round(({x})::DOUBLE, 4)"
+#: all metrics of the target family, at four places
+_FULL = f"""alt AS (SELECT doc_id, avg(g) AS alternation FROM (SELECT doc_id, par_no, avg(abs(n - prev)) AS g FROM (SELECT *, lag(n) OVER (PARTITION BY doc_id, par_no ORDER BY k) AS prev FROM sen) WHERE prev IS NOT NULL GROUP BY ALL) GROUP BY doc_id),
+op AS (SELECT doc_id, count(DISTINCT opening) AS kinds, count(DISTINCT opening) FILTER (k = 0) AS first_kinds, count(*) FILTER (k = 0) AS firsts FROM sen GROUP BY doc_id),
+raw_m AS (SELECT doc_id, paragraph_count, word_count, coalesce(sentence_count, 0) AS sentence_count, greatest(coalesce(sentence_count, 0), 1) AS safe, coalesce(kinds, 0) AS kinds, coalesce(first_kinds, 0) AS first_kinds, coalesce(firsts, 0) AS firsts, coalesce(max_h, 0) AS max_h, coalesce(claims, 0) AS claims, contribution_move_count, limitation_move_count, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2, w2, coalesce(alternation, 0) AS alternation, coalesce(con, 0) AS con, coalesce(passive, 0) AS passive, first_person, coalesce(hedges, 0) AS hedges
+  FROM ps LEFT JOIN ss USING (doc_id) LEFT JOIN alt USING (doc_id) LEFT JOIN op USING (doc_id)),
+full_m AS (SELECT doc_id, paragraph_count, word_count, sentence_count, kinds, first_kinds, firsts, max_h, claims, contribution_move_count, limitation_move_count, {_R4('n1 / safe')} AS mean_sentence_length,
+  {_R4('sqrt(greatest(0.0::DOUBLE, (n2 * sentence_count - n1 * n1)::DOUBLE)) / safe')} AS sentence_length_sd, {_R4('word_count / paragraph_count')} AS mean_paragraph_words, {_R4('sqrt(greatest(0.0::DOUBLE, (w2 * paragraph_count - word_count * word_count)::DOUBLE)) / paragraph_count')} AS paragraph_word_sd,
+  {_R4('sentence_count / paragraph_count')} AS mean_sentences_per_paragraph, {_R4('alternation')} AS alternation_index, {_R4('con / safe')} AS connective_density, {_R4('(sentence_count - passive) / safe')} AS active_sentence_ratio, {_R4('passive / safe')} AS passive_sentence_ratio,
+  {_R4('first_person * 1000 / greatest(word_count, 1)')} AS first_person_per_1000_words, {_R4('hedges * 1000 / greatest(word_count, 1)')} AS hedges_per_1000_words FROM raw_m)"""
+_THIN = {
+    "sentence_length": ("6, 7, 8, 10, 12, 13, 14", "sentence_count < 4 OR sentence_length_sd < 4", "sentence sample or variance below policy threshold"),
+    "paragraph_length": ("8", "paragraph_count < 2", "fewer than 2 paragraphs"),
+    "opening_structure": ("5, 6", "paragraph_count < 2 OR firsts < 2 OR first_kinds < 2", "fewer than 2 paragraphs with 2 distinct paragraph-opening types"),
+    "connectives": ("5", "connective_density > 0.6::DOUBLE", "connective density exceeds policy threshold"),
+    "active_passive_by_section": ("", "sentence_count < 4", "too few sentences for a voice ratio"),
+    "first_person": ("", "word_count < 50", "fewer than 50 words"),
+    "hedging": ("9", "max_h = 0", "no hedge observation"),
+    "claim_position": ("1, 2, 3", "claims = 0", "no claim-position observation"),
+    "contribution_limitation_moves": ("1, 2, 3", "contribution_move_count = 0 AND limitation_move_count = 0", "no contribution or limitation move observed"),
+}
+_SCREENS = ", ".join(f"{{'dimension': {Q(d)}, 'hit': list_filter(coalesce(rules, []), lambda r: list_contains([{r}]::INT[], r)), 'thin': {c}, 'why': {Q(w)}}}" for d, (r, c, w) in _THIN.items())
 SQL |= {
     "a9_rule_changes": f"{_two_reports()}, {_CHANGED} SELECT series::BIGINT AS series, rule, n_before, n_after FROM ch WHERE n_before <> n_after",
     "a12_change_passes": f"""{_two_reports()}, {_CHANGED}, r AS (SELECT series, bool_or(n_before <> n_after) AS any_rule, bool_or(rule = 3 AND n_before <> n_after) AS three FROM ch GROUP BY series)
 SELECT pair_id AS series, CASE WHEN before = after THEN 'equal' ELSE 'modified' END AS status,
-  array_to_string(list_filter([CASE WHEN regexp_extract_all(before, '{_NUM}') <> regexp_extract_all(after, '{_NUM}') THEN 'P1' END, CASE WHEN three THEN 'P3' END, CASE WHEN before <> after THEN 'P4' END, CASE WHEN any_rule THEN 'P5' END], lambda x: x IS NOT NULL), ',') AS passes FROM pairs JOIN r ON r.series = pair_id""",
+  array_to_string(list_filter([CASE WHEN {ALL('before', hi.CLAIM_WORDS)} <> {ALL('after', hi.CLAIM_WORDS)} THEN 'P1' END, CASE WHEN three THEN 'P3' END, CASE WHEN before <> after THEN 'P4' END, CASE WHEN any_rule THEN 'P5' END], lambda x: x IS NOT NULL), ',') AS passes FROM pairs JOIN r ON r.series = pair_id""",
     "a21_rule_convergence": f"""{_two_reports()}, {_CHANGED}, t AS (SELECT series, rule, n_before, n_after AS n_output, (rule % 3 = 0)::INT AS n_target FROM ch),
 x AS (SELECT series, sum(abs(n_before - n_target))::BIGINT AS initial, sum(CASE WHEN n_before <> n_target THEN abs(n_output - n_target) ELSE 0 END)::BIGINT AS revised, count_if(n_before = n_target AND n_output <> n_target)::BIGINT AS off_target FROM t GROUP BY series)
 SELECT series::BIGINT AS series, initial, revised, off_target, CASE WHEN off_target > 0 THEN 'worsened' WHEN initial = 0 THEN 'insufficient_signal' WHEN revised < initial THEN 'improved' WHEN revised = initial THEN 'unchanged' ELSE 'worsened' END AS status FROM x""",
-    "a13_screening": f"""{DOC_BLOCK}, m AS ({_metrics('doc_id')}), v AS (SELECT doc_id, sqrt(greatest(0.0::DOUBLE, (w2 * paragraph_count - word_count * word_count)::DOUBLE)) / greatest(paragraph_count, 1) AS pw FROM ps)
-SELECT doc_id, d.dimension, CASE WHEN d.ok THEN 'exemplar' ELSE 'rule' END AS source FROM (SELECT doc_id, unnest([{{'dimension': 'sentence_length', 'ok': sentence_count >= 5}}, {{'dimension': 'length_variation', 'ok': sentence_count >= 5 AND sentence_length_sd > 0}}, {{'dimension': 'connectives', 'ok': sentence_count >= 5}}, {{'dimension': 'paragraphs', 'ok': paragraph_count >= 2}}, {{'dimension': 'paragraph_variation', 'ok': paragraph_count >= 2 AND pw > 0}}, {{'dimension': 'voice', 'ok': sentence_count >= 5}}, {{'dimension': 'hedging', 'ok': word_count >= 100}}, {{'dimension': 'dashes', 'ok': word_count >= 100}}, {{'dimension': 'claims', 'ok': claim_sentence_count >= 1}}]) AS d FROM m JOIN v USING (doc_id))""",
+    "a13_screening": f"""{DOC_BLOCK}, {_FULL}, {REPORT.split(',' + chr(10), 1)[1]},
+h AS (SELECT doc_id, list(rule ORDER BY rule) AS rules FROM rep WHERE hits > 0 GROUP BY doc_id),
+d AS (SELECT doc_id, unnest([{_SCREENS}], recursive := true) FROM full_m LEFT JOIN h USING (doc_id)),
+w AS (SELECT doc_id, dimension, list_filter([CASE WHEN len(hit) > 0 THEN 'AI-tell rules hit: [' || array_to_string(hit, ', ') || ']' END, CASE WHEN thin THEN why END], lambda x: x IS NOT NULL) AS why FROM d)
+SELECT doc_id, dimension, CASE WHEN len(why) = 0 THEN 'exemplar' ELSE 'rule' END AS source, CASE WHEN len(why) = 0 THEN 'clean and sufficiently observed' ELSE array_to_string(why, '; ') END AS reason FROM w""",
     "a15_resolved_fields": f"""WITH prof(venue, field, source, confidence, value, pass) AS (VALUES {_values(tg.PROFILES)}),
 w AS (SELECT doc_id AS key, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Journal  of Maps' WHEN 2 THEN 'Letters' ELSE 'Elsewhere' END AS venue FROM documents),
 k AS (SELECT key, w.venue AS asked, v.venue AS known FROM w LEFT JOIN (SELECT DISTINCT venue FROM prof) v ON trim(regexp_replace(lower(w.venue), '\\s+', ' ', 'g')) = v.venue),
 r AS (SELECT key, coalesce(known, 'default') AS venue, CASE WHEN asked IS NULL THEN 'unstated' WHEN known IS NULL THEN 'default' ELSE 'matched' END AS venue_match FROM k),
 g AS (SELECT r.key, r.venue, r.venue_match, count(p.field)::BIGINT AS fields, count_if(p.source = 'exemplar')::BIGINT AS exemplars FROM r LEFT JOIN prof p ON p.venue = r.venue AND p.pass IN ('P4', 'P5') GROUP BY ALL)
 SELECT *, CASE WHEN exemplars = 0 THEN 'none' WHEN exemplars = fields THEN 'ok' ELSE 'partial' END AS status FROM g""",
-    "a19_preflight": f"""{DOC_BLOCK}, m AS ({_metrics('doc_id')}), v AS (SELECT doc_id, sqrt(greatest(0.0::DOUBLE, (w2 * paragraph_count - word_count * word_count)::DOUBLE)) / greatest(paragraph_count, 1) AS pw FROM ps), {REPORT.split(',' + chr(10), 1)[1]},
-h AS (SELECT doc_id, list('R' || rule ORDER BY 'R' || rule) AS rules FROM rep WHERE hits > 0 GROUP BY doc_id),
-t AS (SELECT m.doc_id, sentence_count, list_concat(list_filter([CASE WHEN sentence_count >= 3 AND sentence_length_sd < 3.0 THEN 'low_variance' END, CASE WHEN paragraph_count > 1 AND pw < 1 THEN 'uniform_paragraphs' END, CASE WHEN connective_count / greatest(sentence_count, 1) > 0.6::DOUBLE THEN 'connective_ceiling' END, CASE WHEN max_hedges_in_sentence > 2 THEN 'hedge_ceiling' END], lambda x: x IS NOT NULL), coalesce(rules, [])) AS g FROM m JOIN v USING (doc_id) LEFT JOIN h USING (doc_id))
-SELECT doc_id, array_to_string(g, ',') AS triggers, CASE WHEN sentence_count = 0 THEN 'no_prose' WHEN len(g) > 0 THEN 'revise' ELSE 'preserve' END AS decision FROM t""",
+    "a19_preflight": f"""{DOC_BLOCK}, {_FULL}, {REPORT.split(',' + chr(10), 1)[1]},
+h AS (SELECT doc_id, list('P5_AI_R' || lpad(rule::VARCHAR, 2, '0')) AS rules FROM rep WHERE hits > 0 GROUP BY doc_id),
+t AS (SELECT doc_id, list_sort(list_concat(list_filter([CASE WHEN sentence_count >= 4 AND NOT mean_sentence_length BETWEEN 12 AND 30 THEN 'P4_RULE_SENTENCE_MEAN_OUT_OF_RANGE' END,
+  CASE WHEN sentence_count >= 4 AND sentence_length_sd < 4 AND kinds <= 1 THEN 'P4_RULE_SENTENCE_SD_LOW' END, CASE WHEN paragraph_count > 1 AND NOT mean_paragraph_words BETWEEN 40 AND 180 THEN 'P4_PARAGRAPH_WORDS_OUT_OF_RANGE' END,
+  CASE WHEN paragraph_count > 1 AND NOT mean_sentences_per_paragraph BETWEEN 2 AND 7 THEN 'P4_PARAGRAPH_SENTENCES_OUT_OF_RANGE' END, CASE WHEN connective_density > 0.6::DOUBLE THEN 'P5_CONNECTIVE_DENSITY_ABOVE_LIMIT' END], lambda x: x IS NOT NULL), coalesce(rules, []))) AS g FROM full_m LEFT JOIN h USING (doc_id))
+SELECT doc_id, array_to_string(g, ',') AS triggers, CASE WHEN len(g) > 0 THEN 'revise' ELSE 'preserve' END AS decision FROM t""",
+    "a20_distances": f"""WITH {seed.PAIRS_SQL}, src AS (SELECT pair_id * 2 AS doc_id, before AS text FROM pairs UNION ALL SELECT pair_id * 2 + 1, after FROM pairs), {_block("text", "doc_id")}, {_FULL},
+c AS (SELECT (b.doc_id // 2)::BIGINT AS doc_id, b, o, t, least(b.paragraph_count, o.paragraph_count, t.paragraph_count) < 2 AS few FROM full_m b JOIN full_m o ON o.doc_id = b.doc_id + 1 JOIN full_m t ON t.doc_id = b.doc_id - 2 WHERE b.doc_id % 2 = 0),
+e AS (SELECT doc_id, few, unnest([{", ".join(f"{{'metric': {Q(m)}, 'b': b.{m}, 'o': o.{m}, 't': t.{m}}}" for m in tg.METRICS)}], recursive := true) FROM c),
+g AS (SELECT *, round(abs(b - t), 6) AS gb, round(abs(o - t), 6) AS go, greatest(abs(t), 1) AS scale FROM e)
+SELECT doc_id, metric, CASE WHEN gb = 0 AND go > 0 THEN 'diverged_from_exact_match' WHEN gb = 0 THEN 'exact_match_preserved' WHEN go < gb THEN 'closer' WHEN go = gb THEN 'unchanged' ELSE 'farther' END AS status,
+  metric <> 'active_sentence_ratio' AND NOT (few AND metric IN ('mean_paragraph_words', 'paragraph_word_sd', 'mean_sentences_per_paragraph')) AS eligible, CASE WHEN gb > 0 THEN round((1 - go / gb) * 100, 4) END AS convergence, gb / scale AS scaled_before, go / scale AS scaled_output FROM g""",
 }
 
 _LINK = '(?is)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>'

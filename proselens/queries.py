@@ -99,19 +99,22 @@ def _swapped(pairs: DataFrame) -> DataFrame:
 
 def _pass_verdict(s: S, d: str) -> DataFrame:
     pairs, entries = _pairs(s, d), glossary.merged(glossary.layers(s))
-    report = revision.category_report(revision.differences(pairs))
+    report = revision.category_report(revision.immutable_differences(pairs))
     return glossary.pass_verdict(report, glossary.findings(pairs, entries), glossary.findings(_swapped(pairs), entries, True), glossary.findings(pairs, entries, True), pairs)
 
 
 def _contract(s: S, d: str) -> DataFrame:
-    """The four steps in order; the first that blocks is named, the last never blocks."""
+    """The four steps in order: immutable set, claim strength, terminology, and the
+    scan of the rules on the revision.  The first that blocks is named; the scan only
+    reports how many findings there are."""
     pairs, entries = _pairs(s, d), glossary.merged(glossary.layers(s))
     immutable = revision.immutable_verdict(pairs).select("pair_id", F.col("passed").alias("immutable"))
     strength = revision.strength_verdict(pairs).select("pair_id", F.col("passed").alias("strength"))
     terms = glossary.findings(pairs, entries).where("kind <> 'case_inconsistency'").groupBy("pair_id").agg(F.count("*").alias("n"))
-    rows = immutable.join(strength, "pair_id").join(terms, "pair_id", "left")
+    scan = pairs.select("pair_id", F.size(rules.hits("after")).alias("findings"))
+    rows = immutable.join(strength, "pair_id").join(scan, "pair_id").join(terms, "pair_id", "left")
     step = F.when(~F.col("immutable"), "immutable").when(~F.col("strength"), "strength").when(F.col("n") > 0, "terminology").otherwise("none")
-    return rows.select("pair_id", step.alias("blocked_by"), (step == "none").alias("proceed"))
+    return rows.select("pair_id", step.alias("blocked_by"), (step == "none").alias("proceed"), "findings")
 
 
 def _distances(s: S, d: str) -> DataFrame:
@@ -122,6 +125,14 @@ def _distances(s: S, d: str) -> DataFrame:
     return targets.distances(rows, "doc_id")
 
 
+def _preservation(s: S, d: str) -> DataFrame:
+    """Pairs as cases whose input is their target; the revision is the output."""
+    pairs = _pairs(s, d)
+    frozen = revision.frozen_verdict(pairs).select("pair_id", F.col("passed").alias("frozen"))
+    cases = pairs.join(frozen, "pair_id").select("pair_id", "before", F.col("after").alias("output"), F.col("before").alias("target"), "frozen", F.lit(0).alias("changes"))
+    return targets.preserved(cases, "pair_id")
+
+
 def _drift(s: S, d: str) -> DataFrame:
     measured = fingerprint.by_document(_docs(s, d)).join(_raw(s, d).select("doc_id", "source"), "doc_id")
     return fingerprint.compared(measured, fingerprint.baseline(measured, "source")).select("doc_id", "metric", "drift")
@@ -163,13 +174,14 @@ QUERIES = {
     "j2_category_report": lambda s, d: revision.category_report(revision.differences(_pairs(s, d))),
     "j3_immutable_verdict": lambda s, d: revision.immutable_verdict(_pairs(s, d)),
     "j4_guard_verdict": lambda s, d: revision.guard_verdict(_pairs(s, d)),
+    "j4_frozen_verdict": lambda s, d: revision.frozen_verdict(_pairs(s, d)),
     "p28_claim_classes": lambda s, d: _values(_pairs(s, d), markers.claims),
     "p20_references": lambda s, d: _values(_pairs(s, d), markers.references),
     "p19_numbers": lambda s, d: _values(_pairs(s, d), markers.numbers),
     "p22_math": lambda s, d: _values(_pairs(s, d), markers.math),
     "p27_terms": lambda s, d: _values(_pairs(s, d), lambda t: markers.term_counts(t, revision.TERMS)),
     "j5_strength_moves": lambda s, d: revision.moves(_pairs(s, d)),
-    "j12_crypto_moves": lambda s, d: revision.moves(_pairs(s, d), {k: v for k, v in revision.CRYPTO.items() if k not in revision.ANCHORS}),
+    "j12_crypto_moves": lambda s, d: revision.crypto_moves(_pairs(s, d)),
     "j6_comparison_flips": lambda s, d: revision.flips(_pairs(s, d)),
     "j7_removed_modals": lambda s, d: revision.removed_by_count(_pairs(s, d), revision.MODAL, "modal").select("pair_id", F.lower("match").alias("match")),
     "j28_merged_glossary": lambda s, d: _joined(glossary.merged(glossary.layers(s))),
@@ -187,7 +199,11 @@ QUERIES = {
     "a9_rule_changes": lambda s, d: history.rule_changes(_series(s, d)).drop("stage"),
     "a12_change_passes": lambda s, d: history.classified(_series(s, d)).select("series", "status", F.array_join("passes", ",").alias("passes")),
     "a21_rule_convergence": _rule_convergence,
-    "a13_screening": lambda s, d: targets.screening(fingerprint.by_document(_docs(s, d))),
+    "a13_screening": lambda s, d: targets.screening(fingerprint.by_document(_docs(s, d)), rules.findings(_docs(s, d))),
+    "a14_profile": lambda s, d: targets.profile(fingerprint.by_document(_docs(s, d)), rules.findings(_docs(s, d))),
+    "a20_structural": lambda s, d: targets.structural(_distances(s, d), "doc_id"),
+    "a23_preservation": _preservation,
+    "a1_latex_fingerprint": lambda s, d: fingerprint.by_document(_docs(s, d).withColumn("suffix", F.lit(".tex"))).select("doc_id", *oracles.METRIC_COLUMNS),
     "a15_resolved_fields": lambda s, d: targets.resolved(_wanted(s, d), targets.profiles(s), ["P4", "P5"]),
     "a19_preflight": lambda s, d: targets.preflight(fingerprint.by_document(_docs(s, d)), rules.findings(_docs(s, d))),
     "src16_links": lambda s, d: corpus.links(_pages(s, d)),
