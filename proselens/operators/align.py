@@ -2,103 +2,112 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import markers as mk
 
 #: fixed values: least similarity of scopes and of paragraphs, margin of doubt
 SCOPE, PARAGRAPH, MARGIN = 0.60, 0.20, 0.05
-STOP = frozenset("the is are was were be been being do does did has have had to of in on for from with by as at under during this that these those it its we our they their and or but".split())
-
-
-def ratio(a: list[str], b: list[str]) -> float:
-    """The larger of the similarities in order and as bags."""
-    return max(SequenceMatcher(None, a, b, autojunk=False).ratio(), SequenceMatcher(None, sorted(a), sorted(b), autojunk=False).ratio())
-
-
-def possible(a: list, b: list, least: float) -> bool:
-    """Whether lengths alone allow the similarity: twice the shorter over the sum."""
-    return bool(a or b) and 2 * min(len(a), len(b)) >= least * (len(a) + len(b))
-
-
-def greedy(scores: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
-    """One-to-one, best first, then the nearest places, then the earliest."""
-    used_a, used_b, out = set(), set(), []
-    for s, i, j in sorted(scores, key=lambda x: (-x[0], abs(x[1] - x[2]), x[1], x[2])):
-        if i not in used_a and j not in used_b:
-            used_a.add(i), used_b.add(j)
-            out.append((s, i, j))
-    return out
-
-
-def scope_pairs(old: list[list[str]], new: list[list[str]]) -> list[tuple[int, int, float]]:
-    """Aligned scopes; a scope whose two best partners are too close to call has none.
-
-    Equal scopes score 1, need no margin and so come first, the nearest places before
-    others.  What equals a scope of the other side then has a rival of 1 against any
-    other partner, so only scopes without an equal are compared, each with all of the
-    other side, as their rivals count too."""
-    old, new = [tuple(x) for x in old], [tuple(x) for x in new]
+#: fixed values: words that do not tell scopes apart
+STOP = frozenset("the is are was were be been being do does did have has had to of in on for from with by as at under during this that these those it its we our they their and or but".split())
+#: fixed values: endings of plurals and what stands for them, in words of more than four letters
+ENDINGS = [(re.compile("ies$"), "y"), (re.compile("(?<=[xz])es$|(?<=ch)es$|(?<=sh)es$|(?<=ss)es$"), ""), (re.compile("(?<![sui])s$"), "")]
+_MARKER = [re.compile(r"\b(?:" + "|".join(classes.values()) + r")\b") for classes in mk.CLASSES.values()]
+_TOKEN = re.compile("[a-z0-9_]+")
+
+
+def stem(word: str) -> str:
+    """A word without the ending of its plural."""
+    if len(word) > 4:
+        for ending, other in ENDINGS:
+            if ending.search(word):
+                return ending.sub(other, word)
+    return word
+
+
+def scope_words(scope: str) -> tuple[list[str], bool]:
+    """The words that scopes are compared by, without stop words and claim
+    markers; and whether the scope has a marker."""
+    marked = [m.span() for p in _MARKER for m in p.finditer(scope)]
+    free = [t for t in _TOKEN.finditer(scope) if t[0] not in STOP and all(t.end() <= a or b <= t.start() for a, b in marked)]
+    return [stem(t[0]) for t in free], bool(marked)
+
+
+def scope_pairs(old: list[tuple[list[str], bool]], new: list[tuple[list[str], bool]]) -> list[tuple[int, int, float]]:
+    """Aligned scopes, one to one, the most similar first, then the nearest, then the
+    earliest.  A scope with a marker, whose two best partners are less than MARGIN
+    apart, has none.
+
+    Similarity is that of the words in order or in any order, whichever is more; as
+    what is in order is also in any order, it is twice the words in common over all.
+    Scopes with the same words are paired class by class; other classes are compared
+    only if they share words enough."""
     at_old, at_new = _places(old), _places(new)
-    out = [(1.0, i, j) for x in at_old.keys() & at_new.keys() if x for i, j in nearest(at_old[x], at_new[x])]
-    rows, columns = at_old.keys() - at_new.keys(), at_new.keys() - at_old.keys()
-    with_old, with_new = _holders(at_old), _holders(at_new)
-    scores = {}
-    for x in rows:
-        scores |= {(x, y): s for y in _sharing(x, with_new) if (s := _score(x, y)) >= SCOPE}
-    for y in columns:
-        scores |= {(x, y): s for x in _sharing(y, with_old) if (x, y) not in scores and (s := _score(x, y)) >= SCOPE}
-    # by place of either side: the two best of a line, one for a pair's own place
-    best_old: dict = defaultdict(list)
-    best_new: dict = defaultdict(list)
-    for (x, y), s in scores.items():
-        best_old[x] = sorted([*best_old[x], *[s] * min(2, len(at_new[y]))])[-2:]
-        best_new[y] = sorted([*best_new[y], *[s] * min(2, len(at_old[x]))])[-2:]
-    kept = []
-    for (x, y), s in scores.items():
-        if x in rows and y in columns:
-            rival = max(_without(best_old[x], s), _without(best_new[y], s))
-            if s - rival >= MARGIN:
-                kept += [(s, i, j) for i in at_old[x] for j in at_new[y]]
-    return [(i, j, s) for s, i, j in sorted(out + greedy(kept), key=lambda x: x[1])]
-
-
-def _places(scopes_: list[tuple[str, ...]]) -> dict[tuple[str, ...], list[int]]:
-    out: dict[tuple[str, ...], list[int]] = defaultdict(list)
-    for k, x in enumerate(scopes_):
-        out[x].append(k)
+    scores = _similar(at_old, at_new)
+    out_old, out_new = _doubtful(old, at_old, at_new, scores, 0), _doubtful(new, at_new, at_old, scores, 1)
+    free_old = {x: [i for i in own if i not in out_old] for x, own in at_old.items()}
+    free_new = {x: [j for j in own if j not in out_new] for x, own in at_new.items()}
+    out = [(i, j, 1.0) for x in at_old.keys() & at_new.keys() for i, j in nearest(free_old[x], free_new[x])]
+    used_old, used_new = {i for i, _, _ in out}, {j for _, j, _ in out}
+    rest = ((s, i, j) for (x, y), s in scores.items() for i in free_old[x] if i not in used_old for j in free_new[y] if j not in used_new)
+    for s, i, j in sorted(rest, key=lambda c: (-c[0], abs(c[1] - c[2]), c[1], c[2])):
+        if i not in used_old and j not in used_new:
+            used_old.add(i), used_new.add(j)
+            out.append((i, j, s))
+    return sorted(out)
+
+
+Class = tuple[str, ...]
+
+
+def _places(scopes_: list[tuple[list[str], bool]]) -> dict[Class, list[int]]:
+    """Places by the sorted words."""
+    out: dict = defaultdict(list)
+    for k, (words, _) in enumerate(scopes_):
+        out[tuple(sorted(words))].append(k)
     return out
 
 
-def _holders(places: dict[tuple[str, ...], list[int]]) -> dict[str, list[tuple[tuple[str, ...], int]]]:
-    """The scopes that hold each word, and how often."""
-    out: dict[str, list[tuple[tuple[str, ...], int]]] = defaultdict(list)
-    for x in places:
-        for w, n in Counter(x).items():
-            out[w].append((x, n))
+def _similar(old: dict, new: dict) -> dict[tuple[Class, Class], float]:
+    """Similarity of classes with different words, where it is SCOPE or more.  In
+    order of rarity, two classes that share so much share one of the first words of
+    either."""
+    holders: dict[str, list[Class]] = defaultdict(list)
+    for y in new:
+        for w in set(y):
+            holders[w].append(y)
+    out = {}
+    for x in old:
+        count, seen = Counter(x), set()
+        spare = ceil(SCOPE / (2 - SCOPE) * len(x) - 1e-9) - 1  # words of x that a partner may share without being one
+        for w in sorted(count, key=lambda w: -len(holders.get(w, ()))):
+            if spare >= count[w]:
+                spare -= count[w]
+                continue
+            seen.update(holders.get(w, ()))
+        for y in seen:
+            both = (count & Counter(y)).total()
+            if y != x and (s := 2.0 * both / (len(x) + len(y))) >= SCOPE:
+                out[x, y] = s
     return out
 
 
-def _sharing(x: tuple[str, ...], holders: dict[str, list[tuple[tuple[str, ...], int]]]) -> list[tuple[str, ...]]:
-    """Scopes that share enough words for the similarity; both ratios count at most
-    the words in common."""
-    common: Counter = Counter()
-    for w, n in Counter(x).items():
-        for y, m in holders.get(w, ()):
-            common[y] += min(n, m)
-    return [y for y, n in common.items() if 2.0 * n / (len(x) + len(y)) >= SCOPE]
-
-
-def _score(x: tuple[str, ...], y: tuple[str, ...]) -> float:
-    return ratio(list(x), list(y)) if possible(x, y, SCOPE) else 0.0
-
-
-def _without(best: list[float], own: float) -> float:
-    """The best of a line beside one that has the score `own`."""
-    return best[-1] if best[-1] != own else best[0] if len(best) > 1 else 0.0
+def _doubtful(scopes_: list[tuple[list[str], bool]], own: dict, others: dict, scores: dict, side: int) -> set[int]:
+    """Places of scopes with a marker whose two best partners are too close to call."""
+    best: dict[Class, list[float]] = {x: [1.0] * min(2, len(others.get(x, ()))) for x in own}
+    for pair, s in scores.items():
+        x, y = pair[side], pair[1 - side]
+        best[x] = sorted([*best[x], *[s] * min(2, len(others[y]))], reverse=True)[:2]
+    close = {x for x, b in best.items() if len(b) > 1 and b[0] - b[1] < MARGIN}
+    return {k for x in close for k in own[x] if scopes_[k][1]}
 
 
 def nearest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -115,28 +124,37 @@ def nearest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def paragraph_pairs(old: list[str], new: list[str]) -> list[tuple[str, int, int, float]]:
-    """Status, places and similarity: equal runs first, replaced blocks by greedy
-    matching, the rest deleted or inserted."""
+    """Status, places and similarity of paragraphs, whatever their case: equal
+    runs first; in a replaced block, pairs by similarity of their characters, at a tie
+    the later ones first; the rest deleted or inserted."""
+    a_low, b_low = [x.casefold() for x in old], [x.casefold() for x in new]
     out = []
-    for tag, a, b, c, d in SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
+    for tag, a, b, c, d in SequenceMatcher(None, a_low, b_low, autojunk=False).get_opcodes():
         if tag == "equal":
-            out += [("equal", a + k, c + k, 1.0) for k in range(b - a)]
+            out += [("unchanged", a + k, c + k, 1.0) for k in range(b - a)]
             continue
-        block = [(SequenceMatcher(None, x.split(), y.split(), autojunk=False).ratio(), i, j) for i, x in enumerate(old[a:b], a) for j, y in enumerate(new[c:d], c) if possible(x.split(), y.split(), PARAGRAPH)]
-        best = greedy([x for x in block if x[0] >= PARAGRAPH])
-        out += [("modified", i, j, s) for s, i, j in best]
-        out += [("deleted", i, -1, 0.0) for i in range(a, b) if i not in {x[1] for x in best}]
-        out += [("inserted", -1, j, 0.0) for j in range(c, d) if j not in {x[2] for x in best}]
-    return sorted(out, key=lambda x: (x[1] if x[1] >= 0 else 10**9, x[2]))
+        block = sorted(((s, i, j) for i in range(a, b) for j in range(c, d) if (s := _alike(a_low[i], b_low[j])) >= PARAGRAPH), reverse=True)
+        left, right = dict.fromkeys(range(a, b)), dict.fromkeys(range(c, d))
+        for s, i, j in block:
+            if i in left and j in right:
+                del left[i], right[j]
+                out.append(("modified", i, j, round(s, 4)))
+        out += [("deleted", i, -1, 0.0) for i in left] + [("inserted", -1, j, 0.0) for j in right]
+    return sorted(out, key=lambda x: (x[1] if x[1] >= 0 else 10**9, x[2] if x[2] >= 0 else 10**9))
+
+
+def _alike(x: str, y: str) -> float:
+    """Similarity of two texts by their characters; 0 where bounds rule it out."""
+    m = SequenceMatcher(None, x, y, autojunk=False)
+    return m.ratio() if m.real_quick_ratio() >= PARAGRAPH and m.quick_ratio() >= PARAGRAPH else 0.0
 
 
 def scopes(rows: DataFrame) -> DataFrame:
     """rows: pair_id, old and new (arrays of scopes).  J14: aligned places."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = lambda s: [w for w in s.split() if w not in STOP]
         for p in parts:
-            out = [(k, i, j, s) for k, a, b in zip(p["pair_id"], p["old"], p["new"]) for i, j, s in scope_pairs([words(x) for x in a], [words(x) for x in b])]
+            out = [(k, i, j, s) for k, a, b in zip(p["pair_id"], p["old"], p["new"]) for i, j, s in scope_pairs([scope_words(x) for x in a], [scope_words(x) for x in b])]
             yield pd.DataFrame(out, columns=["pair_id", "old_at", "new_at", "similarity"])
 
     return rows.select("pair_id", "old", "new").mapInPandas(run, "pair_id long, old_at int, new_at int, similarity double")
@@ -151,3 +169,11 @@ def paragraphs(rows: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["pair_id", "status", "old_at", "new_at", "similarity"])
 
     return rows.select("pair_id", "old", "new").mapInPandas(run, "pair_id long, status string, old_at int, new_at int, similarity double")
+
+
+def paragraph_counts(aligned: DataFrame) -> DataFrame:
+    """How many paragraphs of each pair have each status, and the least, mean and
+    greatest similarity, which only describe."""
+    n = lambda x: F.count_if(F.col("status") == x).alias(x)
+    rows = aligned.groupBy("pair_id").agg(*[n(x) for x in ("unchanged", "modified", "deleted", "inserted")], F.min("similarity").alias("least"), F.round(F.avg("similarity"), 4).alias("mean"), F.max("similarity").alias("greatest"))
+    return rows

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-LINK = r'(?is)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+#: an anchor with its target between quotes of either kind or none, and its text
+LINK = r"""(?is)<a\b(?=[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))[^>]*>(.*?)</a\s*>"""
+#: fixed values: character references that have a name
+NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "amp": "&"}
 #: rows of a group that a per-group limit keeps
 PER_GROUP = 3
 #: nodes up to which a round broadcasts them and keeps them in few files, and rounds
@@ -19,15 +22,56 @@ PER_GROUP = 3
 FEW, FILES, MERGE = 100_000, 8, 16
 
 
+def unescaped(text: Column) -> Column:
+    """Character references to characters: decimal, hexadecimal, and the common names;
+    `&amp;` last, so that nothing is read twice."""
+
+    def number(pattern: str, base: int) -> Column:
+        pieces = F.split(text_, pattern, -1)
+        codes = F.concat(F.regexp_extract_all(text_, F.lit(pattern), F.lit(1)), F.array(F.lit("")))
+        char = lambda c: F.when(c == "", "").otherwise(F.decode(F.unhex(F.lpad(F.conv(c, base, 16), 8, "0")), "UTF-32"))
+        return F.array_join(F.zip_with(pieces, F.transform(codes, char), lambda x, y: F.concat(x, y)), "")
+
+    text_ = text
+    for pattern, base in ((r"&#([0-9]{1,7});", 10), (r"&#[xX]([0-9A-Fa-f]{1,6});", 16)):
+        text_ = F.when(text_.rlike(pattern), number(pattern, base)).otherwise(text_)
+    return reduce(lambda t, x: F.replace(t, F.lit(f"&{x[0]};"), F.lit(x[1])), NAMED.items(), text_)
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its `.` and `..` segments."""
+    parts = F.split(path, "/", -1)
+    last = F.element_at(parts, -1)
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.least(F.lit(1), F.size(done))))
+    kept = F.aggregate(parts, F.slice(parts, 1, 0), lambda done, x: F.when(x == ".", done).when(x == "..", up(done)).otherwise(F.concat(done, F.array(x))))
+    return F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+
+
+def resolved(base: Column, ref: Column) -> Column:
+    """A reference against the address of its page, as RFC 3986 joins them."""
+    of = lambda pattern, g=1: F.regexp_extract(base, pattern, g)
+    scheme, root = of("^([A-Za-z][A-Za-z0-9+.-]*:)"), of(r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)")
+    path, query = of(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"), of(r"^[^?#]*(\?[^#]*)")
+    tail = F.regexp_extract(ref, r"([?#].*)$", 1)
+    own = F.regexp_extract(ref, r"^([^?#]*)", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    return (
+        F.when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
+        .when(ref.startswith("//"), F.concat(scheme, ref))
+        .when(own != "", F.concat(root, without_dots(F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))), tail))
+        .when(ref == "", base)
+        .when(tail.startswith("?"), F.concat(root, path, tail))
+        .otherwise(F.concat(root, path, query, tail))
+    )
+
+
 def links(pages: DataFrame) -> DataFrame:
     """SRC16: anchor text and absolute target of each link, in order."""
-    both = F.arrays_zip(tx.every("html", LINK, 1).alias("href"), tx.every("html", LINK, 2).alias("text"))
-    rows = pages.select("page_id", "url", F.posexplode(both).alias("place", "a"))
-    root = F.regexp_extract("url", r"^([A-Za-z]+://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"[^/]*$", "")
-    href = F.trim("a.href")
-    full = F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract("url", "^([A-Za-z]+:)", 1), href)).when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(folder, href))
-    return rows.select("page_id", "place", tx.squeeze(F.regexp_replace("a.text", "<[^>]*>", " ")).alias("text"), full.alias("target"))
+    part = lambda g: tx.every("html", LINK, g)
+    href = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y)), [part(1), part(2), part(3)])
+    rows = pages.select("page_id", "url", F.posexplode(F.arrays_zip(href.alias("href"), part(4).alias("text"))).alias("place", "a"))
+    text = unescaped(F.regexp_replace("a.text", "<[^>]*>", " "))
+    return rows.select("page_id", "place", tx.squeeze(text).alias("text"), resolved(F.col("url"), F.trim(unescaped(F.col("a.href")))).alias("target"))
 
 
 def with_keyword(rows: DataFrame, column: str, words: list[str]) -> DataFrame:

@@ -224,7 +224,8 @@ QUERIES = {
     "a29_command_coverage": lambda s, d: _docs(s, d).groupBy("source").agg(*[F.count_if(F.col("text").contains("\\" + x)).alias(x) for x in ("cite", "ref", "label")]),
     "g10_direction_matrix": lambda s, d: _report(s, d).join(_raw(s, d).select("doc_id", "lang"), "doc_id").groupBy("lang", "rule").agg(F.sum("hits").alias("hits")),
     "j14_scope_alignment": lambda s, d: align.scopes(_pairs(s, d).select("pair_id", tx.scopes(markers.prose("before")).alias("old"), tx.scopes(markers.prose("after")).alias("new"))),
-    "j17_paragraph_alignment": lambda s, d: align.paragraphs(_pairs(s, d).select("pair_id", F.split("before", "\n").alias("old"), F.split("after", "\n").alias("new"))),
+    "j17_paragraph_alignment": lambda s, d: align.paragraphs(_pairs(s, d).select("pair_id", tx.paragraphs("before").alias("old"), tx.paragraphs("after").alias("new"))),
+    "a8_paragraph_counts": lambda s, d: align.paragraph_counts(QUERIES["j17_paragraph_alignment"](s, d)),
     "a24_pass_verdict": _pass_verdict,
     "g11_contract": _contract,
     "a20_distances": _distances,

@@ -44,13 +44,13 @@ def glossary_json(spark: SparkSession, path: str, layer: str = "L0") -> DataFram
 
 
 def glossary_markdown(spark: SparkSession, path: str, layer: str = "L2") -> DataFrame:
-    """SRC8, SRC9: rows of a Markdown table of terms; two layouts, told by their
-    number of columns (four: term first; five: term second)."""
+    """SRC8, SRC9: rows of a Markdown table of terms, with the term second; what to
+    avoid is third of four columns, fourth of more."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     rows = lines.where(F.trim("line").rlike(r"^\|.*\|$")).select("pos", cells.alias("c"))
     rows = rows.where(~F.forall("c", lambda x: x.rlike("^:?-{3,}:?$")) & ~F.lower(F.get("c", F.lit(0))).isin("term", "chinese"))
-    term = F.when(F.size("c") == 4, F.get("c", F.lit(1))).otherwise(F.get("c", F.lit(1)))
+    term = F.get("c", F.lit(1))
     avoid = F.when(F.size("c") == 4, F.get("c", F.lit(2))).otherwise(F.get("c", F.lit(3)))
     listed = F.filter(F.transform(F.split(avoid, r"[;,]"), lambda x: F.trim(x)), lambda x: x != "")
     return rows.select(F.lit(layer).alias("layer"), "pos", term.alias("term"), F.lit(None).cast("string").alias("abbreviation"), listed.alias("synonyms"), gl.derived_variants(term).alias("variants"))

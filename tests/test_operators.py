@@ -141,7 +141,7 @@ def test_distance_statuses(spark):
     kind = "struct<" + ",".join(f"{x}:double" for x in ["paragraph_count", *targets.METRICS]) + ">"
     df = spark.createDataFrame([(1, row(mean_sentence_length=10.0, connective_density=1.0), row(mean_sentence_length=8.0, connective_density=2.0), row(mean_sentence_length=6.0))], f"k long, before {kind}, output {kind}, target {kind}")
     got = {r["metric"]: r for r in targets.distances(df, "k").collect()}
-    assert got["mean_sentence_length"]["status"] == "improved" and got["mean_sentence_length"]["convergence"] == 50.0
+    assert got["mean_sentence_length"]["status"] == "closer" and got["mean_sentence_length"]["convergence"] == 50.0
     assert got["connective_density"]["status"] == "diverged_from_exact_match" and got["connective_density"]["convergence"] is None
     assert not got["active_sentence_ratio"]["eligible"]
 
@@ -153,6 +153,18 @@ def test_links_are_absolute(spark):
     assert got == [("X y", "https://s.org/x"), ("Z", "https://s.org/d/z.html"), ("P", "https://h/p"), ("M", "mailto:a@b")]
 
 
+
+def test_links_join_as_the_standard_library_does(spark):
+    from html import unescape
+    from urllib.parse import urljoin
+
+    refs = ["b.html", "../x", "./y/../z", "/a/./b/../c", "?p=1", "#top", "//h/x", "http://q/../r", "", "..", ".", "../../../../k/", "a/b/?x=../y", "mailto:a@b", "a&amp;b?c=1&amp;d", "x&#47;y", "&#x41;"]
+    rows = [(u, r, q) for u in ("http://h.org/d/e/f.html?q=2#z", "http://h.org", "http://h.org/d/") for r in refs for q in ("'", '"')]
+    df = spark.createDataFrame([(k, u, f"<p><A class='k' HREF={q}{r}{q} id=2>t &amp; <b>u</b></a>") for k, (u, r, q) in enumerate(rows)], "page_id long, url string, html string")
+    got = {x["page_id"]: (x["text"], x["target"]) for x in corpus.links(df).collect()}
+    assert got == {k: ("t & u", urljoin(u, unescape(r))) for k, (u, r, _) in enumerate(rows)}
+
+
 def test_notes_split_at_the_first_equals(spark):
     got = spark.range(1).select(corpus.notes(F.lit("a=1; b=x")).alias("m")).first()["m"]
     assert got == {"a": "1", "b": "x"}
@@ -190,7 +202,7 @@ words = st.lists(st.sampled_from("a b c d e f".split()), max_size=8)
 
 
 @settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.too_slow])
-@given(st.lists(words, max_size=5), st.lists(words, max_size=5))
+@given(st.lists(st.tuples(words, st.booleans()), max_size=5), st.lists(st.tuples(words, st.booleans()), max_size=5))
 def test_scope_alignment_is_one_to_one(old, new):
     got = align.scope_pairs(old, new)
     assert len({i for i, _, _ in got}) == len({j for _, j, _ in got}) == len(got)
@@ -203,7 +215,7 @@ def test_paragraph_alignment_covers_both_sides(old, new):
     got = align.paragraph_pairs(old, new)
     assert sorted(i for _, i, _, _ in got if i >= 0) == list(range(len(old)))
     assert sorted(j for _, _, j, _ in got if j >= 0) == list(range(len(new)))
-    assert all(s == "equal" for s, *_ in align.paragraph_pairs(old, old))
+    assert all(s == "unchanged" for s, *_ in align.paragraph_pairs(old, old))
 
 
 def test_markers_that_move_between_scopes_are_relocations(spark):
@@ -254,23 +266,115 @@ def test_reachability_has_no_depth_limit(spark, monkeypatch):
 
 
 def all_scope_pairs(old, new):
-    """Each scope against each, as J14 states it."""
-    scores = [(align.ratio(a, b), i, j) for i, a in enumerate(old) for j, b in enumerate(new) if align.possible(a, b, align.SCOPE)]
+    """Each scope against each, by two sequence similarities."""
+    from difflib import SequenceMatcher
+
+    alike = lambda a, b: max(SequenceMatcher(None, a, b, autojunk=False).ratio(), SequenceMatcher(None, sorted(a), sorted(b), autojunk=False).ratio())
+    scores = [(alike(a, b), i, j) for i, (a, _) in enumerate(old) for j, (b, _) in enumerate(new)]
     scores = [x for x in scores if x[0] >= align.SCOPE]
-    kept = [(s, i, j) for s, i, j in scores if old[i] == new[j] or s - max([t for t, k, m in scores if (k == i) != (m == j)], default=0.0) >= align.MARGIN]
-    return [(i, j, s) for s, i, j in sorted(align.greedy(kept), key=lambda x: x[1])]
+
+    def doubtful(side, n, marked):
+        best = [sorted((x[0] for x in scores if x[side] == k), reverse=True) for k in range(n)]
+        return {k for k in range(n) if marked[k][1] and len(best[k]) > 1 and best[k][0] - best[k][1] < align.MARGIN}
+
+    no_old, no_new, out = doubtful(1, len(old), old), doubtful(2, len(new), new), []
+    for s, i, j in sorted(scores, key=lambda x: (-x[0], abs(x[1] - x[2]), x[1], x[2])):
+        if i not in no_old and j not in no_new:
+            no_old.add(i), no_new.add(j)
+            out.append((i, j, s))
+    return sorted(out)
 
 
 near_words = st.lists(st.sampled_from("a b c".split()), max_size=6)
+marked_words = st.tuples(words | near_words, st.booleans())
 
 
 @settings(max_examples=400, deadline=None, suppress_health_check=[HealthCheck.too_slow])
-@given(st.lists(words | near_words, max_size=9), st.lists(words | near_words, max_size=9))
+@given(st.lists(marked_words, max_size=9), st.lists(marked_words, max_size=9))
 def test_scope_alignment_agrees_with_each_against_each(old, new):
     assert align.scope_pairs(old, new) == all_scope_pairs(old, new)
     assert align.scope_pairs(old, old[1:] + new) == all_scope_pairs(old, old[1:] + new)
 
 
+def test_scope_words_are_stems_without_markers():
+    got = align.scope_words("the studies of boxes and classes may not show a crisis in several caches")
+    assert got == ("study box class a crisis cach".split(), True) and align.scope_words("maps fit") == (["maps", "fit"], False)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("abAB", max_size=5), max_size=6), st.lists(st.text("abAB", max_size=5), max_size=6))
+def test_paragraphs_agree_with_each_against_each(old, new):
+    """Replaced blocks by all similarities, the highest first, ties from behind."""
+    from difflib import SequenceMatcher
+
+    low = lambda xs: [x.casefold() for x in xs]
+    want = []
+    for tag, a, b, c, d in SequenceMatcher(None, low(old), low(new), autojunk=False).get_opcodes():
+        if tag == "equal":
+            want += [("unchanged", a + k, c + k, 1.0) for k in range(b - a)]
+            continue
+        pairs = sorted([(SequenceMatcher(None, old[i].casefold(), new[j].casefold(), autojunk=False).ratio(), i, j) for i in range(a, b) for j in range(c, d)])[::-1]
+        left, right = set(range(a, b)), set(range(c, d))
+        for s, i, j in pairs:
+            if s >= 0.2 and i in left and j in right:
+                want.append(("modified", i, j, round(s, 4)))
+                left.remove(i), right.remove(j)
+        want += [("deleted", i, -1, 0.0) for i in left] + [("inserted", -1, j, 0.0) for j in right]
+    assert sorted(align.paragraph_pairs(old, new)) == sorted(want)
+
+
+def test_crypto_words_that_change_places_do_not_move(spark):
+    from proselens.operators import relocation
+
+    rows = [
+        (1, "The semi-honest case is first. Then comes the malicious peer.", "The malicious case is first. Then comes the semi-honest peer."),
+        (2, "The peer is semi-honest.", "The peer is malicious."),
+        (3, "The peer is semi-honest.", "The peer is semi-honest."),
+    ]
+    pairs = spark.createDataFrame(rows, "pair_id long, before string, after string")
+    assert [(r["pair_id"], r["span"]) for r in revision.crypto_moves(pairs).collect()] == [(2, 1)]
+    got = {(r["pair_id"], r["original"], r["revised"]) for r in relocation.crypto_relocations(pairs).collect()}
+    assert got == {(1, "semi-honest", "semi-honest"), (1, "malicious", "malicious")}
+    assert {r["pair_id"]: r["crypto_upward"] for r in revision.strength_verdict(pairs).collect()} == {1: 0, 2: 1, 3: 0}
+
+
+def test_guard_blocks_changed_captions_and_claims(spark):
+    fig = "\\begin{figure}\\caption{%s}\\label{%s}\\end{figure} The map %s for all towns."
+    before = fig % ("Cost \\textbf{now}", "a", "may hold")
+    rows = [(1, before, before), (2, before, fig % ("Cost \\textbf{then}", "a", "may hold")), (3, before, fig % ("Cost \\textbf{now}", "b", "may hold")), (4, before, fig % ("Cost \\textbf{now}", "a", "must hold"))]
+    pairs = spark.createDataFrame(rows, "pair_id long, before string, after string")
+    assert {r["pair_id"]: r["failed"] for r in revision.guard_verdict(pairs).collect()} == {1: "", 2: "figures", 3: "figures,references", 4: "claim_strength,modality"}
+    assert {r["pair_id"]: r["passed"] for r in revision.immutable_verdict(pairs).collect()} == {1: True, 2: True, 3: False, 4: False}
+
+
+def test_latex_goes_before_a_text_is_measured(spark):
+    from proselens.operators import fingerprint
+
+    text = "\\section{One} We show a map \\cite{x}. It has $a + b$ two parts % not this\nhere. \\begin{table}no words\\end{table}"
+    docs = spark.createDataFrame([(1, text, ".tex"), (2, text, ".md"), (3, "We show a map . It has two parts here.", ".md")], "doc_id long, text string, suffix string")
+    got = {r["doc_id"]: r["word_count"] for r in fingerprint.by_document(docs).collect()}
+    assert got[1] == got[3] == 9 and got[2] > 9
+
+
+def test_targets_by_the_policy(spark):
+    from proselens.operators import fingerprint
+
+    short = "We may run. It is so. They do go. You all see."
+    docs = spark.createDataFrame([(1, short), (2, short + "\n\nHowever, the result shows that one map is larger than each of the other maps that were drawn by hand in that year for the town. Moreover it may fail.")], "doc_id long, text string")
+    measured, found = fingerprint.by_document(docs), rules.findings(docs)
+    screened = {(r["doc_id"], r["dimension"]): (r["source"], r["reason"]) for r in targets.screening(measured, found).collect()}
+    assert screened[1, "sentence_length"] == ("rule", "sentence sample or variance below policy threshold")
+    assert screened[1, "hedging"] == ("exemplar", "clean and sufficiently observed") and screened[1, "paragraph_length"][1] == "fewer than 2 paragraphs"
+    assert len(screened) == 18
+    flight = {r["doc_id"]: (r["triggers"], r["decision"]) for r in targets.preflight(measured, found).collect()}
+    assert flight[1] == ("P4_RULE_SENTENCE_MEAN_OUT_OF_RANGE,P4_RULE_SENTENCE_SD_LOW", "revise")
+    assert "P4_PARAGRAPH_WORDS_OUT_OF_RANGE" in flight[2][0]
+    profile = {(r["doc_id"], r["dimension"]): r for r in targets.profile(measured, found).collect()}
+    assert profile[1, "sentence_length"]["value"] == '{"mean_range_words":[12,30],"minimum_sd_words":4.0}' and profile[1, "hedging"]["source"] == "exemplar"
+    cases = spark.createDataFrame([(1, "a", "a", "a", True, 0), (2, "a", "b", "a ", True, 0), (3, "a", "a", "c", True, 0), (4, "a", "a", "a", False, 0)], "k long, before string, output string, target string, frozen boolean, changes int")
+    assert {r["k"]: r["preserved"] for r in targets.preserved(cases, "k").collect()} == {1: True, 2: False, 4: False}
+
+
 def test_scope_queries_read_whole_texts(spark, tmp_path):
     from proselens.operators import relocation
     from proselens.plans import seed
@@ -283,8 +387,7 @@ def test_scope_queries_read_whole_texts(spark, tmp_path):
     prose = {r["pair_id"]: r["prose"] for r in QUERIES["p14_claim_prose"](spark, str(tmp_path)).collect()}
     assert prose[15] == "no bridge may hold. it is not larger than ten; the mill stands. some maps must fail. the river can not rise."
     cut = lambda t: spark.range(1).select(tx.scopes(markers.prose(F.lit(t)))).first()[0]
-    bare = lambda x: [w for w in x.split() if w not in align.STOP]
-    want = {(k, i, j, s) for k, r in pairs.items() for i, j, s in all_scope_pairs([bare(x) for x in cut(r["before"])], [bare(x) for x in cut(r["after"])])}
+    want = {(k, i, j, s) for k, r in pairs.items() for i, j, s in all_scope_pairs([align.scope_words(x) for x in cut(r["before"])], [align.scope_words(x) for x in cut(r["after"])])}
     got = {tuple(r) for r in QUERIES["j14_scope_alignment"](spark, str(tmp_path)).collect()}
     assert got == want
     assert {i for k, i, _, _ in got if k == 15} == set(range(5))
