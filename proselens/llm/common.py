@@ -20,6 +20,8 @@ BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 READ_ROWS, ROW_GROUP = 512, 16 << 20
 #: rows of a lookup table up to which it is broadcast (rows of tens of bytes)
 BROADCAST_ROWS = 200_000
+#: rows of a file of a narrow table whose size is known
+FILE_ROWS = 100_000
 #: batches after which a Python worker gives freed memory back
 TRIM = 16
 
@@ -127,10 +129,13 @@ _own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage is cut and
-    a lost executor costs no more than the tasks it ran."""
+    a lost executor costs no more than the tasks it ran.  rows: a bound on the rows
+    of a narrow table, if it is known; it is then written in files of `FILE_ROWS`."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     _written.append((spark, path))

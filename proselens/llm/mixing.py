@@ -44,7 +44,7 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     The sources are the rows of an aggregate; the ranks over all of them run in
     one task, on a few numbers per source.
     """
-    s = keep(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    s = keep(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources", SOURCES)
     if s.limit(SOURCES + 1).count() > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
     place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1

@@ -260,8 +260,9 @@ def _mixed(name: str):  # type: ignore[no-untyped-def]
     return F.xxhash64(F.coalesce(F.col(name).cast("long"), F.lit(-1)))
 
 
-def stars(found: DataFrame) -> DataFrame:
-    """Edges (low, node): each prefix token ties its documents to the smallest."""
+def stars(found: DataFrame, rows: int) -> DataFrame:
+    """Edges (low, node): each prefix token ties its documents to the smallest.  rows:
+    about how many prefix tokens there are."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,27 +270,28 @@ def stars(found: DataFrame) -> DataFrame:
             node = np.repeat(batch.column("node").to_numpy(), [len(x) for x in first])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *first])), pa.array(node)], names=["token", "node"])
 
-    posts = keep(found.select("node", "first").mapInArrow(lean(unpack), "token long, node long"), "posts")
-    low = keep(posts.groupBy("token").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n"), "low")
-    rows = lookup(posts.alias("p"), low.alias("l"), F.col("p.token") == F.col("l.token"), "inner")
-    return keep(rows.where("p.node > l.low").select("l.low", "p.node").distinct(), "stars")
+    posts = found.select("node", "first").mapInArrow(lean(unpack), "token long, node long")
+    low = keep(posts.groupBy("token").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n"), "low", rows)
+    both = lookup(posts.alias("p"), low.alias("l"), F.col("p.token") == F.col("l.token"), "inner")
+    return keep(both.where("p.node > l.low").select("l.low", "p.node").distinct(), "stars", rows)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, block) for all nodes of edges (low, node): the smallest node that
     edges lead to.  Small-star and large-star steps in turn; each step is written."""
     while True:
+        n = edges.count()
         both = edges.unionByName(edges.select(F.col("node").alias("low"), F.col("low").alias("node")))
-        best = keep(both.groupBy("node").agg(F.least(F.min("low"), F.min("node")).alias("best")), "best")
+        best = keep(both.groupBy("node").agg(F.least(F.min("low"), F.min("node")).alias("best")), "best", 2 * n)
         # large star: larger neighbours of a node move to its smallest neighbour
         large = lookup(both.where("low > node").alias("e"), best.alias("b"), F.col("e.node") == F.col("b.node"), "inner")
-        large = keep(large.select(F.col("b.best").alias("low"), F.col("e.low").alias("node")).where("low < node").distinct(), "large")
+        large = keep(large.select(F.col("b.best").alias("low"), F.col("e.low").alias("node")).where("low < node").distinct(), "large", n)
         # small star: smaller neighbours of a node, and itself, move to the smallest
-        least_ = keep(large.groupBy("node").agg(F.min("low").alias("best")), "least")
+        least_ = keep(large.groupBy("node").agg(F.min("low").alias("best")), "least", n)
         moved = lookup(large.alias("e"), least_.alias("b"), F.col("e.node") == F.col("b.node"), "inner").select("b.best", "e.low", "e.node")
         small = moved.select(F.col("best").alias("low"), F.explode(F.array("low", "node")).alias("node")).where("low < node").distinct()
-        small = keep(small, "small")
-        if small.count() == edges.count() and not small.join(edges, ["low", "node"], "left_anti").limit(1).count():
+        small = keep(small, "small", 2 * n)
+        if small.count() == n and not small.join(edges, ["low", "node"], "left_anti").limit(1).count():
             return small.select("node", F.col("low").alias("block")).unionByName(small.select(F.col("low").alias("node"), F.col("low").alias("block")).distinct())
         edges = small
 
@@ -419,10 +421,11 @@ def members_of(blocks: DataFrame, tied: DataFrame) -> DataFrame:
     largest).  blocks: node, n, block."""
     parts = components(tied).withColumnRenamed("block", "part")
     rows = blocks.join(parts, "node", "left").select("node", "n", "block", F.coalesce("part", "node").alias("part"))
-    rows = keep(rows, "members")
+    n = blocks.count()
+    rows = keep(rows, "members", n)
     top = rows.groupBy("block", "part").agg(F.count("*").alias("many")).groupBy("block").agg(F.max_by("part", F.struct("many", "part")).alias("top"))
-    rows = lookup(rows.alias("r"), keep(top, "top").alias("t"), F.col("r.block") == F.col("t.block"), "inner")
-    return keep(rows.select("r.*", (F.col("r.part") == F.col("t.top")).alias("main")), "members")
+    rows = lookup(rows.alias("r"), keep(top, "top", n).alias("t"), F.col("r.block") == F.col("t.block"), "inner")
+    return keep(rows.select("r.*", (F.col("r.part") == F.col("t.top")).alias("main")), "members", n)
 
 
 def in_large_blocks(found: DataFrame, edges: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -439,14 +442,14 @@ def in_large_blocks(found: DataFrame, edges: DataFrame, blocks: DataFrame) -> Da
         return members.select("node", F.col("part").alias("component"))
     # the other star edges, of documents outside of the largest part
     more = lookup(edges.alias("e"), outside.select("node", "part").alias("o"), F.col("e.node") == F.col("o.node"), "inner").select("e.low", "e.node")
-    tied = keep(tied.unionByName(tied_stars(found, keep(more.exceptAll(first), "more"))), "tied")
+    tied = keep(tied.unionByName(tied_stars(found, more.exceptAll(first))), "tied")
     members = members_of(blocks, tied)
     # sizes that fit differ by a third at most, and so by one class at most
     kind = F.floor(F.ln("n") / F.lit(float(np.log(1.34)))).cast("int")
     members = members.withColumn("kind", kind)
-    tiles = keep(members.groupBy("block", "kind", "main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("tiles")), "tiles")
+    tiles = keep(members.groupBy("block", "kind", "main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("tiles")), "tiles", blocks.count())
     tiled = lookup(members.alias("m"), tiles.alias("t"), (F.col("m.block") == F.col("t.block")) & (F.col("m.kind") == F.col("t.kind")) & (F.col("m.main") == F.col("t.main")), "inner")
-    tiled = keep(tiled.select("m.*", F.pmod(F.xxhash64("m.node"), F.col("t.tiles")).cast("int").alias("tile")), "tiled")
+    tiled = keep(tiled.select("m.*", F.pmod(F.xxhash64("m.node"), F.col("t.tiles")).cast("int").alias("tile")), "tiled", blocks.count())
     spots = tiles.select("block", "kind", "main", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
     own = lambda x: F.struct(F.col(f"{x}.kind"), F.col(f"{x}.main"), F.col(f"{x}.tile"))
     twice = (F.col("a.block") == F.col("b.block")) & ~F.col("a.main") & (F.abs(F.col("a.kind") - F.col("b.kind")) <= 1)
@@ -470,24 +473,25 @@ def in_large_blocks(found: DataFrame, edges: DataFrame, blocks: DataFrame) -> Da
 
 def joined(docs: DataFrame) -> DataFrame:
     """docs: (doc_id, text).  A row per document: doc_id, n_shingles, component_id."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    size, n = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     parts = parts_for(int(size or 0))
     state = states(docs, parts)
-    classes = keep(state.where("alive").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("members")), "classes")
+    classes = keep(state.where("alive").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("members")), "classes", n)
     found = candidates(docs, classes, parts)
-    edges = stars(found)
-    blocks = keep(components(edges), "blocks")
-    large = keep(blocks.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("block"), "large")
+    edges = stars(found, 8 * n)
+    n_edges = edges.count()
+    blocks = keep(components(edges), "blocks", 2 * n_edges)
+    large = keep(blocks.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("block"), "large", n_edges)
     split = F.broadcast(large) if is_small(large) else large
-    comps = in_blocks(found, keep(blocks.join(split, "block", "left_anti").select("node", "block"), "few"))
+    comps = in_blocks(found, keep(blocks.join(split, "block", "left_anti").select("node", "block"), "few", 2 * n_edges))
     if large.limit(1).count():
-        comps = comps.unionByName(in_large_blocks(found, edges, keep(blocks.join(split, "block", "left_semi").select("node", "block"), "many")))
+        comps = comps.unionByName(in_large_blocks(found, edges, keep(blocks.join(split, "block", "left_semi").select("node", "block"), "many", 2 * n_edges)))
     comps = keep(comps, "components")
     parts_of = found.select("node", "s1", "s2").join(comps, "node").join(classes, ["s1", "s2"])
     lowest = parts_of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     names = parts_of.select("s1", "s2", "component").distinct().join(lowest, "component").groupBy("s1", "s2").agg(F.min("component_id").alias("component_id"))
     names = classes.join(names, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("members") > 1).alias("many"), F.col("component_id").isNotNull().alias("tied"))
-    names = keep(names.where("many or tied").select("s1", "s2", "component_id"), "names")
+    names = keep(names.where("many or tied").select("s1", "s2", "component_id"), "names", n)
     out = state.join(F.broadcast(names) if is_small(names) else names, ["s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

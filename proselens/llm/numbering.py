@@ -39,12 +39,13 @@ def numbered(df: DataFrame, parts: list[str], order: str, then: list[str], out:
 
     counts = df.groupBy(*parts).agg(F.ceil(F.count("*") / F.lit(each)).alias("_ranges"))
     counts = keep(counts, "counts")
+    n = counts.agg(F.sum("_ranges")).first()[0] or 0
     df = lookup(df.alias("d"), counts.alias("c"), same("d", "c", parts)).select("d.*", "c._ranges")
     df = df.withColumn("_range", F.floor(F.col(order) * F.col("_ranges") / F.lit(float(2**32))).cast("long"))
     fine = df.groupBy(*parts, "_range").agg(F.count("*").alias("_n")).withColumn("_group", F.floor(F.col("_range") / FAN))
-    fine = keep(fine.withColumn("_before", before("_n", [*parts, "_group"], "_range")), "offsets")
+    fine = keep(fine.withColumn("_before", before("_n", [*parts, "_group"], "_range")), "offsets", n)
     wide = fine.groupBy(*parts, "_group").agg(F.sum("_n").alias("_n"))
-    wide = keep(wide.withColumn("_first", before("_n", parts, "_group")).where("_group > 0"), "groups")
+    wide = keep(wide.withColumn("_first", before("_n", parts, "_group")).where("_group > 0"), "groups", n)
     df = df.withColumn("_group", F.floor(F.col("_range") / FAN))
     df = df.withColumn("_rank", F.row_number().over(W.partitionBy(*parts, "_range").orderBy(order, *then)))
     df = lookup(df.alias("d"), fine.alias("f"), same("d", "f", [*parts, "_range"])).select("d.*", "f._before")
