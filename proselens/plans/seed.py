@@ -83,5 +83,20 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("pair_id"), F.concat(own, _pick(PASSAGES)).alias("before"), F.concat(own, _pick(REVISED)).alias("after"))
 
 
+#: a closing paragraph whose markers change places in the revision, word for word
+MOVED = (
+    "The map may hold for the whole town. The bridge stands near the old mill. The semi-honest case is first. Then comes the malicious peer.",
+    "The map holds for the whole town. The bridge may stand near the old mill. The malicious case is first. Then comes the semi-honest peer.",
+)
+
+
+def moved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs, each with the closing paragraph; in every third the revision moves
+    its markers."""
+    moved = F.col("pair_id") % 3 == 0
+    close = lambda x: F.concat(x, F.lit("\n\n" + MOVED[0]))
+    return pairs(spark, sf_dir).select("pair_id", close("before").alias("before"), F.when(moved, F.concat("before", F.lit("\n\n" + MOVED[1]))).otherwise(close("after")).alias("after"))
+
+
 DOCS_SQL = f"docs AS (SELECT doc_id, lang, source, coalesce(text, '') || chr(10) || chr(10) || {_pick_sql(PASSAGES)} AS text FROM documents)"
 PAIRS_SQL = f"pairs AS (SELECT doc_id AS pair_id, coalesce(text, '') || chr(10) || chr(10) || {_pick_sql(PASSAGES)} AS before, coalesce(text, '') || chr(10) || chr(10) || {_pick_sql(REVISED)} AS after FROM documents)"

@@ -90,8 +90,8 @@ QUERIES = {
     "g6_digest_set": lambda s, d: records.digest_set(_docs(s, d), "lang"),
     "g8_limits": lambda s, d: records.limits(_docs(s, d)),
     "j15_scoped_markers": lambda s, d: relocation.scoped_differences(seed.pairs(s, d)),
-    "j12_crypto_relocations": lambda s, d: relocation.crypto_relocations(seed.pairs(s, d)),
-    "j16_relocations": lambda s, d: relocation.relocations(seed.pairs(s, d)),
+    "j12_crypto_relocations": lambda s, d: relocation.crypto_relocations(seed.moved_pairs(s, d)),
+    "j16_relocations": lambda s, d: relocation.relocations(seed.moved_pairs(s, d)),
     "j18_numbers_in_spans": lambda s, d: records.by_span(_docs(s, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "[0-9]+"),
     "j24_canonical_titles": _titles,
     "j31_admission": _admission,

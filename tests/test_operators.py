@@ -375,6 +375,15 @@ def test_targets_by_the_policy(spark):
     assert {r["k"]: r["preserved"] for r in targets.preserved(cases, "k").collect()} == {1: True, 2: False, 4: False}
 
 
+def test_relocation_queries_find_what_was_moved(spark, small):
+    from proselens.queries import QUERIES
+
+    got = QUERIES["j12_crypto_relocations"](spark, small).collect()
+    assert got and {r["pair_id"] % 3 for r in got} == {0}
+    got = QUERIES["j16_relocations"](spark, small).collect()
+    assert got and {r["pair_id"] % 3 for r in got} == {0} and all(r["moved"] >= 1 for r in got)
+
+
 def test_scope_queries_read_whole_texts(spark, tmp_path):
     from proselens.operators import relocation
     from proselens.plans import seed
