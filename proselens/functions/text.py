@@ -77,30 +77,47 @@ def scope_spans(text: Column | str) -> Column:
     return F.filter(F.transform(every(text, r"[^.!?;\n]+"), lambda s: F.lower(squeeze(s))), lambda s: s != "")
 
 
-def line_of(text: Column, offset: Column) -> Column:
-    """1-based line of a 0-based offset."""
-    head = F.substring(text, F.lit(1), offset.cast("int"))
-    return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
+def cut(text: Column, pattern: str) -> Column:
+    """The whole text in pieces: what stands between matches at odd places (1-based),
+    matches at even ones, each with its start (0-based code points), line and column
+    (1-based).  Matches are set between two control characters (in the text itself
+    these count as blanks); one pass carries the running place, so the cost is linear
+    in the text however many matches there are."""
+    marked = F.split(F.regexp_replace(F.regexp_replace(text, "[\u0001\u0002]", " "), pattern, "\u0001$0\u0002"), "[\u0001\u0002]", -1)
+    origin = F.struct(F.lit(0).alias("start"), F.lit(1).alias("line"), F.lit(1).alias("column"))
+    none = F.array().cast("array<struct<match:string,start:int,line:int,column:int>>")
 
+    def step(acc: Column, piece: Column) -> Column:
+        here = F.struct(piece.alias("match"), acc["at"]["start"].alias("start"), acc["at"]["line"].alias("line"), acc["at"]["column"].alias("column"))
+        return F.struct(after(acc["at"], piece).alias("at"), F.concat(acc["out"], F.array(here)).alias("out"))
 
-def column_of(text: Column, offset: Column) -> Column:
-    """1-based column of a 0-based offset."""
-    return F.length(F.substring_index(F.substring(text, F.lit(1), offset.cast("int")), "\n", -1)) + 1
+    return F.aggregate(marked, F.struct(origin.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+
+def after(at: Column, piece: Column) -> Column:
+    """The place (start, line, column) behind a piece that begins at `at`."""
+    lines = F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit("")))
+    column = F.when(lines > 0, F.length(F.substring_index(piece, "\n", -1)) + 1).otherwise(at["column"] + F.length(piece))
+    return F.struct((at["start"] + F.length(piece)).cast("int").alias("start"), (at["line"] + lines).cast("int").alias("line"), column.cast("int").alias("column"))
+
+
+def places(text: Column | str, pattern: str) -> Column:
+    """Matches of a text with their places; a text without one is not cut."""
+    t = c(text)
+    none = F.array().cast("array<struct<match:string,start:int,line:int,column:int>>")
+    return F.when(t.rlike(pattern), F.filter(cut(t, pattern), lambda x, i: i % 2 == 1)).otherwise(none)
+
+
+def between(text: Column | str, pattern: str) -> Column:
+    """What stands between matches, with its places."""
+    return F.filter(cut(c(text), pattern), lambda x, i: i % 2 == 0)
 
 
 def matches(df: DataFrame, text: str, pattern: str, keep: list[str]) -> DataFrame:
     """A row per match: the columns of `keep`, ordinal (1-based), match, start
-    (0-based code points).
-
-    Matches are set between two control characters that texts do not hold; the
-    pieces between them then alternate, and a start is the length of what stands
-    before."""
-    marked = F.split(F.regexp_replace(F.regexp_replace(F.col(text), "[\u0001\u0002]", " "), pattern, "\u0001$0\u0002"), "[\u0001\u0002]", -1)
-    pieces = df.withColumn("_pieces", marked).where(F.size("_pieces") > 1)
-    n = ((F.size("_pieces") - 1) / 2).cast("int")
-    start = lambda i: F.aggregate(F.slice("_pieces", 1, i * 2 - 1), F.lit(0), lambda a, p: a + F.length(p))
-    hit = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("ordinal"), F.element_at("_pieces", i * 2).alias("match"), start(i).alias("start")))
-    return pieces.select(*keep, F.explode(hit).alias("_hit")).select(*keep, "_hit.*")
+    (0-based code points)."""
+    hit = F.transform(places(text, pattern), lambda x, i: F.struct((i + 1).alias("ordinal"), x["match"].alias("match"), x["start"].alias("start")))
+    return df.select(*keep, F.explode(hit).alias("_hit")).select(*keep, "_hit.*")
 
 
 #: fixed values: headings of sections, and the types of titles in their order

@@ -34,6 +34,8 @@ NOMINAL = r"(?i)(?<![\p{L}\p{N}_])[A-Za-z]+(?:tion|sion|ment|ance|ence|ity|izati
 HEDGES = ["suggests", "is consistent with", "we conjecture", "appears to"]
 SUPPORT = r"\\(?:cite\w*|ref|autoref|eqref|cref)\s*\{|\b\d+(?:\.\d+)?\s*(?:%|ms|s|GB|MB|KB|bits?)?\b"
 DASH_LIMIT = 3
+#: what stands between paragraphs, and a sentence up to a mark or line end
+PARAGRAPH, SENTENCE = r"\n\s*\n", r"[^.!?\n]+[.!?]?"
 #: fixed values: phrases of the second rule set
 PHRASES = [
     ("background", r"(?i)\bunder the background of\b"),
@@ -53,18 +55,24 @@ def _hits(text: Column, number: int, pattern: str) -> Column:
 
 
 def adjectives(text: Column) -> Column:
-    """Rule 2: performance adjectives whose sentence and both neighbours name no
-    metric or setting."""
-    near = lambda s, i: F.array_join(F.slice(s, F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), " ")
-    none = F.array().cast("array<string>")
-    # sentences without an adjective, nearly all, are not looked around
-    loose = lambda spans: F.transform(spans, lambda s, i: F.when(~s.rlike(ADJECTIVE) | near(spans, i).rlike(METRIC), none).otherwise(tx.every(s, ADJECTIVE)))
-    return F.flatten(tx.let(tx.sentence_spans(text), loose))
+    """Rule 2: performance adjectives, with places, whose sentence (where they begin)
+    and both neighbours name no metric or setting.
+
+    A mark before each adjective tells how many begin in each sentence; sentences
+    without one, nearly all, are not looked around."""
+    marked = F.regexp_replace(F.regexp_replace(text, "[\u0001\u0002]", " "), ADJECTIVE, "\u0001$0")
+    near = lambda s, i: F.replace(F.array_join(F.slice(s, F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), " "), F.lit("\u0001"), F.lit(""))
+    count = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\u0001"), F.lit("")))
+    none = F.array().cast("array<boolean>")
+    loose = lambda spans: F.flatten(F.transform(spans, lambda s, i: F.when(~F.contains(s, F.lit("\u0001")), none).otherwise(F.array_repeat(~near(spans, i).rlike(METRIC), count(s)))))
+    both = F.arrays_zip(tx.places(text, ADJECTIVE).alias("place"), tx.let(tx.sentence_spans(marked), loose).alias("loose"))
+    own = F.transform(F.filter(both, lambda x: x["loose"]), lambda x: x["place"])
+    return F.when(text.rlike(ADJECTIVE), own).otherwise(F.slice(tx.places(text, ADJECTIVE), 1, 0))
 
 
 def connectives(text: Column) -> Column:
     """Rule 5: paragraphs that open three sentences or more with a connector."""
-    own = F.transform(F.split(text, r"\n\s*\n"), lambda p: tx.every(p, CONNECTIVE, 1))
+    own = F.transform(F.split(text, PARAGRAPH), lambda p: tx.every(p, CONNECTIVE, 1))
     return F.transform(F.filter(own, lambda h: F.size(h) >= 3), lambda h: F.array_join(h, ", "))
 
 
@@ -75,26 +83,32 @@ def nominals(text: Column) -> Column:
 
 
 def hedges(text: Column) -> Column:
-    """Rule 9: paragraphs with more than three hedges, or without support for one."""
+    """Rule 9: paragraphs with more than three hedges, or without support for one; the
+    hedges, in the order of their list."""
+    own = F.transform(F.split(text, PARAGRAPH), lambda p: F.struct(_hedges(p).alias("h"), p.rlike(SUPPORT).alias("ok")))
+    return F.transform(F.filter(own, lambda x: _too_many(x["h"], x["ok"])), lambda x: F.array_join(x["h"], ", "))
+
 
-    def count(p: Column) -> Column:
-        return reduce(lambda a, h: a + F.size(tx.every(F.lower(p), rf"\b{h}\b")), HEDGES, F.lit(0))
+def _hedges(paragraph: Column) -> Column:
+    return F.concat(*[tx.every(F.lower(paragraph), rf"\b{h}\b") for h in HEDGES])
 
-    own = F.transform(F.split(text, r"\n\s*\n"), lambda p: F.struct(count(p).alias("n"), p.rlike(SUPPORT).alias("ok")))
-    return F.transform(F.filter(own, lambda x: (x["n"] > 0) & ((x["n"] > 3) | ~x["ok"])), lambda x: x["n"].cast("string"))
+
+def _too_many(found: Column, supported: Column) -> Column:
+    return (F.size(found) > 0) & ((F.size(found) > 3) | ~supported)
 
 
 def dashes(text: Column) -> Column:
     """Rule 14: one finding for a text with more than three em dashes in 1000 words."""
     n = F.length(text) - F.length(F.replace(text, F.lit("—"), F.lit("")))
-    dense = (n > 0) & (n * 1000 > F.greatest(F.size(tx.letter_words(text)), F.lit(1)) * DASH_LIMIT)
-    return F.when(dense, F.array(n.cast("string"))).otherwise(F.array().cast("array<string>"))
+    words = F.greatest(F.size(tx.letter_words(text)), F.lit(1))
+    finding = F.format_string("%d em dashes (%.2f/1000 words)", n, n * 1000.0 / words)
+    return F.when((n > 0) & (n * 1000 > words * DASH_LIMIT), F.array(finding)).otherwise(F.array().cast("array<string>"))
 
 
 def hits(text: Column | str = "text") -> Column:
     """All findings of a text, in one pass: an array of (rule, severity, match)."""
     t = tx.c(text)
-    lists = [(n, _hits(t, n, p)) for n, _, p in PATTERNS] + [(2, adjectives(t)), (5, connectives(t)), (7, nominals(t)), (9, hedges(t)), (14, dashes(t))]
+    lists = [(n, _hits(t, n, p)) for n, _, p in PATTERNS] + [(2, F.transform(adjectives(t), lambda x: x["match"])), (5, connectives(t)), (7, nominals(t)), (9, hedges(t)), (14, dashes(t))]
 
     def finding(n: int):  # type: ignore[no-untyped-def]
         return lambda m: F.struct(F.lit(n).alias("rule"), F.lit(SEVERITY[n]).alias("severity"), tx.squeeze(m).alias("match"))
@@ -107,16 +121,53 @@ def findings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(key, F.explode(hits(text)).alias("h")).select(key, "h.*")
 
 
-def located(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Findings of the pattern rules with ordinal, line and column."""
-    out = None
-    for number, severity, pattern in PATTERNS:
-        own = tx.matches(docs, text, pattern, [key, text])
-        if number == 10:
-            own = own.where(~F.col("match").rlike(EVIDENCE) & ~F.col("match").rlike(MECHANISM))
-        own = own.select(key, F.lit(number).alias("rule"), F.lit(severity).alias("severity"), F.col("match"), "start", tx.line_of(F.col(text), F.col("start")).alias("line"), tx.column_of(F.col(text), F.col("start")).alias("column"))
-        out = own if out is None else out.unionByName(own)
-    return out
+def _at(place: Column, prefix: Column, match: Column) -> Column:
+    """A finding whose place is behind `prefix`, which begins at `place`."""
+    at = tx.after(place, prefix)
+    return F.struct(match.alias("match"), at["start"].alias("start"), at["line"].alias("line"), at["column"].alias("column"))
+
+
+def _connective_places(text: Column) -> Column:
+    """Rule 5, at the first connector of the paragraph."""
+    own = F.transform(tx.between(text, PARAGRAPH), lambda p: F.struct(p.alias("p"), tx.every(p["match"], CONNECTIVE, 1).alias("h")))
+    head = lambda p: F.regexp_extract(p["match"], r"(?is)^((?:.*?(?<=[.!?])\s+)??)(?:Moreover|Furthermore|Additionally|However)", 1)
+    return F.transform(F.filter(own, lambda x: F.size(x["h"]) >= 3), lambda x: _at(x["p"], head(x["p"]), F.array_join(x["h"], ", ")))
+
+
+def _nominal_places(text: Column) -> Column:
+    """Rule 7, at the beginning of the sentence, its blanks included."""
+    own = F.transform(tx.places(text, SENTENCE), lambda s: F.struct(s.alias("s"), tx.every(s["match"], NOMINAL).alias("h")))
+    return F.transform(F.filter(own, lambda x: F.size(x["h"]) >= 3), lambda x: _at(x["s"], F.lit(""), F.array_join(F.slice(x["h"], 1, 4), ", ")))
+
+
+def _hedge_places(text: Column) -> Column:
+    """Rule 9, where the first of the hedges found stands, be it part of a word."""
+    own = F.transform(tx.between(text, PARAGRAPH), lambda p: F.struct(p.alias("p"), _hedges(p["match"]).alias("h"), p["match"].rlike(SUPPORT).alias("ok")))
+    first = lambda x: F.array_min(F.transform(x["h"], lambda h: F.position(h, F.lower(x["p"]["match"]))))
+    return F.transform(F.filter(own, lambda x: _too_many(x["h"], x["ok"])), lambda x: _at(x["p"], F.substring(x["p"]["match"], F.lit(1), first(x) - 1), F.array_join(x["h"], ", ")))
+
+
+def _dash_places(text: Column) -> Column:
+    """Rule 14, at the first dash."""
+    origin = F.struct(F.lit(0).alias("start"), F.lit(1).alias("line"), F.lit(1).alias("column"))
+    return F.transform(dashes(text), lambda m: _at(origin, F.substring_index(text, "—", 1), m))
+
+
+def located(docs: DataFrame, key: str = "doc_id", text: str = "text", only: list[int] | None = None) -> DataFrame:
+    """Every finding of the rules (of all 14, or of `only`) with its start, line
+    and column, from one scan.  A null or empty text has none; key stays as it is."""
+    t = F.col(text)
+    own = {n: tx.places(t, p) for n, _, p in PATTERNS}
+    own[10] = F.filter(own[10], lambda x: ~x["match"].rlike(EVIDENCE) & ~x["match"].rlike(MECHANISM))
+    own |= {2: adjectives(t), 14: _dash_places(t)}
+    for n, quick, slow in ((5, connectives, _connective_places), (7, nominals, _nominal_places), (9, hedges, _hedge_places)):
+        own[n] = F.when(F.size(quick(t)) > 0, slow(t)).otherwise(F.slice(own[1], 1, 0))
+
+    def finding(n: int):  # type: ignore[no-untyped-def]
+        return lambda x: F.struct(F.lit(n).alias("rule"), F.lit(SEVERITY[n]).alias("severity"), x["match"].alias("match"), x["start"].alias("start"), x["line"].alias("line"), x["column"].alias("column"))
+
+    lists = [F.transform(own[n], finding(n)) for n in sorted(own) if only is None or n in only]
+    return docs.where(t.isNotNull()).select(key, F.explode(F.concat(*lists)).alias("_f")).select(key, "_f.*")
 
 
 def rule_table(spark: SparkSession) -> DataFrame:

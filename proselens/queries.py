@@ -155,7 +155,8 @@ QUERIES = {
     "a6_rule_totals": lambda s, d: _report(s, d).groupBy("rule", "severity").agg(F.sum("hits").alias("hits"), F.count_if(F.col("hits") > 0).alias("docs")),
     **{f"r{n}_{name}": _one_rule(n) for n, name in _RULES.items()},
     "r15_phrases": lambda s, d: rules.phrase_hits(_docs(s, d)).groupBy("doc_id", "phrase").agg(F.count("*").cast("int").alias("hits")),
-    "r17_located_findings": lambda s, d: rules.located(_docs(s, d)),
+    "r17_located_findings": lambda s, d: rules.located(_docs(s, d), only=[n for n, _, _ in rules.PATTERNS]),
+    "r17_scan": lambda s, d: rules.located(_docs(s, d)),
     "p3_paragraphs": lambda s, d: _docs(s, d).select("doc_id", F.size(tx.paragraphs("text")).alias("paragraphs"), F.coalesce(F.array_max(F.transform(tx.paragraphs("text"), F.length)), F.lit(0)).alias("longest")),
     "p4_sentence_spans": lambda s, d: _docs(s, d).select("doc_id", F.size(tx.sentence_spans("text")).alias("spans")),
     "p6_sentences": lambda s, d: _docs(s, d).select("doc_id", F.posexplode(tx.paragraphs("text")).alias("par_no", "p")).select("doc_id", "par_no", F.size(tx.sentences("p")).alias("sentences")),

@@ -445,3 +445,62 @@ def test_located_findings_hold_trailing_participles(spark, tmp_path):
     got = QUERIES["r17_located_findings"](spark, str(tmp_path)).where("rule = 10").select("doc_id", "rule", "severity", "match", "start", "line", "column")
     assert {tuple(r) for r in got.collect()} == want
     assert {(k, m) for k, _, _, m, *_ in want} >= {(0, ", making it rare"), (0, ", thereby saving\nspace"), (1, ", opening the gate")}
+
+
+def every_place(text):
+    """All findings of a text, rule by rule, in plain Python."""
+    import re
+
+    at = lambda k: (k, text.count("\n", 0, k) + 1, k - text.rfind("\n", 0, k))
+    find = lambda p, t: list(re.finditer(p, t, re.ASCII))
+    out = set()
+    for n, severity, p in rules.PATTERNS:
+        own = [m for m in find(p, text) if n != 10 or not (find(rules.EVIDENCE, m[0]) or find(rules.MECHANISM, m[0]))]
+        out |= {(n, severity, m[0], *at(m.start())) for m in own}
+    spans = [m for m in find(rules.SENTENCE, text) if m[0].strip()]
+    for m in find(rules.ADJECTIVE, text):
+        k = next(i for i, s in enumerate(spans) if s.start() <= m.start() < s.end())
+        if not find(rules.METRIC, " ".join(s[0] for s in spans[max(k - 1, 0) : k + 2])):
+            out.add((2, "warn", m[0], *at(m.start())))
+    for s in spans:
+        names = re.findall(r"(?i)\b[A-Za-z]+(?:tion|sion|ment|ance|ence|ity|ization)\b", s[0])
+        if len(names) > 2:
+            out.add((7, "info", ", ".join(names[:4]), *at(s.start())))
+    ends = [(0, 0), *[m.span() for m in find(rules.PARAGRAPH, text)], (len(text), len(text))]
+    for (_, a), (b, _) in zip(ends, ends[1:]):
+        p = text[a:b]
+        words = find(rules.CONNECTIVE, p)
+        if len(words) > 2:
+            out.add((5, "warn", ", ".join(m[1] for m in words), *at(a + words[0].start(1))))
+        hedges = [h for h in rules.HEDGES for _ in re.findall(rf"\b{h}\b", p.lower())]
+        if hedges and (len(hedges) > 3 or not find(rules.SUPPORT, p)):
+            out.add((9, "warn", ", ".join(hedges), *at(a + min(p.lower().find(h) for h in hedges))))
+    dashes, words = text.count("—"), max(len(find(tx.LETTER_WORD, text)), 1)
+    if dashes * 1000 > 3 * words:
+        out.add((14, "warn", f"{dashes} em dashes ({dashes * 1000 / words:.2f}/1000 words)", *at(text.index("—"))))
+    return out
+
+
+PLACED = [
+    "",
+    "   \n\n  ",
+    "It is secure\nand efficient. Practical! The latency fell.\n\nIt is dramatically scalable",
+    "x.  Moreover, a.\nHowever, b. Furthermore, c.\n\nMoreover it ran. However, it fell.",
+    "Überall\n \nMoreover, a. However b! Additionally, the creation of motion, tension and density. End",
+    "One — two.\n  The notion of density is motion — and tension, ability, presence.",
+    "It insuggests nothing; the map suggests it. We conjecture so.\n\n\nIt appears to. It suggests. It suggests. It is consistent with 5 ms.",
+    "Practical. Practical\u0001 practical.\nA pivotal, scalable and efficient map — in other words 5 % of it.",
+    "significantly " * 40 + "\n" + "A notion, motion, tension.\n" * 30 + "throughput",
+]
+
+
+def test_all_findings_stand_where_plain_python_finds_them(spark):
+    rows = spark.createDataFrame([*enumerate(PLACED), (99, None)], "doc_id long, text string")
+    got = {k: set() for k in range(len(PLACED))}
+    for r in rules.located(rows).select("doc_id", "rule", "severity", "match", "start", "line", "column").collect():
+        got[r[0]].add(tuple(r)[1:])
+    for k, text in enumerate(PLACED):
+        assert got[k] == every_place(text.replace("\u0001", " ")), text
+    counted = {r["doc_id"]: r["n"] for r in rules.findings(rows).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert counted == {k: len(v) for k, v in got.items() if v}
+    assert {n for v in got.values() for n, *_ in v} >= {1, 2, 5, 7, 8, 9, 14}
