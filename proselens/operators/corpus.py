@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import records
 
 #: an anchor with its target between quotes of either kind or none, and its text
 LINK = r"""(?is)<a\b(?=[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))[^>]*>(.*?)</a\s*>"""
@@ -89,33 +90,71 @@ def coverage(rows: DataFrame, group: str, status: str) -> DataFrame:
     return rows.groupBy(group, status).agg(F.count("*").alias("n"))
 
 
+#: fixed values: parts of venue names that tell the kind of an entry
+ARTICLE = "journal|transactions|access"
+PROCEEDINGS = "crypto|eurocrypt|asiacrypt|ccs|ndss|usenix|ieee s&p|sac|ct-rsa|wacv|wahc"
+#: characters of a title that a key keeps
+KEY_LENGTH = 60
+
+
 def entry_type(venue: Column | str) -> Column:
-    """The kind of a bibliography entry by its venue."""
+    """The kind of a bibliography entry by its venue; of a null venue, misc."""
     v = F.lower(tx.c(venue))
-    return F.when(v.rlike("journal|transactions|letters"), "article").when(v.rlike("arxiv|eprint|preprint"), "misc").otherwise("inproceedings")
+    return F.when(v.rlike(ARTICLE), "article").when(v.rlike(PROCEEDINGS), "inproceedings").otherwise("misc")
 
 
 def escaped(text: Column | str) -> Column:
-    return reduce(lambda t, x: F.replace(t, F.lit(x), F.lit("\\" + x)), "&%$#_", tx.c(text))
+    """Back-slashes, braces and ampersands for BibTeX; the braces of an escaped
+    back-slash are escaped in turn."""
+    return reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), [("\\", "\\textbackslash{}"), ("{", "\\{"), ("}", "\\}"), ("&", "\\&")], tx.c(text))
 
 
 def notes(text: Column | str) -> Column:
-    """k=v pairs between semicolons, keys trimmed, split at the first =."""
-    return F.transform_keys(F.str_to_map(tx.c(text), F.lit(r";\s*"), F.lit("=")), lambda k, v: F.trim(k))
-
-
-def bibliography(rows: DataFrame) -> DataFrame:
-    """SNK4, W9: numbered entries by year and title, as text.  rows: title, venue, year."""
-    place = F.row_number().over(W.orderBy("year", F.lower("title"), "title"))
-    key = F.concat(F.substring(tx.slug("title"), 1, 20), F.lit("_"), F.col("year").cast("string"))
-    body = F.concat(F.lit("@"), entry_type("venue"), F.lit("{"), key, F.lit(", title={"), escaped("title"), F.lit("}, year={"), F.col("year").cast("string"), F.lit("}}"))
-    return rows.select(place.alias("place"), entry_type("venue").alias("kind"), body.alias("entry"))
+    """k=v pairs between semicolons, both trimmed, split at the first =; what has
+    none is no pair, and of equal keys the last holds."""
+    parts = F.filter(F.split(tx.c(text), ";"), lambda x: F.contains(x, F.lit("=")))
+    key = lambda x: F.trim(F.regexp_extract(x, "^([^=]*)=", 1))
+    last = F.filter(parts, lambda x, i: ~F.exists(F.slice(parts, i + 2, F.size(parts)), lambda y: key(y) == key(x)))
+    return F.map_from_arrays(F.transform(last, key), F.transform(last, lambda x: F.trim(F.regexp_extract(x, "(?s)=(.*)$", 1))))
+
+
+def bibliography(rows: DataFrame, prefix: str = "source", origin: str = "Distilled source", index: str = "sourceIndex") -> DataFrame:
+    """SNK4, W9: one BibTeX entry a row, numbered by year and title.  rows: title,
+    venue, year, notes, direction, secondary, all text.  Nulls are empty, and an empty
+    field is left out; only counts of years and beginnings of titles meet in a task."""
+    names = ["title", "venue", "year", "notes", "direction", "secondary"]
+    rows = rows.select(*[F.trim(F.coalesce(F.col(n).cast("string"), F.lit(""))).alias(n) for n in names])
+    rows = records.numbered(rows, "year", F.lower("title"), 9).withColumn("kind", entry_type("venue")).withColumn("note", notes("notes"))
+    own = lambda k: F.coalesce(F.element_at("note", F.lit(k)), F.lit(""))
+    other = F.when(own("eprint") != "", own("eprint")).otherwise(own("also_eprint"))
+    short = F.substring(F.trim(F.regexp_replace("title", "[^A-Za-z0-9]+", "-"), F.lit("-")), 1, KEY_LENGTH)
+    key = F.concat_ws("-", F.lit(prefix), "year", F.when(short == "", "paper").otherwise(F.lower(short)))
+    said = lambda name: F.when(F.col(name) != "", F.concat(F.lit(f"; {'primary direction' if name == 'direction' else 'secondary directions'}: "), name)).otherwise("")
+    fields = [
+        ("title", F.col("title")),
+        ("year", F.col("year")),
+        *[(name, F.when(F.col("kind") == kind, F.col("venue"))) for kind, name in (("article", "journal"), ("inproceedings", "booktitle"), ("misc", "howpublished"))],
+        ("doi", own("doi")),
+        ("eprint", F.when(own("arxiv") != "", own("arxiv")).otherwise(other)),
+        ("archivePrefix", F.when(own("arxiv") != "", "arXiv").when(other != "", "IACR Cryptology ePrint Archive")),
+        ("note", F.concat(F.lit(origin), said("direction"), said("secondary"))),
+    ]
+    lines = [F.when(v != "", F.concat(F.lit(f"  {name} = {{"), escaped(v), F.lit("},"))) for name, v in fields]
+    place = F.when(F.col("place") > 999, F.col("place").cast("string")).otherwise(F.lpad(F.col("place").cast("string"), 3, "0"))
+    body = F.concat_ws("\n", F.concat(F.lit("@"), "kind", F.lit("{"), key, F.lit(",")), *lines, F.concat(F.lit(f"  {index} = {{"), place, F.lit("}")), F.lit("}"))
+    return rows.select("place", "kind", body.alias("entry"))
+
+
+#: fixed value: what counts as an identifier when it is held against a private list
+IDENTIFIER = r"[A-Za-z0-9][A-Za-z0-9_.-]*"
 
 
 def hashed_hits(docs: DataFrame, digests: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tokens whose hash is in a private list, and how often."""
-    rows = docs.select(key, F.explode(tx.tokens(text)).alias("token"))
-    return rows.withColumn("digest", F.sha2("token", 256)).join(F.broadcast(digests), "digest", "left_semi").groupBy(key, "digest").agg(F.count("*").alias("n"))
+    """Identifiers whose hash is in a private list, by line, and how often.  The
+    list goes to all tasks only if Spark finds it small."""
+    rows = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line")).select(key, (F.col("line_no") + 1).alias("line_no"), F.explode(tx.every(F.lower("line"), IDENTIFIER.replace("A-Z", ""))).alias("token"))
+    rows = rows.withColumn("digest", F.sha2("token", 256)).join(digests.distinct(), "digest", "left_semi")
+    return rows.groupBy(key, "line_no", "digest").agg(F.count("*").alias("n"))
 
 
 def manifest(rows: DataFrame, group: list[str], path: str, body: str) -> DataFrame:
@@ -172,19 +211,41 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def sensitivity(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Flags and counts of what a dossier should not show."""
-    t = tx.c(text)
-    emails = F.regexp_count(t, F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}"))
-    license_ = F.regexp_count(t, F.lit(r"(?i)\blicen[sc]ed?\b"))
-    return docs.select(key, emails.cast("long").alias("emails"), license_.cast("long").alias("licenses"), ((emails > 0) | (license_ > 0)).alias("flagged"))
+#: fixed values: quantities, and words of reviews, that a dossier should not show
+QUANTITY = r"\b\d+(?:\.\d+)?\s*(?:%|[xX]|ms|s|GB|MB|KB|bits?)\b"
+REVIEW = r"(?i)\b(?:reviewer\s*#?\d*|weakness|rebuttal|R[1-9])\b"
 
 
-def numeric_lines(docs: DataFrame, allow: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Lines that state a number with a unit, but for those allowed."""
+def sensitivity(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Whether a text is unpublished or a fingerprint, how many quantities and
+    words of reviews it has, and whether there is any of these.  Columns `suffix` and
+    `path` count where there are any; a null text is empty."""
+    t = F.coalesce(tx.c(text), F.lit(""))
+    own = F.contains(F.lower(t), F.lit("unpublished"))
+    if "suffix" in docs.columns:
+        own = own | F.coalesce(F.lower("suffix") == ".tex", F.lit(False))
+    if "path" in docs.columns:
+        own = own | F.coalesce(F.contains(F.lower("path"), F.lit("fingerprint.json")), F.lit(False))
+    rows = docs.select(key, own.alias("unpublished"), F.regexp_count(t, F.lit(QUANTITY)).cast("long").alias("quantities"), F.regexp_count(t, F.lit(REVIEW)).cast("long").alias("reviews"))
+    return rows.withColumn("flagged", F.col("unpublished") | (F.col("quantities") > 0) | (F.col("reviews") > 0))
+
+
+#: fixed values: result-like numbers, identifiers of preprints, and beginnings of lines
+#: that may state numbers
+NUMERIC = r"\b\d+(?:\.\d+)?\s*(?:x|X|%|ms|s|GB|MB|KB|bits?)(?![A-Za-z0-9])"
+PREPRINT = r"\b(?:20[0-2][0-9])/(?:[0-9]{3,5})\b|\b20[0-2][0-9]-[0-9]{3,5}\b"
+ALLOWED = ["threshold:", "budget:", "target:", "limit:", "range:"]
+
+
+def flagged_lines(docs: DataFrame, marker: str = "<!-- allow-numeric -->", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Lines with a result-like number, unless they begin with an allowed word
+    (behind list marks) or hold the marker, and lines with an identifier of a
+    preprint; a line that has both is two rows."""
     rows = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    ok = reduce(lambda a, x: a | F.startswith(F.trim("line"), F.lit(x)), allow, F.lit(False))
-    return rows.where(F.col("line").rlike(r"\d+(?:\.\d+)?\s*(?:%|ms|GB|MB|KB|bits?)") & ~ok).select(key, (F.col("line_no") + 1).alias("line_no"))
+    head = F.lower(F.regexp_replace("line", r"^\s*(?:[-*+]\s*)*", ""))
+    free = reduce(lambda a, x: a | F.startswith(head, F.lit(x)), ALLOWED, F.contains("line", F.lit(marker)))
+    kinds = F.array_compact(F.array(F.when(F.col("line").rlike(NUMERIC) & ~free, "numeric"), F.when(F.col("line").rlike(PREPRINT), "preprint")))
+    return rows.select(key, (F.col("line_no") + 1).alias("line_no"), F.explode(kinds).alias("kind"))
 
 
 def upsert(registry: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -190,7 +190,11 @@ def baseline(measured: DataFrame, paper: str) -> DataFrame:
     is the mean of its documents), and how many papers there are."""
     papers = measured.groupBy(paper).agg(*[F.avg(m).alias(m) for m in BASELINE])
     out = papers.agg(F.count("*").alias("paper_count"), *[F.avg(m).alias(f"{m}_mean") for m in BASELINE], *[F.stddev_pop(m).alias(f"{m}_sd") for m in BASELINE])
-    return out.withColumn("status", F.when(F.col("paper_count") < THIN, F.format_string("thin(n=%d)", "paper_count")).otherwise("ok"))
+    return with_status(out)
+
+
+def with_status(base: DataFrame) -> DataFrame:
+    return base.withColumn("status", F.when(F.col("paper_count") < THIN, F.format_string("thin(n=%d)", "paper_count")).otherwise("ok"))
 
 
 def compared(measured: DataFrame, base: DataFrame, key: str = "doc_id", limit: float = 1.5) -> DataFrame:

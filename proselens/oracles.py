@@ -6,6 +6,7 @@ of ASCII.  Where it matters, texts are cut into tokens first."""
 from __future__ import annotations
 
 from .functions import text as tx
+from .operators import corpus as co
 from .operators import fingerprint as fp
 from .operators import glossary as gl
 from .operators import history as hi
@@ -158,8 +159,6 @@ SQL |= {
     "w2_gaps": f"{DOC_BLOCK} SELECT doc_id, par_no::INT AS par_no, k::INT AS k, n::INT AS n, abs(n - lag(n) OVER (PARTITION BY doc_id, par_no ORDER BY k))::INT AS gap FROM sen",
     "w6_claims": f"{DOC_BLOCK} SELECT doc_id, count(*)::BIGINT AS claims, sum(floor((k + 1) * 1000000 / cnt))::BIGINT AS position_sum FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, par_no) AS cnt FROM sen) WHERE claim GROUP BY doc_id",
     "a31_synonyms": D + f"SELECT doc_id, x.concept, array_to_string(x.v, ',') AS variants FROM (SELECT doc_id, unnest([{', '.join(f'''{{'concept': {Q(k)}, 'v': list_filter([{', '.join(map(Q, vs))}], lambda v: regexp_matches(t, '\\b' || v || '\\b'))}}''' for k, vs in fp.SYNONYMS.items())}]) AS x FROM (SELECT doc_id, lower(array_to_string({PARAS('text')}, ' ')) AS t FROM docs)) WHERE len(x.v) > 1",
-    "a4_baseline": f"""{DOC_BLOCK}, m AS ({_metrics('doc_id')}), paper AS (SELECT source, avg(mean_sentence_length) AS a, avg(em_dashes * 1000 / greatest(word_count, 1)) AS b FROM m JOIN docs USING (doc_id) GROUP BY source)
-SELECT count(*)::BIGINT AS paper_count, CASE WHEN count(*) < 5 THEN 'thin(n=' || count(*) || ')' ELSE 'ok' END AS status, round(avg(a), 6) AS mean_sentence_length_mean, round(stddev_pop(a), 6) AS mean_sentence_length_sd, round(avg(b), 6) AS em_dash_per_1000_words_mean FROM paper""",
 }
 
 P = f"WITH {seed.PAIRS_SQL} "
@@ -296,6 +295,16 @@ gone_q AS (SELECT pair_id, match, start FROM (SELECT *, row_number() OVER (PARTI
 _SIGNED = {k: [neg, pos] for k, (pos, neg) in rv.COMPARISONS.items()}
 _COLS = "pair_id, ladder, ordinal::INT AS ordinal, o.word AS original, n.word AS revised, (n.level - o.level)::INT AS span"
 _NEG = r"(?i)(?:^|[^\p{L}\p{N}_])(not|no|never|without|neither|nor|none|cannot|can['’]t|(?:is|are|was|were|do|does|did|has|have|had|would|should|could|might|must|need)n['’]t)(?:[^\p{L}\p{N}_]|$)"
+
+
+def _removed(kind: str, pattern: str) -> str:
+    """The last matches, by how many their number fell, with their places."""
+    mark = f"string_split(regexp_replace(before, {Q(pattern)}, chr(1) || '\\0' || chr(1), 'g'), chr(1))"
+    return f"""m AS (SELECT pair_id, {mark} AS x, {N('after', pattern)} AS a FROM pairs), n AS (SELECT pair_id, x, a, (len(x) - 1) // 2 AS b FROM m),
+i AS (SELECT pair_id, x, unnest(range(a + 1, b + 1)) AS k FROM n WHERE b > a)
+SELECT pair_id, {Q(kind)} AS kind, x[2 * k] AS match, length(array_to_string(x[1:2 * k - 1], ''))::INT AS start FROM i"""
+
+
 SQL |= {
     "j5_strength_moves": _moves(rv.LADDERS, "n.level <> o.level", _COLS),
     "j12_crypto_moves": f"{P}, {_CRYPTO} SELECT * FROM cm",
@@ -312,8 +321,7 @@ t AS (SELECT pair_id, (SELECT count(*) FROM up WHERE up.pair_id = p.pair_id)::BI
 SELECT *, upward + negations + modals + flips + qualifiers + crypto_upward = 0 AS passed FROM t""",
     "p14_claim_prose": f"{P} SELECT pair_id, {SQ(_prose('after'))} AS prose FROM pairs",
     "j6_comparison_flips": _moves(_SIGNED, "n.level <> o.level", "pair_id, ladder AS \"group\", ordinal::INT AS ordinal, o.word AS original, n.word AS revised"),
-    "j7_removed_modals": f"""{P}, m AS (SELECT pair_id, list_transform(regexp_extract_all({_dbl('before')}, {Q(r'(?i)(?:^|[^\p{L}\p{N}_])(may|might|could|can|should|would)(?:[^\p{L}\p{N}_]|$)')}, 1), lambda x: lower(x)) AS b, len(regexp_extract_all({_dbl('after')}, {Q(r'(?i)(?:^|[^\p{L}\p{N}_])(?:may|might|could|can|should|would)(?:[^\p{L}\p{N}_]|$)')})) AS a FROM pairs)
-SELECT pair_id, unnest(b[a + 1:len(b)]) AS match FROM m WHERE len(b) > a""",
+    "j7_removed": " UNION ALL ".join(f"SELECT * FROM ({P}, {_removed(kind, p)})" for kind, p in (("modal", rv.MODAL), ("negation", rv.NEGATION))),
 }
 
 
@@ -425,6 +433,9 @@ full_m AS (SELECT doc_id, paragraph_count, word_count, sentence_count, kinds, fi
   {_R4('sqrt(greatest(0.0::DOUBLE, (n2 * sentence_count - n1 * n1)::DOUBLE)) / safe')} AS sentence_length_sd, {_R4('word_count / paragraph_count')} AS mean_paragraph_words, {_R4('sqrt(greatest(0.0::DOUBLE, (w2 * paragraph_count - word_count * word_count)::DOUBLE)) / paragraph_count')} AS paragraph_word_sd,
   {_R4('sentence_count / paragraph_count')} AS mean_sentences_per_paragraph, {_R4('alternation')} AS alternation_index, {_R4('con / safe')} AS connective_density, {_R4('(sentence_count - passive) / safe')} AS active_sentence_ratio, {_R4('passive / safe')} AS passive_sentence_ratio,
   {_R4('first_person * 1000 / greatest(word_count, 1)')} AS first_person_per_1000_words, {_R4('hedges * 1000 / greatest(word_count, 1)')} AS hedges_per_1000_words FROM raw_m)"""
+_PAPERS = ", ".join(f"avg({e}) AS {m}" for m, e in {"mean_sentence_length": "n1::DOUBLE / safe", "sentence_length_sd": "sqrt(greatest(0.0::DOUBLE, (n2 * sentence_count - n1 * n1)::DOUBLE)) / safe", "alternation_index": "alternation", "connective_density": "con / safe", "em_dash_per_1000_words": "em_dashes * 1000 / greatest(word_count, 1)"}.items())
+SQL["a4_baseline"] = f"""{DOC_BLOCK}, {_FULL}, paper AS (SELECT source, {_PAPERS} FROM raw_m JOIN docs USING (doc_id) JOIN (SELECT doc_id, em_dashes FROM ps) USING (doc_id) GROUP BY source)
+SELECT count(*)::BIGINT AS paper_count, CASE WHEN count(*) < 5 THEN 'thin(n=' || count(*) || ')' ELSE 'ok' END AS status, {", ".join(f"round(avg({m}), 6) AS {m}_mean, round(stddev_pop({m}), 6) AS {m}_sd" for m in fp.BASELINE)} FROM paper"""
 _THIN = {
     "sentence_length": ("6, 7, 8, 10, 12, 13, 14", "sentence_count < 4 OR sentence_length_sd < 4", "sentence sample or variance below policy threshold"),
     "paragraph_length": ("8", "paragraph_count < 2", "fewer than 2 paragraphs"),
@@ -473,18 +484,26 @@ SELECT doc_id, metric, CASE WHEN gb = 0 AND go > 0 THEN 'diverged_from_exact_mat
 _LINK = '(?is)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
 _LINKS = f"""lk AS (SELECT page_id, url, (i - 1)::INT AS place, trim(h[i]) AS href, t[i] AS tx FROM (SELECT page_id, url, h, t, unnest(range(1, len(h) + 1)) AS i FROM (SELECT page_id, url, regexp_extract_all(html, {Q(_LINK)}, 1) AS h, regexp_extract_all(html, {Q(_LINK)}, 2) AS t FROM pages))),
 links AS (SELECT page_id, place, {SQ("regexp_replace(tx, '<[^>]*>', ' ', 'g')")} AS text, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^([A-Za-z]+:)', 1) || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || href ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || href END AS target FROM lk)"""
-_BIB = "rows AS (SELECT 'T' || conv_id AS title, CASE conv_id % 3 WHEN 0 THEN 'Journal X' WHEN 1 THEN 'Workshop & Co' ELSE 'arXiv' END AS venue, 2000 + min(turn) + conv_id % 20 AS year FROM conversations GROUP BY conv_id)"
+_PICK = lambda n, *v: f"([{', '.join(v)}])[conv_id % {n} + 1]"
+_ESC = lambda x: f"replace(replace(replace(replace({x}, chr(92), chr(92) || 'textbackslash{{}}'), '{{', chr(92) || '{{'), '}}', chr(92) || '}}'), '&', chr(92) || '&')"
+_FIELD = lambda name, v: f"CASE WHEN {v} <> '' THEN '  {name} = {{' || {_ESC(v)} || '}},' END"
+_BIB = f"""r AS (SELECT conv_id, trim({_PICK(3, "'T'", "'the {map} '", "'A' || chr(92) || 'B '")} || conv_id) AS title, {_PICK(4, "'Journal X'", "'Workshop & Co'", "'USENIX'", "'arXiv'")} AS venue, (2000 + min(turn) + conv_id % 20)::VARCHAR AS year,
+  {_PICK(5, "'10.1/x'", "''", "''", "''", "''")} AS doi, {_PICK(5, "'2001.1'", "'a=b'", "'7'", "''", "''")} AS eprint, {_PICK(5, "'arXiv'", "'IACR Cryptology ePrint Archive'", "'IACR Cryptology ePrint Archive'", "''", "''")} AS archive,
+  'Distilled source' || CASE WHEN conv_id % 2 = 0 THEN '; primary direction: maps' ELSE '' END || CASE WHEN conv_id % 7 = 0 THEN '; secondary directions: a; b' ELSE '' END AS note FROM conversations GROUP BY conv_id),
+rows AS (SELECT *, row_number() OVER (ORDER BY year, lower(title), title)::INT AS place, {_PICK(4, "'article'", "'misc'", "'inproceedings'", "'misc'")} AS kind, {_PICK(4, "'journal'", "'howpublished'", "'booktitle'", "'howpublished'")} AS venue_field FROM r)"""
 SQL |= {
     "src16_links": f"WITH {_LINKS} SELECT * FROM links",
     "p34_keyword_links": f"WITH {_LINKS} SELECT page_id, place, target FROM links WHERE contains(lower(text), 'the') OR contains(lower(text), 'und')",
     "w8_links_per_page": f"WITH {_LINKS} SELECT page_id, target FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY place) AS r FROM links) WHERE r <= 3",
     "a28_coverage": "SELECT source, lang, count(*)::BIGINT AS n FROM documents GROUP BY ALL",
-    "snk4_bibliography": f"WITH {_BIB} SELECT row_number() OVER (ORDER BY year, lower(title), title)::INT AS place, CASE WHEN regexp_matches(lower(venue), 'journal|transactions|letters') THEN 'article' WHEN regexp_matches(lower(venue), 'arxiv|eprint|preprint') THEN 'misc' ELSE 'inproceedings' END AS kind, year FROM rows",
-    "j25_hashed_tokens": f"SELECT doc_id, sha256(t) AS digest, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), {Q(tx.TOKEN)})) AS t FROM documents) WHERE t IN ('than', 'license', 'idiot') GROUP BY ALL",
+    "snk4_bibliography": f"""WITH {_BIB} SELECT place, kind, concat_ws(chr(10), '@' || kind || '{{source-' || year || '-' || lower(left(trim(regexp_replace(title, '[^A-Za-z0-9]+', '-', 'g'), '-'), 60)) || ',', {_FIELD('title', 'title')}, {_FIELD('year', 'year')},
+  '  ' || venue_field || ' = {{' || {_ESC('venue')} || '}},', {_FIELD('doi', 'doi')}, {_FIELD('eprint', 'eprint')}, {_FIELD('archivePrefix', 'archive')}, {_FIELD('note', 'note')}, '  sourceIndex = {{' || CASE WHEN place > 999 THEN place::VARCHAR ELSE lpad(place::VARCHAR, 3, '0') END || '}}', '}}') AS entry FROM rows""",
+    "j25_hashed_tokens": f"SELECT doc_id, line_no::INT AS line_no, sha256(t) AS digest, count(*)::BIGINT AS n FROM (SELECT doc_id, line_no, unnest(regexp_extract_all(lower(line), '[a-z0-9][a-z0-9_.-]*')) AS t FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no FROM documents)) WHERE t IN ('than', 'license', 'idiot') GROUP BY ALL",
     "a27_manifest": "SELECT source, count(*)::BIGINT AS files, sha256(string_agg(lpad(doc_id::VARCHAR, 20, '0') || ':' || sha256(coalesce(text, '')), chr(10) ORDER BY lpad(doc_id::VARCHAR, 20, '0'))) AS digest FROM documents GROUP BY source",
     "j27_manifest_diff": "WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN upper(coalesce(text, '')) ELSE coalesce(text, '') END AS t FROM documents WHERE doc_id % 11 <> 0) SELECT doc_id, CASE WHEN b.t IS NULL THEN 'source_only' WHEN a.t IS NULL THEN 'installed_only' WHEN a.t <> b.t THEN 'changed' ELSE 'same' END AS status FROM a FULL JOIN b USING (doc_id)",
-    "p38_sensitivity": D + "SELECT doc_id, e AS emails, l AS licenses, e > 0 OR l > 0 AS flagged FROM (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]{2,}'))::BIGINT AS e, len(regexp_extract_all(text, '(?i)\\blicen[sc]ed?\\b'))::BIGINT AS l FROM docs)",
-    "p37_numeric_lines": D + "SELECT doc_id, i::INT AS line_no FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs) WHERE regexp_matches(line, '\\d+(?:\\.\\d+)?\\s*(?:%|ms|GB|MB|KB|bits?)') AND NOT starts_with(trim(line), 'Moreover')",
+    "p38_sensitivity": D + f"SELECT *, unpublished OR quantities > 0 OR reviews > 0 AS flagged FROM (SELECT doc_id, contains(lower(text), 'unpublished') AS unpublished, {N('text', co.QUANTITY)}::BIGINT AS quantities, {N('text', co.REVIEW)}::BIGINT AS reviews FROM docs)",
+    "p37_flagged_lines": D + f"""SELECT doc_id, i::INT AS line_no, unnest(list_filter([CASE WHEN regexp_matches(line, {Q(co.NUMERIC.replace('(?![A-Za-z0-9])', '(?:[^A-Za-z0-9]|$)'))}) AND NOT contains(line, '<!-- allow-numeric -->') AND NOT regexp_matches(line, {Q('(?i)^\\s*(?:[-*+]\\s*)*(?:' + '|'.join(co.ALLOWED) + ')')}) THEN 'numeric' END, CASE WHEN regexp_matches(line, {Q(co.PREPRINT)}) THEN 'preprint' END], lambda x: x IS NOT NULL)) AS kind
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs)""",
     "snk8_upsert": "SELECT doc_id, 'new' AS origin FROM labels WHERE quality = 1 AND doc_id IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'old' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "j29_wiring": D + "SELECT a.anchor, count(l.line)::BIGINT AS n, count(l.line) = 1 AS wired FROM (VALUES ('technical packaging'), ('no such anchor'), ('Introduction')) a(anchor) LEFT JOIN (SELECT unnest(string_split(text, chr(10))) AS line FROM docs) l ON contains(l.line, a.anchor) GROUP BY a.anchor",
     "g2_reachability": """WITH RECURSIVE edges AS (SELECT DISTINCT doc_id AS src, (doc_id * 7 + 3) % (SELECT count(*) FROM documents) AS dst FROM documents WHERE doc_id % 5 <> 0 UNION SELECT doc_id, doc_id + 1 FROM documents WHERE doc_id % 4 = 1),

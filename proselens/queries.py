@@ -70,10 +70,12 @@ def _wanted(s: S, d: str) -> DataFrame:
 
 
 def _bibliography(s: S, d: str) -> DataFrame:
+    """A registry of one row a conversation, with venues and notes of each kind."""
     one = s.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.min("turn").alias("t"))
-    k = F.col("conv_id") % 3
-    rows = one.select(F.concat(F.lit("T"), F.col("conv_id").cast("string")).alias("title"), F.when(k == 0, "Journal X").when(k == 1, "Workshop & Co").otherwise("arXiv").alias("venue"), (F.col("t") + 2000 + F.col("conv_id") % 20).alias("year"))
-    return corpus.bibliography(rows).select("place", "kind", F.regexp_extract("entry", r"year=\{(\d+)\}", 1).cast("long").alias("year"))
+    k, of = F.col("conv_id"), lambda n, *v: F.get(F.array(*[F.lit(x) for x in v]), F.col("conv_id") % n)
+    title = F.concat(of(3, "T", "the {map} ", "A\\B "), k.cast("string"))
+    rows = one.select(title.alias("title"), of(4, "Journal X", "Workshop & Co", "USENIX", "arXiv").alias("venue"), (F.col("t") + 2000 + k % 20).cast("string").alias("year"), of(5, "doi=10.1/x; arxiv = 2001.1", "also_eprint=a=b;junk", "eprint=; also_eprint=7", "", None).alias("notes"), of(2, "maps", None).alias("direction"), of(7, "a; b", "", "", "", "", "", "").alias("secondary"))
+    return corpus.bibliography(rows)
 
 
 def _hashed_tokens(s: S, d: str) -> DataFrame:
@@ -81,6 +83,19 @@ def _hashed_tokens(s: S, d: str) -> DataFrame:
     return corpus.hashed_hits(_raw(s, d), private)
 
 
+def _removed(s: S, d: str) -> DataFrame:
+    pairs = _pairs(s, d)
+    kinds = [("modal", revision.MODAL), ("negation", revision.NEGATION)]
+    out = [revision.removed_by_count(pairs, p, kind).select("pair_id", "kind", "match", "start") for kind, p in kinds]
+    return out[0].unionByName(out[1])
+
+
+def _baseline(s: S, d: str) -> DataFrame:
+    measured = fingerprint.by_document(_docs(s, d)).join(_docs(s, d).select("doc_id", "source"), "doc_id")
+    figures = [f"{m}_{x}" for m in fingerprint.BASELINE for x in ("mean", "sd")]
+    return fingerprint.baseline(measured, "source").select("paper_count", "status", *[F.round(x, 6).alias(x) for x in figures])
+
+
 def _reachability(s: S, d: str) -> DataFrame:
     docs = _raw(s, d).select("doc_id")
     n = docs.count()
@@ -170,7 +185,7 @@ QUERIES = {
     "w2_gaps": lambda s, d: fingerprint.adjacent_gaps(_docs(s, d)),
     "w6_claims": lambda s, d: fingerprint.claim_positions(_docs(s, d)),
     "a31_synonyms": lambda s, d: fingerprint.synonyms(_docs(s, d)),
-    "a4_baseline": lambda s, d: fingerprint.baseline(fingerprint.by_document(_docs(s, d)).join(_docs(s, d).select("doc_id", "source"), "doc_id"), "source").select("paper_count", "status", F.round("mean_sentence_length_mean", 6).alias("mean_sentence_length_mean"), F.round("mean_sentence_length_sd", 6).alias("mean_sentence_length_sd"), F.round("em_dash_per_1000_words_mean", 6).alias("em_dash_per_1000_words_mean")),
+    "a4_baseline": _baseline,
     "j1_differences": lambda s, d: revision.differences(_pairs(s, d)),
     "j2_category_report": lambda s, d: revision.category_report(revision.differences(_pairs(s, d))),
     "j3_immutable_verdict": lambda s, d: revision.immutable_verdict(_pairs(s, d)),
@@ -184,7 +199,7 @@ QUERIES = {
     "j5_strength_moves": lambda s, d: revision.moves(_pairs(s, d)),
     "j12_crypto_moves": lambda s, d: revision.crypto_moves(_pairs(s, d)),
     "j6_comparison_flips": lambda s, d: revision.flips(_pairs(s, d)),
-    "j7_removed_modals": lambda s, d: revision.removed_by_count(_pairs(s, d), revision.MODAL, "modal").select("pair_id", F.lower("match").alias("match")),
+    "j7_removed": _removed,
     "j28_merged_glossary": lambda s, d: _joined(glossary.merged(glossary.layers(s))),
     "j28_conflicts": lambda s, d: glossary.conflicts(glossary.layers(s)),
     "a25_deletion_risks": lambda s, d: glossary.deletion_risks(glossary.merged(glossary.layers(s))),
@@ -216,7 +231,7 @@ QUERIES = {
     "a27_manifest": lambda s, d: corpus.manifest(_raw(s, d).withColumn("path", F.lpad(F.col("doc_id").cast("string"), 20, "0")), ["source"], "path", "text"),
     "j27_manifest_diff": lambda s, d: corpus.manifest_diff(_raw(s, d).where("doc_id % 7 <> 0"), _raw(s, d).where("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.upper("text")).otherwise(F.col("text"))), "doc_id", "text"),
     "p38_sensitivity": lambda s, d: corpus.sensitivity(_docs(s, d)),
-    "p37_numeric_lines": lambda s, d: corpus.numeric_lines(_docs(s, d), ["Moreover"]),
+    "p37_flagged_lines": lambda s, d: corpus.flagged_lines(_docs(s, d)),
     "snk8_upsert": lambda s, d: corpus.upsert(_raw(s, d).select("doc_id", F.lit("old").alias("origin")), s.read.parquet(f"{d}/labels.parquet").where("quality = 1").select("doc_id", F.lit("new").alias("origin")), "doc_id"),
     "j29_wiring": lambda s, d: corpus.anchors(_docs(s, d).select(F.explode(F.split("text", "\n")).alias("line")), s.createDataFrame([("technical packaging",), ("no such anchor",), ("Introduction",)], "anchor string")),
     "g2_reachability": _reachability,

@@ -130,7 +130,7 @@ SELECT * FROM r WHERE target IS NOT NULL AND target <> path""",
     "j32_same_order": """WITH a AS (SELECT conv_id AS series, coalesce(text, '') AS a, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations),
 b AS (SELECT conv_id AS series, coalesce(CASE WHEN conv_id % 5 = 2 THEN upper(text) ELSE text END, '') AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn, CASE WHEN conv_id % 5 = 2 THEN upper(text) ELSE text END) AS k FROM conversations WHERE NOT (conv_id % 3 = 1 AND turn = 1))
 SELECT series, count(*)::BIGINT AS texts, count_if(a IS DISTINCT FROM b)::BIGINT AS differing, count_if(a IS DISTINCT FROM b) = 0 AS equal FROM a FULL JOIN b USING (series, k) GROUP BY series""",
-    "p36_entry_types": "SELECT page_id, CASE WHEN regexp_matches(lower(url), 'journal|transactions|letters') THEN 'article' WHEN regexp_matches(lower(url), 'arxiv|eprint|preprint') THEN 'misc' ELSE 'inproceedings' END AS kind FROM pages",
+    "p36_entry_types": f"SELECT page_id, CASE WHEN regexp_matches(lower(url), {Q(corpus.ARTICLE)}) THEN 'article' WHEN regexp_matches(lower(url), {Q(corpus.PROCEEDINGS)}) THEN 'inproceedings' ELSE 'misc' END AS kind FROM pages",
     "p40_ranges": "SELECT doc_id, coalesce(CASE WHEN doc_id % 4 <> 1 THEN doc_id % 7 - 1 >= 0 AND doc_id % 7 - 1 <= doc_id % 5 END, false) AS valid FROM documents",
     "r18_rule_contract": oracles.REPORT.replace(seed.DOCS_SQL, _SAMPLES) + " SELECT m.doc_id, m.rule, m.wanted, rep.hits > 0 AS found, (rep.hits > 0) = m.wanted AS passed FROM smp m JOIN rep ON rep.doc_id = m.doc_id AND rep.rule = m.rule",
     "snk7_dossiers": f"SELECT conv_id AS series, sum(len({WORDS(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')}))::BIGINT AS words, string_agg('## ' || turn || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, text) AS body FROM conversations GROUP BY conv_id",

@@ -182,7 +182,7 @@ def test_readers(spark, tmp_path):
         readers.documents(spark, str(tmp_path)).collect()
     (tmp_path / "g.md").write_text("| Term | Preferred English | Avoid | Notes |\n|---|---|---|---|\n| a | key map | key table; map key | n |\n")
     r = readers.glossary_markdown(spark, str(tmp_path / "g.md")).first()
-    assert (r["term"], r["synonyms"], r["variants"]) == ("key map", ["key table", "map key"], ["key-map"])
+    assert (r["term"], r["synonyms"], r["variants"]) == ("a", ["key table", "map key"], [])
     with pytest.raises(ValueError):
         readers.write_confined(spark.range(1), str(tmp_path), "../x")
 
@@ -504,3 +504,86 @@ def test_all_findings_stand_where_plain_python_finds_them(spark):
     counted = {r["doc_id"]: r["n"] for r in rules.findings(rows).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert counted == {k: len(v) for k, v in got.items() if v}
     assert {n for v in got.values() for n, *_ in v} >= {1, 2, 5, 7, 8, 9, 14}
+
+
+def test_bibliography_entries_by_hand(spark):
+    kind = "title string, venue string, year string, notes string, direction string, secondary string"
+    rows = [("B \\ {x} & y", "ACM CCS", "2020", "doi = 1/2 ; doi=3; x", "maps", "a; b"), ("  ", None, None, "also_eprint=2020/1; eprint=", None, None), ("b", "IEEE Access", "2020", "arxiv=9;eprint=8", "", "c")]
+    got = [r["entry"] for r in corpus.bibliography(spark.createDataFrame(rows, kind), "k", "From a test", "at").orderBy("place").collect()]
+    assert got == [
+        "@misc{k--paper,\n  eprint = {2020/1},\n  archivePrefix = {IACR Cryptology ePrint Archive},\n  note = {From a test},\n  at = {001}\n}",
+        "@article{k-2020-b,\n  title = {b},\n  year = {2020},\n  journal = {IEEE Access},\n  eprint = {9},\n  archivePrefix = {arXiv},\n  note = {From a test; secondary directions: c},\n  at = {002}\n}",
+        "@inproceedings{k-2020-b-x-y,\n  title = {B \\textbackslash\\{\\} \\{x\\} \\& y},\n  year = {2020},\n  booktitle = {ACM CCS},\n  doi = {3},\n  note = {From a test; primary direction: maps; secondary directions: a; b},\n  at = {003}\n}",
+    ]
+    assert corpus.bibliography(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_flags_of_texts_and_lines_by_hand(spark):
+    rows = [(1, "Unpublished: 5 ms and 3x, R2 and reviewer #1", ".md"), (2, "- Limit: 5 ms\nit took 5 ms\nsee 2021/123 <!-- allow-numeric --> 7 %", ".tex"), (3, None, None), (4, "5 msx, 2021-12", ".md")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, suffix string")
+    assert [tuple(r) for r in corpus.sensitivity(docs).orderBy("doc_id").collect()] == [(1, True, 2, 2, True), (2, True, 2, 0, True), (3, False, 0, 0, False), (4, False, 0, 0, False)]
+    assert sorted(map(tuple, corpus.flagged_lines(docs).collect())) == [(1, 1, "numeric"), (2, 2, "numeric"), (2, 3, "preprint")]
+
+
+def test_files_in_order_and_dossiers(spark, tmp_path):
+    for name in ("b_v2.tex", "A_v1.md", "c.bib", "x.bin", ".git/z.md", "own/p.json"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    ends = lambda rows: [r["path"].rsplit(tmp_path.name + "/", 1)[1] for r in rows]
+    assert ends(readers.documents(spark, str(tmp_path), ordered=True).where("path not like '%.git%'").collect()) == ["A_v1.md", "b_v2.tex"]
+    assert ends(readers.dossier_files(spark, str(tmp_path)).collect()) == ["A_v1.md", "b_v2.tex", "c.bib", "own/p.json"]
+    assert ends(readers.dossier_files(spark, str(tmp_path), ["own", "c.bib"]).collect()) == ["c.bib", "own/p.json"]
+    for bad in (["x.bin"], ["none.md"], ["../"]):
+        with pytest.raises(ValueError):
+            readers.dossier_files(spark, str(tmp_path), bad)
+    with pytest.raises(ValueError):
+        readers.versions(spark, str(tmp_path / "own"))
+    assert {r["stage"] for r in readers.versions(spark, str(tmp_path)).collect()} == {1, 2}
+
+
+def test_glossary_files_are_held_to_their_layouts(spark, tmp_path):
+    path = tmp_path / "g.md"
+
+    def read(text):
+        path.write_text(text)
+        return [(r["term"], r["synonyms"]) for r in readers.glossary_markdown(spark, str(path)).orderBy("pos").collect()]
+
+    head = "intro\n| Chinese | Recommended English | Acceptable alternatives | Avoid | Notes |\n|---|:---:|---|---|---|\n"
+    assert read(head + "| x | key map | k | map key，key table; map key | n |\n| x | b | | | |\nend\n| y |\n") == [("key map", ["map key", "key table"])]
+    short = "| Term | Preferred English | Avoid | Notes |\n|---|---|---|---|\n"
+    assert read(short + "| a | key map | b | |") == [("a", ["b"])]
+    for bad in ("| a | b |\n|---|---|\n", head.replace("|---|\n", "|\n"), head + "| x | y |\n", head + "| x | | k | b | n |\n", head + "| x | b | | | |\n", head + "| x | b | k | c | n\n", ""):
+        with pytest.raises(Exception):
+            read(bad)
+    path.write_text("| Term | English |\n|---|---|\n| a b; c | *d* |\nuse `e f g` here\n")
+    terms = lambda p: [r["term"] for r in readers.glossary_terms(spark, str(p)).collect()]
+    assert terms(path) == ["e f g", "a b", "c", "d"]
+    (tmp_path / "g.csv").write_text('h,i,j\n"a, b",cc,no\n,d\n')
+    assert terms(tmp_path / "g.csv") == ["a, b", "cc", "d"]
+    (tmp_path / "g.json").write_text('{"schema": "s1", "layer": "L1", "direction": "maps", "entries": [{"term": " b "}, {"term": "aa"}, {"term": "b"}]}')
+    assert terms(tmp_path / "g.json") == ["aa", "b"]
+    with pytest.raises(Exception):
+        readers.glossary_json(spark, str(tmp_path / "g.json"), "L1").collect()
+    (tmp_path / "h.json").write_text('{"schema": "s1", "layer": "L1", "direction": "maps", "entries": [{"term": "b", "forbidden_synonyms": ["c"]}]}')
+    ok = {"schema": "s1", "layer": "L1", "direction": "maps"}
+    assert readers.layer_file(spark, str(tmp_path / "h.json"), **ok).count() == 1
+    for k in ok:
+        with pytest.raises(ValueError):
+            readers.layer_file(spark, str(tmp_path / "h.json"), **{**ok, k: "other"})
+
+
+def test_baselines_survive_a_file(spark, tmp_path):
+    import json
+
+    measured = spark.createDataFrame([(1, "a", *[float(k) for k in range(5)]), (2, "b", *[float(k + 2) for k in range(5)])], "doc_id long, source string, " + ", ".join(f"{m} double" for m in fingerprint.BASELINE))
+    path = str(tmp_path / "b.json")
+    base = fingerprint.baseline(measured, "source")
+    readers.write_baseline(base, path)
+    data = json.load(open(path))
+    assert data["document_count"] == 2 and data["metric_stats"][fingerprint.BASELINE[1]] == {"mean": 2.0, "sd": 1.0}
+    back = readers.baseline(spark, path)
+    assert back.select(*base.columns).first() == base.first()
+    for bad in ({}, {**data, "document_count": 0}, {**data, "metric_stats": {}}, {**data, "metric_stats": {**data["metric_stats"], fingerprint.BASELINE[0]: {"mean": "x", "sd": 1}}}, []):
+        (tmp_path / "bad.json").write_text(json.dumps(bad))
+        with pytest.raises(ValueError):
+            readers.baseline(spark, str(tmp_path / "bad.json"))
