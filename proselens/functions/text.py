@@ -171,6 +171,29 @@ def without_latex(text: Column | str) -> Column:
     return reduce(lambda t, x: F.regexp_replace(t, x[0], x[1]), SCAFFOLD, lf(text))
 
 
+#: fixed values: what goes before versions are compared, in order; what is inline stays
+HISTORY_ENVIRONMENTS = "table table* tabular tabular* longtable equation equation* align align* gather gather* multline multline* displaymath".split()
+HISTORY_SCAFFOLD = [
+    (r"(?<!\\)%[^\n]*", ""),
+    (r"\\(?:documentclass|usepackage|title|author|date)\*?\s*(?:\[[^\]]*\]\s*)*\{[^{}]*\}", " "),
+    (r"\\(?:begin|end)\{document\}|\\maketitle\b", " "),
+    *[(rf"(?s)\\begin\{{{e.replace('*', '[*]')}\}}.*?\\end\{{{e.replace('*', '[*]')}\}}", " ") for e in HISTORY_ENVIRONMENTS],
+    (r"\\label\s*\{[^{}]*\}", " "),
+]
+
+
+def without_scaffold(text: Column | str, suffix: Column | str) -> Column:
+    """A version's text for comparison; of other files than `.tex` all of it."""
+    t = lf(text)
+    return F.when(F.lower(c(suffix)) == ".tex", reduce(lambda t, x: F.regexp_replace(t, x[0], x[1]), HISTORY_SCAFFOLD, t)).otherwise(t)
+
+
+def plain_word_count(text: Column | str) -> Column:
+    """Letter words outside of comments and commands."""
+    steps = [(r"(?<!\\)%[^\n]*", ""), (r"\\[A-Za-z@]+\*?(?:\[[^\]]*\])?", " "), (r"[{}$\\]", " ")]
+    return F.size(letter_words(reduce(lambda t, x: F.regexp_replace(t, x[0], x[1]), steps, c(text))))
+
+
 def title_of(text: Column | str, suffix: Column | str) -> Column:
     """The title by kind of file; null if none."""
     t, s = c(text), c(suffix)

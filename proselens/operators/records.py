@@ -99,3 +99,50 @@ def numbered(rows: DataFrame, group: str, title: Column, prefix: int = 4) -> Dat
     ranked = own.withColumn("_r", F.row_number().over(W.partitionBy(group, "_p").orderBy("_title", "title")))
     joined = ranked.join(starts, F.col(group).eqNullSafe(F.col("_g")) & F.col("_p").eqNullSafe(F.col("_q")))
     return joined.withColumn("place", (F.col("_start") + F.col("_r")).cast("int")).drop("_title", "_p", "_g", "_q", "_start", "_r")
+
+
+def cards(candidates: DataFrame) -> DataFrame:
+    """SNK6: a Markdown card for each candidate, with the name of its file.  candidates:
+    place, paper_id, stage_pair, driver, section_type, rule_ids, before, after, changed,
+    kept (two arrays, one of text).  A null is empty; with nothing kept the card says so."""
+    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
+    none = "None identified; author confirmation required."
+    kept = F.coalesce(F.nullif(F.array_join("kept", ", "), F.lit("")), F.lit(none))
+    rules = F.coalesce(F.array_join(F.transform("rule_ids", lambda x: x.cast("string")), ", "), F.lit(""))
+    head = [("Paper ID", text("paper_id")), ("Stage pair", text("stage_pair")), ("Pair driver", text("driver")), ("Section type", text("section_type")), ("Rule IDs", rules)]
+    parts = [("Before", text("before")), ("After", text("after")), ("What changed", text("changed")), ("What was deliberately kept", kept)]
+    top = F.concat_ws("\n", *[F.concat(F.lit(f"- {name}: "), v) for name, v in head])
+    body = F.concat_ws("\n\n", F.lit("# Exemplar Card"), top, *[x for name, v in parts for x in (F.lit(f"## {name}"), v)])
+    number = F.when(F.col("place") > 999, F.col("place").cast("string")).otherwise(F.lpad(F.col("place").cast("string"), 3, "0"))
+    return candidates.select("place", F.concat(F.lit("exemplar-"), number, F.lit(".md")).alias("name"), F.concat(body, F.lit("\n")).alias("card"))
+
+
+def with_field(text: Column, field: str, value: Column, force: bool = False, ahead: str = "fingerprint") -> Column:
+    """SNK9: a YAML text whose top-level field has the value, quoted as in JSON; a new
+    field goes ahead of another.  Fails if the field is there twice, or has a value and
+    `force` is not given, or the other field is not there exactly once."""
+    line = rf"(?m)^{field}[ \t]*:[^\r\n]*"
+    other = rf"(?m)^{ahead}[ \t]*:[ \t]*(?:#[^\r\n]*)?$"
+    stop = lambda why: F.raise_error(F.lit(why)).cast("string")
+    old = F.trim(F.regexp_extract(text, rf"(?m)^{field}[ \t]*:([^\r\n]*)", 1))
+    new = F.concat(F.lit(f"{field}: "), F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1))
+    safe = F.regexp_replace(new, r"([\\$])", r"\\$1")
+    n, m = F.regexp_count(text, F.lit(line)), F.regexp_count(text, F.lit(other))
+    end = F.when(F.contains(text, F.lit("\r\n")), "\r\n").otherwise("\n")
+    put = F.regexp_replace(text, F.lit(line), safe)
+    insert = F.regexp_replace(text, F.lit(other), F.concat(safe, end, F.lit("$0")))
+    return (
+        F.when(n > 1, stop(f"more than one top-level {field}"))
+        .when((n == 1) & ~old.isin("", "null", "~") & ~F.lit(force), stop(f"{field} has a value"))
+        .when(n == 1, put)
+        .when(m != 1, stop(f"{ahead} must be there once"))
+        .otherwise(insert)
+    )
+
+
+def roll_up(checks: DataFrame, case: str = "case_id") -> DataFrame:
+    """(case, name, passed) to one row a case: its status and the names of what
+    failed, in order.  A null result failed; names of one case are few."""
+    failed = F.array_sort(F.collect_set(F.when(~F.coalesce("passed", F.lit(False)), F.col("name"))))
+    rows = checks.groupBy(case).agg(F.count("*").alias("checks"), failed.alias("_f"))
+    return rows.select(case, "checks", F.when(F.size("_f") == 0, "assertions-satisfied").otherwise("assertions-failed").alias("status"), F.array_join("_f", ",").alias("failed"))

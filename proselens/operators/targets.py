@@ -221,3 +221,65 @@ def valid_range(low: Column, high: Column) -> Column:
     """A finite, ordered, non-negative range."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (x >= 0) & (x < float("inf"))
     return F.coalesce(fine(low) & fine(high) & (low <= high), F.lit(False))
+
+
+#: fixed value: a line that sums up a pass, behind its tag
+TRAILER = r"(.+?) §(.+?) · (P[1-7](?:[ \t]*→[ \t]*P[1-7])*) · (\d+)处 · frozen:(0变化|\d+处告警) · baseline:(ok|thin\(n=\d+\)|none) · target:(ok|partial|none)(?: · (sample:too-short))?(?: · (⬆\d+ upstream))?"
+TRAILER_FIELDS = ["project", "section", "passes", "changes", "frozen", "baseline", "target", "sample", "upstream"]
+
+
+def trailer(line: Column | str, tag: str) -> Column:
+    """The fields of a trailer, `[tag]` first, without blanks around the arrows;
+    null if the line, ends trimmed, is no trailer; an absent last field is null."""
+    pattern = rf"^\[\Q{tag}\E\] {TRAILER}$"
+    text = F.trim(F.col(line) if isinstance(line, str) else line)
+    part = lambda k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
+    own = {name: part(k) for k, name in enumerate(TRAILER_FIELDS, 1)}
+    own["passes"] = F.regexp_replace(own["passes"], r"[ \t]*→[ \t]*", "→")
+    return F.when(text.rlike(pattern), F.struct(*[v.alias(k) for k, v in own.items()]))
+
+
+def _number(value: Column, path: str, low: float = 0.0, high: float | None = None) -> Column:
+    """Whether there is a number, not a text or a truth value, within the bounds."""
+    x = F.try_variant_get(value, path, "double")
+    kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+    return F.coalesce(kind.rlike("^(BIGINT|DECIMAL|DOUBLE)") & (x >= low) & (F.lit(True) if high is None else x <= high), F.lit(False))
+
+
+def _pair(value: Column, path: str, low: float = 0.0) -> Column:
+    two = F.size(F.try_variant_get(value, path, "array<variant>")) == 2
+    a, b = (F.try_variant_get(value, f"{path}[{k}]", "double") for k in (0, 1))
+    return F.coalesce(two & _number(value, f"{path}[0]", low) & _number(value, f"{path}[1]", low) & (a <= b), F.lit(False))
+
+
+def _is(value: Column, path: str, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_variant_get(value, path, "variant")).startswith(kind), F.lit(False))
+
+
+def valid_field(field: Column | str, source: Column | str, value: Column | str) -> Column:
+    """Whether a profile field's value (VARIANT) has the shape of its field and
+    source (rule or exemplar).  False for null, another field, source or shape."""
+    field, source, v = (F.col(x) if isinstance(x, str) else x for x in (field, source, value))
+    members = F.try_variant_get(v, "$", "map<string,variant>")
+    each = lambda test: F.coalesce((F.cardinality(members) > 0) & F.forall(F.map_values(members), test), F.lit(False))
+    ratios = lambda x: _number(x, "$.active_ratio", 0, 1) & _number(x, "$.passive_ratio", 0, 1)
+    policy = F.coalesce(_is(v, "$.policy", "STRING") & (F.trim(F.try_variant_get(v, "$.policy", "string")) != ""), F.lit(False))
+    lengths = _pair(v, "$.mean_range_words", 1) & _number(v, "$.minimum_sd_words")
+    allowed = F.try_variant_get(v, "$.allowed", "array<variant>")
+    texts = F.coalesce(F.forall(allowed, lambda x: F.schema_of_variant(x) == "STRING"), F.lit(False))
+    tests = {
+        ("sentence_length", "rule"): lengths,
+        ("paragraph_length", "rule"): _pair(v, "$.word_range", 1) & _pair(v, "$.sentences_per_paragraph", 1),
+        ("connectives", "rule"): _number(v, "$.maximum_per_sentence") & F.coalesce(F.map_contains_key(members, "allowed"), F.lit(False)),
+        **{(x, "rule"): policy for x in ("opening_structure", "active_passive_by_section", "first_person", "hedging", "claim_position", "contribution_limitation_moves")},
+        ("sentence_length", "exemplar"): lengths & _is(v, "$.distribution", "OBJECT"),
+        ("paragraph_length", "exemplar"): _number(v, "$.mean_words") & _number(v, "$.word_sd") & _number(v, "$.mean_sentences"),
+        ("opening_structure", "exemplar"): each(lambda x: _number(x, "$", 0, 1)),
+        ("connectives", "exemplar"): _number(v, "$.density_per_sentence") & texts,
+        ("active_passive_by_section", "exemplar"): each(ratios),
+        ("first_person", "exemplar"): _number(v, "$.per_1000_words"),
+        ("hedging", "exemplar"): _number(v, "$.per_1000_words") & _number(v, "$.maximum_layers_per_sentence"),
+        ("claim_position", "exemplar"): _number(v, "$.mean_normalized_position", 0, 1) & _number(v, "$.observations") & _is(v, "$.per_paragraph", "ARRAY"),
+        ("contribution_limitation_moves", "exemplar"): _number(v, "$.contribution_move_count") & _number(v, "$.limitation_move_count") & F.coalesce(F.try_variant_get(v, "$.form_only", "boolean") & _is(v, "$.form_only", "BOOLEAN"), F.lit(False)),
+    }
+    return F.coalesce(reduce(lambda out, x: F.when((field == x[0][0]) & (source == x[0][1]), x[1]).otherwise(out), tests.items(), F.lit(False)), F.lit(False))

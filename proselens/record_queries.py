@@ -82,7 +82,65 @@ def _totals(s: S, d: str) -> DataFrame:
     return records.totals(_docs(s, d).select(F.col("doc_id").alias("node")), queries.QUERIES["g2_reachability"](s, d))
 
 
+def _trailers(s: S, d: str) -> DataFrame:
+    """A line for each document, some of them broken, and its fields."""
+    k = F.col("doc_id")
+    of = lambda n, *v: F.get(F.array(*[F.lit(x) for x in v]), k % n)
+    line = F.concat(F.lit("[pm] map "), k.cast("string"), F.lit(" §"), F.coalesce("lang", F.lit("")), F.lit(" · P1"), of(3, "", " \t→P3", "→ P2 → P7"), F.lit(" · "), k.cast("string"), F.lit("处 · frozen:"), of(4, "0变化", "2处告警", "0变化", "x"), F.lit(" · baseline:"), of(3, "ok", "thin(n=2)", "none"), F.lit(" · target:"), of(2, "ok", "partial"), of(5, " · sample:too-short", "", "", "", ""), of(7, " · ⬆2 upstream", "", "", "", "", "", " more"))
+    got = _docs(s, d).select("doc_id", targets.trailer(line, "pm").alias("t")).where("t is not null")
+    return got.select("doc_id", "t.*")
+
+
+#: values of profile fields: (field, source, JSON)
+FIELDS = [
+    ("sentence_length", "rule", '{"mean_range_words": [12, 30], "minimum_sd_words": 4.5}'),
+    ("sentence_length", "rule", '{"mean_range_words": [30, 12], "minimum_sd_words": 4.5}'),
+    ("sentence_length", "rule", '{"mean_range_words": [12, "30"], "minimum_sd_words": 4.5}'),
+    ("sentence_length", "exemplar", '{"mean_range_words": [12, 30], "minimum_sd_words": 0, "distribution": {"a": 1}}'),
+    ("paragraph_length", "exemplar", '{"mean_words": 1, "word_sd": 2.5, "mean_sentences": true}'),
+    ("opening_structure", "exemplar", '{"clause": 0.5, "other": 0.5}'),
+    ("opening_structure", "exemplar", '{"clause": 1.5}'),
+    ("opening_structure", "exemplar", "{}"),
+    ("connectives", "exemplar", '{"density_per_sentence": 0.2, "allowed": ["thus", "hence"]}'),
+    ("connectives", "exemplar", '{"density_per_sentence": 0.2, "allowed": ["thus", 1]}'),
+    ("connectives", "rule", '{"maximum_per_sentence": 0.6, "allowed": null}'),
+    ("active_passive_by_section", "exemplar", '{"Methods": {"active_ratio": 0.4, "passive_ratio": 0.6}}'),
+    ("active_passive_by_section", "exemplar", '{"Methods": {"active_ratio": 0.4}}'),
+    ("hedging", "rule", '{"policy": "few"}'),
+    ("hedging", "rule", '{"policy": " "}'),
+    ("claim_position", "exemplar", '{"mean_normalized_position": 0.5, "observations": 3, "per_paragraph": []}'),
+    ("contribution_limitation_moves", "exemplar", '{"contribution_move_count": 1, "limitation_move_count": 0, "form_only": true}'),
+    ("contribution_limitation_moves", "exemplar", '{"contribution_move_count": 1, "limitation_move_count": -1, "form_only": true}'),
+    ("first_person", "exemplar", "[1]"),
+    ("first_person", "other", '{"per_1000_words": 1}'),
+]
+
+
+def _fields(s: S, d: str) -> DataFrame:
+    k = (F.col("doc_id") % len(FIELDS)).cast("int")
+    of = lambda i: F.get(F.array(*[F.lit(x[i]) for x in FIELDS]), k)
+    rows = _docs(s, d).select("doc_id", of(0).alias("field"), of(1).alias("source"), F.parse_json(of(2)).alias("value"))
+    return rows.select("doc_id", "field", "source", targets.valid_field("field", "source", "value").alias("valid"))
+
+
+def _cards(s: S, d: str) -> DataFrame:
+    k = F.col("pair_id")
+    rows = seed.pairs(s, d).select(k.alias("place"), F.concat(F.lit("p"), (k % 3).cast("string")).alias("paper_id"), F.lit("v1-v2").alias("stage_pair"), F.when(k % 5 > 0, "self").alias("driver"), F.lit("Methods").alias("section_type"), F.array(F.lit(1), (k % 14).cast("int")).alias("rule_ids"), "before", "after", F.lit("words").alias("changed"), F.when(k % 2 == 1, F.array(F.lit("a"), F.lit("b"))).alias("kept"))
+    return records.cards(rows)
+
+
+def _cases(s: S, d: str) -> DataFrame:
+    checks = F.array(F.struct(F.lit("quality").alias("name"), (F.col("quality") == 1).alias("passed")), F.struct(F.lit("harmless").alias("name"), (F.col("toxic") == 0).alias("passed")))
+    return records.roll_up(s.read.parquet(f"{d}/labels.parquet").select("doc_id", F.explode(checks).alias("x")).select("doc_id", "x.*"), "doc_id")
+
+
 QUERIES = {
+    "g9_case_roll_up": _cases,
+    "p13_history_text": lambda s, d: seed.documents(s, d).select("doc_id", tx.without_scaffold("text", F.lit(".tex")).alias("text")),
+    "p16_plain_words": lambda s, d: seed.documents(s, d).select("doc_id", tx.plain_word_count("text").alias("words")),
+    "p39_trailers": _trailers,
+    "p41_fields": _fields,
+    "snk6_cards": _cards,
     "a9_pass_counts": _changes,
     "a10_dominant_passes": lambda s, d: history.dominant(_changes(s, d)),
     "a30_reach_totals": _totals,
@@ -113,7 +171,27 @@ _SAMPLES = "smp(doc_id, rule, wanted, text) AS (VALUES " + ", ".join(f"({k}::BIG
 _PATH = lambda x: f"'f' || (({x}) // 10) || '/n' || (({x}) % 97) || '.md'"
 _NORM = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
 
+_OF = lambda n, *v: f"([{', '.join(Q(x) for x in v)}])[doc_id % {n} + 1]"
+_LINE = f"'[pm] map ' || doc_id || ' §' || coalesce(lang, '') || ' · P1' || {_OF(3, '', ' ' + chr(9) + '→P3', '→ P2 → P7')} || ' · ' || doc_id || '处 · frozen:' || {_OF(4, '0变化', '2处告警', '0变化', 'x')} || ' · baseline:' || {_OF(3, 'ok', 'thin(n=2)', 'none')} || ' · target:' || {_OF(2, 'ok', 'partial')} || {_OF(5, ' · sample:too-short', '', '', '', '')} || {_OF(7, ' · ⬆2 upstream', '', '', '', '', '', ' more')}"
+_TRAILER = Q(r"^\[pm\] " + targets.TRAILER + "$")
+_NO_COMMENT = r"regexp_replace(text, '(^|[^\\])%[^\n]*', '\1', 'g')"
+
+
+def _scaffold() -> str:
+    out = _NO_COMMENT
+    for pattern, put in tx.HISTORY_SCAFFOLD[1:]:
+        out = f"regexp_replace({out}, {Q(pattern)}, {Q(put)}, 'g')"
+    return out
+
+
 SQL = {
+    "g9_case_roll_up": "SELECT doc_id, 2::BIGINT AS checks, CASE WHEN len(f) = 0 THEN 'assertions-satisfied' ELSE 'assertions-failed' END AS status, array_to_string(f, ',') AS failed FROM (SELECT doc_id, list_filter([CASE WHEN toxic IS DISTINCT FROM 0 THEN 'harmless' END, CASE WHEN quality IS DISTINCT FROM 1 THEN 'quality' END], lambda x: x IS NOT NULL) AS f FROM labels)",
+    "p13_history_text": f"WITH {seed.DOCS_SQL} SELECT doc_id, {_scaffold()} AS text FROM docs",
+    "p16_plain_words": f"WITH {seed.DOCS_SQL} SELECT doc_id, len({oracles.LETTERS(f'regexp_replace(regexp_replace({_NO_COMMENT}, {Q(chr(92) * 2 + "[A-Za-z@]+" + chr(92) + "*?(?:" + chr(92) + "[[^" + chr(92) + "]]*" + chr(92) + "])?")}, {Q(" ")}, {Q("g")}), {Q("[{}$" + chr(92) * 2 + "]")}, {Q(" ")}, {Q("g")})')})::INT AS words FROM docs",
+    "p39_trailers": f"""WITH l AS (SELECT doc_id, trim({_LINE}) AS line FROM documents), x AS (SELECT doc_id, regexp_extract(line, {_TRAILER}, {targets.TRAILER_FIELDS}) AS t FROM l WHERE regexp_matches(line, {_TRAILER}))
+SELECT doc_id, {", ".join(f"nullif(t.{x}, '') AS {x}" for x in targets.TRAILER_FIELDS if x != 'passes')}, regexp_replace(t.passes, '[ \t]*→[ \t]*', '→', 'g') AS passes FROM x""",
+    "snk6_cards": f"""WITH {seed.PAIRS_SQL} SELECT pair_id AS place, 'exemplar-' || CASE WHEN pair_id > 999 THEN pair_id::VARCHAR ELSE lpad(pair_id::VARCHAR, 3, '0') END || '.md' AS name,
+replace('# Exemplar Card||- Paper ID: p' || (pair_id % 3) || '|- Stage pair: v1-v2|- Pair driver: ' || CASE WHEN pair_id % 5 > 0 THEN 'self' ELSE '' END || '|- Section type: Methods|- Rule IDs: 1, ' || (pair_id % 14) || '||## Before||', '|', chr(10)) || before || replace('||## After||', '|', chr(10)) || after || replace('||## What changed||words||## What was deliberately kept||' || CASE WHEN pair_id % 2 = 1 THEN 'a, b' ELSE 'None identified; author confirmation required.' END || '|', '|', chr(10)) AS card FROM pairs""",
     "a9_pass_counts": f"{_PASSES} SELECT * FROM n",
     "a10_dominant_passes": f"{_TOP} SELECT stage, pass, n FROM t WHERE r = 1",
     "g1_mentions": f"""WITH f AS (SELECT {_PATH('doc_id')} AS path, coalesce(text, '') || chr(10) || 'see ' || CASE doc_id % 3 WHEN 0 THEN {_PATH('doc_id * 7 + 3')} WHEN 1 THEN 'n' || ((doc_id + 1) % 97) || '.md' ELSE 'g/n' || (doc_id % 103) || '.md' END AS text FROM documents),

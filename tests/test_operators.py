@@ -587,3 +587,53 @@ def test_baselines_survive_a_file(spark, tmp_path):
         (tmp_path / "bad.json").write_text(json.dumps(bad))
         with pytest.raises(ValueError):
             readers.baseline(spark, str(tmp_path / "bad.json"))
+
+
+def test_fields_are_held_to_their_shapes(spark):
+    import json
+
+    from proselens.record_queries import FIELDS
+
+    num = lambda x, low=0.0, high=float("inf"): type(x) in (int, float) and low <= x <= high
+    two = lambda x: type(x) is list and len(x) == 2 and num(x[0], 1) and num(x[1], 1) and x[0] <= x[1]
+    checks = {
+        "sentence_length": lambda v, s: two(v.get("mean_range_words")) and num(v.get("minimum_sd_words")) and (s == "rule" or type(v.get("distribution")) is dict),
+        "paragraph_length": lambda v, s: two(v.get("word_range")) and two(v.get("sentences_per_paragraph")) if s == "rule" else all(num(v.get(x)) for x in ("mean_words", "word_sd", "mean_sentences")),
+        "opening_structure": lambda v, s: bool(v) and all(num(x, 0, 1) for x in v.values()),
+        "connectives": lambda v, s: num(v.get("maximum_per_sentence")) and "allowed" in v if s == "rule" else num(v.get("density_per_sentence")) and type(v.get("allowed")) is list and all(type(x) is str for x in v["allowed"]),
+        "active_passive_by_section": lambda v, s: bool(v) and all(type(x) is dict and num(x.get("active_ratio"), 0, 1) and num(x.get("passive_ratio"), 0, 1) for x in v.values()),
+        "hedging": lambda v, s: num(v.get("per_1000_words")) and num(v.get("maximum_layers_per_sentence")),
+        "claim_position": lambda v, s: num(v.get("mean_normalized_position"), 0, 1) and num(v.get("observations")) and type(v.get("per_paragraph")) is list,
+        "contribution_limitation_moves": lambda v, s: num(v.get("contribution_move_count")) and num(v.get("limitation_move_count")) and v.get("form_only") is True,
+        "first_person": lambda v, s: num(v.get("per_1000_words")),
+    }
+
+    def valid(field, source, text):
+        v = json.loads(text)
+        if type(v) is not dict or source not in ("rule", "exemplar"):
+            return False
+        if source == "rule" and field not in ("sentence_length", "paragraph_length", "connectives"):
+            return type(v.get("policy")) is str and v["policy"].strip() != ""
+        return bool(checks[field](v, source))
+
+    more = [("paragraph_length", "rule", '{"word_range": [40, 180], "sentences_per_paragraph": [2, 7]}'), ("paragraph_length", "exemplar", '{"mean_words": 1, "word_sd": 0, "mean_sentences": 1e2}'), ("hedging", "exemplar", '{"per_1000_words": 1, "maximum_layers_per_sentence": 2}'), ("first_person", "exemplar", '{"per_1000_words": 0.0}'), ("connectives", "rule", '{"maximum_per_sentence": 1}'), ("sentence_length", "rule", '{"mean_range_words": [1, 2, 3], "minimum_sd_words": 1}'), ("first_person", "exemplar", '{"per_1000_words": null}')]
+    cases = FIELDS + more
+    rows = spark.createDataFrame([(k, *x) for k, x in enumerate(cases)], "k int, field string, source string, text string").withColumn("v", F.parse_json("text"))
+    got = [r["ok"] for r in rows.select("k", targets.valid_field("field", "source", "v").alias("ok")).orderBy("k").collect()]
+    assert got == [valid(*x) for x in cases] and 8 < sum(got) < len(got)
+    assert spark.range(1).select(targets.valid_field(F.lit("hedging"), F.lit("rule"), F.lit(None).cast("variant"))).first()[0] is False
+
+
+def test_a_field_is_set_once(spark):
+    from proselens.operators import records
+
+    def put(text, force=False):
+        rows = spark.createDataFrame([(text, "a$1")], "t string, v string")
+        return rows.select(records.with_field(F.col("t"), "direction", F.col("v"), force)).first()[0]
+
+    assert put("x: 1\nfingerprint: # f\n") == 'x: 1\ndirection: "a$1"\nfingerprint: # f\n'
+    assert put("direction: null\r\nfingerprint:\r\n") == 'direction: "a$1"\r\nfingerprint:\r\n'
+    assert put("direction: old\n", True) == 'direction: "a$1"\n'
+    for bad in ("direction: old\nfingerprint:\n", "direction:\ndirection:\n", "x: 1\n", "fingerprint:\nfingerprint:\n"):
+        with pytest.raises(Exception):
+            put(bad)
