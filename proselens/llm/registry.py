@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, lm, mixing, near, pii, quality, sharding, toxicity, urls
+from . import decontamination, exact, language, lm, mixing, near, pii, quality, ranked, sharding, toxicity, urls, vectors
 
 QUERIES = {
     "op1_lm_bloom": lm.query,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_private_terms": pii.query,
     "op9_toxicity_grammar": toxicity.query,
     "op10_systematic_mixing": mixing.query,
+    "op11_radix_dedup": exact.query,
+    "op12_block_max_search": ranked.query,
+    "op13_annular_codes": vectors.query,
 }
 ORACLE_SQL = {
     "op4_near_join": near.SQL,
     "op6_url_trie": urls.SQL,
     "op7_decontamination": decontamination.SQL,
     "op10_systematic_mixing": mixing.SQL,
+    "op11_radix_dedup": exact.SQL,
+    "op12_block_max_search": ranked.SQL,
+    "op13_annular_codes": vectors.SQL,
 }
