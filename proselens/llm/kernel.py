@@ -2,8 +2,8 @@
 
 A batch of texts is one byte buffer with offsets (Arrow's own layout); every
 step is a handful of numpy passes over that buffer, so no Python code runs per
-word.  Texts are handled whole; a text longer than a block is hashed block by
-block.
+word.  Texts are handled whole; a text, line or word longer than a block is hashed
+block by block.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers up to n, which is a block at most."""
     if len(_powers[0]) < n:
         size = max(n, 1 << 16)
         for k, base in enumerate((_P, _P_INV)):
@@ -42,6 +43,15 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def _long_span(data: np.ndarray) -> int:
+    """The sum for one span longer than a block, carried from block to block."""
+    total, up = 0, _power(_BLOCK + 1)[0]
+    for at in range(0, len(data), _BLOCK):
+        own = data[at : at + _BLOCK]
+        total += int((_BYTE[own] * up[: len(own)]).sum(dtype=U64)) * pow(_P, at, 2**64)
+    return total % 2**64
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64."""
     x = (x ^ (x >> U64(32))) * U64(0xD6E8FEB86659FD93)
@@ -88,7 +98,11 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     out = np.empty(len(starts), U64)
     i = 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _BLOCK, "right")))
+        j = int(np.searchsorted(ends, starts[i] + _BLOCK, "right"))
+        if j <= i:
+            out[i] = _long_span(data[starts[i] : ends[i]])
+            i += 1
+            continue
         lo, hi = int(starts[i]), int(ends[j - 1])
         up, down = _power(hi - lo + 1)
         total = np.empty(hi - lo + 1, U64)

@@ -75,7 +75,7 @@ def addresses(text: str) -> Iterator[tuple[int, int]]:
         for k in range(0, len(parts) - 3, 4):
             four = parts[k : k + 4]
             size = sum(map(len, four)) + 3
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in four):
+            if all(len(x := part.lstrip("0")) <= 3 and int(x or 0) <= 255 for part in four):
                 yield at, at + size
             at += size + 1
 
