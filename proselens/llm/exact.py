@@ -10,8 +10,8 @@ together has agreed in every digit.
 Widths grow (`DIGITS`), so a text is done after as many rounds as its length has
 digits, and most are done after the first: of a row that is alone there, only its
 narrow columns are written.  Counts are combined before they are shuffled, so a
-group of any size costs one row a task; a digit is looked up by a join that adaptive
-execution splits, or by a broadcast if a count of rows and bytes shows it small.
+group of any size costs one row a task; digits are looked up by a join whose hot
+keys adaptive execution splits.  The way is the same at every size.
 
 Defined results: a null text is empty, and all empty texts are one group; the row
 with the largest doc_id stays, a null doc_id only where all are null; of rows that
@@ -29,18 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import filter_of
-from .common import BROADCAST_ROWS, keep, table
+from .common import keep, table
 
 #: bytes of a digit in each round; the last width repeats
 DIGITS = (64, 4096, 1 << 18, 1 << 23)
-#: bytes of all digits up to which they are broadcast
-BROADCAST_BYTES = 16 << 20
-
-
-def _small(counts: DataFrame) -> bool:
-    n, size = counts.agg(F.count("*"), F.sum(F.octet_length("digit"))).first()
-    return n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
-
 
 def _counted(rows: DataFrame, name: str) -> DataFrame:
     """The digits that several rows of a group have: group, digit, n, top (the largest
@@ -51,16 +43,13 @@ def _counted(rows: DataFrame, name: str) -> DataFrame:
 
 def _met(rows: DataFrame, counts: DataFrame) -> DataFrame:
     own = counts.select(F.col("group").alias("_group"), F.col("digit").alias("_digit"), "n", "top", "next")
-    own = F.broadcast(own) if _small(counts) else own
     return rows.join(own, (F.col("group") == F.col("_group")) & (F.col("digit") == F.col("_digit")), "left")
 
 
 def _met_first(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """The same in the first round, over whole texts.  Where the digits are too many
-    to be broadcast, a Bloom filter of them, of a fixed greatest size, keeps rows that
-    are alone out of the shuffle; what it lets through is joined."""
-    if _small(counts):
-        return _met(rows, counts)
+    """The same in the first round, over all texts: a Bloom filter of the digits, of a
+    fixed greatest size, keeps rows that are alone out of the shuffle; what it lets
+    through is joined."""
     key = lambda: F.xxhash64("digit")
     sent = rows.sparkSession.sparkContext.broadcast(filter_of(counts.select(key().alias("key")), counts.count()))
 
