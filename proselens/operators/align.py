@@ -6,8 +6,10 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from heapq import heapify, heappop, heappush
 from math import ceil
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,20 +135,56 @@ def paragraph_pairs(old: list[str], new: list[str]) -> list[tuple[str, int, int,
         if tag == "equal":
             out += [("unchanged", a + k, c + k, 1.0) for k in range(b - a)]
             continue
-        block = sorted(((s, i, j) for i in range(a, b) for j in range(c, d) if (s := _alike(a_low[i], b_low[j])) >= PARAGRAPH), reverse=True)
         left, right = dict.fromkeys(range(a, b)), dict.fromkeys(range(c, d))
-        for s, i, j in block:
-            if i in left and j in right:
-                del left[i], right[j]
-                out.append(("modified", i, j, round(s, 4)))
+        for s, i, j in best_pairs(a_low[a:b], b_low[c:d]):
+            del left[a + i], right[c + j]
+            out.append(("modified", a + i, c + j, round(s, 4)))
         out += [("deleted", i, -1, 0.0) for i in left] + [("inserted", -1, j, 0.0) for j in right]
     return sorted(out, key=lambda x: (x[1] if x[1] >= 0 else 10**9, x[2] if x[2] >= 0 else 10**9))
 
 
-def _alike(x: str, y: str) -> float:
-    """Similarity of two texts by their characters; 0 where bounds rule it out."""
-    m = SequenceMatcher(None, x, y, autojunk=False)
-    return m.ratio() if m.real_quick_ratio() >= PARAGRAPH and m.quick_ratio() >= PARAGRAPH else 0.0
+def best_pairs(old: list[str], new: list[str]) -> list[tuple[float, int, int]]:
+    """One-to-one pairs of PARAGRAPH or more, the most similar first.
+
+    Two texts cannot match in more characters than they have in common in any order.
+    This bound is found for all pairs at once, from counts of characters, and pairs are
+    taken up in its order: a pair is measured only when no pair that is still free can
+    be more similar, and never if one of its texts has its partner by then.  So most
+    pairs of a block whose texts have true partners are not measured at all."""
+    if not old or not new:
+        return []
+    chars = {c: k for k, c in enumerate(sorted(set().union(*old, *new)))}
+
+    def counts(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), max(1, len(chars))), np.int32)
+        for k, t in enumerate(texts):
+            for c, n in Counter(t).items():
+                out[k, chars[c]] = n
+        return out
+
+    rows, columns = counts(old), counts(new)
+    size = np.array([len(t) for t in new])
+    queue: list[tuple[float, bool, int, int]] = []  # -bound or -similarity, measured, -i, -j
+    for i, row in enumerate(rows):
+        total = len(old[i]) + size
+        bound = np.where(total > 0, 2.0 * np.minimum(row, columns).sum(1) / np.maximum(total, 1), 1.0)
+        queue += [(-float(bound[j]), False, -i, -int(j)) for j in np.flatnonzero(bound >= PARAGRAPH)]
+    heapify(queue)
+    used_old, used_new, out = set(), set(), []
+    while queue:
+        s, measured, i, j = heappop(queue)
+        if -i in used_old or -j in used_new:
+            continue
+        if measured:
+            used_old.add(-i), used_new.add(-j)
+            out.append((-s, -i, -j))
+        elif (own := _ratio(old[-i], new[-j])) >= PARAGRAPH:
+            heappush(queue, (-own, True, i, j))
+    return out
+
+
+def _ratio(x: str, y: str) -> float:
+    return 1.0 if x == y else SequenceMatcher(None, x, y, autojunk=False).ratio()
 
 
 def scopes(rows: DataFrame) -> DataFrame:

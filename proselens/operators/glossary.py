@@ -1,9 +1,7 @@
-"""Layered terminology: tables, override, lint, findings in three modes."""
+"""Layered terminology: tables, override, lint, and the verdict on a pass (findings are in `terms`)."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,62 +68,10 @@ def derived_variants(term: Column | str) -> Column:
     return F.filter(F.array_distinct(F.array_compact(own)), lambda x: x != t)
 
 
-def _whole(form: str, any_case: bool = True) -> str:
-    return ("(?i)" if any_case else "") + rf"(?<![A-Za-z0-9])\Q{form}\E(?![A-Za-z0-9])"
-
-
-def masked(text: Column | str) -> Column:
-    """LaTeX regions out of the way of term search: their place is a blank."""
-    drop = [r"(?<!\\)%[^\n]*", r"(?s)\\begin\{(equation\*?|align\*?|gather\*?|multline\*?|displaymath|math)\}.*?\\end\{\1\}", r"(?s)\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)", r"(?s)(?<!\\)\$(?:\\.|[^$])*?(?<!\\)\$", r"\\(?:cite\w*|ref|autoref|eqref|cref|label)\s*(?:\[[^\]]*\]\s*)*\{[^{}]*\}", r"\\[A-Za-z@]+\*?"]
-    return reduce(lambda t, p: F.regexp_replace(t, p, " "), drop, tx.c(text))
-
-
-def findings(pairs: DataFrame, entries: DataFrame, residual: bool = False) -> DataFrame:
-    """Forbidden forms, case forms, and abbreviations mixed with full names.
-
-    Differential: what AFTER has beyond BEFORE.  Residual: all that AFTER holds.
-    entries is a glossary: its rows become expressions, so a document is read
-    once for each form and nothing is joined."""
-    rows = [r.asDict() for r in entries.select("term", "abbreviation", "synonyms", "variants").collect()]
-    before = F.lit("") if residual else masked("before")
-    base = pairs.select("pair_id", before.alias("b"), masked("after").alias("a"))
-    count = lambda side, form, any_case=True: F.regexp_count(side, F.lit(_whole(form, any_case)))
-    out = []
-    for r in rows:
-        for kind, names in (("forbidden_synonym", r["synonyms"]), ("plural_or_hyphen_variant", r["variants"])):
-            for form in names or []:
-                n = F.greatest(count(F.col("a"), form) - count(F.col("b"), form), F.lit(0))
-                out.append(F.struct(F.lit(r["term"]).alias("term"), F.lit(kind).alias("kind"), F.lit(form).alias("form"), n.cast("long").alias("n")))
-        if r["abbreviation"]:
-            t, s = r["term"], r["abbreviation"]
-            af, ash = count(F.col("a"), t), count(F.col("a"), s, False)
-            bf, bs = count(F.col("b"), t), count(F.col("b"), s, False)
-            if residual:
-                n = F.when((af > 0) & (ash > 0), ash).otherwise(0)
-            else:
-                n = F.when((bf > 0) & (bs == 0) & (ash > 0), ash).when((bs > 0) & (bf == 0) & (af > 0), af).otherwise(0)
-            out.append(F.struct(F.lit(t).alias("term"), F.lit("abbreviation_full_name_mix").alias("kind"), F.lit(s).alias("form"), n.cast("long").alias("n")))
-        own = F.filter(F.transform(F.sequence(F.lit(0), F.lit(0)), lambda _: case_forms(F.col("a"), r["term"]) - case_forms(F.col("b"), r["term"])), lambda n: n > 0)
-        out.append(F.struct(F.lit(r["term"]).alias("term"), F.lit("case_inconsistency").alias("kind"), F.lit(r["term"]).alias("form"), F.coalesce(F.get(own, F.lit(0)), F.lit(0)).cast("long").alias("n")))
-    return base.select("pair_id", F.explode(F.array(*out)).alias("x")).select("pair_id", "x.*").where("n > 0")
-
-
-def case_forms(text: Column, term: str) -> Column:
-    """Occurrences in another case than the glossary's, but for the first word of
-    a sentence."""
-    capital = term[:1].upper() + term[1:]
-    every = F.regexp_count(text, F.lit(_whole(term)))
-    same = F.regexp_count(text, F.lit(_whole(term, False)))
-    if capital == term:
-        return every - same
-    initial = F.regexp_count(text, F.lit(rf"(?:^|[.!?:][ \t]+|\n[ \t]*)\Q{capital}\E(?![A-Za-z0-9])"))
-    return every - same - initial
-
-
 def pass_verdict(immutable: DataFrame, forward: DataFrame, residual_before: DataFrame, residual_after: DataFrame, pairs: DataFrame) -> DataFrame:
     """For each pair and pass, proceed or rollback.  P3 may change terms, but
     must add no forbidden form; P4 to P7 may change nothing protected."""
-    total = lambda df, name: df.groupBy("pair_id").agg(F.sum("n").alias(name))
+    total = lambda df, name: df.groupBy("pair_id").agg(F.count("*").alias(name))
     kinds = immutable.groupBy("pair_id").agg(F.sum("violations").alias("all_v"), F.sum(F.when(F.col("category") != "glossary_terms", F.col("violations")).otherwise(0)).alias("other_v"))
     rows = pairs.select("pair_id").join(kinds, "pair_id", "left")
     for df, name in ((forward, "forward"), (residual_before, "r_before"), (residual_after, "r_after")):

@@ -342,21 +342,14 @@ SELECT term, kind, form, (len(regexp_extract_all(form, '[A-Za-z0-9]+')) - len(re
 }
 
 
-def _masked(x: str) -> str:
-    out = f"regexp_replace({x}, '(^|[^\\\\])%[^\\n]*', '\\1 ', 'g')"
-    out = f"regexp_replace({out}, '(?s)\\\\begin\\{{equation\\}}.*?\\\\end\\{{equation\\}}', ' ', 'g')"
-    out = f"regexp_replace({out}, '(?s)\\$\\$.*?\\$\\$', ' ', 'g')"
-    out = f"regexp_replace({out}, '(?s)\\$[^$]*\\$', ' ', 'g')"
-    out = f"regexp_replace({out}, {Q(mk.REFERENCE)}, ' ', 'g')"
-    return f"regexp_replace({out}, '\\\\[A-Za-z@]+\\*?', ' ', 'g')"
-
+def _blanked(x: str, pattern: str) -> str:
+    """Matches as blanks that keep lines: each is set between two control characters."""
+    cut = f"string_split(regexp_replace({x}, {Q('(' + pattern + ')')}, chr(1) || '\\1' || chr(2), 'g'), chr(1))"
+    blank = "CASE WHEN contains(s, chr(2)) THEN regexp_replace(split_part(s, chr(2), 1), '[^\\n]', ' ', 'g') || substr(s, length(split_part(s, chr(2), 1)) + 2) ELSE s END"
+    return f"array_to_string(list_transform({cut}, lambda s: {blank}), '')"
 
-def _count(side: str, form: str, flags: str = "(?i)") -> str:
-    """Whole-token matches; every character that is no letter or digit stands twice."""
-    import re
 
-    body = re.sub(r"([^A-Za-z0-9])", lambda m: re.escape(m[1]) * 2, form)
-    return f"len(regexp_extract_all({side}, {Q(flags + '(?:^|[^A-Za-z0-9])' + body + '(?:[^A-Za-z0-9]|$)')}))"
+_REGIONS = [r"(?is)\\begin\s*\{\s*(?:equation|align|gather)\*?\s*\}.*?\\end\s*\{\s*(?:equation|align|gather)\*?\s*\}", r"(?s)\$\$.*?\$\$|\$.*?\$", r"(?i)\\(?:[a-z]*(?:ref|label)|[a-z]*cite[a-z]*)\*?(?:\s*\[[^\]]*\])*\s*\{[^{}]*\}", r"\\[A-Za-z]+\*?"]
 
 
 def _merged_rows() -> list[tuple]:
@@ -367,23 +360,37 @@ def _merged_rows() -> list[tuple]:
 
 
 def _term_findings(residual: bool) -> str:
-    b, a = ("''" if residual else "b2"), "a2"
-    rows = []
-    for _, _, term, short, synonyms, variants in _merged_rows():
-        for kind, forms in (("forbidden_synonym", synonyms), ("plural_or_hyphen_variant", variants)):
-            rows += [(term, kind, f, f"greatest({_count(a, f)} - {_count(b, f)}, 0)") for f in forms]
+    """Each form is sought by splitting at it; places are sums of lengths."""
+    forms, terms = [], []
+    for k, (_, _, term, short, synonyms, variants) in enumerate(_merged_rows()):
+        for kind, own in (("forbidden_synonym", synonyms), ("plural_or_hyphen_variant", variants)):
+            forms += [(k, kind, f) for f in own]
+        forms.append((k, "term", term))
         if short:
-            af, ash, bf, bs = _count(a, term), _count(a, short, ""), _count(b, term), _count(b, short, "")
-            mix = f"CASE WHEN {af} > 0 AND {ash} > 0 THEN {ash} ELSE 0 END" if residual else f"CASE WHEN {bf} > 0 AND {bs} = 0 AND {ash} > 0 THEN {ash} WHEN {bs} > 0 AND {bf} = 0 AND {af} > 0 THEN {af} ELSE 0 END"
-            rows.append((term, "abbreviation_full_name_mix", short, mix))
-        capital = term[:1].upper() + term[1:]
-        odd = lambda side, raw: f"({_count(side, term)} - {_count(side, term, '')}" + ("" if capital == term else f" - len(regexp_extract_all({raw}, {Q('(?:^|[.!?:][ ' + chr(92) + 't]+|' + chr(92) + 'n[ ' + chr(92) + 't]*)' + capital + '(?:[^A-Za-z0-9]|$)')}))") + ")"
-        before = "0" if residual else odd(b, "b1")
-        rows.append((term, "case_inconsistency", term, f"greatest({odd(a, 'a1')} - {before}, 0)"))
-    items = ", ".join(f"{{'term': {Q(t)}, 'kind': {Q(k)}, 'form': {Q(f)}, 'n': ({n})::BIGINT}}" for t, k, f, n in rows)
-    twice = lambda x: f"regexp_replace({x}, '([^A-Za-z0-9])', '\\1\\1', 'g')"
-    return f"""{P}, mm AS (SELECT pair_id, {_masked('before')} AS b1, {_masked('after')} AS a1 FROM pairs), mt AS (SELECT *, {twice('b1')} AS b2, {twice('a1')} AS a2 FROM mm)
-SELECT * FROM (SELECT pair_id, unnest([{items}], recursive := true) FROM mt) WHERE n > 0"""
+            forms.append((k, "short", short))
+        terms.append((k, term))
+    masks = ["pairs"]
+    with_ = []
+    for n, p in enumerate(_REGIONS):
+        with_.append(f"k{n} AS (SELECT pair_id, {_blanked('before', p)} AS before, {_blanked('after', p)} AS after FROM {masks[-1]})")
+        masks.append(f"k{n}")
+    spare = "0" if residual else "coalesce(o.n, 0)"
+    mixed = "(f.a_short AND f.a_full) OR (f.b_full AND NOT f.b_short AND f.a_short)" if residual else "f.b_full AND NOT f.b_short AND f.a_short"
+    return f"""{P}, {", ".join(with_)}, sd AS MATERIALIZED (SELECT pair_id, 'b' AS side, before AS t FROM {masks[-1]} UNION ALL SELECT pair_id, 'a', after FROM {masks[-1]}),
+g(k, kind, form) AS (VALUES {_values(forms)}), tm(k, term) AS (VALUES {_values(terms)}),
+sp AS (SELECT pair_id, side, t, k, kind, form, string_split(lower(t), lower(form)) AS x FROM sd, g WHERE contains(lower(t), lower(form))),
+at0 AS (SELECT pair_id, side, t, k, kind, form, (list_sum(list_transform(x[1:i], lambda y: length(y))) + (i - 1) * length(form))::BIGINT AS start FROM (SELECT *, unnest(range(1, len(x))) AS i FROM sp)),
+m AS MATERIALIZED (SELECT pair_id, side, k, kind, form, start, substr(t, start + 1, length(form)) AS observed, substr(t, 1, start) AS prefix FROM at0
+  WHERE NOT regexp_matches(substr(' ' || t, start + 1, 1) || substr(t, start + length(form) + 1, 1), '[A-Za-z0-9]')),
+f AS (SELECT pair_id, k, bool_or(side = 'a' AND kind = 'term') AS a_full, bool_or(side = 'b' AND kind = 'term') AS b_full, bool_or(side = 'a' AND kind = 'short' AND observed = form) AS a_short, bool_or(side = 'b' AND kind = 'short' AND observed = form) AS b_short FROM m GROUP BY ALL),
+fb AS (SELECT *, form AS spelling FROM m WHERE kind IN ('forbidden_synonym', 'plural_or_hyphen_variant')
+  UNION ALL SELECT pair_id, side, k, 'case_inconsistency', form, start, observed, prefix, observed FROM m WHERE kind = 'term' AND observed <> form AND NOT (observed = upper(form[1]) || form[2:] AND (start = 0 OR regexp_matches(prefix, '(?:[.!?:][ \\t]+|\\n[ \\t]*)$')))),
+o AS (SELECT pair_id, k, kind, spelling, count(*) AS n FROM fb WHERE side = 'b' GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY pair_id, k, kind, spelling ORDER BY start) AS i FROM fb WHERE side = 'a'),
+u AS (SELECT r.pair_id, r.k, r.kind, r.observed, r.start, r.prefix FROM r LEFT JOIN o USING (pair_id, k, kind, spelling) WHERE r.i > {spare}
+  UNION ALL SELECT m.pair_id, m.k, 'abbreviation_full_name_mix', m.observed, m.start, m.prefix FROM m JOIN f USING (pair_id, k)
+  WHERE m.side = 'a' AND ((({mixed}) AND m.kind = 'short' AND m.observed = m.form) OR (NOT ({mixed}) AND f.b_short AND NOT f.b_full AND m.kind = 'term')))
+SELECT DISTINCT pair_id, term, kind, observed, start::INT AS start, (length(prefix) - length(replace(prefix, chr(10), '')) + 1)::INT AS line, (length(split_part(prefix, chr(10), -1)) + 1)::INT AS "column" FROM u JOIN tm USING (k)"""
 
 
 SQL |= {"j11_term_findings": _term_findings(False), "j11_term_residual": _term_findings(True)}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import oracles, record_queries
 from .functions import text as tx
-from .operators import align, corpus, fingerprint, glossary, history, markers, revision, rules, targets
+from .operators import align, corpus, fingerprint, glossary, history, markers, revision, rules, targets, terms
 from .plans import seed
 
 S = SparkSession
@@ -115,7 +115,7 @@ def _swapped(pairs: DataFrame) -> DataFrame:
 def _pass_verdict(s: S, d: str) -> DataFrame:
     pairs, entries = _pairs(s, d), glossary.merged(glossary.layers(s))
     report = revision.category_report(revision.immutable_differences(pairs))
-    return glossary.pass_verdict(report, glossary.findings(pairs, entries), glossary.findings(_swapped(pairs), entries, True), glossary.findings(pairs, entries, True), pairs)
+    return glossary.pass_verdict(report, terms.findings(pairs, entries), terms.findings(_swapped(pairs), entries, True), terms.findings(pairs, entries, True), pairs)
 
 
 def _contract(s: S, d: str) -> DataFrame:
@@ -125,7 +125,7 @@ def _contract(s: S, d: str) -> DataFrame:
     pairs, entries = _pairs(s, d), glossary.merged(glossary.layers(s))
     immutable = revision.immutable_verdict(pairs).select("pair_id", F.col("passed").alias("immutable"))
     strength = revision.strength_verdict(pairs).select("pair_id", F.col("passed").alias("strength"))
-    terms = glossary.findings(pairs, entries).where("kind <> 'case_inconsistency'").groupBy("pair_id").agg(F.count("*").alias("n"))
+    terms = terms.findings(pairs, entries).where("kind <> 'case_inconsistency'").groupBy("pair_id").agg(F.count("*").alias("n"))
     scan = pairs.select("pair_id", F.size(rules.hits("after")).alias("findings"))
     rows = immutable.join(strength, "pair_id").join(scan, "pair_id").join(terms, "pair_id", "left")
     step = F.when(~F.col("immutable"), "immutable").when(~F.col("strength"), "strength").when(F.col("n") > 0, "terminology").otherwise("none")
@@ -205,8 +205,8 @@ QUERIES = {
     "a25_deletion_risks": lambda s, d: glossary.deletion_risks(glossary.merged(glossary.layers(s))),
     "a26_active_rules": lambda s, d: glossary.active_rules(glossary.merged(glossary.layers(s))),
     "p42_variants": lambda s, d: glossary.layers(s).select("layer", "term", F.array_join(glossary.derived_variants("term"), "|").alias("variants")),
-    "j11_term_findings": lambda s, d: glossary.findings(_pairs(s, d), glossary.merged(glossary.layers(s))),
-    "j11_term_residual": lambda s, d: glossary.findings(_pairs(s, d), glossary.merged(glossary.layers(s)), True),
+    "j11_term_findings": lambda s, d: terms.findings(_pairs(s, d), glossary.merged(glossary.layers(s))),
+    "j11_term_residual": lambda s, d: terms.findings(_pairs(s, d), glossary.merged(glossary.layers(s)), True),
     "j19_adjacent_stages": lambda s, d: history.adjacent(_turns(s, d)).select("series", "stage", "next_stage", F.length("before").alias("size_before"), F.length("after").alias("size_after")),
     "j20_drivers": lambda s, d: history.drivers(history.adjacent(_turns(s, d)), [(0, 1), (2, 3)], [(1, 2)]).groupBy("driver").agg(F.count("*").alias("pairs")),
     "j22_common_words": lambda s, d: history.common(_turns(s, d), tx.words("text")),
