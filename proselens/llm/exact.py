@@ -63,11 +63,15 @@ def _met_first(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return _met(rows.where("_shared"), counts).select(*names).unionByName(rows.where("not _shared").drop("_shared").select("*", *alone))
 
 
+def _cut(rows: DataFrame, width: int) -> DataFrame:
+    """The text as its next digit and what follows, so that no byte travels twice."""
+    return rows.withColumns({"digit": F.substring("rest", 1, width), "tail": F.substring("rest", width + 1, (1 << 31) - 1)}).drop("rest")
+
+
 def _passed(met: DataFrame, width: int, row: Column, more: list[str]) -> DataFrame:
     """What a round leaves of each row."""
     done = F.col("n").isNull() | (F.octet_length("digit") < width)
-    rest = F.when(~done, F.substring("rest", width + 1, (1 << 31) - 1))
-    return met.select(row.alias("row"), "doc_id", "sha", *more, "top", "n", F.col("next").alias("group"), done.alias("done"), rest.alias("rest"))
+    return met.select(row.alias("row"), "doc_id", "sha", *more, "top", "n", F.col("next").alias("group"), done.alias("done"), F.when(~done, F.col("tail")).alias("rest"))
 
 
 def groups(docs: DataFrame, *carried: Column) -> DataFrame:
@@ -75,14 +79,13 @@ def groups(docs: DataFrame, *carried: Column) -> DataFrame:
     text_sha256, and columns that are carried (their names begin with an underscore)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("rest"), F.lit(0).cast("long").alias("group"), *carried)
     more = rows.columns[3:]
-    rows = rows.withColumn("digit", F.substring("rest", 1, DIGITS[0]))
-    counts = _counted(rows.select("doc_id", "group", "digit"), "digits")
-    met = _met_first(rows.withColumn("sha", F.sha2("rest", 256)), counts)
+    counts = _counted(_cut(rows, DIGITS[0]).select("doc_id", "group", "digit"), "digits")
+    met = _met_first(_cut(rows.withColumn("sha", F.sha2("rest", 256)), DIGITS[0]), counts)
     state = keep(_passed(met, DIGITS[0], F.monotonically_increasing_id(), more), "radix")
     finished, k = [state.where("done")], 1
     while state.where("not done").limit(1).count():
         width = DIGITS[min(k, len(DIGITS) - 1)]
-        rows = state.where("not done").drop("n", "top").withColumn("digit", F.substring("rest", 1, width))
+        rows = _cut(state.where("not done").drop("n", "top"), width)
         met = _met(rows, _counted(rows.select("doc_id", "group", "digit"), "digits"))
         state = keep(_passed(met, width, F.col("row"), more), "radix")
         finished.append(state.where("done"))
