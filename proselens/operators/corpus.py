@@ -66,13 +66,18 @@ def resolved(base: Column, ref: Column) -> Column:
     )
 
 
+def link_array(url: Column | str = "url", html: Column | str = "html") -> Column:
+    """SRC16: the links of a page in order: an array of (text, href), href absolute."""
+    part = lambda g: tx.every(html, LINK, g)
+    href = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y)), [part(1), part(2), part(3)])
+    text = lambda x: tx.squeeze(unescaped(F.regexp_replace(x["text"], "<[^>]*>", " ")))
+    return F.transform(F.arrays_zip(href.alias("href"), part(4).alias("text")), lambda x: F.struct(text(x).alias("text"), resolved(tx.c(url), F.trim(unescaped(x["href"]))).alias("href")))
+
+
 def links(pages: DataFrame) -> DataFrame:
     """SRC16: anchor text and absolute target of each link, in order."""
-    part = lambda g: tx.every("html", LINK, g)
-    href = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y)), [part(1), part(2), part(3)])
-    rows = pages.select("page_id", "url", F.posexplode(F.arrays_zip(href.alias("href"), part(4).alias("text"))).alias("place", "a"))
-    text = unescaped(F.regexp_replace("a.text", "<[^>]*>", " "))
-    return rows.select("page_id", "place", tx.squeeze(text).alias("text"), resolved(F.col("url"), F.trim(unescaped(F.col("a.href")))).alias("target"))
+    rows = pages.select("page_id", F.posexplode(link_array()).alias("place", "a"))
+    return rows.select("page_id", "place", F.col("a.text").alias("text"), F.col("a.href").alias("target"))
 
 
 def with_keyword(rows: DataFrame, column: str, words: list[str]) -> DataFrame:
@@ -180,11 +185,13 @@ def anchors(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes with their least distance from a root, breadth first, until a round
-    finds no new node.  Each round joins the newest nodes only; what it finds is cut
-    from its plan, and so is all found, while it is small or every `MERGE` rounds."""
+    """Nodes with their least distance from a root and their parent, the least of
+    the nodes one nearer that lead to them (null for a root), breadth first, until a
+    round finds no new node.  Each round joins the newest nodes only; what it finds is
+    cut from its plan, and so is all found, while it is small or every `MERGE` rounds."""
     edges = _cut(edges.select("src", "dst").repartition("src"))
-    newest = _cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    kind = edges.schema["dst"].dataType
+    newest = _cut(roots.select("node").distinct().withColumns({"depth": F.lit(0), "parent": F.lit(None).cast(kind)}))
     seen, total, depth = newest, 0, 0
     while n := newest.count():
         if depth:
@@ -196,18 +203,34 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
             seen = _cut(seen.repartition("node"))
         new = F.broadcast(newest) if n <= FEW else newest
         known = F.broadcast(seen) if total <= FEW else seen
-        step = edges.join(new, edges["src"] == new["node"]).select(F.col("dst").alias("node")).distinct()
-        newest = _cut(step.join(known, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        step = edges.join(new, edges["src"] == new["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        newest = _cut(step.join(known, "node", "left_anti").select("node", F.lit(depth).alias("depth"), "parent"))
     return seen
 
 
+def root_paths(tree: DataFrame) -> DataFrame:
+    """node, depth, path (from the root to the node) of a tree (node, depth, parent).
+    Each round joins a piece of a path to the piece above it, which doubles it, so there
+    are as many rounds as the depth has binary digits."""
+    rows = tree.select("node", "depth", F.coalesce("parent", "node").alias("top"), F.when(F.col("parent").isNull(), F.array("node")).otherwise(F.array("parent", "node")).alias("path"))
+    most = tree.agg(F.max("depth")).first()[0] or 0
+    for _ in range((most - 1).bit_length() if most > 1 else 0):
+        above = rows.select(F.col("node").alias("_node"), F.col("top").alias("_top"), F.col("path").alias("_path"))
+        whole = F.when(F.col("top") == F.col("node"), F.col("path")).otherwise(F.concat("_path", F.slice("path", F.lit(2), F.size("path"))))
+        rows = _cut(rows.join(above, F.col("top") == F.col("_node")).select("node", "depth", F.col("_top").alias("top"), whole.alias("path")))
+    return rows.select("node", "depth", "path")
+
+
 def _cut(df: DataFrame) -> DataFrame:
-    """Checkpointed in the folder all executors see; where none is set, one beside
-    the warehouse."""
+    """Checkpointed in the folder all executors see; where none is set, one machine
+    uses a folder of its own, and a cluster raises an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="stages-") if local else df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not local:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stages-"))
     return df.checkpoint()
 
 

@@ -513,9 +513,6 @@ SQL |= {
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs)""",
     "snk8_upsert": "SELECT doc_id, 'new' AS origin FROM labels WHERE quality = 1 AND doc_id IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'old' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "j29_wiring": D + "SELECT a.anchor, count(l.line)::BIGINT AS n, count(l.line) = 1 AS wired FROM (VALUES ('technical packaging'), ('no such anchor'), ('Introduction')) a(anchor) LEFT JOIN (SELECT unnest(string_split(text, chr(10))) AS line FROM docs) l ON contains(l.line, a.anchor) GROUP BY a.anchor",
-    "g2_reachability": """WITH RECURSIVE edges AS (SELECT DISTINCT doc_id AS src, (doc_id * 7 + 3) % (SELECT count(*) FROM documents) AS dst FROM documents WHERE doc_id % 5 <> 0 UNION SELECT doc_id, doc_id + 1 FROM documents WHERE doc_id % 4 = 1),
-walk(node, depth) USING KEY (node) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, min(w.depth) + 1 FROM walk w JOIN edges e ON e.src = w.node LEFT JOIN recurring.walk r ON r.node = e.dst WHERE r.node IS NULL GROUP BY e.dst)
-SELECT node::BIGINT AS node, depth::INT AS depth FROM walk""",
     "j30_missing_labels": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "j26_rule_sets": "SELECT lang, 'missing' AS side FROM (SELECT DISTINCT lang FROM documents) WHERE lang NOT IN ('en', 'it') UNION ALL SELECT 'it', 'extra'",
     "a29_command_coverage": D + "SELECT source, count_if(regexp_matches(text, '\\\\cite'))::BIGINT AS cite, count_if(regexp_matches(text, '\\\\ref'))::BIGINT AS ref, count_if(regexp_matches(text, '\\\\label'))::BIGINT AS label FROM docs GROUP BY source",

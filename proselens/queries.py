@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles, record_queries
+from . import oracles, project_queries, record_queries
 from .functions import text as tx
 from .operators import align, corpus, fingerprint, glossary, history, markers, revision, rules, targets, terms
 from .plans import seed
@@ -96,13 +96,6 @@ def _baseline(s: S, d: str) -> DataFrame:
     return fingerprint.baseline(measured, "source").select("paper_count", "status", *[F.round(x, 6).alias(x) for x in figures])
 
 
-def _reachability(s: S, d: str) -> DataFrame:
-    docs = _raw(s, d).select("doc_id")
-    n = docs.count()
-    edges = docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("src"), ((F.col("doc_id") * 7 + 3) % n).alias("dst")).union(docs.where("doc_id % 4 = 1").select("doc_id", F.col("doc_id") + 1)).distinct()
-    return corpus.reachable(edges, s.createDataFrame([(1,)], "node long"))
-
-
 def _rule_sets(s: S, d: str) -> DataFrame:
     have, want = _raw(s, d).select("lang").distinct(), s.createDataFrame([("en",), ("it",)], "lang string")
     return have.exceptAll(want).withColumn("side", F.lit("missing")).unionByName(want.exceptAll(have).withColumn("side", F.lit("extra")))
@@ -234,7 +227,6 @@ QUERIES = {
     "p37_flagged_lines": lambda s, d: corpus.flagged_lines(_docs(s, d)),
     "snk8_upsert": lambda s, d: corpus.upsert(_raw(s, d).select("doc_id", F.lit("old").alias("origin")), s.read.parquet(f"{d}/labels.parquet").where("quality = 1").select("doc_id", F.lit("new").alias("origin")), "doc_id"),
     "j29_wiring": lambda s, d: corpus.anchors(_docs(s, d).select(F.explode(F.split("text", "\n")).alias("line")), s.createDataFrame([("technical packaging",), ("no such anchor",), ("Introduction",)], "anchor string")),
-    "g2_reachability": _reachability,
     "j30_missing_labels": lambda s, d: _raw(s, d).select("doc_id").join(s.read.parquet(f"{d}/labels.parquet").select("doc_id"), "doc_id", "left_anti"),
     "j26_rule_sets": _rule_sets,
     "a29_command_coverage": lambda s, d: _docs(s, d).groupBy("source").agg(*[F.count_if(F.col("text").contains("\\" + x)).alias(x) for x in ("cite", "ref", "label")]),
@@ -252,5 +244,5 @@ QUERIES = {
     "strength_verdict": lambda s, d: revision.strength_verdict(_pairs(s, d)),
 }
 
-QUERIES |= record_queries.QUERIES
-ORACLE_SQL: dict[str, str] = {k: v for k, v in (oracles.SQL | record_queries.SQL).items() if k in QUERIES}
+QUERIES |= record_queries.QUERIES | project_queries.QUERIES
+ORACLE_SQL: dict[str, str] = {k: v for k, v in (oracles.SQL | record_queries.SQL | project_queries.SQL).items() if k in QUERIES}

@@ -76,12 +76,6 @@ def _numbered(s: S, d: str) -> DataFrame:
     return records.numbered(rows, "lang", F.lower("title"), 9).select("doc_id", "lang", "place")
 
 
-def _totals(s: S, d: str) -> DataFrame:
-    from . import queries
-
-    return records.totals(_docs(s, d).select(F.col("doc_id").alias("node")), queries.QUERIES["g2_reachability"](s, d))
-
-
 def _trailers(s: S, d: str) -> DataFrame:
     """A line for each document, some of them broken, and its fields."""
     k = F.col("doc_id")
@@ -143,7 +137,6 @@ QUERIES = {
     "snk6_cards": _cards,
     "a9_pass_counts": _changes,
     "a10_dominant_passes": lambda s, d: history.dominant(_changes(s, d)),
-    "a30_reach_totals": _totals,
     "g1_mentions": lambda s, d: records.mentions(_files(s, d)),
     "g6_digest_set": lambda s, d: records.digest_set(_docs(s, d), "lang"),
     "g8_limits": lambda s, d: records.limits(_docs(s, d)),
@@ -216,5 +209,3 @@ SELECT series, count(*)::BIGINT AS texts, count_if(a IS DISTINCT FROM b)::BIGINT
     "w9_numbered": "SELECT doc_id, coalesce(lang, '') AS lang, row_number() OVER (ORDER BY coalesce(lang, ''), lpad(doc_id::VARCHAR, 12, '0'))::INT AS place FROM documents",
     "w10_latest_version": "SELECT conv_id AS series, 'V' || max(turn) || '.tex' AS path FROM conversations GROUP BY conv_id",
 }
-if "g2_reachability" in oracles.SQL:
-    SQL["a30_reach_totals"] = f"SELECT count(*)::BIGINT AS nodes, count(r.node)::BIGINT AS reached, (count(*) - count(r.node))::BIGINT AS orphans, round((count(*) - count(r.node)) * 100.0::DOUBLE / count(*), 4)::DOUBLE AS orphan_percent FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN (SELECT DISTINCT node FROM ({oracles.SQL['g2_reachability']})) r ON r.node = d.doc_id"
