@@ -35,6 +35,11 @@ def lf(text: Column | str) -> Column:
     return F.regexp_replace(c(text), "\r\n?", "\n")
 
 
+def canonical(text: Column | str) -> Column:
+    """Line ends as LF, without one at the very end."""
+    return F.regexp_replace(lf(text), r"\n\z", "")
+
+
 def squeeze(text: Column | str) -> Column:
     """Runs of white space to one blank, none at the ends."""
     return F.trim(F.regexp_replace(c(text), r"\s+", " "))

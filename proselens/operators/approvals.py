@@ -39,7 +39,7 @@ def decided(cases: DataFrame, manifests: DataFrame, key: str) -> DataFrame:
     content_stable_confirmed, approved_utc and the three digests.  A row for each case:
     admitted, and the reasons of a refusal in order."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    own = cases.select(key, *[F.sha2(text(d.removesuffix("_sha256")), 256).alias(f"_{d}") for d in DIGESTS], (F.trim(tx.lf(text("before"))) == F.trim(tx.lf(text("target")))).alias("_same"), F.coalesce("frozen", F.lit(False)).alias("_frozen"))
+    own = cases.select(key, *[F.sha2(text(d.removesuffix("_sha256")), 256).alias(f"_{d}") for d in DIGESTS], (tx.canonical(text("before")) == tx.canonical(text("target"))).alias("_same"), F.coalesce("frozen", F.lit(False)).alias("_frozen"))
     many = manifests.groupBy(key).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in (*REQUIRED, "content_stable_confirmed", "approved_utc", *DIGESTS)])
     rows = own.join(many, key, "left")
     real, zone = zoned("approved_utc")

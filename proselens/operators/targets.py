@@ -66,9 +66,56 @@ def rule_convergence(counts: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "initial", "revised", "off_target", status.alias("status"))
 
 
-def overall(structural_closer: Column, rule_status: Column, preserved: Column) -> Column:
-    """The channels together."""
-    return F.when(~preserved, "not_preserved").when(rule_status == "worsened", "worsened").when(structural_closer & rule_status.isin("improved", "insufficient_signal"), "improved").otherwise("mixed")
+#: fixed values: statuses of a channel and of all
+IMPROVED, UNCHANGED, WORSENED, NO_SIGNAL = "improved", "unchanged", "worsened", "insufficient_signal"
+
+
+def structural_status(dist: DataFrame, key: str) -> DataFrame:
+    """The structural channel: what the aggregate says; where all eligible metrics began
+    at their targets, leaving them is worse, and staying is no signal."""
+    rows = dist.where("eligible").groupBy(key).agg(F.count("*").alias("eligible"), F.avg("scaled_before").alias("b"), F.avg("scaled_output").alias("o"))
+    convergence = F.when(F.col("b") > 0, F.round((1 - F.col("o") / F.col("b")) * 100, 4))
+    status = F.when(convergence > 0, IMPROVED).when(convergence == 0, UNCHANGED).when(convergence < 0, WORSENED).when(F.col("o") > 0, WORSENED).otherwise(NO_SIGNAL)
+    return rows.select(key, "eligible", convergence.alias("convergence"), status.alias("structural"))
+
+
+def overall(structural_: Column, rules_: Column) -> Column:
+    """The channels together: one that improves and none that worsens; no evidence
+    only where neither has a signal."""
+    one = lambda s: (structural_ == s) | (rules_ == s)
+    neither = (structural_ == NO_SIGNAL) & (rules_ == NO_SIGNAL)
+    return F.when(one(WORSENED), F.when(one(IMPROVED), "mixed_or_worsened").otherwise("not_improved")).when(one(IMPROVED), IMPROVED).when(neither, "insufficient_evidence").otherwise("not_improved")
+
+
+def evaluated(cases: DataFrame, key: str, rule_sourced: tuple[str, ...] = (), passes: tuple[str, ...] = ("P4", "P5", "P6"), content_stable: bool = True) -> DataFrame:
+    """A20 to A22 as one verdict.  cases: key, before, output, target (texts).
+
+    The metrics of the three texts come from one scan, and so do the counts of the rules;
+    what must be kept is held between before and output, and between before and target
+    (without that, or if nobody confirmed that the content is stable, a claim of efficacy
+    is not valid).  A text without prose has no metrics, and its case no structural
+    signal."""
+    from . import fingerprint, revision, rules
+
+    sides = ("before", "output", "target")
+    cases = cases.select(key, *[F.coalesce(s, F.lit("")).alias(s) for s in sides])
+    each = cases.select(key, F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("text")) for s in sides])).alias("x")).select(key, "x.*")
+    measured = fingerprint.metrics(fingerprint.paragraph_rows(fingerprint.plain(each), [key, "side"]), [key, "side"])
+    wide = measured.groupBy(key).agg(*[F.max(F.when(F.col("side") == s, F.struct("paragraph_count", *METRICS))).alias(s) for s in sides])
+    structure = structural_status(distances(wide.where(" AND ".join(f"{s} IS NOT NULL" for s in sides)), key, rule_sourced, passes), key)
+    n = lambda s: F.size(F.filter(F.col(f"_{s}"), lambda r: r == F.col("rule")))
+    counts = cases.select(key, *[F.transform(rules.hits(s), lambda h: h["rule"]).alias(f"_{s}") for s in sides])
+    counts = counts.withColumn("rule", F.explode(F.array(*[F.lit(r) for r in rules.SEVERITY]))).select(key, "rule", *[n(s).alias(f"n_{s}") for s in sides])
+    by_rule = rule_convergence(counts, key).select(key, F.col("initial").alias("rule_initial"), F.col("revised").alias("rule_revised"), "off_target", F.col("status").alias("rules"))
+    guarded = cases.select(F.explode(F.array(*[F.struct(F.concat(F.col(key).cast("string"), F.lit(f":{s}")).alias("pair_id"), F.col("before").alias("before"), F.col(s).alias("after")) for s in sides[1:]])).alias("x")).select("x.*")
+    guards = revision.frozen_verdict(guarded).select(F.regexp_extract("pair_id", "^(.*):", 1).alias("_key"), F.regexp_extract("pair_id", "([a-z]+)$", 1).alias("side"), "passed")
+    guards = guards.groupBy("_key").agg(*[F.bool_and(F.when(F.col("side") == s, F.col("passed"))).alias(f"{s}_kept") for s in sides[1:]])
+    rows = by_rule.join(structure, key, "left").join(guards, F.col(key).cast("string") == F.col("_key"))
+    rows = rows.withColumns({"eligible": F.coalesce("eligible", F.lit(0)), "structural": F.coalesce("structural", F.lit(NO_SIGNAL))})
+    status = overall(F.col("structural"), F.col("rules"))
+    improved = F.when(status == IMPROVED, F.lit(True)).when(status != "insufficient_evidence", F.lit(False))
+    valid = F.col("output_kept") & F.col("target_kept") & F.lit(content_stable)
+    return rows.select(key, "eligible", "convergence", "structural", "rule_initial", "rule_revised", "off_target", "rules", status.alias("status"), improved.alias("improved"), "output_kept", "target_kept", valid.alias("valid"))
 
 
 def _outside(metric: str, low: float, high: float) -> Column:
@@ -206,9 +253,8 @@ def preserved(cases: DataFrame, key: str) -> DataFrame:
     """Cases whose input already equals their target (before, output, target,
     frozen: whether the guard passed, changes: how many the report names): whether
     nothing was harmed.  Cases that are not of this kind give no row."""
-    even = lambda c: F.trim(tx.lf(c))
-    rows = cases.where(even("before") == even("target"))
-    same = even("output") == even("before")
+    rows = cases.where(tx.canonical("before") == tx.canonical("target"))
+    same = tx.canonical("output") == tx.canonical("before")
     return rows.select(key, same.alias("exact"), "frozen", (F.col("changes") == 0).alias("none_reported"), (same & F.col("frozen") & (F.col("changes") == 0)).alias("preserved"))
 
 

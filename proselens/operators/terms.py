@@ -42,6 +42,9 @@ _COMMAND = re.compile(r"\\([A-Za-z]+)\*?")
 _OPTION, _ARGUMENT = re.compile(r"\s*(\[[^\]]*\])"), re.compile(r"\s*(\{[^{}]*\})")
 _INK = re.compile(r"[^\n]")
 _ASCII = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+#: fixed values: letters that any case of an ASCII letter takes in
+_KIN = str.maketrans("\u0130\u0131\u017f\u212a", "iisk")
+_ANY_CASE = _ASCII | {chr(c) for c in _KIN}
 FOUND = "pair_id long, term string, kind string, observed string, start int, line int, column int"
 _FOUND = pa.schema([("pair_id", pa.int64()), *[(x, pa.string()) for x in ("term", "kind", "observed")], *[(x, pa.int32()) for x in ("start", "line", "column")]])
 
@@ -71,7 +74,7 @@ def masked(text: str) -> str:
 
 def lowered(text: str) -> str:
     """Lower case, character by character where the whole would change its length."""
-    low = text.lower()
+    low = (text := text.translate(_KIN)).lower()
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
@@ -91,6 +94,10 @@ class Glossary:
 
         self.rows = rows
         self.users: dict[str, list[int]] = defaultdict(list)  # the rows that a form belongs to
+        self.shorts: dict[str, set[str]] = defaultdict(set)  # spellings of abbreviations, by their lower case
+        for _, short, _, _ in rows:
+            if short:
+                self.shorts[lowered(short)].add(short)
         for k, (term, short, synonyms, variants) in enumerate(rows):
             for form in {lowered(x) for x in (term, short, *(synonyms or ()), *(variants or ())) if x}:
                 self.users[form].append(k)
@@ -100,16 +107,25 @@ class Glossary:
         if self.users:
             self.automaton.make_automaton()
 
-    def occurrences(self, text: str) -> dict[str, list[int]]:
-        """Where each form begins, in any case, leftmost and apart."""
-        out: dict[str, list[int]] = {}
+    def occurrences(self, text: str) -> dict[tuple[str, bool], list[int]]:
+        """Where each form begins, in any case (False) and abbreviations as spelled
+        (True), leftmost and apart."""
+        out: dict[tuple[str, bool], list[int]] = {}
+
+        def add(form: str, spelled: bool, start: int) -> None:
+            own = out.setdefault((form, spelled), [])
+            if not own or own[-1] + len(form) <= start:
+                own.append(start)
+
         for last, form in self.automaton.iter(lowered(text)) if self.users else ():
             start = last + 1 - len(form)
-            if (start and text[start - 1] in _ASCII) or text[last + 1 : last + 2] in _ASCII:
+            before, after = text[start - 1 : start] if start else "", text[last + 1 : last + 2]
+            if before in _ASCII or after in _ASCII:
                 continue
-            own = out.setdefault(form, [])
-            if not own or own[-1] + len(form) <= start:
-                own.append(start)
+            if form in self.shorts and (seen := text[start : last + 1]) in self.shorts[form]:
+                add(seen, True, start)
+            if before not in _ANY_CASE and after not in _ANY_CASE:
+                add(form, False, start)
         return out
 
     def findings(self, before: str, after: str, residual: bool) -> list[tuple[int, str, str, str]]:
@@ -120,15 +136,15 @@ class Glossary:
             return []
         old = self.occurrences(before)
         out = set()
-        for k in sorted({k for form in new for k in self.users[form]}):
+        for k in sorted({k for form, _ in new for k in self.users[lowered(form)]}):
             term, short, synonyms, variants = self.rows[k]
 
             def spelled(at: dict, text: str, form: str) -> list[tuple[int, str]]:
-                return [(s, text[s : s + len(form)]) for s in at.get(lowered(form), ())]
+                return [(s, text[s : s + len(form)]) for s in at.get((lowered(form), False), ())]
 
             for kind, forms in ((SYNONYM, synonyms), (VARIANT, variants)):
                 for form in forms or ():
-                    spare = 0 if residual else len(old.get(lowered(form), ()))
+                    spare = 0 if residual else len(old.get((lowered(form), False), ()))
                     out |= {(s, term, kind, seen) for s, seen in spelled(new, after, form)[spare:]}
             capital = term[0].upper() + term[1:]
 
@@ -141,8 +157,8 @@ class Glossary:
                 if left[seen] < 0:
                     out.add((s, term, CASE, seen))
             if short:
-                exact = lambda at, text: [x for x in spelled(at, text, short) if x[1] == short]
-                full, brief, full_before, brief_before = spelled(new, after, term), exact(new, after), spelled(old, before, term), exact(old, before)
+                exact = lambda at: [(s, short) for s in at.get((short, True), ())]
+                full, brief, full_before, brief_before = spelled(new, after, term), exact(new), spelled(old, before, term), exact(old)
                 if brief and ((residual and full) or (full_before and not brief_before)):
                     out |= {(s, term, MIX, seen) for s, seen in brief}
                 elif full and brief_before and not full_before:

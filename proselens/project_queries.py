@@ -137,6 +137,7 @@ QUERIES = {
     "j25_hashed_substrings": _hashed,
     "s19_candidates": lambda s, d: candidates.candidates(_pages(s, d), KEYWORDS),
     "s19_landing_files": _landed,
+    "a22_evaluation": _evaluated,
 }
 SQL: dict[str, str] = {}
 
@@ -178,10 +179,45 @@ SELECT DISTINCT cs.pair_id, CASE WHEN n IS NULL THEN 'no manifest' WHEN n > 1 TH
   CASE WHEN schema <> 'approved-style-target-v1' THEN 'schema is not approved-style-target-v1' END, CASE WHEN approval <> 'approved' THEN 'approval_status is not approved' END,
   CASE WHEN NOT stable THEN 'content stability is not confirmed' END, CASE WHEN time IN (3, 5) THEN 'approved_utc is no time' WHEN time = 2 THEN 'approved_utc has no zone' END,
   CASE WHEN before_sha256 <> sha256(before) THEN 'before_sha256 differs' END, CASE WHEN target_sha256 <> sha256(target) THEN 'target_sha256 differs' END, CASE WHEN screening_sha256 <> sha256(screening) THEN 'screening_sha256 differs' END,
-  CASE WHEN trim(before, chr(10) || ' ') = trim(target, chr(10) || ' ') THEN 'target equals before' END, CASE WHEN NOT frozen THEN 'target changes what must be kept' END], lambda x: x IS NOT NULL), '; ') END AS reasons
+  CASE WHEN regexp_replace(before, '\\n$', '') = regexp_replace(target, '\\n$', '') THEN 'target equals before' END, CASE WHEN NOT frozen THEN 'target changes what must be kept' END], lambda x: x IS NOT NULL), '; ') END AS reasons
 FROM cs LEFT JOIN n USING (pair_id) LEFT JOIN m USING (pair_id))
 SELECT pair_id, reasons = '' AS admitted, reasons FROM w"""
 
 SQL["j25_hashed_substrings"] = """WITH l AS (SELECT DISTINCT lower(source) AS w FROM documents WHERE source IS NOT NULL UNION SELECT unnest(['than', 'licens', 'idiot'])),
 t AS (SELECT doc_id, line_no::INT AS line_no, token, count(*)::BIGINT AS n FROM (SELECT doc_id, line_no, unnest(regexp_extract_all(lower(line), '[a-z0-9][a-z0-9_.-]*')) AS token FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no FROM documents)) GROUP BY ALL)
 SELECT doc_id, line_no, token, sha256(w) AS digest, n FROM t JOIN l ON contains(token, w) WHERE w <> ''"""
+
+_HTML = "pages AS (SELECT page_id, url, regexp_replace(html, 'href=\"/([a-mA-M][^\"]*)\"', 'href=\"/\\1.pdf\"', 'g') AS html FROM pages)"
+_HAS = lambda x, words: "(" + " OR ".join(f"contains(lower({x}), {Q(w)})" for w in words) + ")"
+_PDF = "ends_with(lower(target), '.pdf')"
+_PLAIN = "regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g')"
+SQL["s19_candidates"] = f"""WITH {_HTML}, {oracles._LINKS},
+hit AS (SELECT page_id, place, CASE WHEN text = '' THEN target ELSE text END AS title, CASE WHEN target = '' THEN url ELSE target END AS source_url, CASE WHEN {_PDF} THEN target ELSE '' END AS pdf_url, CASE WHEN {_PDF} THEN 'pdf_available' ELSE 'metadata_only' END AS status, '' AS notes
+  FROM links JOIN pages USING (page_id) WHERE {_HAS("text || ' ' || target", KEYWORDS)})
+SELECT * FROM hit UNION ALL SELECT page_id, NULL, CASE WHEN {_HAS(_PLAIN, KEYWORDS)} THEN {Q(candidates.ELSEWHERE)} ELSE {Q(candidates.EMPTY)} END, url, '', 'metadata_only', CASE WHEN {_HAS(_PLAIN, KEYWORDS)} THEN {Q(candidates.NOTE)} ELSE '' END FROM pages WHERE page_id NOT IN (SELECT page_id FROM hit)"""
+SQL["s19_landing_files"] = f"""WITH {_HTML}, {oracles._LINKS},
+own AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<title>(.*?)</title>', 1) AS title FROM pages), first AS (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url),
+f AS (SELECT page_id, list(target ORDER BY place) AS files FROM links WHERE {_PDF} AND NOT {_HAS('text', candidates.SKIPPED)} GROUP BY page_id),
+c AS (SELECT own.page_id, title, coalesce(files, []) AS files, list_filter(regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: length(w) >= {candidates.LETTERS}) AS words FROM own JOIN first USING (url) LEFT JOIN f ON f.page_id = first.page_id)
+SELECT page_id, title, coalesce(list_filter(files, lambda h: {_HAS('h', candidates.PREFERRED)})[1], list_filter(files[2:], lambda h: len(list_filter(words, lambda w: contains(lower(h), w))) > 1)[-1], files[1], '') AS pdf_url FROM c"""
+
+_TARGET = f"CASE pair_id % 4 WHEN 0 THEN after WHEN 1 THEN before WHEN 2 THEN own || {Q(seed.PASSAGES[9])} || ' ' || {Q(seed.PASSAGES[0])} ELSE CASE WHEN pair_id % 3 = 0 THEN before || chr(10) || chr(10) || {Q(seed.MOVED[1])} ELSE after || chr(10) || chr(10) || {Q(seed.MOVED[0])} END END"
+_OWN = "own AS (SELECT doc_id AS pair_id, coalesce(text, '') || chr(10) || chr(10) AS own FROM documents)"
+_THREE = f"{seed.PAIRS_SQL}, {_OWN}, cases AS (SELECT pair_id, before, after AS output, {_TARGET} AS target FROM pairs JOIN own USING (pair_id))"
+_GUARD = oracles.SQL["j4_frozen_verdict"]
+_TO_TARGET = _GUARD.replace(seed.PAIRS_SQL, f"pairs AS (WITH {_THREE} SELECT pair_id, before, target AS after FROM cases)")
+_ROUND = "round((1 - o / b) * 100, 4)"
+SQL["a22_evaluation"] = f"""WITH {_THREE}, docs AS (SELECT pair_id * 3 AS doc_id, before AS text FROM cases UNION ALL SELECT pair_id * 3 + 1, output FROM cases UNION ALL SELECT pair_id * 3 + 2, target FROM cases), src AS (SELECT doc_id, text FROM docs),
+{oracles._block("text", "doc_id")}, {oracles._FULL}, {oracles.REPORT.split(',' + chr(10), 1)[1]},
+c AS (SELECT (b.doc_id // 3)::BIGINT AS pair_id, b, o, t, least(b.paragraph_count, o.paragraph_count, t.paragraph_count) < 2 AS few FROM full_m b JOIN full_m o ON o.doc_id = b.doc_id + 1 JOIN full_m t ON t.doc_id = b.doc_id + 2 WHERE b.doc_id % 3 = 0),
+e AS (SELECT pair_id, few, unnest([{", ".join(f"{{'metric': {Q(m)}, 'b': b.{m}, 'o': o.{m}, 't': t.{m}}}" for m in targets.METRICS)}], recursive := true) FROM c),
+g AS (SELECT pair_id, round(abs(b - t), 6) / greatest(abs(t), 1) AS gb, round(abs(o - t), 6) / greatest(abs(t), 1) AS go FROM e WHERE metric <> 'active_sentence_ratio' AND NOT (few AND metric IN ('mean_paragraph_words', 'paragraph_word_sd', 'mean_sentences_per_paragraph'))),
+st AS (SELECT pair_id, count(*)::BIGINT AS eligible, avg(gb) AS b, avg(go) AS o FROM g GROUP BY pair_id),
+sv AS (SELECT pair_id, eligible, CASE WHEN b > 0 THEN {_ROUND} END AS convergence, CASE WHEN b > 0 THEN CASE WHEN {_ROUND} > 0 THEN 'improved' WHEN {_ROUND} = 0 THEN 'unchanged' ELSE 'worsened' END WHEN o > 0 THEN 'worsened' ELSE 'insufficient_signal' END AS structural FROM st),
+rc AS (SELECT doc_id // 3 AS pair_id, rule, max(CASE WHEN doc_id % 3 = 0 THEN hits END) AS nb, max(CASE WHEN doc_id % 3 = 1 THEN hits END) AS no, max(CASE WHEN doc_id % 3 = 2 THEN hits END) AS nt FROM rep GROUP BY ALL),
+rv AS (SELECT pair_id, sum(abs(nb - nt))::BIGINT AS rule_initial, sum(CASE WHEN nb <> nt THEN abs(no - nt) ELSE 0 END)::BIGINT AS rule_revised, count_if(nb = nt AND no <> nt)::BIGINT AS off_target FROM rc GROUP BY pair_id),
+rs AS (SELECT *, CASE WHEN off_target > 0 THEN 'worsened' WHEN rule_initial = 0 THEN 'insufficient_signal' WHEN rule_revised < rule_initial THEN 'improved' WHEN rule_revised = rule_initial THEN 'unchanged' ELSE 'worsened' END AS rules FROM rv),
+j AS (SELECT rs.pair_id::BIGINT AS pair_id, coalesce(eligible, 0)::BIGINT AS eligible, convergence, coalesce(structural, 'insufficient_signal') AS structural, rule_initial, rule_revised, off_target, rules, x.passed AS output_kept, y.passed AS target_kept FROM rs LEFT JOIN sv USING (pair_id) JOIN ({_GUARD}) x ON x.pair_id = rs.pair_id JOIN ({_TO_TARGET}) y ON y.pair_id = rs.pair_id),
+k AS (SELECT *, CASE WHEN 'worsened' IN (structural, rules) THEN CASE WHEN 'improved' IN (structural, rules) THEN 'mixed_or_worsened' ELSE 'not_improved' END WHEN 'improved' IN (structural, rules) THEN 'improved' WHEN structural = 'insufficient_signal' AND rules = 'insufficient_signal' THEN 'insufficient_evidence' ELSE 'not_improved' END AS status FROM j)
+SELECT *, CASE WHEN status = 'improved' THEN true WHEN status <> 'insufficient_evidence' THEN false END AS improved, output_kept AND target_kept AS valid FROM k"""
+SQL["a20_structural"] = f"SELECT doc_id, count(*)::BIGINT AS eligible, count_if(status = 'closer')::BIGINT AS closer, CASE WHEN avg(scaled_before) > 0 THEN round((1 - avg(scaled_output) / avg(scaled_before)) * 100, 4) END AS convergence FROM ({oracles.SQL['a20_distances']}) WHERE eligible GROUP BY doc_id"

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from proselens.functions import text as tx
-from proselens.operators import align, corpus, fingerprint, glossary, history, markers, revision, rules, targets
+from proselens.operators import align, corpus, fingerprint, glossary, history, markers, revision, rules, targets, terms
 from proselens.sources import readers
 
 
@@ -109,15 +109,15 @@ def test_glossary_override_and_findings(spark):
     got = {r["term"]: r["layer"] for r in glossary.merged(entries).collect()}
     assert got["bootstrapping"] == "L2" and got["Key-Switching"] == "L1" and "key-switching" not in got
     p = pair(spark, "The ciphertext is sent.", "The cipher text is sent. Ciphertext it is.")
-    own = {(r["kind"], r["form"], r["n"]) for r in glossary.findings(p, glossary.merged(entries)).collect()}
-    assert own == {("plural_or_hyphen_variant", "cipher text", 1)}
+    own = {(r["kind"], r["observed"], r["start"]) for r in terms.findings(p, glossary.merged(entries)).collect()}
+    assert own == {("plural_or_hyphen_variant", "cipher text", 4)}
 
 
 def test_pass_three_may_change_terms(spark):
     p = pair(spark, "The ciphertext is sent.", "The value is sent.")
     entries = glossary.merged(glossary.layers(spark))
     report = revision.category_report(revision.differences(p))
-    none = glossary.findings(p, entries)
+    none = terms.findings(p, entries)
     got = {r["pass"]: r["verdict"] for r in glossary.pass_verdict(report, none, none, none, p).collect()}
     assert got == {"P3": "proceed", "P4": "rollback", "P5": "rollback", "P6": "rollback", "P7": "rollback"}
 
