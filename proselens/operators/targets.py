@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -118,81 +118,55 @@ def evaluated(cases: DataFrame, key: str, rule_sourced: tuple[str, ...] = (), pa
     return rows.select(key, "eligible", "convergence", "structural", "rule_initial", "rule_revised", "off_target", "rules", status.alias("status"), improved.alias("improved"), "output_kept", "target_kept", valid.alias("valid"))
 
 
-def _outside(metric: str, low: float, high: float) -> Column:
-    return ~F.round(metric, 4).between(low, high)
+#: fixed values: what a text may fail of a target; the first two begin with P4_RULE_ or
+#: P4_TARGET_, by the source of the field
+TRIGGERS = {
+    "mean": "SENTENCE_MEAN_OUT_OF_RANGE", "sd": "SENTENCE_SD_LOW", "words": "P4_PARAGRAPH_WORDS_OUT_OF_RANGE", "sentences": "P4_PARAGRAPH_SENTENCES_OUT_OF_RANGE",
+    "openings": "P4_OPENING_DIVERSITY_LOW", "policy": "P5_CONNECTIVE_DENSITY_ABOVE_POLICY", "limit": "P5_CONNECTIVE_DENSITY_ABOVE_LIMIT", "hedges": "P5_HEDGE_DENSITY_ABOVE_LIMIT", "layers": "P5_HEDGE_LAYER_COUNT_ABOVE_LIMIT",
+}
 
 
-def _triggers(fields: dict[str, dict], from_rules: frozenset[str] | None) -> list[Column]:
+def triggers(value: Callable[[str, str], Column], known: Callable[[str], Column], ruled: Callable[[str], Column]) -> list[Column]:
     """What fields of a target ask for, each as a name where it is not met.
-    from_rules: the fields whose value is a rule (None: all)."""
-    known = {f: fields[f] for f in ("sentence_length", "paragraph_length", "opening_structure", "connectives", "hedging") if f in fields}
-    lengths, paras, hedging = (known.get(f, {}) for f in ("sentence_length", "paragraph_length", "hedging"))
-    by = "RULE" if from_rules is None or "sentence_length" in from_rules else "TARGET"
+    value(field, path): a number of the field, null if absent; known(field): whether the
+    field is there; ruled(field): whether its value is a rule."""
     enough, many = F.col("sentence_count") >= MIN_SENTENCES, F.col("paragraph_count") > 1
-    out = []
-
-    def ask(name: str, missed: Column) -> None:
-        out.append(F.when(missed, F.lit(name)))
-
-    if "mean_range_words" in lengths:
-        ask(f"P4_{by}_SENTENCE_MEAN_OUT_OF_RANGE", enough & _outside("mean_sentence_length", *lengths["mean_range_words"]))
-    if "minimum_sd_words" in lengths:
-        ask(f"P4_{by}_SENTENCE_SD_LOW", enough & (F.round("sentence_length_sd", 4) < lengths["minimum_sd_words"]) & (F.col("opening_type_count") <= 1))
-    if "word_range" in paras:
-        ask("P4_PARAGRAPH_WORDS_OUT_OF_RANGE", many & _outside("mean_paragraph_words", *paras["word_range"]))
-    if "sentences_per_paragraph" in paras:
-        ask("P4_PARAGRAPH_SENTENCES_OUT_OF_RANGE", many & _outside("mean_sentences_per_paragraph", *paras["sentences_per_paragraph"]))
-    if "minimum_distinct_types" in known.get("opening_structure", {}):
-        ask("P4_OPENING_DIVERSITY_LOW", many & (F.col("paragraph_opening_type_count") < known["opening_structure"]["minimum_distinct_types"]))
-    if "connectives" in known:
-        limit = known["connectives"].get("maximum_per_sentence")
-        ask("P5_CONNECTIVE_DENSITY_ABOVE_POLICY" if limit is None else "P5_CONNECTIVE_DENSITY_ABOVE_LIMIT", F.round("connective_density", 4) > (DENSITY if limit is None else limit))
-    if "maximum_per_1000_words" in hedging:
-        ask("P5_HEDGE_DENSITY_ABOVE_LIMIT", F.round("hedges_per_1000_words", 4) > hedging["maximum_per_1000_words"])
-    if "maximum_layers_per_sentence" in hedging:
-        ask("P5_HEDGE_LAYER_COUNT_ABOVE_LIMIT", F.col("max_hedges_in_sentence") > hedging["maximum_layers_per_sentence"])
-    return out
+    outside = lambda metric, f, name: ~F.round(metric, 4).between(value(f, f"$.{name}[0]"), value(f, f"$.{name}[1]"))
+    by = F.when(ruled("sentence_length"), "P4_RULE_").otherwise("P4_TARGET_")
+    limit = value("connectives", "$.maximum_per_sentence")
+    asked = [
+        (F.concat(by, F.lit(TRIGGERS["mean"])), enough & outside("mean_sentence_length", "sentence_length", "mean_range_words")),
+        (F.concat(by, F.lit(TRIGGERS["sd"])), enough & (F.round("sentence_length_sd", 4) < value("sentence_length", "$.minimum_sd_words")) & (F.col("opening_type_count") <= 1)),
+        (F.lit(TRIGGERS["words"]), many & outside("mean_paragraph_words", "paragraph_length", "word_range")),
+        (F.lit(TRIGGERS["sentences"]), many & outside("mean_sentences_per_paragraph", "paragraph_length", "sentences_per_paragraph")),
+        (F.lit(TRIGGERS["openings"]), many & (F.col("paragraph_opening_type_count") < value("opening_structure", "$.minimum_distinct_types"))),
+        (F.when(limit.isNull(), TRIGGERS["policy"]).otherwise(TRIGGERS["limit"]), known("connectives") & (F.round("connective_density", 4) > F.coalesce(limit, F.lit(DENSITY)))),
+        (F.lit(TRIGGERS["hedges"]), F.round("hedges_per_1000_words", 4) > value("hedging", "$.maximum_per_1000_words")),
+        (F.lit(TRIGGERS["layers"]), F.col("max_hedges_in_sentence") > value("hedging", "$.maximum_layers_per_sentence")),
+    ]
+    return [F.when(F.coalesce(missed, F.lit(False)), name) for name, missed in asked]
+
+
+def decided(rows: DataFrame, found: DataFrame, asked: list[Column], key: str) -> DataFrame:
+    """The triggers of metrics and rule hits, in order of their names; revise
+    if there is any."""
+    name = F.concat(F.lit("P5_AI_R"), F.lpad(F.col("rule").cast("string"), 2, "0"))
+    hits = found.groupBy(key).agg(F.collect_set(name).alias("rules"))
+    rows = rows.join(hits, key, "left")
+    every = F.array_sort(F.concat(F.array_compact(F.array(*asked)), F.coalesce("rules", F.array().cast("array<string>"))))
+    return rows.select(key, F.array_join(every, ",").alias("triggers"), F.when(F.size(every) > 0, "revise").otherwise("preserve").alias("decision"))
 
 
 def preflight(measured: DataFrame, found: DataFrame, key: str = "doc_id", fields: dict[str, dict] = RULE_VALUES, from_rules: frozenset[str] | None = None) -> DataFrame:
-    """Triggers from metrics and rule hits, in order of their names;
-    revise if there is any."""
-    name = F.concat(F.lit("P5_AI_R"), F.lpad(F.col("rule").cast("string"), 2, "0"))
-    hits = found.groupBy(key).agg(F.collect_set(name).alias("rules"))
-    rows = measured.join(hits, key, "left")
-    none = F.array().cast("array<string>")
-    triggers = F.array_sort(F.concat(F.array_compact(F.array(*_triggers(fields, from_rules))), F.coalesce("rules", none)))
-    return rows.select(key, F.array_join(triggers, ",").alias("triggers"), F.when(F.size(triggers) > 0, "revise").otherwise("preserve").alias("decision"))
-
-
-PROFILE = "venue string, field string, source string, confidence string, value double, pass string"
-#: a small table of targets for the registered queries
-PROFILES = [
-    ("default", "sentence_length", "rule", "low", 22.0, "P4"),
-    ("default", "connective_density", "rule", "low", 0.5, "P5"),
-    ("default", "paragraph_words", "exemplar", "high", 120.0, "P6"),
-    ("journal of maps", "sentence_length", "exemplar", "high", 24.0, "P4"),
-    ("journal of maps", "connective_density", "exemplar", "high", 0.4, "P5"),
-    ("letters", "sentence_length", "exemplar", "medium", 18.0, "P4"),
-]
-
-
-def profiles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PROFILES, PROFILE)
-
-
-def resolved(wanted: DataFrame, profile: DataFrame, passes: list[str]) -> DataFrame:
-    """Wanted (key, venue) to the fields of its venue, or of the
-    default; ok if all are exemplars, partial if some, none if no field is."""
-    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    known = profile.select("venue").distinct()
-    rows = wanted.withColumn("_v", norm("venue")).join(F.broadcast(known.withColumnRenamed("venue", "_k")), F.col("_v") == F.col("_k"), "left")
-    match = F.when(F.col("venue").isNull(), "unstated").when(F.col("_k").isNull(), "default").otherwise("matched")
-    rows = rows.select("key", F.coalesce("_k", F.lit("default")).alias("venue"), match.alias("venue_match"))
-    out = rows.join(F.broadcast(profile.where(F.col("pass").isin(passes))), "venue", "left")
-    out = out.groupBy("key", "venue", "venue_match").agg(F.count("field").alias("fields"), F.count_if(F.col("source") == "exemplar").alias("exemplars"))
-    status = F.when(F.col("exemplars") == 0, "none").when(F.col("exemplars") == F.col("fields"), "ok").otherwise("partial")
-    return out.withColumn("status", status)
+    """A17 to A19 against one set of fields for all texts.  from_rules: the fields whose
+    value is a rule (None: all)."""
+
+    def value(field: str, path: str) -> Column:
+        name, _, at = path.removeprefix("$.").partition("[")
+        own = fields.get(field, {}).get(name)
+        return F.lit(own[int(at[0])] if at and own is not None else own).cast("double")
+
+    return decided(measured, found, triggers(value, lambda f: F.lit(f in fields), lambda f: F.lit(from_rules is None or f in from_rules)), key)
 
 
 def screening(measured: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -224,31 +198,6 @@ def screening(measured: DataFrame, found: DataFrame, key: str = "doc_id") -> Dat
     return each.select(key, "dimension", F.when(clean, "exemplar").otherwise("rule").alias("source"), F.when(clean, "clean and sufficiently observed").otherwise(F.array_join("why", "; ")).alias("reason"))
 
 
-def profile(measured: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The fields of a target built from one text: source and confidence of each
-    dimension, and its value as JSON; dimensions that a text cannot serve take the
-    values of the rules."""
-    r4 = lambda c: F.round(c, 4)
-    half = F.greatest(r4("sentence_length_sd") / 2, F.lit(1.0))
-    mean = r4("mean_sentence_length")
-    value = {
-        "sentence_length": F.struct(F.array(r4(F.greatest(F.lit(1.0), mean - half)), r4(mean + half)).alias("mean_range_words"), r4("sentence_length_sd").alias("minimum_sd_words"), F.struct("short_1_14", "medium_15_29", "long_30_plus").alias("distribution")),
-        "paragraph_length": F.struct(r4("mean_paragraph_words").alias("mean_words"), r4("paragraph_word_sd").alias("word_sd"), r4("mean_sentences_per_paragraph").alias("mean_sentences")),
-        "opening_structure": F.struct(F.col("paragraph_opening_type_count").alias("distinct_types")),
-        "connectives": F.struct(r4("connective_density").alias("density_per_sentence")),
-        "active_passive_by_section": F.struct(r4("active_sentence_ratio").alias("active_ratio"), r4("passive_sentence_ratio").alias("passive_ratio")),
-        "first_person": F.struct(r4("first_person_per_1000_words").alias("per_1000_words")),
-        "hedging": F.struct(r4("hedges_per_1000_words").alias("per_1000_words"), F.col("max_hedges_in_sentence").alias("maximum_layers_per_sentence")),
-        "claim_position": F.struct(F.col("claim_sentence_count").alias("observations")),
-        "contribution_limitation_moves": F.struct("contribution_move_count", "limitation_move_count", F.lit(True).alias("form_only")),
-    }
-    rules = F.create_map(*[F.lit(x) for d in DIMENSION_RULES for x in (d, json.dumps(RULE_VALUES.get(d, {}), separators=(",", ":")))])
-    own = reduce(lambda out, x: F.when(F.col("dimension") == x[0], F.to_json(x[1])).otherwise(out), value.items(), F.lit(None).cast("string"))
-    rows = screening(measured, found, key).join(measured, key)
-    taken = F.col("source") == "exemplar"
-    return rows.select(key, "dimension", "source", F.when(taken & (F.col("sentence_count") >= 8), "high").otherwise("medium").alias("confidence"), F.when(taken, own).otherwise(rules[F.col("dimension")]).alias("value"))
-
-
 def preserved(cases: DataFrame, key: str) -> DataFrame:
     """Cases whose input already equals their target (before, output, target,
     frozen: whether the guard passed, changes: how many the report names): whether

@@ -468,12 +468,6 @@ h AS (SELECT doc_id, list(rule ORDER BY rule) AS rules FROM rep WHERE hits > 0 G
 d AS (SELECT doc_id, unnest([{_SCREENS}], recursive := true) FROM full_m LEFT JOIN h USING (doc_id)),
 w AS (SELECT doc_id, dimension, list_filter([CASE WHEN len(hit) > 0 THEN 'AI-tell rules hit: [' || array_to_string(hit, ', ') || ']' END, CASE WHEN thin THEN why END], lambda x: x IS NOT NULL) AS why FROM d)
 SELECT doc_id, dimension, CASE WHEN len(why) = 0 THEN 'exemplar' ELSE 'rule' END AS source, CASE WHEN len(why) = 0 THEN 'clean and sufficiently observed' ELSE array_to_string(why, '; ') END AS reason FROM w""",
-    "a15_resolved_fields": f"""WITH prof(venue, field, source, confidence, value, pass) AS (VALUES {_values(tg.PROFILES)}),
-w AS (SELECT doc_id AS key, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Journal  of Maps' WHEN 2 THEN 'Letters' ELSE 'Elsewhere' END AS venue FROM documents),
-k AS (SELECT key, w.venue AS asked, v.venue AS known FROM w LEFT JOIN (SELECT DISTINCT venue FROM prof) v ON trim(regexp_replace(lower(w.venue), '\\s+', ' ', 'g')) = v.venue),
-r AS (SELECT key, coalesce(known, 'default') AS venue, CASE WHEN asked IS NULL THEN 'unstated' WHEN known IS NULL THEN 'default' ELSE 'matched' END AS venue_match FROM k),
-g AS (SELECT r.key, r.venue, r.venue_match, count(p.field)::BIGINT AS fields, count_if(p.source = 'exemplar')::BIGINT AS exemplars FROM r LEFT JOIN prof p ON p.venue = r.venue AND p.pass IN ('P4', 'P5') GROUP BY ALL)
-SELECT *, CASE WHEN exemplars = 0 THEN 'none' WHEN exemplars = fields THEN 'ok' ELSE 'partial' END AS status FROM g""",
     "a19_preflight": f"""{DOC_BLOCK}, {_FULL}, {REPORT.split(',' + chr(10), 1)[1]},
 h AS (SELECT doc_id, list('P5_AI_R' || lpad(rule::VARCHAR, 2, '0')) AS rules FROM rep WHERE hits > 0 GROUP BY doc_id),
 t AS (SELECT doc_id, list_sort(list_concat(list_filter([CASE WHEN sentence_count >= 4 AND NOT mean_sentence_length BETWEEN 12 AND 30 THEN 'P4_RULE_SENTENCE_MEAN_OUT_OF_RANGE' END,

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles, record_queries
-from .operators import approvals, candidates, corpus, fingerprint, hashed, history, intervals, lineage, records, revision, rules, targets
+from .operators import approvals, candidates, corpus, fingerprint, hashed, intervals, lineage, profiles, records, revision, rules, targets
 from .plans import seed
 
 S = SparkSession
@@ -123,7 +123,50 @@ def _evaluated(s: S, d: str) -> DataFrame:
     return targets.evaluated(_cases(s, d), "pair_id")
 
 
+def _profiles(s: S, d: str) -> DataFrame:
+    """A profile for each source, from its first document with prose; the last source's
+    is of the earlier schema."""
+    docs = seed.documents(s, d)
+    with_prose = fingerprint.paragraph_rows(fingerprint.plain(docs), ["doc_id", "source"]).where("source is not null")
+    first = with_prose.groupBy(F.col("source").alias("venue")).agg(F.min("doc_id").alias("_first"))
+    ends = first.agg(F.min("venue").alias("_low"), F.max("venue").alias("_high"))  # one row
+    few = docs.join(first, F.col("doc_id") == F.col("_first"), "left_semi")
+    rows = profiles.built(few, rules.findings(few)).join(first, F.col("doc_id") == F.col("_first")).crossJoin(ends)
+    return rows.select("venue", F.when(F.col("venue") == F.col("_high"), profiles.V2).otherwise(profiles.V3).alias("schema"), (F.col("venue") == F.col("_low")).alias("is_default"), "field", "source", "confidence", "value")
+
+
+def _asked(s: S, d: str) -> DataFrame:
+    """What venue each document wants: its source, in other letters, none, or an unknown one."""
+    k = F.col("doc_id") % 4
+    return s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("key"), F.when(k == 1, F.concat(F.lit("  "), F.upper("source"))).when(k == 2, F.col("source")).when(k == 3, "nowhere at all").alias("venue"), F.get(F.array(*[F.lit(t) for t in ("Methods", "Evaluation", "Other")]), F.col("doc_id") % 3).alias("section_type"))
+
+
+def _resolved(s: S, d: str) -> DataFrame:
+    return profiles.statuses(profiles.resolved(_asked(s, d).withColumn("section_type", F.lit(None).cast("string")), _profiles(s, d)))
+
+
+def _voices(s: S, d: str) -> DataFrame:
+    rows = profiles.resolved(_asked(s, d), _profiles(s, d), ("P6",))
+    return rows.select("key", "venue", "pass", "field", "source", "eligible", "reason", F.to_json("value").alias("value"))
+
+
+def _profile_rows(s: S, d: str) -> DataFrame:
+    docs = seed.documents(s, d)
+    return profiles.built(docs, rules.findings(docs)).withColumn("value", F.to_json("value"))
+
+
+def _flights(s: S, d: str) -> DataFrame:
+    """Each document against the profile of its venue."""
+    docs = seed.documents(s, d)
+    fields = profiles.resolved(_asked(s, d), _profiles(s, d))
+    return profiles.preflight(fingerprint.by_document(docs), rules.findings(docs), fields)
+
+
 QUERIES = {
+    "a14_profile": _profile_rows,
+    "a15_resolved_fields": _resolved,
+    "a15_section_voices": _voices,
+    "a19_resolved_preflight": _flights,
     "j19_paragraph_lines": _lines,
     "a12_paragraph_changes": _changes,
     "a9_revision_direction": _flat_report,
@@ -221,3 +264,11 @@ j AS (SELECT rs.pair_id::BIGINT AS pair_id, coalesce(eligible, 0)::BIGINT AS eli
 k AS (SELECT *, CASE WHEN 'worsened' IN (structural, rules) THEN CASE WHEN 'improved' IN (structural, rules) THEN 'mixed_or_worsened' ELSE 'not_improved' END WHEN 'improved' IN (structural, rules) THEN 'improved' WHEN structural = 'insufficient_signal' AND rules = 'insufficient_signal' THEN 'insufficient_evidence' ELSE 'not_improved' END AS status FROM j)
 SELECT *, CASE WHEN status = 'improved' THEN true WHEN status <> 'insufficient_evidence' THEN false END AS improved, output_kept AND target_kept AS valid FROM k"""
 SQL["a20_structural"] = f"SELECT doc_id, count(*)::BIGINT AS eligible, count_if(status = 'closer')::BIGINT AS closer, CASE WHEN avg(scaled_before) > 0 THEN round((1 - avg(scaled_output) / avg(scaled_before)) * 100, 4) END AS convergence FROM ({oracles.SQL['a20_distances']}) WHERE eligible GROUP BY doc_id"
+
+SQL["a15_resolved_fields"] = f"""WITH {seed.DOCS_SQL}, pr AS (SELECT DISTINCT doc_id FROM ({oracles.SQL['a13_screening']})), f AS (SELECT source AS venue, min(doc_id) AS doc_id FROM docs JOIN pr USING (doc_id) WHERE source IS NOT NULL GROUP BY source),
+lo AS (SELECT min(venue) AS a, max(venue) AS b FROM f),
+fl AS (SELECT venue, s.source, venue = b AND dimension IN {profiles.V2_EXCLUDED} AS old FROM f JOIN ({oracles.SQL['a13_screening']}) s USING (doc_id), lo WHERE dimension IN {tuple(x for v in profiles.PASS_FIELDS.values() for x in v)}),
+n AS (SELECT venue, count(*)::BIGINT AS fields, count_if(NOT old)::BIGINT AS eligible, count_if(NOT old AND source = 'exemplar')::BIGINT AS exemplars FROM fl GROUP BY venue),
+w AS (SELECT doc_id AS key, CASE doc_id % 4 WHEN 1 THEN '  ' || upper(source) WHEN 2 THEN source WHEN 3 THEN 'nowhere at all' END AS venue FROM documents),
+r AS (SELECT key, coalesce(f.venue, a) AS venue, CASE WHEN coalesce(w.venue, '') = '' THEN 'unstated' WHEN f.venue IS NULL THEN 'default' ELSE 'matched' END AS venue_match, b FROM w CROSS JOIN lo LEFT JOIN f ON lower(f.venue) = trim(lower(w.venue)))
+SELECT key, venue, venue_match, fields, eligible, exemplars, CASE WHEN venue_match = 'matched' AND eligible > 0 AND eligible = exemplars AND venue <> b THEN 'ok' ELSE 'partial' END AS status FROM r JOIN n USING (venue)"""

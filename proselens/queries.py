@@ -64,11 +64,6 @@ def _rule_convergence(s: S, d: str) -> DataFrame:
     return targets.rule_convergence(rows.select("series", "rule", n("b").alias("n_before"), n("a").alias("n_output"), (F.col("rule") % 3 == 0).cast("int").alias("n_target")), "series")
 
 
-def _wanted(s: S, d: str) -> DataFrame:
-    k = F.col("doc_id") % 4
-    return _raw(s, d).select(F.col("doc_id").alias("key"), F.when(k == 1, "Journal  of Maps").when(k == 2, "Letters").when(k == 3, "Elsewhere").alias("venue"))
-
-
 def _bibliography(s: S, d: str) -> DataFrame:
     """A registry of one row a conversation, with venues and notes of each kind."""
     one = s.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.min("turn").alias("t"))
@@ -209,11 +204,9 @@ QUERIES = {
     "a12_change_passes": lambda s, d: history.classified(_series(s, d)).select("series", "status", F.array_join("passes", ",").alias("passes")),
     "a21_rule_convergence": _rule_convergence,
     "a13_screening": lambda s, d: targets.screening(fingerprint.by_document(_docs(s, d)), rules.findings(_docs(s, d))),
-    "a14_profile": lambda s, d: targets.profile(fingerprint.by_document(_docs(s, d)), rules.findings(_docs(s, d))),
     "a20_structural": lambda s, d: targets.structural(_distances(s, d), "doc_id"),
     "a23_preservation": _preservation,
     "a1_latex_fingerprint": lambda s, d: fingerprint.by_document(_docs(s, d).withColumn("suffix", F.lit(".tex"))).select("doc_id", *oracles.METRIC_COLUMNS),
-    "a15_resolved_fields": lambda s, d: targets.resolved(_wanted(s, d), targets.profiles(s), ["P4", "P5"]),
     "a19_preflight": lambda s, d: targets.preflight(fingerprint.by_document(_docs(s, d)), rules.findings(_docs(s, d))),
     "src16_links": lambda s, d: corpus.links(_pages(s, d)),
     "p34_keyword_links": lambda s, d: corpus.with_keyword(corpus.links(_pages(s, d)), "text", ["the", "und"]).drop("text"),

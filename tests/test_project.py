@@ -197,3 +197,57 @@ def test_statuses_of_both_channels(spark):
         both = {r["a"], r["b"]}
         want = ("mixed_or_worsened" if "improved" in both else "not_improved") if "worsened" in both else "improved" if "improved" in both else "insufficient_evidence" if both == {"insufficient_signal"} else "not_improved"
         assert r["s"] == want
+
+
+def profile_rows(spark):
+    from proselens.operators import profiles
+
+    rows = [
+        ("Journal of Maps", profiles.V3, True, "sentence_length", "exemplar", "high", '{"mean_range_words":[10,20],"minimum_sd_words":2.5,"distribution":{"a":1}}'),
+        ("Journal of Maps", profiles.V3, True, "paragraph_length", "rule", "medium", '{"word_range":[40,180],"sentences_per_paragraph":[2,7]}'),
+        ("Journal of Maps", profiles.V3, True, "opening_structure", "exemplar", "medium", '{"other":2}'),
+        ("Journal of Maps", profiles.V3, True, "active_passive_by_section", "exemplar", "high", '{"Methods":{"active_ratio":0.4,"passive_ratio":0.6}}'),
+        ("Journal of Maps", profiles.V3, True, "first_person", "exemplar", "high", '{"per_1000_words":3}'),
+        ("Letters", profiles.V2, False, "sentence_length", "exemplar", "high", '{"mean_range_words":[1,2]}'),
+        ("Letters", profiles.V2, False, "opening_structure", "exemplar", "high", '{"other":1}'),
+        ("Notes", profiles.V3, False, "first_person", "exemplar", "high", '{"per_1000_words":3}'),
+    ]
+    return spark.createDataFrame(rows, "venue string, schema string, is_default boolean, field string, source string, confidence string, json string").select("venue", "schema", "is_default", "field", "source", "confidence", F.parse_json("json").alias("value"))
+
+
+def test_profiles_resolve_by_venue_schema_and_section(spark):
+    from proselens.operators import profiles
+
+    wanted = spark.createDataFrame([(1, "journal  OF maps", "Methods"), (2, None, "Evaluation"), (3, "letters", None), (4, "elsewhere", None), (5, " Notes", None)], "key long, venue string, section_type string")
+    fields = profiles.resolved(wanted, profile_rows(spark))
+    got = {(r["key"], r["field"]): (r["eligible"], r["reason"], r["value"]) for r in fields.select("key", "field", "eligible", "reason", F.to_json("value").alias("value")).collect()}
+    assert got[1, "sentence_length"][:2] == (True, None) and got[1, "opening_structure"] == (False, "value has not the shape of its field", None) and got[1, "hedging"] == (False, "field missing", None)
+    assert got[1, "active_passive_by_section"] == (True, None, '{"Methods":{"active_ratio":0.4,"passive_ratio":0.6}}')
+    assert got[2, "active_passive_by_section"] == (False, "no voice for section type Evaluation", None)
+    assert got[3, "opening_structure"][:2] == (False, "earlier schema; rebuild as v3") and got[3, "sentence_length"][0]
+    by = {r["key"]: (r["venue"], r["venue_match"], r["eligible"], r["exemplars"], r["status"]) for r in profiles.statuses(fields).collect()}
+    assert by == {1: ("Journal of Maps", "matched", 4, 3, "partial"), 2: ("Journal of Maps", "unstated", 3, 2, "partial"), 3: ("Letters", "matched", 1, 1, "partial"), 4: ("Journal of Maps", "default", 4, 3, "partial"), 5: ("Notes", "matched", 1, 1, "ok")}
+    assert {r["status"] for r in profiles.statuses(profiles.resolved(wanted, profile_rows(spark).limit(0))).collect()} == {"none"}
+
+
+def test_built_profiles_have_the_shapes_that_are_read(spark, tmp_path):
+    import json
+
+    from proselens.operators import fingerprint, profiles, rules
+    from proselens.sources import readers
+
+    body = "We show a map of the town. However, it may be old and the bridge was moved by the river in the last long winter of the age. " * 3
+    docs = spark.createDataFrame([(1, f"# Methods\n{body}\n\nIn spring it was built. We go there again and again.\n\n# Evaluation\n{body}"), (2, "Short."), (3, None)], "doc_id long, text string")
+    rows = profiles.built(docs, rules.findings(docs)).cache()
+    shape = rows.select("doc_id", "field", "source", F.to_json("value").alias("json"), targets.valid_field("field", "source", "value").alias("ok")).collect()
+    assert {r["doc_id"] for r in shape} == {1, 2} and len(shape) == 18 and all(r["ok"] for r in shape), [r for r in shape if not r["ok"]]
+    own = {r["field"]: (r["source"], json.loads(r["json"])) for r in shape if r["doc_id"] == 1}
+    assert set(own["active_passive_by_section"][1]) == {"Methods", "Evaluation"} and own["connectives"][1]["allowed"] in (["however"], "any that names a relation")
+    # written as a file, read back, resolved, applied
+    fields = {f: {"source": s, "confidence": "high", "value": v} for f, (s, v) in own.items()}
+    (tmp_path / "p.json").write_text(json.dumps({"schema": profiles.V3, "default_venue": "M", "venue_profiles": {"M": {"fields": fields}}}))
+    back = profiles.from_file(readers.profile(spark, f"file://{tmp_path}/p.json"))
+    assert back.count() == 9 and all(r["ok"] for r in back.select(targets.valid_field("field", "source", "value").alias("ok")).collect())
+    wanted = docs.select(F.col("doc_id").alias("key"), F.lit("m").alias("venue"), F.lit(None).cast("string").alias("section_type"))
+    got = {r["doc_id"]: r["triggers"].split(",") for r in profiles.preflight(fingerprint.by_document(docs), rules.findings(docs), profiles.resolved(wanted, back)).collect()}
+    assert not any(t.startswith("P4_TARGET") for t in got[1]) and 3 not in got
