@@ -26,13 +26,12 @@ def layers(spark: SparkSession, rows: list[tuple] = LAYERS) -> DataFrame:
 
 
 def merged(entries: DataFrame) -> DataFrame:
-    """By term (any case) the entry of the last layer wins whole; the order
-    is that of the first sight."""
-    key = F.lower("term")
-    last = W.partitionBy(key).orderBy(F.desc("layer"), F.desc("pos"))
-    first = F.min(F.struct("layer", "pos")).over(W.partitionBy(key))
-    rows = entries.withColumn("_first", first).withColumn("_r", F.row_number().over(last)).where("_r = 1")
-    return rows.withColumn("place", F.row_number().over(W.orderBy("_first"))).select("place", "layer", "term", "abbreviation", "synonyms", "variants")
+    """By term (any case) the entry of the last layer wins whole; `first_layer` and
+    `first_pos` order the terms by their first sight.  A term of any number of entries
+    is one aggregate."""
+    at = F.struct("layer", "pos")
+    rows = entries.groupBy(F.lower("term").alias("_key")).agg(F.min(at).alias("_first"), F.max(F.struct("layer", "pos", "term", "abbreviation", "synonyms", "variants")).alias("x"))
+    return rows.select(F.col("_first.layer").alias("first_layer"), F.col("_first.pos").alias("first_pos"), "x.layer", "x.term", "x.abbreviation", "x.synonyms", "x.variants")
 
 
 def conflicts(entries: DataFrame) -> DataFrame:

@@ -330,18 +330,6 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
 
 
-LAYERS = f"WITH e(layer, pos, term, abbreviation, synonyms, variants) AS (VALUES {_values(gl.LAYERS)})"
-_LAST = "l AS (SELECT *, row_number() OVER (PARTITION BY lower(term) ORDER BY layer DESC, pos DESC) AS r, min(layer || lpad(pos::VARCHAR, 6, '0')) OVER (PARTITION BY lower(term)) AS f FROM e), m AS (SELECT row_number() OVER (ORDER BY f)::INT AS place, * EXCLUDE (r, f, pos) FROM l WHERE r = 1)"
-SQL |= {
-    "j28_merged_glossary": f"{LAYERS}, {_LAST} SELECT place, layer, term, abbreviation, array_to_string(synonyms, '|') AS synonyms, array_to_string(variants, '|') AS variants FROM m",
-    "j28_conflicts": f"""{LAYERS}, o AS (SELECT *, lag(layer) OVER w AS ol, lag(abbreviation) OVER w AS oa, lag(synonyms) OVER w AS os, lag(variants) OVER w AS ov FROM e WINDOW w AS (PARTITION BY lower(term) ORDER BY layer, pos))
-SELECT term, ol AS overridden, layer AS overriding, array_to_string(list_filter([CASE WHEN abbreviation IS DISTINCT FROM oa THEN 'abbreviation' END, CASE WHEN synonyms <> os THEN 'synonyms' END, CASE WHEN variants <> ov THEN 'variants' END], lambda x: x IS NOT NULL), ',') AS fields FROM o WHERE ol IS NOT NULL""",
-    "a25_deletion_risks": f"""{LAYERS}, {_LAST}, f AS (SELECT term, 'forbidden_synonym' AS kind, unnest(synonyms) AS form FROM m UNION ALL SELECT term, 'plural_or_hyphen_variant', unnest(variants) FROM m)
-SELECT term, kind, form, (len(regexp_extract_all(form, '[A-Za-z0-9]+')) - len(regexp_extract_all(term, '[A-Za-z0-9]+')))::INT AS extra FROM f WHERE len(regexp_extract_all(form, '[A-Za-z0-9]+')) > len(regexp_extract_all(term, '[A-Za-z0-9]+')) AND contains(lower(form), lower(term))""",
-    "a26_active_rules": f"{LAYERS}, {_LAST} SELECT sum(len(synonyms) + len(variants))::BIGINT AS active_rules FROM m",
-}
-
-
 def _blanked(x: str, pattern: str) -> str:
     """Matches as blanks that keep lines: each is set between two control characters."""
     cut = f"string_split(regexp_replace({x}, {Q('(' + pattern + ')')}, chr(1) || '\\1' || chr(2), 'g'), chr(1))"
@@ -511,5 +499,4 @@ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subsc
     "j26_rule_sets": "SELECT lang, 'missing' AS side FROM (SELECT DISTINCT lang FROM documents) WHERE lang NOT IN ('en', 'it') UNION ALL SELECT 'it', 'extra'",
     "a29_command_coverage": D + "SELECT source, count_if(regexp_matches(text, '\\\\cite'))::BIGINT AS cite, count_if(regexp_matches(text, '\\\\ref'))::BIGINT AS ref, count_if(regexp_matches(text, '\\\\label'))::BIGINT AS label FROM docs GROUP BY source",
     "g10_direction_matrix": f"{REPORT} SELECT lang, rule, sum(hits)::BIGINT AS hits FROM rep JOIN docs USING (doc_id) GROUP BY ALL",
-    "p42_variants": f"{LAYERS} SELECT layer, term, array_to_string(list_filter(list_distinct(list_filter([CASE WHEN contains(term, '-') THEN replace(term, '-', ' ') END, CASE WHEN contains(term, ' ') THEN regexp_replace(term, '\\s+', '-', 'g') END], lambda x: x IS NOT NULL)), lambda x: x <> term), '|') AS variants FROM e",
 }

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles, record_queries
-from .operators import approvals, candidates, corpus, fingerprint, hashed, intervals, lineage, profiles, records, revision, rules, targets
+from .functions import text as tx
+from .operators import approvals, candidates, corpus, fingerprint, glossary, hashed, intervals, lineage, profiles, records, revision, rules, targets
 from .plans import seed
 
 S = SparkSession
@@ -123,6 +124,23 @@ def _evaluated(s: S, d: str) -> DataFrame:
     return targets.evaluated(_cases(s, d), "pair_id")
 
 
+def _glossary(s: S, d: str) -> DataFrame:
+    """A glossary of the corpus: a document's first two words are a term; the words
+    behind them, or the term and one more, are forms to avoid.  Copies and documents that
+    begin alike override each other."""
+    k = F.col("doc_id")
+    w = tx.words(F.coalesce("text", F.lit("")))
+    word = lambda i: F.get(F.col("_w"), F.lit(i))
+    rows = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.slice(w, 1, 5).alias("_w")).where(F.size("_w") > 4)
+    term = F.concat(word(0), F.when(k % 2 == 0, "-").otherwise(" "), word(1))
+    synonyms = F.when(k % 4 < 2, F.array(F.concat(term, F.lit(" "), word(2)))).otherwise(F.array(word(2), F.concat(word(3), F.lit(" "), word(4))))
+    return rows.select(F.concat(F.lit("L"), (k % 3).cast("string")).alias("layer"), k.alias("pos"), term.alias("term"), F.when(k % 5 > 1, F.upper(F.concat(F.left(word(0), F.lit(1)), F.left(word(1), F.lit(1))))).alias("abbreviation"), synonyms.alias("synonyms"), glossary.derived_variants(term).alias("variants"))
+
+
+def _joined(entries: DataFrame) -> DataFrame:
+    return entries.withColumns({x: F.array_join(x, "|") for x in ("synonyms", "variants")})
+
+
 def _profiles(s: S, d: str) -> DataFrame:
     """A profile for each source, from its first document with prose; the last source's
     is of the earlier schema."""
@@ -163,6 +181,11 @@ def _flights(s: S, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "j28_merged_glossary": lambda s, d: _joined(glossary.merged(_glossary(s, d))),
+    "j28_conflicts": lambda s, d: glossary.conflicts(_glossary(s, d)),
+    "a25_deletion_risks": lambda s, d: glossary.deletion_risks(glossary.merged(_glossary(s, d))),
+    "a26_active_rules": lambda s, d: glossary.active_rules(glossary.merged(_glossary(s, d))),
+    "p42_variants": lambda s, d: _glossary(s, d).select("pos", "term", F.array_join(glossary.derived_variants("term"), "|").alias("variants")),
     "a14_profile": _profile_rows,
     "a15_resolved_fields": _resolved,
     "a15_section_voices": _voices,
@@ -272,3 +295,18 @@ n AS (SELECT venue, count(*)::BIGINT AS fields, count_if(NOT old)::BIGINT AS eli
 w AS (SELECT doc_id AS key, CASE doc_id % 4 WHEN 1 THEN '  ' || upper(source) WHEN 2 THEN source WHEN 3 THEN 'nowhere at all' END AS venue FROM documents),
 r AS (SELECT key, coalesce(f.venue, a) AS venue, CASE WHEN coalesce(w.venue, '') = '' THEN 'unstated' WHEN f.venue IS NULL THEN 'default' ELSE 'matched' END AS venue_match, b FROM w CROSS JOIN lo LEFT JOIN f ON lower(f.venue) = trim(lower(w.venue)))
 SELECT key, venue, venue_match, fields, eligible, exemplars, CASE WHEN venue_match = 'matched' AND eligible > 0 AND eligible = exemplars AND venue <> b THEN 'ok' ELSE 'partial' END AS status FROM r JOIN n USING (venue)"""
+
+_VARIANTS = "list_filter(CASE WHEN contains(term, '-') THEN [replace(term, '-', ' ')] ELSE [] END || CASE WHEN contains(term, ' ') THEN [regexp_replace(term, '\\s+', '-', 'g')] ELSE [] END, lambda x: x <> term)"
+_ENTRIES = f"""WITH e0 AS (SELECT doc_id AS pos, {oracles.WORDS("coalesce(text, '')")}[1:5] AS w FROM documents), e1 AS (SELECT pos, w, w[1] || CASE WHEN pos % 2 = 0 THEN '-' ELSE ' ' END || w[2] AS term FROM e0 WHERE len(w) > 4),
+e AS (SELECT 'L' || (pos % 3) AS layer, pos, term, CASE WHEN pos % 5 > 1 THEN upper(w[1][1] || w[2][1]) END AS abbreviation, CASE WHEN pos % 4 < 2 THEN [term || ' ' || w[3]] ELSE [w[3], w[4] || ' ' || w[5]] END AS synonyms, {_VARIANTS} AS variants FROM e1),
+l AS (SELECT *, row_number() OVER (PARTITION BY lower(term) ORDER BY layer DESC, pos DESC) AS r, min({{'layer': layer, 'pos': pos}}) OVER (PARTITION BY lower(term)) AS f FROM e), m AS (SELECT f.layer AS first_layer, f.pos AS first_pos, layer, term, abbreviation, synonyms, variants FROM l WHERE r = 1)"""
+_N = lambda x: f"len(regexp_extract_all({x}, '[A-Za-z0-9]+'))"
+SQL |= {
+    "j28_merged_glossary": f"{_ENTRIES} SELECT first_layer, first_pos, layer, term, abbreviation, array_to_string(synonyms, '|') AS synonyms, array_to_string(variants, '|') AS variants FROM m",
+    "j28_conflicts": f"""{_ENTRIES}, o AS (SELECT *, lag(layer) OVER w AS ol, lag(abbreviation) OVER w AS oa, lag(synonyms) OVER w AS os, lag(variants) OVER w AS ov FROM e WINDOW w AS (PARTITION BY lower(term) ORDER BY layer, pos))
+SELECT term, ol AS overridden, layer AS overriding, array_to_string(list_filter([CASE WHEN abbreviation IS DISTINCT FROM oa THEN 'abbreviation' END, CASE WHEN synonyms <> os THEN 'synonyms' END, CASE WHEN variants <> ov THEN 'variants' END], lambda x: x IS NOT NULL), ',') AS fields FROM o WHERE ol IS NOT NULL""",
+    "a25_deletion_risks": f"""{_ENTRIES}, f AS (SELECT term, 'forbidden_synonym' AS kind, unnest(synonyms) AS form FROM m UNION ALL SELECT term, 'plural_or_hyphen_variant', unnest(variants) FROM m)
+SELECT term, kind, form, ({_N('form')} - {_N('term')})::INT AS extra FROM f WHERE {_N('form')} > {_N('term')} AND contains(lower(form), lower(term))""",
+    "a26_active_rules": f"{_ENTRIES} SELECT sum(len(synonyms) + len(variants))::BIGINT AS active_rules FROM m",
+    "p42_variants": f"{_ENTRIES} SELECT pos, term, array_to_string({_VARIANTS}, '|') AS variants FROM e",
+}

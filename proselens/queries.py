@@ -47,10 +47,6 @@ def _versions(s: S, d: str) -> DataFrame:
     return rows.select("series", "x.stage", "x.text")
 
 
-def _joined(entries: DataFrame) -> DataFrame:
-    return entries.withColumns({x: F.array_join(x, "|") for x in ("synonyms", "variants")})
-
-
 def _without_reserved(s: S, d: str) -> DataFrame:
     paras = _turns(s, d).select("series", "stage", F.posexplode(F.split("text", "\n")).alias("par_no", "p"))
     reserved = _turns(s, d).where("stage = 1").select("series", "stage", F.lit(0).alias("par_no"))
@@ -188,11 +184,6 @@ QUERIES = {
     "j12_crypto_moves": lambda s, d: revision.crypto_moves(_pairs(s, d)),
     "j6_comparison_flips": lambda s, d: revision.flips(_pairs(s, d)),
     "j7_removed": _removed,
-    "j28_merged_glossary": lambda s, d: _joined(glossary.merged(glossary.layers(s))),
-    "j28_conflicts": lambda s, d: glossary.conflicts(glossary.layers(s)),
-    "a25_deletion_risks": lambda s, d: glossary.deletion_risks(glossary.merged(glossary.layers(s))),
-    "a26_active_rules": lambda s, d: glossary.active_rules(glossary.merged(glossary.layers(s))),
-    "p42_variants": lambda s, d: glossary.layers(s).select("layer", "term", F.array_join(glossary.derived_variants("term"), "|").alias("variants")),
     "j11_term_findings": lambda s, d: terms.findings(_pairs(s, d), glossary.merged(glossary.layers(s))),
     "j11_term_residual": lambda s, d: terms.findings(_pairs(s, d), glossary.merged(glossary.layers(s)), True),
     "j19_adjacent_stages": lambda s, d: history.adjacent(_turns(s, d)).select("series", "stage", "next_stage", F.length("before").alias("size_before"), F.length("after").alias("size_after")),

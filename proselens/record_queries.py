@@ -14,10 +14,15 @@ S = SparkSession
 #: sentences of our own: (rule, whether it must be found, text)
 SAMPLES = [
     (1, True, "This groundbreaking map is here."), (1, False, "This useful map is here."),
+    (2, True, "The map is efficient."), (2, False, "The map is efficient, as 3 ms show."),
     (3, True, "The technical packaging is described."), (3, False, "The packaging is described."),
     (4, True, "We leverage maps."), (4, False, "We use maps."),
+    (5, True, "Moreover, it is so. Furthermore, it stays. However, it goes."), (5, False, "Moreover, it is so. However, it goes."),
     (6, True, "It is important to note that it rains."), (6, False, "It rains."),
+    (7, True, "The evaluation shows the configuration and the optimization."), (7, False, "The evaluation shows the configuration."),
     (8, True, "In other words, it works."), (8, False, "In short, it works."),
+    (9, True, "It may rain; it might snow; it could hail; it is likely."), (9, False, "It rains."),
+    (10, True, "The map grew, thereby improving trust."), (10, False, "The map grew and improved trust."),
     (11, True, "It serves as a tool."), (11, False, "It is a tool."),
     (12, True, "It is not only fast but also small."), (12, False, "It is fast and small."),
     (13, True, "It has speed, scale, and trust."), (13, False, "It has speed and scale."),
@@ -40,9 +45,15 @@ def _changes(s: S, d: str) -> DataFrame:
 
 
 def _contract(s: S, d: str) -> DataFrame:
-    rows = s.createDataFrame([(k, r, w, t) for k, (r, w, t) in enumerate(SAMPLES)], "doc_id long, rule int, wanted boolean, text string")
-    got = rules.report(rows.select("doc_id", "text")).select(F.col("doc_id").alias("k"), F.col("rule").alias("r"), "hits")
-    return rows.join(got, (F.col("doc_id") == F.col("k")) & (F.col("rule") == F.col("r"))).select("doc_id", "rule", "wanted", (F.col("hits") > 0).alias("found"), ((F.col("hits") > 0) == F.col("wanted")).alias("passed"))
+    """Each document, alone and with one of the sentences behind it: the findings
+    of the sentence's rule that it gains must be some, or none."""
+    k = (F.col("doc_id") % len(SAMPLES)).cast("int")
+    of = lambda i: F.get(F.array(*[F.lit(x[i]) for x in SAMPLES]), k)
+    text = F.coalesce("text", F.lit(""))
+    count = lambda t: F.size(F.filter(F.transform(rules.hits(t), lambda h: h["rule"]), lambda r: r == F.col("rule")))
+    rows = _docs(s, d).select("doc_id", of(0).alias("rule"), of(1).alias("wanted"), text.alias("base"), F.concat(text, F.lit("\n\n"), of(2)).alias("more"))
+    gained = count("more") - count("base")
+    return rows.select("doc_id", "rule", "wanted", gained.alias("gained"), ((gained > 0) == F.col("wanted")).alias("passed"))
 
 
 def _admission(s: S, d: str) -> DataFrame:
@@ -66,9 +77,12 @@ def _files(s: S, d: str) -> DataFrame:
 
 
 def _titles(s: S, d: str) -> DataFrame:
-    rows = _docs(s, d).select("doc_id", F.concat(F.lit("The  Report_"), F.col("doc_id").cast("string")).alias("title"))
-    wanted = s.read.parquet(f"{d}/labels.parquet").where("toxic = 1").select(F.concat(F.lit("the report "), F.col("doc_id").cast("string")).alias("title"))
-    return records.canonical(rows, wanted).select("doc_id")
+    """Pages whose title is that of a page with an even number, whatever its case and
+    signs."""
+    title = F.regexp_extract(F.coalesce("html", F.lit("")), "(?s)<title>(.*?)</title>", 1)
+    rows = s.read.parquet(f"{d}/pages.parquet").select("page_id", title.alias("title"))
+    wanted = rows.where("page_id % 2 = 0 and title <> ''").select(F.concat(F.lit("\\emph "), F.replace(F.upper("title"), F.lit(" "), F.lit(" - ")), F.lit("!")).alias("title"))
+    return records.canonical(rows, wanted).select("page_id")
 
 
 def _numbered(s: S, d: str) -> DataFrame:
@@ -160,8 +174,10 @@ QUERIES = {
 Q, WORDS = oracles.Q, oracles.WORDS
 _PASSES = f"WITH c AS (SELECT series % 3 AS stage, unnest(string_split(passes, ',')) AS pass FROM ({oracles.SQL['a12_change_passes']})), n AS (SELECT stage, pass, count(*)::BIGINT AS n FROM c WHERE pass <> '' GROUP BY ALL)"
 _TOP = _PASSES + ", t AS (SELECT *, rank() OVER (PARTITION BY stage ORDER BY n DESC) AS r FROM n)"
-_SAMPLES = "smp(doc_id, rule, wanted, text) AS (VALUES " + ", ".join(f"({k}::BIGINT, {r}, {str(w).lower()}, {Q(t)})" for k, (r, w, t) in enumerate(SAMPLES)) + "), docs AS (SELECT doc_id, text FROM smp)"
+_SAMPLE = lambda i: f"[{', '.join(Q(x[i]) if isinstance(x[i], str) else str(x[i]).lower() for x in SAMPLES)}][doc_id % {len(SAMPLES)} + 1]"
+_WITH_SAMPLES = f"smp AS (SELECT doc_id, {_SAMPLE(0)} AS rule, {_SAMPLE(1)} AS wanted, coalesce(text, '') AS base, {_SAMPLE(2)} AS more FROM documents), docs AS (SELECT doc_id * 2 AS doc_id, base AS text FROM smp UNION ALL SELECT doc_id * 2 + 1, base || chr(10) || chr(10) || more FROM smp)"
 _PATH = lambda x: f"'f' || (({x}) // 10) || '/n' || (({x}) % 97) || '.md'"
+_TITLE = lambda x: f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'))"
 _NORM = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
 
 _OF = lambda n, *v: f"([{', '.join(Q(x) for x in v)}])[doc_id % {n} + 1]"
@@ -196,14 +212,14 @@ SELECT * FROM r WHERE target IS NOT NULL AND target <> path""",
     "g6_digest_set": "SELECT count(*)::BIGINT AS n, sha256(coalesce(string_agg(d, chr(10) ORDER BY d), '')) AS digest FROM (SELECT DISTINCT sha256(lang) AS d FROM documents WHERE lang IS NOT NULL)",
     "g8_limits": f"SELECT doc_id, header, lines, header <= {records.HEADER} AND lines <= {records.LINES} AS within FROM (SELECT doc_id, length(string_split(coalesce(text, ''), chr(10))[1])::INT AS header, len(string_split(coalesce(text, ''), chr(10)))::INT AS lines FROM documents)",
     "j18_numbers_in_spans": f"SELECT * FROM (SELECT doc_id, (k - 1)::INT AS span, len(regexp_extract_all(s, '[0-9]+'))::INT AS hits FROM (SELECT doc_id, unnest({oracles.SPANS('text')}) AS s, generate_subscripts({oracles.SPANS('text')}, 1) AS k FROM documents)) WHERE hits > 0",
-    "j24_canonical_titles": f"WITH w AS (SELECT DISTINCT {_NORM(chr(39) + 'the report ' + chr(39) + ' || doc_id')} AS t FROM labels WHERE toxic = 1) SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM w) OR {_NORM(chr(39) + 'The  Report_' + chr(39) + ' || doc_id')} IN (SELECT t FROM w)",
+    "j24_canonical_titles": f"WITH t AS (SELECT page_id, regexp_extract(coalesce(html, ''), '(?s)<title>(.*?)</title>', 1) AS title FROM pages), n AS (SELECT *, {_TITLE('title')} AS own, {_TITLE('upper(title)')} AS other FROM t) SELECT page_id FROM n WHERE own IN (SELECT other FROM n WHERE page_id % 2 = 0 AND title <> '')",
     "j31_admission": "WITH f AS (SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents) SELECT doc_id, digest, digest IN (SELECT digest FROM f WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS admitted FROM f",
     "j32_same_order": """WITH a AS (SELECT conv_id AS series, coalesce(text, '') AS a, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations),
 b AS (SELECT conv_id AS series, coalesce(CASE WHEN conv_id % 5 = 2 THEN upper(text) ELSE text END, '') AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn, CASE WHEN conv_id % 5 = 2 THEN upper(text) ELSE text END) AS k FROM conversations WHERE NOT (conv_id % 3 = 1 AND turn = 1))
 SELECT series, count(*)::BIGINT AS texts, count_if(a IS DISTINCT FROM b)::BIGINT AS differing, count_if(a IS DISTINCT FROM b) = 0 AS equal FROM a FULL JOIN b USING (series, k) GROUP BY series""",
     "p36_entry_types": f"SELECT page_id, CASE WHEN regexp_matches(lower(url), {Q(corpus.ARTICLE)}) THEN 'article' WHEN regexp_matches(lower(url), {Q(corpus.PROCEEDINGS)}) THEN 'inproceedings' ELSE 'misc' END AS kind FROM pages",
     "p40_ranges": "SELECT doc_id, coalesce(CASE WHEN doc_id % 4 <> 1 THEN doc_id % 7 - 1 >= 0 AND doc_id % 7 - 1 <= doc_id % 5 END, false) AS valid FROM documents",
-    "r18_rule_contract": oracles.REPORT.replace(seed.DOCS_SQL, _SAMPLES) + " SELECT m.doc_id, m.rule, m.wanted, rep.hits > 0 AS found, (rep.hits > 0) = m.wanted AS passed FROM smp m JOIN rep ON rep.doc_id = m.doc_id AND rep.rule = m.rule",
+    "r18_rule_contract": oracles.REPORT.replace(seed.DOCS_SQL, _WITH_SAMPLES) + " SELECT m.doc_id, m.rule, m.wanted, (y.hits - x.hits)::INT AS gained, (y.hits > x.hits) = m.wanted AS passed FROM smp m JOIN rep x ON x.doc_id = m.doc_id * 2 AND x.rule = m.rule JOIN rep y ON y.doc_id = m.doc_id * 2 + 1 AND y.rule = m.rule",
     "snk7_dossiers": f"SELECT conv_id AS series, sum(len({WORDS(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')}))::BIGINT AS words, string_agg('## ' || turn || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, text) AS body FROM conversations GROUP BY conv_id",
     "w3_shingles": f"WITH t AS (SELECT doc_id, list_transform({WORDS('text')}, lambda x: lower(x)) AS w FROM documents) SELECT doc_id, coalesce(len(list_filter(range(1, len(w) - 2), lambda i: list_max(list_transform(w[i:i + 3], lambda x: length(x))) >= 6)), 0)::INT AS shingles FROM t",
     "w9_numbered": "SELECT doc_id, coalesce(lang, '') AS lang, row_number() OVER (ORDER BY coalesce(lang, ''), lpad(doc_id::VARCHAR, 12, '0'))::INT AS place FROM documents",
