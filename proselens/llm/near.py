@@ -24,9 +24,11 @@ is 0.75 or more.  The join is exact:
 6. A block of more than `BLOCK` documents is not given to one task.  One star edge
    of each document is verified as a row, then all star edges of the documents
    outside of the block's largest tied part; that ties groups of near copies
-   together.  The documents still outside are cut into tiles of about `BLOCK`, by size
-   and hash, and the largest part too; a task holds one tile of those outside
-   against one other tile of fitting size, and the parts that link are joined.
+   together.  For what is still apart, tokens that the same documents hold become one
+   class; two documents that link share a class in their prefixes by rarity and one in
+   their prefixes by a random order of the classes.  Documents meet under the first
+   class alone if at most `BLOCK` hold it, else under both classes as one key, so only
+   pairs that pass both filters are formed; each is verified once as a row.
 
 Chunks of documents travel as packed arrays, one row for each range of hashes.  A
 token that several documents of a chunk share travels once, so what everybody
@@ -51,7 +53,7 @@ from pyspark.sql import functions as F
 
 from .bloom import filter_of
 from .common import chunk_bytes, is_small, keep, lean, lean_group, lookup, merged, parts_for, table
-from .kernel import SPACE_WORD, Words, blob, mix, ngrams, sequence_hash, unblob
+from .kernel import SPACE_WORD, Bits, Words, blob, mix, ngrams, sequence_hash, unblob
 
 WORDS = 5
 #: links are pairs with UP * intersection >= AT * union
@@ -60,6 +62,8 @@ UP, AT = 100, 75
 SPARE = 12
 #: documents of a block that one task verifies
 BLOCK = 256
+#: documents of one key whose pairs one task forms (rows of a few numbers)
+MEET = 2048
 #: shingles that a task packs before it passes them on
 FLUSH = 400_000
 _SALT = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x2545F4914F6CDD1D))
@@ -397,25 +401,6 @@ def tied_stars(found: DataFrame, edges: DataFrame) -> DataFrame:
     return keep(rows.select("low", "node", "a", "b").mapInArrow(lean(check), "low long, node long"), "tied")
 
 
-def across(sets: list[np.ndarray], prefixes: list[list[np.ndarray]], part: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links of documents of `left` with those of `right`, where their parts differ;
-    parts that a link has joined are one from then on."""
-    m, size, label, out = len(sets), np.array([len(s) for s in sets]), part.copy(), []
-    lists = [_Lists(p, np.arange(m)) for p in prefixes]
-    for x in np.flatnonzero(left):
-        fits = right & (label != label[x]) & (UP * size >= AT * size[x]) & (AT * size <= UP * size[x])
-        for each, p in zip(lists, prefixes):
-            if fits.any():
-                fits &= each.share(p[x], m)
-        near = np.flatnonzero(fits)
-        if len(near):
-            for y in near[linked(sets[x], [sets[y] for y in near])]:
-                if label[y] != label[x]:
-                    out.append((int(part[x]), int(part[y])))
-                    label[label == label[y]] = label[x]
-    return out
-
-
 def members_of(blocks: DataFrame, tied: DataFrame) -> DataFrame:
     """node, n, block, part (component over tied edges), main (the part is its block's
     largest).  blocks: node, n, block."""
@@ -428,7 +413,127 @@ def members_of(blocks: DataFrame, tied: DataFrame) -> DataFrame:
     return keep(rows.select("r.*", (F.col("r.part") == F.col("t.top")).alias("main")), "members", n)
 
 
-def in_large_blocks(found: DataFrame, edges: DataFrame, blocks: DataFrame) -> DataFrame:
+CLASSES = "node long, block long, n long, part long, main boolean, light binary, heavy binary, second binary"
+_CLASSES = pa.schema([("node", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("part", pa.int64()), ("main", pa.bool_()), *[(x, pa.binary()) for x in ("light", "heavy", "second")]])
+_KEYED = "key long, node long, n long, part long, main boolean"
+
+
+def token_classes(found: DataFrame, parts: int) -> DataFrame:
+    """found: node, tokens, block, n, part, main.  For each document the classes of the
+    tokens in its prefixes under two orders.
+
+    Tokens that the same documents hold are one class, known by a sum over those
+    documents, as all tokens of a shared passage are.  One order goes by rarity, then by
+    class; the other by class alone.  `light` are classes of the first order that at most
+    `BLOCK` documents hold, `heavy` the others, `second` those of the other order."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 32
+        for k, batch in enumerate(merged(batches, 8 * FLUSH)):
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column("tokens").to_pylist()]
+            own = mix(batch.column("node").to_numpy().astype(np.uint64))
+            tokens, place, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            held = np.zeros(len(tokens), np.uint64)
+            np.add.at(held, place, np.repeat(own, [len(s) for s in sets]))
+            facts = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("node", "block", "n", "part", "main")])
+            out = _packed(task + k, parts, tokens, n, facts, [], blob(np.concatenate(sets)))
+            # the sums travel beside the counts, in the order of the packed tokens
+            by = np.argsort((tokens & np.uint64((1 << parts) - 1)).astype(np.int64), kind="stable")
+            cut = np.cumsum([0, *[len(x) // 8 for x in out.column("a").to_pylist()[:-1]]])
+            sums = [blob(held[by][a:b]) for a, b in zip(cut[:-1], cut[1:])]
+            yield out.set_column(4, "c", pa.array([*sums, None], pa.binary()))
+
+    def reply(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        if not rows or rows[0]["part"] < 0:
+            return t
+        tokens = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows])
+        order = np.argsort(tokens, kind="stable")
+        new = np.flatnonzero(np.concatenate([[True], tokens[order][1:] != tokens[order][:-1]]))
+        place = np.empty(len(tokens), np.int64)
+        place[order] = np.repeat(np.arange(len(new)), np.diff([*new, len(tokens)]))
+        n = np.add.reduceat(np.concatenate([np.frombuffer(r["b"], np.uint32) for r in rows])[order].astype(np.int64), new)
+        held = np.add.reduceat(np.concatenate([np.frombuffer(r["c"], np.uint64) for r in rows])[order], new)
+        out, at = [], 0
+        for r in rows:
+            own = place[at : at + len(r["a"]) // 8]
+            at += len(own)
+            out.append(r | {"b": blob(n[own]), "c": blob(held[own])})
+        return pa.Table.from_pylist(out, _PACKED)
+
+    def finish(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        top = next(r for r in rows if r["part"] < 0)
+        facts, tokens = np.frombuffer(top["a"], np.int64).reshape(-1, 5), np.frombuffer(top["b"], np.uint64)
+        token, count, held = (np.concatenate([np.frombuffer(r[x], kind) for r in rows if r["part"] >= 0]) for x, kind in (("a", np.uint64), ("b", np.int64), ("c", np.uint64)))
+        order = np.argsort(token)
+        token, count, held = token[order], count[order], held[order]
+        at = np.searchsorted(token, tokens)
+        count, held = count[at], held[at]
+        out, start = [], 0
+        for node, block, n, part, main in facts.tolist():
+            f, c = count[start : start + n], held[start : start + n]
+            first = np.lexsort((mix(c), f))[: prefix(n)]
+            second = np.argsort(mix(c ^ _SALT[1]), kind="stable")[: prefix(n)]
+            some = lambda own, test: blob(np.unique(c[own][test[own]]))  # noqa: B023, E731
+            out.append((node, block, n, part, bool(main), some(first, (f > 1) & (f <= BLOCK)), some(first, f > BLOCK), some(second, f > 1)))
+            start += n
+        return pa.Table.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_CLASSES)], schema=_CLASSES)
+
+    rows = found.select("node", "tokens", "block", "n", "part", "main").mapInArrow(lean(scan), PACKED)
+    rows = rows.groupBy("part").applyInArrow(lean_group(reply), PACKED)
+    return keep(rows.groupBy("chunk").applyInArrow(lean_group(finish), CLASSES), "token-classes")
+
+
+def class_keys(classes: DataFrame, known: Bits | None = None) -> DataFrame:
+    """The keys under which documents meet: a light class alone, a heavy one with each
+    class of the second order; of those that a filter lets in, if there is one."""
+    sent = classes.sparkSession.sparkContext.broadcast(known) if known is not None else None
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for block, *cells in zip(*[batch.column(c).to_pylist() for c in ("block", "light", "heavy", "second")]):
+                light, heavy, second = (np.frombuffer(x, np.uint64) for x in cells)
+                both = mix(heavy ^ _SALT[0])[:, None] + mix(second ^ _SALT[1])[None, :]
+                own = mix(np.concatenate([light, mix(both.ravel())]) + np.uint64(block % (1 << 63)))
+                keys.append(np.unique(own[sent.value.has(own)] if sent is not None else own))
+            many = [len(k) for k in keys]
+            out = [pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64))]
+            out += [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), many)) for c in ("node", "n", "part", "main")]
+            yield pa.RecordBatch.from_arrays(out, names=["key", "node", "n", "part", "main"])
+
+    return classes.mapInArrow(lean(scan), _KEYED)
+
+
+def met(keyed: DataFrame) -> DataFrame:
+    """The pairs (low, node) of documents of fitting sizes and different parts that share
+    a key, one of them at least outside of the main part.  A key that more than `MEET`
+    documents have is dealt over tasks, two slices of its documents to each."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("many"), F.count_if(~F.col("main")).alias("outside"), F.min("part").alias("a"), F.max("part").alias("b"))
+    sizes = keep(sizes.where("many > 1 and outside > 0 and a < b").select("key", F.ceil(F.col("many") / MEET).cast("int").alias("slices")), "keys")
+    rows = keyed.alias("k").join(sizes.alias("s"), F.col("k.key") == F.col("s.key")).select("k.*", "s.slices")
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    rows = rows.select("key", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "slice", "node", "n", "part", "main")
+
+    def pairs(t: pa.Table) -> pa.Table:
+        node, n, part, main, own = (t.column(c).to_numpy() for c in ("node", "n", "part", "main", "slice"))
+        two = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+        low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x in np.flatnonzero(~main.astype(bool)):
+            fits = (part != part[x]) & (UP * n >= AT * n[x]) & (AT * n <= UP * n[x]) & (main.astype(bool) | (node > node[x]))
+            if two:
+                fits &= own != own[x]
+            to = node[fits]
+            low.append(np.minimum(to, node[x]))
+            high.append(np.maximum(to, node[x]))
+        return pa.table({"low": np.concatenate(low), "node": np.concatenate(high)})
+
+    return keep(rows.groupBy("key", "i", "j").applyInArrow(lean_group(pairs), "low long, node long").distinct(), "met")
+
+
+def in_large_blocks(found: DataFrame, edges: DataFrame, blocks: DataFrame, parts: int) -> DataFrame:
     """(node, component) of blocks too large for one task.  blocks: node, block."""
     found = lookup(found.alias("f"), blocks.alias("b"), F.col("f.node") == F.col("b.node"), "inner").select("f.*", "b.block")
     found = keep(found, "found")
@@ -444,30 +549,15 @@ def in_large_blocks(found: DataFrame, edges: DataFrame, blocks: DataFrame) -> Da
     more = lookup(edges.alias("e"), outside.select("node", "part").alias("o"), F.col("e.node") == F.col("o.node"), "inner").select("e.low", "e.node")
     tied = keep(tied.unionByName(tied_stars(found, more.exceptAll(first))), "tied")
     members = members_of(blocks, tied)
-    # sizes that fit differ by a third at most, and so by one class at most
-    kind = F.floor(F.ln("n") / F.lit(float(np.log(1.34)))).cast("int")
-    members = members.withColumn("kind", kind)
-    tiles = keep(members.groupBy("block", "kind", "main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("tiles")), "tiles", blocks.count())
-    tiled = lookup(members.alias("m"), tiles.alias("t"), (F.col("m.block") == F.col("t.block")) & (F.col("m.kind") == F.col("t.kind")) & (F.col("m.main") == F.col("t.main")), "inner")
-    tiled = keep(tiled.select("m.*", F.pmod(F.xxhash64("m.node"), F.col("t.tiles")).cast("int").alias("tile")), "tiled", blocks.count())
-    spots = tiles.select("block", "kind", "main", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
-    own = lambda x: F.struct(F.col(f"{x}.kind"), F.col(f"{x}.main"), F.col(f"{x}.tile"))
-    twice = (F.col("a.block") == F.col("b.block")) & ~F.col("a.main") & (F.abs(F.col("a.kind") - F.col("b.kind")) <= 1)
-    pairs = spots.alias("a").join(spots.alias("b"), twice & (F.col("b.main") | (own("a") <= own("b"))))
-    pairs = keep(pairs.select(F.col("a.block").alias("block"), own("a").alias("a"), own("b").alias("b"), F.xxhash64("a.block", own("a"), own("b")).alias("task")), "pairs")
-    sides = pairs.select("task", "block", F.explode(F.array_distinct(F.array("a", "b"))).alias("spot"), "a", "b")
-    sides = sides.select("task", "block", "spot.kind", "spot.main", "spot.tile", (F.col("spot") == F.col("a")).alias("left"), (F.col("spot") == F.col("b")).alias("right"))
-    dealt = sides.join(tiled, ["block", "kind", "main", "tile"]).select("task", "node", "part", "left", "right")
-
-    def cross(t: pa.Table) -> pa.Table:
-        t = t.sort_by("node")
-        sides = [t.column(x).to_numpy().astype(bool) for x in ("left", "right")]
-        got = across(*_cells(t), t.column("part").to_numpy(), *sides)
-        return pa.table({"low": pa.array([min(x) for x in got], pa.int64()), "node": pa.array([max(x) for x in got], pa.int64())})
-
-    inside = dealt.join(found.select("node", *_SETS), "node")
-    links = keep(inside.groupBy("task").applyInArrow(lean_group(cross), "low long, node long").distinct(), "across")
-    whole = components(links).select(F.col("node").alias("part"), F.col("block").alias("whole"))
+    classes = token_classes(found.select("node", "tokens").join(members, "node"), parts)
+    apart = keep(class_keys(classes.where("not main")), "apart")
+    distinct = keep(apart.select("key").distinct(), "distinct")
+    known = filter_of(distinct, distinct.count())
+    keyed = keep(apart.unionByName(class_keys(classes.where("main"), known)), "keyed")
+    links = tied_stars(found, met(keyed).join(members.select(F.col("node").alias("low"), F.col("part").alias("_a")), "low").join(members.select("node", F.col("part").alias("_b")), "node").where("_a <> _b").select("low", "node"))
+    joined_parts = links.join(members.select(F.col("node").alias("low"), F.col("part").alias("_a")), "low").join(members.select("node", F.col("part").alias("_b")), "node")
+    joined_parts = keep(joined_parts.select(F.least("_a", "_b").alias("low"), F.greatest("_a", "_b").alias("node")).where("low < node").distinct(), "across")
+    whole = components(joined_parts).select(F.col("node").alias("part"), F.col("block").alias("whole"))
     return members.join(whole, "part", "left").select("node", F.coalesce("whole", "part").alias("component"))
 
 
@@ -485,7 +575,7 @@ def joined(docs: DataFrame) -> DataFrame:
     split = F.broadcast(large) if is_small(large) else large
     comps = in_blocks(found, keep(blocks.join(split, "block", "left_anti").select("node", "block"), "few", 2 * n_edges))
     if large.limit(1).count():
-        comps = comps.unionByName(in_large_blocks(found, edges, keep(blocks.join(split, "block", "left_semi").select("node", "block"), "many", 2 * n_edges)))
+        comps = comps.unionByName(in_large_blocks(found, edges, keep(blocks.join(split, "block", "left_semi").select("node", "block"), "many", 2 * n_edges), parts))
     comps = keep(comps, "components")
     parts_of = found.select("node", "s1", "s2").join(comps, "node").join(classes, ["s1", "s2"])
     lowest = parts_of.groupBy("component").agg(F.min("doc_id").alias("component_id"))

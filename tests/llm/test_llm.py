@@ -90,6 +90,15 @@ def test_hashes_do_not_depend_on_blocks(monkeypatch):
     assert (one == kernel.Words.of(col).hash).all()
 
 
+def test_one_span_longer_than_a_block_is_hashed_in_blocks(monkeypatch):
+    col = pa.array(["y" * 999 + " x " + "z" * 70 + " w" * 40, "q" * 2000])
+    whole = kernel.Words.of(col).hash
+    monkeypatch.setattr(kernel, "_powers", [np.ones(1, np.uint64)] * 2)
+    monkeypatch.setattr(kernel, "_BLOCK", 64)
+    assert (kernel.Words.of(col).hash == whole).all()
+    assert len(kernel._powers[0]) <= 1 << 16
+
+
 def test_bloom_levels_never_fall_short():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64)) << np.uint64(1)
@@ -357,12 +366,13 @@ def test_near_join_on_edited_copies(spark, monkeypatch, block):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(docs)
 
 
-@pytest.mark.parametrize("block", [4, 16])
-def test_large_blocks_of_template_texts(spark, monkeypatch, block):
-    """Texts that share sentences and mostly do not link: one block, many parts, and
-    no task gets more than two tiles."""
+@pytest.mark.parametrize(("block", "meet"), [(4, 2048), (16, 3), (1, 5)])
+def test_large_blocks_of_template_texts(spark, monkeypatch, block, meet):
+    """Texts that share sentences and mostly do not link: one block, many parts.  Few
+    pairs meet, whatever the size of a block and of a key."""
     monkeypatch.setattr(near, "BLOCK", block)
-    rng, most = np.random.default_rng(11), []
+    monkeypatch.setattr(near, "MEET", meet)
+    rng, pairs = np.random.default_rng(11), []
     shared = [" ".join(f"s{k}x{j}" for j in range(9)) for k in range(6)]
     docs = {}
     for d in range(90):
@@ -370,10 +380,15 @@ def test_large_blocks_of_template_texts(spark, monkeypatch, block):
         if d >= 70:
             own[0] = own[0].replace("z0", "edited")
         docs[d] = " ".join([shared[k] for k in sorted(rng.choice(6, 3, replace=False))] + own) if d < 70 else docs[d - 70].replace("z0", "zz")
-    own = near.across
-    monkeypatch.setattr(near, "across", lambda sets, *a: most.append(len(sets)) or own(sets, *a))
+    # texts of long passages: ten of a pool of fourteen, some of them but for one the same
+    pool = [" ".join(f"p{k}w{j}" for j in range(40)) for k in range(14)]
+    for d in range(100, 160):
+        docs[d] = " ".join(pool[k] for k in sorted(rng.choice(14, 10, replace=False))) if d < 130 else docs[d - 30].replace(pool[int(rng.integers(14))], "", 1)
+    real = near.met
+    monkeypatch.setattr(near, "met", lambda keyed: pairs.append(real(keyed).count()) or real(keyed))
     got = near.joined(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(docs)
+    assert all(n < len(docs) ** 2 / 4 for n in pairs)
 
 
 def test_block_search_equals_all_pairs():
