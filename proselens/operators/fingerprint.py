@@ -144,6 +144,8 @@ def plain(docs: DataFrame) -> DataFrame:
 
 
 def by_document(docs: DataFrame) -> DataFrame:
+    """A row for each document with prose; null and empty texts, which have no metric,
+    have none."""
     return metrics(paragraph_rows(plain(docs), ["doc_id"]), ["doc_id"])
 
 
@@ -193,6 +195,15 @@ def baseline(measured: DataFrame, paper: str) -> DataFrame:
     return with_status(out)
 
 
+def paper_key(path: Column | str = "path", text: Column | str = "text") -> Column:
+    """What a file belongs to: its title, else its folder, else itself."""
+    p = tx.c(path)
+    suffix = F.lower(F.regexp_extract(p, r"(\.[^./]*)$", 1))
+    title = tx.normal_title(tx.title_of(F.coalesce(tx.c(text), F.lit("")), suffix))
+    folder = tx.normal_title(F.regexp_extract(p, r"(?:^|/)([^/]+)/[^/]*$", 1))
+    return F.coalesce(F.concat(F.lit("title:"), F.nullif(title, F.lit(""))), F.concat(F.lit("directory:"), F.nullif(folder, F.lit(""))), F.concat(F.lit("path:"), F.lower(p)))
+
+
 def with_status(base: DataFrame) -> DataFrame:
     return base.withColumn("status", F.when(F.col("paper_count") < THIN, F.format_string("thin(n=%d)", "paper_count")).otherwise("ok"))
 

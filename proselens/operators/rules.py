@@ -106,8 +106,9 @@ def dashes(text: Column) -> Column:
 
 
 def hits(text: Column | str = "text") -> Column:
-    """All findings of a text, in one pass: an array of (rule, severity, match)."""
-    t = tx.c(text)
+    """All findings of a text, in one pass: an array of (rule, severity, match).  A null
+    text is empty and has none."""
+    t = F.coalesce(tx.c(text), F.lit(""))
     lists = [(n, _hits(t, n, p)) for n, _, p in PATTERNS] + [(2, F.transform(adjectives(t), lambda x: x["match"])), (5, connectives(t)), (7, nominals(t)), (9, hedges(t)), (14, dashes(t))]
 
     def finding(n: int):  # type: ignore[no-untyped-def]
@@ -176,15 +177,16 @@ def rule_table(spark: SparkSession) -> DataFrame:
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", floor: str = "info") -> DataFrame:
     """For each document all rules from the severity floor up, zeros included:
-    hits and hits in 1000 letter words."""
-    own = docs.select(key, F.size(tx.letter_words(text)).alias("words"), F.transform(hits(text), lambda h: h["rule"]).alias("r"))
+    hits and hits in 1000 letter words.  A null text is empty."""
+    own = docs.select(key, F.size(tx.letter_words(F.coalesce(text, F.lit("")))).alias("words"), F.transform(hits(text), lambda h: h["rule"]).alias("r"))
     rules = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity")) for n, s in SEVERITY.items() if RANK[s] >= RANK[floor]])
     rows = own.select(key, "words", "r", F.explode(rules).alias("x")).select(key, "x.rule", "x.severity", "words", F.size(F.filter("r", lambda v: v == F.col("x.rule"))).alias("hits"))
     return rows.withColumn("density", F.col("hits") * 1000.0 / F.greatest("words", F.lit(1)))
 
 
 def verdict(docs: DataFrame, exit_on: str = "block", max_density: float = 5.0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Total hits and density, and whether the document passes both limits."""
+    """Total hits and density, and whether the document passes both limits; a null or
+    empty text passes."""
     rows = report(docs, key, text).groupBy(key).agg(F.first("words").alias("words"), F.sum("hits").alias("hits"), F.sum(F.when(F.col("severity").isin([s for s in RANK if RANK[s] >= RANK[exit_on]]), F.col("hits")).otherwise(0)).alias("severe"))
     density = F.col("hits") * 1000.0 / F.greatest("words", F.lit(1))
     return rows.select(key, "hits", "severe", ((F.col("severe") == 0) & (density <= max_density)).alias("passed"))

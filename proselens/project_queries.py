@@ -180,7 +180,32 @@ def _flights(s: S, d: str) -> DataFrame:
     return profiles.preflight(fingerprint.by_document(docs), rules.findings(docs), fields)
 
 
+def _preservation(s: S, d: str) -> DataFrame:
+    """Cases whose target is their input, or it with one more line end; the report
+    names as many changes as the number of findings differs by."""
+    cases = _cases(s, d)
+    size = lambda c: F.size(rules.hits(c))
+    frozen = revision.frozen_verdict(seed.pairs(s, d)).select(F.col("pair_id").alias("_k"), F.col("passed").alias("frozen"))
+    target = F.when(F.col("pair_id") % 8 == 5, F.concat("target", F.lit("\r\n"))).otherwise(F.col("target"))
+    rows = cases.select("pair_id", "before", "output", target.alias("target"), F.abs(size("before") - size("output")).alias("changes"))
+    return targets.preserved(rows.join(frozen, F.col("pair_id") == F.col("_k")), "pair_id")
+
+
+def _papers(s: S, d: str) -> DataFrame:
+    """The baseline over papers: files are grouped by title, else by folder."""
+    docs = seed.documents(s, d)
+    head = F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("# On  Maps "), (F.col("doc_id") % 9).cast("string"), F.lit("\n"))).otherwise("")
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    docs = docs.select("doc_id", path.alias("path"), F.concat(head, "text").alias("text"))
+    measured = fingerprint.by_document(docs).join(docs.select("doc_id", fingerprint.paper_key().alias("paper")), "doc_id")
+    figures = [f"{m}_{x}" for m in fingerprint.BASELINE for x in ("mean", "sd")]
+    return fingerprint.baseline(measured, "paper").select("paper_count", "status", *[F.round(x, 6).alias(x) for x in figures])
+
+
 QUERIES = {
+    "a23_preservation": _preservation,
+    "a4_baseline_by_paper": _papers,
+    "a2_section_types": lambda s, d: fingerprint.by_section_type(seed.documents(s, d)).select("doc_id", "section_type", *oracles.METRIC_COLUMNS),
     "j28_merged_glossary": lambda s, d: _joined(glossary.merged(_glossary(s, d))),
     "j28_conflicts": lambda s, d: glossary.conflicts(_glossary(s, d)),
     "a25_deletion_risks": lambda s, d: glossary.deletion_risks(glossary.merged(_glossary(s, d))),
@@ -253,6 +278,7 @@ SQL["j25_hashed_substrings"] = """WITH l AS (SELECT DISTINCT lower(source) AS w
 t AS (SELECT doc_id, line_no::INT AS line_no, token, count(*)::BIGINT AS n FROM (SELECT doc_id, line_no, unnest(regexp_extract_all(lower(line), '[a-z0-9][a-z0-9_.-]*')) AS token FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no FROM documents)) GROUP BY ALL)
 SELECT doc_id, line_no, token, sha256(w) AS digest, n FROM t JOIN l ON contains(token, w) WHERE w <> ''"""
 
+_CANON = lambda x: f"regexp_replace(replace(replace({x}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n$', '')"
 _HTML = "pages AS (SELECT page_id, url, regexp_replace(html, 'href=\"/([a-mA-M][^\"]*)\"', 'href=\"/\\1.pdf\"', 'g') AS html FROM pages)"
 _HAS = lambda x, words: "(" + " OR ".join(f"contains(lower({x}), {Q(w)})" for w in words) + ")"
 _PDF = "ends_with(lower(target), '.pdf')"
@@ -310,3 +336,34 @@ SELECT term, kind, form, ({_N('form')} - {_N('term')})::INT AS extra FROM f WHER
     "a26_active_rules": f"{_ENTRIES} SELECT sum(len(synonyms) + len(variants))::BIGINT AS active_rules FROM m",
     "p42_variants": f"{_ENTRIES} SELECT pos, term, array_to_string({_VARIANTS}, '|') AS variants FROM e",
 }
+
+_EXPR = oracles._PAPERS
+_BASE = f"base AS (SELECT count(*) AS n, {', '.join(f'avg({m}) AS {m}_mean, stddev_pop({m}) AS {m}_sd' for m in fingerprint.BASELINE)} FROM paper)"
+_OF_RAW = "raw_m JOIN (SELECT doc_id, em_dashes FROM ps) USING (doc_id)"
+SQL["a5_drift"] = f"""{oracles.DOC_BLOCK}, {oracles._FULL}, paper AS (SELECT source, {_EXPR} FROM {_OF_RAW} JOIN docs USING (doc_id) GROUP BY source), {_BASE}, own AS (SELECT doc_id, {_EXPR} FROM {_OF_RAW} GROUP BY doc_id),
+v AS (SELECT doc_id, n, unnest([{", ".join(f"{{'metric': {Q(m)}, 'z': CASE WHEN {m}_sd > 0 THEN ({m} - {m}_mean) / {m}_sd END}}" for m in fingerprint.BASELINE)}], recursive := true) FROM own, base)
+SELECT doc_id, metric, coalesce(n >= {fingerprint.THIN} AND abs(z) > 1.5::DOUBLE, false) AS drift FROM v"""
+_TITLED = f"{seed.DOCS_SQL.replace('docs AS', 'd0 AS')}, docs AS (SELECT doc_id, source, CASE WHEN doc_id % 4 = 1 THEN '# On  Maps ' || (doc_id % 9) || chr(10) ELSE '' END || text AS text FROM d0)"
+_NAME = "trim(regexp_replace(lower(regexp_extract(text, '(?m)^#\\s+(.+?)\\s*$', 1)), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g'))"
+_FOLDER = "trim(regexp_replace(lower(coalesce(source, '')), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g'))"
+SQL["a4_baseline_by_paper"] = f"""WITH {_TITLED}, src AS (SELECT doc_id, text FROM docs), {oracles._block("text", "doc_id")}, {oracles._FULL},
+nm AS (SELECT doc_id, CASE WHEN {_NAME} <> '' THEN 'title:' || {_NAME} WHEN {_FOLDER} <> '' THEN 'directory:' || {_FOLDER} ELSE 'path:/' || doc_id || '.md' END AS source FROM docs),
+paper AS (SELECT source, {_EXPR} FROM {_OF_RAW} JOIN nm USING (doc_id) GROUP BY source) SELECT {oracles.SQL["a4_baseline"].rsplit("SELECT ", 1)[1]}"""
+SQL["a2_section_types"] = oracles.D[:-1] + f", {oracles.SECTIONS}, src AS (SELECT * FROM sections WHERE title <> 'Preamble'), " + oracles._block("body", oracles._KEYS["type"]) + oracles._metrics(oracles._KEYS["type"])
+_REP = oracles.REPORT.split("\ns AS (SELECT", 1)[1]
+SQL["a23_preservation"] = f"""WITH {_THREE}, docs AS (SELECT pair_id * 2 AS doc_id, before AS text FROM cases UNION ALL SELECT pair_id * 2 + 1, output FROM cases), s AS (SELECT{_REP},
+n AS (SELECT doc_id // 2 AS pair_id, abs(sum(CASE WHEN doc_id % 2 = 0 THEN hits ELSE -hits END)) AS changes FROM rep GROUP BY ALL),
+c AS (SELECT pair_id, before, output, CASE WHEN pair_id % 8 = 5 THEN target || chr(13) || chr(10) ELSE target END AS target FROM cases),
+v AS (SELECT pair_id, {_CANON('before')} = {_CANON('output')} AS exact FROM c WHERE {_CANON('before')} = {_CANON('target')})
+SELECT v.pair_id, exact, x.passed AS frozen, changes = 0 AS none_reported, exact AND x.passed AND changes = 0 AS preserved FROM v JOIN n ON n.pair_id = v.pair_id JOIN ({_GUARD}) x ON x.pair_id = v.pair_id"""
+_BEFORE = f"pairs AS (WITH {seed.PAIRS_SQL} SELECT pair_id, '' AS before, before AS after FROM pairs)"
+_TERMS_NEW, _TERMS_AFTER = oracles.SQL["j11_term_findings"], oracles.SQL["j11_term_residual"]
+SQL["a24_pass_verdict"] = f"""WITH {seed.PAIRS_SQL}, k AS (SELECT pair_id, sum(violations) AS every, sum(CASE WHEN category <> 'glossary_terms' THEN violations ELSE 0 END) AS other FROM ({oracles.SQL['j2_category_report']}) GROUP BY pair_id),
+f AS (SELECT pair_id, count(*) AS n FROM ({_TERMS_NEW}) GROUP BY pair_id), b AS (SELECT pair_id, count(*) AS n FROM ({_TERMS_AFTER.replace(seed.PAIRS_SQL, _BEFORE)}) GROUP BY pair_id), a AS (SELECT pair_id, count(*) AS n FROM ({_TERMS_AFTER}) GROUP BY pair_id),
+r AS (SELECT p.pair_id, coalesce(every, 0) AS every, coalesce(other, 0) AS other, coalesce(f.n, 0) AS added, (coalesce(a.n, 0) - coalesce(b.n, 0))::BIGINT AS delta FROM pairs p LEFT JOIN k USING (pair_id) LEFT JOIN f USING (pair_id) LEFT JOIN b USING (pair_id) LEFT JOIN a USING (pair_id))
+SELECT pair_id, pass, delta, CASE WHEN (pass = 'P3' AND other = 0 AND added = 0 AND delta <= 0) OR (pass <> 'P3' AND every = 0) THEN 'proceed' ELSE 'rollback' END AS verdict FROM (SELECT *, unnest(['P3', 'P4', 'P5', 'P6', 'P7']) AS pass FROM r)"""
+SQL["g11_contract"] = f"""WITH {seed.PAIRS_SQL}, docs AS (SELECT pair_id AS doc_id, after AS text FROM pairs), s AS (SELECT{_REP},
+n AS (SELECT doc_id AS pair_id, sum(hits)::INT AS findings FROM rep GROUP BY doc_id), f AS (SELECT DISTINCT pair_id FROM ({_TERMS_NEW}) WHERE kind <> 'case_inconsistency'),
+j AS (SELECT n.pair_id, findings, CASE WHEN NOT i.passed THEN 'immutable' WHEN NOT st.passed THEN 'strength' WHEN f.pair_id IS NOT NULL THEN 'terminology' ELSE 'none' END AS blocked_by
+  FROM n JOIN ({oracles.SQL['j3_immutable_verdict']}) i ON i.pair_id = n.pair_id JOIN ({oracles.SQL['strength_verdict']}) st ON st.pair_id = n.pair_id LEFT JOIN f ON f.pair_id = n.pair_id)
+SELECT pair_id, blocked_by, blocked_by = 'none' AS proceed, findings FROM j"""

@@ -109,9 +109,9 @@ def _contract(s: S, d: str) -> DataFrame:
     pairs, entries = _pairs(s, d), glossary.merged(glossary.layers(s))
     immutable = revision.immutable_verdict(pairs).select("pair_id", F.col("passed").alias("immutable"))
     strength = revision.strength_verdict(pairs).select("pair_id", F.col("passed").alias("strength"))
-    terms = terms.findings(pairs, entries).where("kind <> 'case_inconsistency'").groupBy("pair_id").agg(F.count("*").alias("n"))
+    worded = terms.findings(pairs, entries).where("kind <> 'case_inconsistency'").groupBy("pair_id").agg(F.count("*").alias("n"))
     scan = pairs.select("pair_id", F.size(rules.hits("after")).alias("findings"))
-    rows = immutable.join(strength, "pair_id").join(scan, "pair_id").join(terms, "pair_id", "left")
+    rows = immutable.join(strength, "pair_id").join(scan, "pair_id").join(worded, "pair_id", "left")
     step = F.when(~F.col("immutable"), "immutable").when(~F.col("strength"), "strength").when(F.col("n") > 0, "terminology").otherwise("none")
     return rows.select("pair_id", step.alias("blocked_by"), (step == "none").alias("proceed"), "findings")
 
@@ -124,14 +124,6 @@ def _distances(s: S, d: str) -> DataFrame:
     return targets.distances(rows, "doc_id")
 
 
-def _preservation(s: S, d: str) -> DataFrame:
-    """Pairs as cases whose input is their target; the revision is the output."""
-    pairs = _pairs(s, d)
-    frozen = revision.frozen_verdict(pairs).select("pair_id", F.col("passed").alias("frozen"))
-    cases = pairs.join(frozen, "pair_id").select("pair_id", "before", F.col("after").alias("output"), F.col("before").alias("target"), "frozen", F.lit(0).alias("changes"))
-    return targets.preserved(cases, "pair_id")
-
-
 def _drift(s: S, d: str) -> DataFrame:
     measured = fingerprint.by_document(_docs(s, d)).join(_raw(s, d).select("doc_id", "source"), "doc_id")
     return fingerprint.compared(measured, fingerprint.baseline(measured, "source")).select("doc_id", "metric", "drift")
@@ -196,7 +188,6 @@ QUERIES = {
     "a21_rule_convergence": _rule_convergence,
     "a13_screening": lambda s, d: targets.screening(fingerprint.by_document(_docs(s, d)), rules.findings(_docs(s, d))),
     "a20_structural": lambda s, d: targets.structural(_distances(s, d), "doc_id"),
-    "a23_preservation": _preservation,
     "a1_latex_fingerprint": lambda s, d: fingerprint.by_document(_docs(s, d).withColumn("suffix", F.lit(".tex"))).select("doc_id", *oracles.METRIC_COLUMNS),
     "a19_preflight": lambda s, d: targets.preflight(fingerprint.by_document(_docs(s, d)), rules.findings(_docs(s, d))),
     "src16_links": lambda s, d: corpus.links(_pages(s, d)),

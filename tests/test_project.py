@@ -251,3 +251,22 @@ def test_built_profiles_have_the_shapes_that_are_read(spark, tmp_path):
     wanted = docs.select(F.col("doc_id").alias("key"), F.lit("m").alias("venue"), F.lit(None).cast("string").alias("section_type"))
     got = {r["doc_id"]: r["triggers"].split(",") for r in profiles.preflight(fingerprint.by_document(docs), rules.findings(docs), profiles.resolved(wanted, back)).collect()}
     assert not any(t.startswith("P4_TARGET") for t in got[1]) and 3 not in got
+
+
+def test_null_texts_are_empty(spark):
+    from proselens.operators import fingerprint, rules
+
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "It serves as a tool.")], "doc_id long, text string")
+    got = {(r["doc_id"], r["rule"]): (r["hits"], r["density"]) for r in rules.report(docs).collect()}
+    assert len(got) == 42 and got[1, 11] == got[2, 11] == (0, 0.0) and got[3, 11][0] == 1
+    assert {r["doc_id"]: (r["hits"], r["passed"]) for r in rules.verdict(docs).where("doc_id < 3").collect()} == {1: (0, True), 2: (0, True)}
+    assert [r["doc_id"] for r in fingerprint.by_document(docs).collect()] == [3] and rules.located(docs).where("doc_id < 3").count() == 0
+    assert rules.phrase_hits(docs).where("doc_id < 3").count() == 0
+
+
+def test_files_belong_to_titles_folders_or_themselves(spark):
+    from proselens.operators import fingerprint
+
+    rows = spark.createDataFrame([("a/b/x.md", "# On  \\emph{Maps}\n"), ("a/B c/x.md", "no title"), ("x.MD", "text"), ("q/x.tex", "\\title[s]{On maps}"), ("q/y.txt", "Title: ON maps!"), ("q/z.txt", None)], "path string, text string")
+    got = {r["path"]: r["k"] for r in rows.select("path", fingerprint.paper_key().alias("k")).collect()}
+    assert got == {"a/b/x.md": "title:on maps", "a/B c/x.md": "directory:b c", "x.MD": "path:x.md", "q/x.tex": "title:on maps", "q/y.txt": "title:on maps", "q/z.txt": "directory:q"}
