@@ -28,7 +28,10 @@ is 0.75 or more.  The join is exact:
    class; two documents that link share a class in their prefixes by rarity and one in
    their prefixes by a random order of the classes.  Documents meet under the first
    class alone if at most `BLOCK` hold it, else under both classes as one key, so only
-   pairs that pass both filters are formed; each is verified once as a row.
+   pairs that pass both filters are formed; each is verified once as a row.  Documents
+   of more than `KEYS` keys, which are near copies with edits of their own, are cut into
+   tiles of about `BLOCK` by size and hash instead; a task holds two tiles of fitting
+   sizes, and what links in them is joined.
 
 Chunks of documents travel as packed arrays, one row for each range of hashes.  A
 token that several documents of a chunk share travels once, so what everybody
@@ -44,6 +47,7 @@ table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +66,8 @@ UP, AT = 100, 75
 SPARE = 12
 #: documents of a block that one task verifies
 BLOCK = 256
+#: keys of a document that has few classes
+KEYS = 256
 #: documents of one key whose pairs one task forms (rows of a few numbers)
 MEET = 2048
 #: shingles that a task packs before it passes them on
@@ -401,6 +407,25 @@ def tied_stars(found: DataFrame, edges: DataFrame) -> DataFrame:
     return keep(rows.select("low", "node", "a", "b").mapInArrow(lean(check), "low long, node long"), "tied")
 
 
+def across(sets: list[np.ndarray], prefixes: list[list[np.ndarray]], part: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links of documents of `left` with those of `right`, where their parts differ;
+    parts that a link has joined are one from then on."""
+    m, size, label, out = len(sets), np.array([len(s) for s in sets]), part.copy(), []
+    lists = [_Lists(p, np.arange(m)) for p in prefixes]
+    for x in np.flatnonzero(left):
+        fits = right & (label != label[x]) & (UP * size >= AT * size[x]) & (AT * size <= UP * size[x])
+        for each, p in zip(lists, prefixes):
+            if fits.any():
+                fits &= each.share(p[x], m)
+        near = np.flatnonzero(fits)
+        if len(near):
+            for y in near[linked(sets[x], [sets[y] for y in near])]:
+                if label[y] != label[x]:
+                    out.append((int(part[x]), int(part[y])))
+                    label[label == label[y]] = label[x]
+    return out
+
+
 def members_of(blocks: DataFrame, tied: DataFrame) -> DataFrame:
     """node, n, block, part (component over tied edges), main (the part is its block's
     largest).  blocks: node, n, block."""
@@ -413,8 +438,8 @@ def members_of(blocks: DataFrame, tied: DataFrame) -> DataFrame:
     return keep(rows.select("r.*", (F.col("r.part") == F.col("t.top")).alias("main")), "members", n)
 
 
-CLASSES = "node long, block long, n long, part long, main boolean, light binary, heavy binary, second binary"
-_CLASSES = pa.schema([("node", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("part", pa.int64()), ("main", pa.bool_()), *[(x, pa.binary()) for x in ("light", "heavy", "second")]])
+CLASSES = "node long, block long, n long, part long, main boolean, few boolean, light binary, heavy binary, second binary"
+_CLASSES = pa.schema([("node", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("part", pa.int64()), ("main", pa.bool_()), ("few", pa.bool_()), *[(x, pa.binary()) for x in ("light", "heavy", "second")]])
 _KEYED = "key long, node long, n long, part long, main boolean"
 
 
@@ -475,8 +500,9 @@ def token_classes(found: DataFrame, parts: int) -> DataFrame:
             f, c = count[start : start + n], held[start : start + n]
             first = np.lexsort((mix(c), f))[: prefix(n)]
             second = np.argsort(mix(c ^ _SALT[1]), kind="stable")[: prefix(n)]
-            some = lambda own, test: blob(np.unique(c[own][test[own]]))  # noqa: B023, E731
-            out.append((node, block, n, part, bool(main), some(first, (f > 1) & (f <= BLOCK)), some(first, f > BLOCK), some(second, f > 1)))
+            some = lambda own, test: np.unique(c[own][test[own]])  # noqa: B023, E731
+            own = some(first, (f > 1) & (f <= BLOCK)), some(first, f > BLOCK), some(second, f > 1)
+            out.append((node, block, n, part, bool(main), len(own[0]) + len(own[1]) * len(own[2]) <= KEYS, *map(blob, own)))
             start += n
         return pa.Table.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_CLASSES)], schema=_CLASSES)
 
@@ -550,15 +576,48 @@ def in_large_blocks(found: DataFrame, edges: DataFrame, blocks: DataFrame, parts
     tied = keep(tied.unionByName(tied_stars(found, more.exceptAll(first))), "tied")
     members = members_of(blocks, tied)
     classes = token_classes(found.select("node", "tokens").join(members, "node"), parts)
+    links = tied_stars(found, across_keys(classes.where("few"))).unionByName(across_tiles(found, classes.select("node", "block", "n", "part", "main", "few")))
+    part = members.select("node", "part")
+    rows = links.join(part.select(F.col("node").alias("low"), F.col("part").alias("_a")), "low").join(part.withColumnRenamed("part", "_b"), "node")
+    rows = keep(rows.select(F.least("_a", "_b").alias("low"), F.greatest("_a", "_b").alias("node")).where("low < node").distinct(), "across")
+    whole = components(rows).select(F.col("node").alias("part"), F.col("block").alias("whole"))
+    return members.join(whole, "part", "left").select("node", F.coalesce("whole", "part").alias("component"))
+
+
+def across_keys(classes: DataFrame) -> DataFrame:
+    """The pairs of documents of few classes, one of them outside of the main part."""
     apart = keep(class_keys(classes.where("not main")), "apart")
     distinct = keep(apart.select("key").distinct(), "distinct")
-    known = filter_of(distinct, distinct.count())
-    keyed = keep(apart.unionByName(class_keys(classes.where("main"), known)), "keyed")
-    links = tied_stars(found, met(keyed).join(members.select(F.col("node").alias("low"), F.col("part").alias("_a")), "low").join(members.select("node", F.col("part").alias("_b")), "node").where("_a <> _b").select("low", "node"))
-    joined_parts = links.join(members.select(F.col("node").alias("low"), F.col("part").alias("_a")), "low").join(members.select("node", F.col("part").alias("_b")), "node")
-    joined_parts = keep(joined_parts.select(F.least("_a", "_b").alias("low"), F.greatest("_a", "_b").alias("node")).where("low < node").distinct(), "across")
-    whole = components(joined_parts).select(F.col("node").alias("part"), F.col("block").alias("whole"))
-    return members.join(whole, "part", "left").select("node", F.coalesce("whole", "part").alias("component"))
+    return met(keep(apart.unionByName(class_keys(classes.where("main"), filter_of(distinct, distinct.count()))), "keyed"))
+
+
+def across_tiles(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (low, node) of documents outside of the main part where one of the two has
+    many classes.  Such are near copies with edits of their own, which share nearly all
+    tokens: they would meet under thousands of keys, and a tile forms each pair once."""
+    # sizes that fit differ by a third at most, and so by one class at most
+    members = members.withColumn("kind", F.floor(F.ln("n") / F.lit(float(np.log(1.34)))).cast("int"))
+    by = ["block", "kind", "main", "few"]
+    tiles = keep(members.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("tiles")), "tiles")
+    tiled = keep(lookup(members.alias("m"), tiles.alias("t"), reduce(lambda a, b: a & b, [F.col(f"m.{c}") == F.col(f"t.{c}") for c in by]), "inner").select("m.*", F.pmod(F.xxhash64("m.node"), F.col("t.tiles")).cast("int").alias("tile")), "tiled")
+    spots = tiles.select(*by, F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    own = lambda x: F.struct(*[F.col(f"{x}.{c}") for c in (*by[1:], "tile")])
+    twice = (F.col("a.block") == F.col("b.block")) & ~F.col("a.main") & (F.abs(F.col("a.kind") - F.col("b.kind")) <= 1) & ~(F.col("a.few") & F.col("b.few"))
+    pairs = spots.alias("a").join(spots.alias("b"), twice & (F.col("b.main") | (own("a") <= own("b"))))
+    pairs = keep(pairs.select(F.col("a.block").alias("block"), own("a").alias("a"), own("b").alias("b"), F.xxhash64("a.block", own("a"), own("b")).alias("task")), "pairs")
+    sides = pairs.select("task", "block", F.explode(F.array_distinct(F.array("a", "b"))).alias("spot"), "a", "b")
+    sides = sides.select("task", "block", *[f"spot.{c}" for c in (*by[1:], "tile")], (F.col("spot") == F.col("a")).alias("left"), (F.col("spot") == F.col("b")).alias("right"))
+    dealt = sides.join(tiled, [*by, "tile"]).select("task", "node", "part", "left", "right")
+
+    def cross(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        node, part = t.column("node").to_numpy(), t.column("part").to_numpy()
+        first = dict(zip(part[::-1].tolist(), node[::-1].tolist()))  # a document of each part stands for it
+        got = [sorted((first[x], first[y])) for x, y in across(*_cells(t), part, *[t.column(c).to_numpy().astype(bool) for c in ("left", "right")])]
+        return pa.table({"low": pa.array([x for x, _ in got], pa.int64()), "node": pa.array([y for _, y in got], pa.int64())})
+
+    inside = dealt.join(found.select("node", *_SETS), "node")
+    return keep(inside.groupBy("task").applyInArrow(lean_group(cross), "low long, node long").distinct(), "tile-links")
 
 
 def joined(docs: DataFrame) -> DataFrame:

@@ -366,12 +366,13 @@ def test_near_join_on_edited_copies(spark, monkeypatch, block):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(docs)
 
 
-@pytest.mark.parametrize(("block", "meet"), [(4, 2048), (16, 3), (1, 5)])
-def test_large_blocks_of_template_texts(spark, monkeypatch, block, meet):
+@pytest.mark.parametrize(("block", "meet", "keys"), [(4, 2048, 256), (16, 3, 0), (1, 5, 10**9)])
+def test_large_blocks_of_template_texts(spark, monkeypatch, block, meet, keys):
     """Texts that share sentences and mostly do not link: one block, many parts.  Few
     pairs meet, whatever the size of a block and of a key."""
     monkeypatch.setattr(near, "BLOCK", block)
     monkeypatch.setattr(near, "MEET", meet)
+    monkeypatch.setattr(near, "KEYS", keys)
     rng, pairs = np.random.default_rng(11), []
     shared = [" ".join(f"s{k}x{j}" for j in range(9)) for k in range(6)]
     docs = {}
