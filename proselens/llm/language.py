@@ -8,10 +8,12 @@ and L2 penalties, so most weights are exactly zero; a temperature fitted on othe
 rows of the sample then calibrates the probabilities.
 
 The regression is fitted on at most about `PER_LANG` texts of each language, and at
-most about `SAMPLE` in all, drawn by a hash of their id; whole texts, no prefixes.
-The document frequencies cover all learning rows.  More than `MAX_LANGS` languages
-raise an error.  A prediction gathers weights for `CELLS` characters times languages
-at a time, whatever the length of a text or the number of languages.
+most about `SAMPLE` texts and `SAMPLE_BYTES` of features in all, drawn by a hash of
+their id and text; whole texts, no prefixes.  The document frequencies cover all
+learning rows.  The trainer holds two numbers for each bucket and language in the
+driver, and the model, a quarter of that, is broadcast; more languages than fit
+`MODEL_BYTES` raise an error.  A prediction gathers weights for `CELLS` characters times
+languages at a time, whatever the length of a text or the number of languages.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as
 is everything if nothing could be learned; rows with a null language only get
@@ -35,7 +37,8 @@ from .kernel import LOWER, blob, buffer, code_points
 ORDERS, BITS = 3, 16
 #: texts of a language that the regression sees; of them, one in five calibrates
 PER_LANG, SAMPLE, CALIBRATE = 600, 50_000, 5
-MAX_LANGS = 1000
+#: bytes of features that reach the driver, and of what the trainer holds there
+SAMPLE_BYTES, MODEL_BYTES = 256 << 20, 400 << 20
 #: characters times languages whose weights are gathered at once
 CELLS = 1 << 21
 ALPHA, BETA, L1, L2, EPOCHS, SCALE = 0.5, 1.0, 0.02, 0.02, 4, 10.0
@@ -115,9 +118,13 @@ def _sample(texts: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
                 share.append(blob((n / max(1, b - a)).astype(np.float32)))
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(at, pa.binary()), pa.array(share, pa.binary())], names=["lang", "at", "share"])
 
-    got = texts.select("lang", "text").mapInArrow(lean(rows), "lang string, at binary, share binary").collect()
-    rows = [(r["lang"], np.frombuffer(bytes(r["at"]), np.int32), np.frombuffer(bytes(r["share"]), np.float32)) for r in got]
-    return sorted(rows, key=lambda r: (r[1].tobytes(), r[0]))
+    out, size = [], 0
+    for r in texts.select("lang", "text").mapInArrow(lean(rows), "lang string, at binary, share binary").toLocalIterator():
+        out.append((r["lang"], np.frombuffer(bytes(r["at"]), np.int32), np.frombuffer(bytes(r["share"]), np.float32)))
+        size += len(r["at"]) + len(r["share"])
+        if size > 2 * SAMPLE_BYTES:
+            raise ValueError(f"the drawn texts have more than {2 * SAMPLE_BYTES} bytes of features")
+    return sorted(out, key=lambda r: (r[1].tobytes(), r[0]))
 
 
 class Model:
@@ -199,28 +206,34 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> Mo
     for _ in range(EPOCHS):
         for k in rng.permutation(len(fitted)):
             ftrl.learn(*fitted[k])
-    w = ftrl.weights(np.arange(WIDTH + 1))
-    w[WIDTH - 1] = 0.0
-    logit = np.array([x @ w[at] + w[WIDTH] for _, at, x in other])
+    ftrl.z[WIDTH - 1] = 0.0  # the bucket behind a text's end has no weight
+    bias = ftrl.weights(np.array([WIDTH]))[0]
+    logit = np.array([x @ ftrl.weights(at) + bias for _, at, x in other])
     y = np.array([d[0] for d in other])
     grid = np.exp(np.linspace(-3, 3, 121))
     loss = [-np.log(np.maximum(softmax(logit / t)[np.arange(len(y)), y], 1e-300)).mean() for t in grid]
-    folded = (w[:WIDTH] * (idf * SCALE)[:, None]).astype(np.float32)
-    return Model(langs, folded, w[WIDTH], float(grid[int(np.argmin(loss))]))
+    folded = np.empty((WIDTH, c), np.float32)
+    for rows_ in np.array_split(np.arange(WIDTH), SLICES):
+        folded[rows_] = ftrl.weights(rows_) * (idf[rows_] * SCALE)[:, None]
+    return Model(langs, folded, bias, float(grid[int(np.argmin(loss))]))
 
 
 def learn(rows: DataFrame) -> Model:
     """rows: (doc_id, text, lang); those without text or lang are passed over."""
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    most = MODEL_BYTES // (16 * (WIDTH + 1))
+    cells = F.least(F.char_length("text") * ORDERS, F.lit(WIDTH)) * 8
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(cells).alias("bytes")).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} languages, which do not fit {MODEL_BYTES} bytes")
+    counts = {r["lang"]: r["n"] for r in found}
     df = document_frequency(rows.select("text"))
     idf = np.log((1 + sum(counts.values())) / (1 + df)) + 1
     if not counts:
         return train([], idf)
-    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, min(PER_LANG, SAMPLE // len(counts)) / n))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    each, room = min(PER_LANG, SAMPLE // len(counts)), SAMPLE_BYTES / len(counts)
+    rate = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, each / r["n"], room / max(1, r["bytes"])))])
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     return train(_sample(rows.where(draw < rate[F.col("lang")])), idf)
 
 

@@ -211,3 +211,23 @@ def test_codes_follow_the_rounds(spark):
 def test_components_beyond_the_bound_raise():
     with pytest.raises(ValueError, match="component"):
         vectors.whole(pa.array([[3e5, 0.0]]), 2)
+
+
+# bounds of operator 3
+
+
+def test_language_bounds_raise_or_draw_less(spark, monkeypatch):
+    from proselens.llm import language
+
+    rows = [(k % 3, f"text number {k} " * 20, f"l{k % 3}") for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    assert model.langs == ["l0", "l1", "l2"]
+    monkeypatch.setattr(language, "SAMPLE_BYTES", 60_000)
+    seen, real = [], language.train
+    monkeypatch.setattr(language, "train", lambda own, idf: seen.append(len(own)) or real(own, idf))
+    language.learn(docs)
+    assert 0 < seen[0] < 60  # rows that share an id are drawn each for itself
+    monkeypatch.setattr(language, "MODEL_BYTES", 16 * (language.WIDTH + 1) * 2)
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        language.learn(docs)
