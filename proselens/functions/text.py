@@ -78,10 +78,6 @@ def scopes(prose: Column | str) -> Column:
     return F.filter(F.transform(F.split(c(prose), r"(?:[.!?;]+|\n+)\s*"), lambda x: F.trim(x)), lambda s: s != "")
 
 
-def scope_spans(text: Column | str) -> Column:
-    return F.filter(F.transform(every(text, r"[^.!?;\n]+"), lambda s: F.lower(squeeze(s))), lambda s: s != "")
-
-
 def cut(text: Column, pattern: str) -> Column:
     """The whole text in pieces: what stands between matches at odd places (1-based),
     matches at even ones, each with its start (0-based code points), line and column

@@ -23,6 +23,7 @@ STOP = frozenset("the is are was were be been being do does did have has had to
 #: fixed values: endings of plurals and what stands for them, in words of more than four letters
 ENDINGS = [(re.compile("ies$"), "y"), (re.compile("(?<=[xz])es$|(?<=ch)es$|(?<=sh)es$|(?<=ss)es$"), ""), (re.compile("(?<![sui])s$"), "")]
 _MARKER = [re.compile(r"\b(?:" + "|".join(classes.values()) + r")\b") for classes in mk.CLASSES.values()]
+_ANY = re.compile("|".join(p.pattern for p in _MARKER))
 _TOKEN = re.compile("[a-z0-9_]+")
 
 
@@ -38,6 +39,8 @@ def stem(word: str) -> str:
 def scope_words(scope: str) -> tuple[list[str], bool]:
     """The words that scopes are compared by, without stop words and claim
     markers; and whether the scope has a marker."""
+    if not _ANY.search(scope):
+        return [stem(t) for t in _TOKEN.findall(scope) if t not in STOP], False
     marked = [m.span() for p in _MARKER for m in p.finditer(scope)]
     free = [t for t in _TOKEN.finditer(scope) if t[0] not in STOP and all(t.end() <= a or b <= t.start() for a, b in marked)]
     return [stem(t[0]) for t in free], bool(marked)
@@ -187,12 +190,36 @@ def _ratio(x: str, y: str) -> float:
     return 1.0 if x == y else SequenceMatcher(None, x, y, autojunk=False).ratio()
 
 
+def aligned_scopes(old: list[str], new: list[str]) -> list[tuple[int, int, float]]:
+    """J14 for two lists of scopes; what stands on both sides is read once."""
+    words = {x: scope_words(x) for x in {*old, *new}}
+    return scope_pairs([words[x] for x in old], [words[x] for x in new])
+
+
+def changed_scopes(rows: DataFrame) -> DataFrame:
+    """rows: pair_id, old and new (arrays of scopes).  pair_id, scope, side, text: the
+    scopes that are not aligned with an equal one.  scope: the place on the new side, or
+    for an old scope without partner -1 minus its own."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out = []
+            for k, a, b in zip(p["pair_id"], p["old"], p["new"]):
+                to = {i: j for i, j, _ in aligned_scopes(list(a), list(b))}
+                same = {j for i, j in to.items() if a[i] == b[j]}
+                out += [(k, to.get(i, -1 - i), "old", x) for i, x in enumerate(a) if to.get(i) not in same]
+                out += [(k, j, "new", x) for j, x in enumerate(b) if j not in same]
+            yield pd.DataFrame(out, columns=["pair_id", "scope", "side", "text"])
+
+    return rows.select("pair_id", "old", "new").mapInPandas(run, "pair_id long, scope int, side string, text string")
+
+
 def scopes(rows: DataFrame) -> DataFrame:
     """rows: pair_id, old and new (arrays of scopes).  J14: aligned places."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            out = [(k, i, j, s) for k, a, b in zip(p["pair_id"], p["old"], p["new"]) for i, j, s in scope_pairs([scope_words(x) for x in a], [scope_words(x) for x in b])]
+            out = [(k, i, j, s) for k, a, b in zip(p["pair_id"], p["old"], p["new"]) for i, j, s in aligned_scopes(list(a), list(b))]
             yield pd.DataFrame(out, columns=["pair_id", "old_at", "new_at", "similarity"])
 
     return rows.select("pair_id", "old", "new").mapInPandas(run, "pair_id long, old_at int, new_at int, similarity double")

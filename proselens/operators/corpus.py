@@ -162,8 +162,20 @@ def hashed_hits(docs: DataFrame, digests: DataFrame, key: str = "doc_id", text:
     return rows.groupBy(key, "line_no", "digest").agg(F.count("*").alias("n"))
 
 
+#: rows of one group whose digests stand in one cell (about 100 bytes each)
+CELL = 1_000_000
+
+
+def bounded(rows: DataFrame, group: list[str], most: int, what: str) -> None:
+    """Raise if a group has more rows than one cell takes."""
+    if rows.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > most).limit(1).count():
+        raise ValueError(f"more than {most} {what}")
+
+
 def manifest(rows: DataFrame, group: list[str], path: str, body: str) -> DataFrame:
-    """A digest over paths and contents, in path order."""
+    """A digest over paths and contents, in path order.  A group is the files of
+    one project; more than `CELL` of them raise an error."""
+    bounded(rows, group, CELL, "files of one group")
     line = F.struct(F.col(path).alias("p"), F.sha2(F.col(body), 256).alias("h"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: F.concat(x["p"].cast("string"), F.lit(":"), x["h"])), "\n")
     return rows.groupBy(*group).agg(F.count("*").alias("files"), F.sha2(text, 256).alias("digest"))

@@ -147,13 +147,18 @@ def _forms(pattern: str) -> list[str]:
 
 def claims(text: Column | str) -> Column:
     """kind:class for each claim marker in the prose of a text."""
+    return tx.let(prose(text), prose_claims)
 
-    def named(kind: str, classes: dict[str, str], t: Column) -> Column:
+
+def prose_claims(t: Column) -> Column:
+    """The same for what is prose already."""
+
+    def named(kind: str, classes: dict[str, str]) -> Column:
         label = {f: f"{kind}:{'hedged' if name in HEDGED else name}" for name, p in reversed(list(classes.items())) for f in _forms(p)}
         known = F.create_map(*[F.lit(x) for kv in label.items() for x in kv])
         return F.transform(tx.every(t, r"\b(?:" + "|".join(classes.values()) + r")\b"), lambda m: known[tx.squeeze(m)])
 
-    return tx.let(prose(text), lambda t: F.concat(*[named(kind, classes, t) for kind, classes in CLASSES.items()]))
+    return F.concat(*[named(kind, classes) for kind, classes in CLASSES.items()])
 
 
 def long_form(pairs: DataFrame, extractors: dict, key: str = "pair_id") -> DataFrame:

@@ -12,6 +12,8 @@ from ..functions import text as tx
 MENTION = r"[A-Za-z0-9_./-]+\.(?:md|tex|txt)"
 #: greatest length of a first line, and of a body in lines
 HEADER, LINES = 200, 500
+#: values of a list, and bytes of a text, that one cell takes
+LIST, BODY = 1_000_000, 64 << 20
 
 
 def admitted(files: DataFrame, manifest: DataFrame, key: str, body: str) -> DataFrame:
@@ -65,7 +67,10 @@ def totals(nodes: DataFrame, reached: DataFrame) -> DataFrame:
 
 def dossier(files: DataFrame) -> DataFrame:
     """SNK5, SNK7: (series, place, text) to one text a series, in order, with its
-    number of words.  A series is the files of one project, which fit one task."""
+    number of words.  A series is the files of one project, which fit one task; one of
+    more than `BODY` bytes raises an error."""
+    if files.groupBy("series").agg(F.sum(F.octet_length("text")).alias("n")).where(F.col("n") > BODY).limit(1).count():
+        raise ValueError(f"a series of more than {BODY} bytes")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.coalesce("text", F.lit("")).alias("text")))), lambda x: F.concat(F.lit("## "), x["place"].cast("string"), F.lit("\n"), x["text"])), "\n\n")
     return files.groupBy("series").agg(F.sum(F.size(tx.words(F.coalesce("text", F.lit(""))))).alias("words"), body.alias("body"))
 
@@ -77,8 +82,11 @@ def limits(docs: DataFrame, key: str = "doc_id", text: str = "text", header: int
 
 
 def digest_set(values: DataFrame, column: str) -> DataFrame:
-    """Size and digest of a private list, by the sorted digests of its values."""
+    """Size and digest of a private list, by the sorted digests of its values.  A
+    list of more than `LIST` values raises an error."""
     one = values.select(F.sha2(F.col(column), 256).alias("d")).where("d is not null").distinct()
+    if one.limit(LIST + 1).count() > LIST:
+        raise ValueError(f"more than {LIST} values")
     return one.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("digest"))
 
 
@@ -91,9 +99,12 @@ def by_span(docs: DataFrame, pattern: str, key: str = "doc_id", text: str = "tex
 
 def numbered(rows: DataFrame, group: str, title: Column, prefix: int = 4) -> DataFrame:
     """Place in the order of (group, title).  Only counts of (group, first
-    characters) meet in one task; rows are numbered within their prefix."""
+    characters) meet in one task, at most `LIST` of them (more raise an error: ask for a
+    shorter prefix); rows are numbered within their prefix."""
     own = rows.withColumn("_title", title).withColumn("_p", F.substring("_title", 1, prefix))
     sizes = own.groupBy(group, "_p").agg(F.count("*").alias("_n"))
+    if sizes.limit(LIST + 1).count() > LIST:
+        raise ValueError(f"more than {LIST} prefixes")
     before = F.sum("_n").over(W.orderBy(group, "_p").rowsBetween(W.unboundedPreceding, -1))
     starts = sizes.select(F.col(group).alias("_g"), F.col("_p").alias("_q"), F.coalesce(before, F.lit(0)).alias("_start"))
     ranked = own.withColumn("_r", F.row_number().over(W.partitionBy(group, "_p").orderBy("_title", "title")))

@@ -19,16 +19,12 @@ def scoped_differences(pairs: DataFrame, once: tuple[str, ...] = ()) -> DataFram
     without partner were removed or added.  Scopes without markers give no row.  Kinds in
     `once` count once in a scope, however often they stand there."""
     cut = pairs.select("pair_id", tx.scopes(mk.prose("before")).alias("old"), tx.scopes(mk.prose("after")).alias("new"))
-    aligned = align.scopes(cut)
-
-    def side(column: str, at: str, n: str) -> DataFrame:
-        rows = cut.select("pair_id", F.posexplode(column).alias(at, "_text")).select("pair_id", at, F.explode(mk.claims("_text")).alias("value"))
-        return rows.groupBy("pair_id", at, "value").agg((F.when(F.substring_index("value", ":", 1).isin(*once), 1).otherwise(F.count("*")) if once else F.count("*")).cast("long").alias(n))
-
-    old = side("old", "old_at", "n_old").join(aligned.select("pair_id", "old_at", "new_at"), ["pair_id", "old_at"], "left")
-    old = old.select("pair_id", F.coalesce(F.col("new_at"), -1 - F.col("old_at")).alias("scope"), "value", "n_old")
-    new = side("new", "scope", "n_new")
-    both = old.join(new, ["pair_id", "scope", "value"], "full_outer").na.fill(0, ["n_old", "n_new"])
+    rows = align.changed_scopes(cut)  # equal scopes have equal markers, which cancel
+    rows = rows.select("pair_id", "scope", "side", F.explode(mk.prose_claims(F.col("text"))).alias("value"))
+    n = lambda side: F.count_if(F.col("side") == side)
+    kind = F.substring_index("value", ":", 1).isin(*once) if once else F.lit(False)
+    both = rows.groupBy("pair_id", "scope", "value").agg(n("old").alias("n_old"), n("new").alias("n_new"))
+    both = both.withColumns({c: F.when(kind, F.least(c, F.lit(1))).otherwise(F.col(c)) for c in ("n_old", "n_new")})
     return both.select("pair_id", "scope", "value", F.greatest(F.col("n_old") - F.col("n_new"), F.lit(0)).alias("removed"), F.greatest(F.col("n_new") - F.col("n_old"), F.lit(0)).alias("added")).where("removed + added > 0")
 
 
@@ -78,7 +74,7 @@ def crypto_relocations(pairs: DataFrame) -> DataFrame:
             out = []
             for r in p.itertuples():
                 (old, old_at), (new, new_at) = cut(list(r.old)), cut(list(r.new))
-                to = {i: j for i, j, _ in align.scope_pairs([align.scope_words(x) for x in old], [align.scope_words(x) for x in new])}
+                to = {i: j for i, j, _ in align.aligned_scopes(old, new)}
                 for w in r.words:
                     left: dict = {}
                     for x in w["after"]:

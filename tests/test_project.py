@@ -270,3 +270,16 @@ def test_files_belong_to_titles_folders_or_themselves(spark):
     rows = spark.createDataFrame([("a/b/x.md", "# On  \\emph{Maps}\n"), ("a/B c/x.md", "no title"), ("x.MD", "text"), ("q/x.tex", "\\title[s]{On maps}"), ("q/y.txt", "Title: ON maps!"), ("q/z.txt", None)], "path string, text string")
     got = {r["path"]: r["k"] for r in rows.select("path", fingerprint.paper_key().alias("k")).collect()}
     assert got == {"a/b/x.md": "title:on maps", "a/B c/x.md": "directory:b c", "x.MD": "path:x.md", "q/x.tex": "title:on maps", "q/y.txt": "title:on maps", "q/z.txt": "directory:q"}
+
+
+def test_what_stands_in_one_cell_is_bounded(spark, monkeypatch):
+    from proselens.operators import records
+
+    rows = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, "c", "z")], "series int, place string, text string")
+    assert corpus.manifest(rows, ["series"], "place", "text").count() == 2
+    monkeypatch.setattr(corpus, "CELL", 1)
+    monkeypatch.setattr(records, "LIST", 1)
+    monkeypatch.setattr(records, "BODY", 1)
+    for make in (lambda: corpus.manifest(rows, ["series"], "place", "text"), lambda: records.digest_set(rows, "text"), lambda: records.dossier(rows), lambda: records.numbered(rows, "series", F.col("text"), 1)):
+        with pytest.raises(ValueError):
+            make()
