@@ -1,9 +1,9 @@
 """Ranked lexical search with block-max pruning (operator 12).
 
 The index is a row for each block: a range of at most `BLOCK` documents that stand
-together.  A block has its documents' ids, its distinct terms in order, for each term
+together.  A block has its documents' ids and sizes, its distinct terms in order, for each term
 the greatest impact of any document (the block's maximum) and how many documents have
-it, and forward postings with the impact of each term in each document.  The impact
+it, and forward postings: each document and how often it has the term.  The impact
 is the part of a score that does not depend on the query, in whole numbers.  The index
 holds all terms of all texts and serves any queries.
 
@@ -56,8 +56,8 @@ HELD = 8 << 20
 #: slope and base of the length normalisation, and the scale of impacts
 LENGTH, BASE, SCALE = 75, 100, 1_000_000_000
 
-INDEX = "block long, ids array<long>, terms binary, most binary, many binary, first binary, doc binary, impact binary"
-_INDEX = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), *[(x, pa.binary()) for x in ("terms", "most", "many", "first", "doc", "impact")]])
+INDEX = "block long, ids array<long>, sizes binary, terms binary, most binary, many binary, doc binary, tf binary"
+_INDEX = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), *[(x, pa.binary()) for x in ("sizes", "terms", "most", "many", "doc", "tf")]])
 BEST = "item int, doc_id long, score long"
 _BEST = pa.schema([("item", pa.int32()), ("doc_id", pa.int64()), ("score", pa.int64())])
 
@@ -109,9 +109,10 @@ def index(docs: DataFrame, of: Corpus) -> DataFrame:
                 terms, place = np.unique(words.hash[a:b], return_inverse=True)
                 pair, tf = np.unique(place * BLOCK + (words.doc[a:b] - lo), return_counts=True)
                 term, doc = pair // BLOCK, pair % BLOCK
-                impact = impacts(tf, words.count[lo:hi][doc], of)
+                size = words.count[lo:hi].astype(np.int64)
                 first = np.searchsorted(term, np.arange(len(terms) + 1))
-                out.append((at, ids[lo:hi], blob(terms), blob(np.maximum.reduceat(impact, first[:-1]).astype(np.int32)), blob(np.diff(first).astype(np.uint8)), blob(first.astype(np.uint32)), blob(doc.astype(np.uint8)), blob(impact.astype(np.int32))))
+                most = np.maximum.reduceat(impacts(tf, size[doc], of), first[:-1])
+                out.append((at, ids[lo:hi], blob(size), blob(terms), blob(most.astype(np.int32)), blob(np.diff(first).astype(np.uint8)), blob(doc.astype(np.uint8)), blob(tf.astype(np.uint32))))
                 at += 1
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _INDEX)], schema=_INDEX)
@@ -130,11 +131,12 @@ class Items:
         pair, self.times = np.unique(place * max(1, self.n) + words.doc, return_counts=True)
         self.item = pair % max(1, self.n)
         self.first = np.searchsorted(pair // max(1, self.n), np.arange(len(self.terms) + 1))
-        self.weight, self.exact = self.times, False
+        self.weight, self.exact, self.corpus = self.times, False, Corpus(0, 0)
 
-    def weigh(self, found_in: np.ndarray, docs: int) -> None:
+    def weigh(self, found_in: np.ndarray, of: Corpus) -> None:
         """Weights from how many documents hold each term."""
-        w = np.array([math.floor(1000 * math.log((2 * docs + 2) / (2 * df + 1))) for df in found_in.tolist()], np.int64)
+        self.corpus = of
+        w = np.array([math.floor(1000 * math.log((2 * of.docs + 2) / (2 * df + 1))) for df in found_in.tolist()], np.int64)
         self.weight = self.times * np.repeat(w, np.diff(self.first))
         total = np.bincount(self.item, self.weight, self.n)
         self.exact = bool(total.max(initial=0) * (SCALE // 1000) < 1 << 53)
@@ -167,13 +169,15 @@ class Items:
     def scores(self, block: dict, some: np.ndarray) -> np.ndarray:
         """Documents x items: the scores of all documents of a block for some items."""
         at, here = self.of(np.frombuffer(block["terms"], np.uint64))
-        first = np.frombuffer(block["first"], np.uint32).astype(np.int64)
-        many = first[at + 1] - first[at]
+        every = np.frombuffer(block["many"], np.uint8).astype(np.int64)
+        many, first = every[at], (np.cumsum(every) - every)[at]
         row = np.repeat(np.arange(len(at)), many)
-        post = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[at], many)
+        post = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
         kind = np.float64 if self.exact else np.int64
         have = np.zeros((len(block["ids"]), len(at)), kind)
-        have[np.frombuffer(block["doc"], np.uint8)[post], row] = np.frombuffer(block["impact"], np.int32)[post]
+        doc = np.frombuffer(block["doc"], np.uint8)[post]
+        tf = np.frombuffer(block["tf"], np.uint32)[post].astype(np.int64)
+        have[doc, row] = impacts(tf, np.frombuffer(block["sizes"], np.int64)[doc], self.corpus)
         column = np.full(self.n, -1)
         column[some] = np.arange(len(some))
         term, entry = self.entries(here)
@@ -279,7 +283,7 @@ def scored(blocks: DataFrame, items: Items, least: np.ndarray) -> DataFrame:
 
 def found(blocks: DataFrame, items: Items, of: Corpus) -> DataFrame:
     """item, rank, doc_id, score, in the shared folder."""
-    items.weigh(found_in(blocks, items), of.docs)
+    items.weigh(found_in(blocks, items), of)
     first = seeds(blocks, items).groupBy("block").agg(F.collect_list(F.col("item").cast("int")).alias("asked"))
     tried = ranked(scored(blocks.join(F.broadcast(first), "block").select(*blocks.columns, "asked"), items, np.ones(items.n, np.int64)))
     least = np.ones(items.n, np.int64)

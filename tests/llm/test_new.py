@@ -119,8 +119,8 @@ def test_whole_numbers_are_summed_as_longs_where_doubles_are_not_exact(spark, mo
     docs, items = corpus(np.random.default_rng(3), 80)
     real = ranked.Items.weigh
 
-    def long_sums(self, found_in, n):
-        real(self, found_in, n)
+    def long_sums(self, found_in, of):
+        real(self, found_in, of)
         self.exact, self.weight = False, self.weight.astype(np.int64)
 
     monkeypatch.setattr(ranked.Items, "weigh", long_sums)
@@ -130,15 +130,16 @@ def test_whole_numbers_are_summed_as_longs_where_doubles_are_not_exact(spark, mo
 
 def test_blocks_below_the_threshold_are_not_scored():
     rng = np.random.default_rng(1)
-    items = ranked.Items(["rare1 rare2"])
+    items, of = ranked.Items(["rare1 rare2"]), ranked.Corpus(50, 1000)
     blocks = []
     for b in range(50):
         words = {int(h): 1 for h in rng.integers(1, 2**62, 20)}
         own = items.terms if b in (3, 9) else items.terms[:1] if b % 2 else items.terms[:0]
         terms = np.sort(np.array([*words, *own.tolist()], np.uint64))
-        impact = np.full(len(terms), 9 if b == 3 else 8, np.int32)
-        blocks.append({"block": b, "ids": [b], "terms": terms.tobytes(), "most": impact.tobytes(), "first": np.arange(len(terms) + 1, dtype=np.uint32).tobytes(), "doc": np.zeros(len(terms), np.uint8).tobytes(), "impact": impact.tobytes()})
-    items.weigh(np.array([2, 2]), 50)
+        tf, size = np.full(len(terms), 2 if b == 3 else 1, np.uint32), np.array([20])
+        most = ranked.impacts(tf.astype(np.int64), np.repeat(size, len(tf)), of).astype(np.int32)
+        blocks.append({"block": b, "ids": [b], "sizes": size.tobytes(), "terms": terms.tobytes(), "most": most.tobytes(), "many": np.ones(len(terms), np.uint8).tobytes(), "doc": np.zeros(len(terms), np.uint8).tobytes(), "tf": tf.tobytes()})
+    items.weigh(np.array([2, 2]), of)
     bounds = np.stack([items.bounds(b) for b in blocks])
     full = np.array([items.scores(b, np.array([0]))[0, 0] for b in blocks])
     assert (bounds[:, 0] >= full).all() and bounds[3, 0] == bounds.max()
