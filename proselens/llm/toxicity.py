@@ -3,8 +3,11 @@
 A lexicon acceptor reads each word and gives it a class: insult (with a learned
 weight), threat, target, negation or reported speech.  Insults are words or word
 starts that labelled toxic texts have far more often than clean ones (a
-likelihood-ratio test); the other classes are word lists that a caller may pass,
-by default short closed lists.
+likelihood-ratio test); the other classes are word lists that a caller may pass, by
+default short closed lists, and what the labels add to them: words that stand in
+clauses with an insult and whose texts are then toxic far less often than such texts
+are, by the same test.  They are negations if they mostly stand within three words
+ahead of the insult, else reported speech.
 
 Five weighted transducers read the classes of a clause.  Insult and threat emit a
 weight under a label of their own; negation and report, and at the clause's end the
@@ -152,16 +155,20 @@ FEATURES = 9
 class Scorer:
     """The lexicon, the grammar and the regression."""
 
-    def __init__(self, lexicon: dict[int, float], closed: dict[int, str] = CLOSED):
+    def __init__(self, lexicon: dict[int, float], closed: dict[int, str] = CLOSED, learned: dict[int, int] | None = None):
         keys = sorted(lexicon)
         self.keys = np.array(keys, np.uint64)
         self.weights = np.array([lexicon[k] for k in keys])
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.keys >> np.uint64(36)).astype(np.int64) & ((1 << 20) - 1)] = True
-        self.closed = np.concatenate([_hashes(v.split()) for v in closed.values()])
-        self.kinds = np.concatenate([np.full(len(v.split()), k) for k, v in closed.items()])
+        self.closed = np.concatenate([np.zeros(1, np.uint64), *[_hashes(v.split()) for v in closed.values()]])
+        self.kinds = np.concatenate([[0], *[np.full(len(v.split()), k) for k, v in closed.items()]]).astype(np.int64)
+        more = {h: k for h, k in (learned or {}).items() if h not in set(self.closed.tolist())}
+        self.closed = np.concatenate([self.closed, np.array(sorted(more), np.uint64)])
+        self.kinds = np.concatenate([self.kinds, np.array([more[h] for h in sorted(more)], self.kinds.dtype)])
         order = np.argsort(self.closed)
         self.closed, self.kinds = self.closed[order], self.kinds[order]
+        self.grammar = Grammar()  # its states are kept from batch to batch
         self.coef: np.ndarray | None = None
         self.centre = self.width = None
 
@@ -197,7 +204,7 @@ class Scorer:
         near = np.concatenate([[False], (pick[1:] - pick[:-1]) <= 3])
         kinds, close, doc = kind[pick].tolist(), near.tolist(), words.doc[pick]
         weights = np.where(kind[pick] == THREAT, 1.0, weight[pick]).tolist()
-        grammar = Grammar()
+        grammar = self.grammar
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             channels, threat = grammar.clause(kinds[a:b], close[a:b], weights[a:b])
             row = out[doc[a]]
@@ -269,13 +276,59 @@ def lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[int, float]:
     for r in sample.where("toxic <= 0").select("text").mapInArrow(lean(clean), "n binary").collect():
         other = other + np.frombuffer(bytes(r["n"]), np.int64)
     t, c = np.array([some[k] for k in keys.tolist()], float), other.astype(float)
-    odds = np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1))
-    rate = (t + c) / (n_toxic + n_clean)
-    test = 2 * (t * np.log(np.maximum(t, 1e-9) / (n_toxic * rate)) + np.where(c > 0, c * np.log(np.maximum(c, 1e-9) / (n_clean * rate)), 0.0))
+    odds, test = contrast(t, c, n_toxic, n_clean)
     good = (odds >= ODDS) & (test >= TEST)
     return {int(k): float(w) for k, w in zip(keys[good].view(np.uint64), odds[good])}
 
 
+def company(words: Words, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words that stand in a clause with an insult (of some weight): text, hash, and
+    whether within three words ahead of one; a row for each text and word."""
+    marks = np.concatenate([[0], np.cumsum(_CLAUSE[words.data], dtype=np.int64)])
+    clause = marks[words.starts] + words.doc
+    hot = np.flatnonzero(weight > 0)
+    some = np.flatnonzero(np.isin(clause, clause[hot]) & (weight <= 0)) if len(hot) else hot
+    after = hot[np.minimum(np.searchsorted(hot, some), max(0, len(hot) - 1))] if len(hot) else some
+    near = (after > some) & (after - some <= 3) & (clause[after] == clause[some])
+    order = np.lexsort((~near, words.hash[some], words.doc[some]))
+    doc, own, near = words.doc[some][order], words.hash[some][order], near[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (own[1:] != own[:-1])]) if len(own) else np.zeros(0, bool)
+    return doc[new], own[new], near[new]
+
+
+def modifiers(sample: DataFrame, scorer: Scorer) -> dict[int, int]:
+    """sample: (text, toxic).  Words that soften an insult beside them, and their class."""
+    sent = sample.sparkSession.sparkContext.broadcast(scorer)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = Words.of(batch.column("text"), ALNUM_WORD)
+            doc, own, near = company(words, sent.value.insults(words))
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False) > 0
+            every = np.unique(doc)  # under hash 0, the texts that have such a clause
+            doc, own, near = np.concatenate([doc, every]), np.concatenate([own, np.zeros(len(every), np.uint64)]), np.concatenate([near, np.zeros(len(every), bool)])
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(toxic[doc].astype(np.int64)), pa.array(near.astype(np.int64))], names=["word", "toxic", "near"])
+
+    rows = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(lean(count), "word long, toxic long, near long")
+    rows = rows.groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"), F.sum("near").alias("near")).where(F.col("n") >= SUPPORT).collect()
+    base = next(((r["t"], r["n"] - r["t"]) for r in rows if r["word"] == 0), (0, 0))
+    out = {}
+    for r in rows:
+        if r["word"] and min(base):
+            odds, test = contrast(np.array([float(r["t"])]), np.array([float(r["n"] - r["t"])]), *base)
+            if test[0] >= TEST and odds[0] <= -ODDS:
+                out[int(np.int64(r["word"]).view(np.uint64))] = NEGATION if 2 * r["near"] > r["n"] else REPORT
+    return out
+
+
+def contrast(t: np.ndarray, c: np.ndarray, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds and likelihood-ratio test of counts in toxic and clean texts."""
+    odds = np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1))
+    rate = (t + c) / (n_toxic + n_clean)
+    test = 2 * (np.where(t > 0, t * np.log(np.maximum(t, 1e-9) / (n_toxic * rate)), 0.0) + np.where(c > 0, c * np.log(np.maximum(c, 1e-9) / (n_clean * rate)), 0.0))
+    return odds, test
+
+
 def learn(rows: DataFrame, labels: DataFrame, closed: dict[int, str] = CLOSED) -> Scorer:
     """rows: (doc_id, text); labels: (doc_id, toxic); closed: the words of THREAT,
     TARGET, NEGATION and REPORT."""
@@ -290,7 +343,8 @@ def learn(rows: DataFrame, labels: DataFrame, closed: dict[int, str] = CLOSED) -
     n = {int(r["toxic"]): r["n"] for r in sample.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return Scorer({}, closed)
-    scorer = Scorer(lexicon(sample, n[1], n[0]), closed)
+    words = lexicon(sample, n[1], n[0])
+    scorer = Scorer(words, closed, modifiers(sample, Scorer(words, closed)))
     sent = sample.sparkSession.sparkContext.broadcast(scorer)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

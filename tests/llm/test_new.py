@@ -232,3 +232,21 @@ def test_language_bounds_raise_or_draw_less(spark, monkeypatch):
     monkeypatch.setattr(language, "MODEL_BYTES", 16 * (language.WIDTH + 1) * 2)
     with pytest.raises(ValueError, match="more than 2 languages"):
         language.learn(docs)
+
+
+# learned classes of operator 9
+
+
+def test_words_that_soften_insults_are_learned(spark):
+    from proselens.llm import kernel, toxicity
+
+    own = lambda w: int(kernel.Words.of(pa.array([w]), kernel.ALNUM_WORD).hash[0])
+    rows = [(f"you zorg number{k}. fine", 1) for k in range(60)] + [(f"he is hardly a zorg n{k}", 0) for k in range(30)] + [(f"in the gazette of day{k} some long words called him zorg", 0) for k in range(30)] + [("plain text", 0)] * 40 + [(None, 0)]
+    key = int(toxicity.forms(kernel.Words.of(pa.array(["zorg"]), kernel.ALNUM_WORD))[0][0])
+    sample = spark.createDataFrame(rows, "text string, toxic int")
+    got = toxicity.modifiers(sample, toxicity.Scorer({key: 2.0}, {}))
+    assert got[own("hardly")] == toxicity.NEGATION and got[own("gazette")] == toxicity.REPORT and own("you") not in got and own("fine") not in got
+    assert toxicity.modifiers(sample.where("toxic = 1"), toxicity.Scorer({key: 2.0}, {})) == {} == toxicity.modifiers(sample.limit(0), toxicity.Scorer({key: 2.0}, {}))
+    scorer = toxicity.Scorer({key: 2.0}, toxicity.CLOSED, got)
+    x = scorer.features(pa.array(["He is hardly a zorg", "the gazette called him a zorg", "he is a zorg"]))
+    assert (x[:, 2] > 0).tolist() == [True, False, False] and (x[:, 3] > 0).tolist() == [False, True, False]
