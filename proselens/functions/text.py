@@ -3,8 +3,9 @@ sections, scopes, LaTeX removal, and match positions."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,54 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def every(text: Column | str, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(c(text), F.lit(pattern), F.lit(group))
+    return F.regexp_extract_all(c(text), F.lit(quick(pattern)), F.lit(group))
+
+
+def _firsts(body: str, at: int) -> tuple[set[str] | None, int]:
+    """The letters that a group's alternatives begin with (None where one begins
+    otherwise), and the place behind the group, which begins at `at`."""
+    out: set[str] | None = set()
+    at, begins, depth = at + 3, True, 0
+    while at < len(body):
+        x = body[at]
+        if begins:
+            begins = False
+            if body.startswith("(?:", at):
+                own, behind = _firsts(body, at)
+                out = None if out is None or own is None or body[behind : behind + 1] in ("?", "*", "{") else out | own
+                at = behind
+                continue
+            safe = re.match("[A-Za-z](?![?*{])", body[at:])
+            out = out | {x.lower()} if safe and out is not None else None
+        if x == "\\":
+            at += 2
+            continue
+        if x == "[":
+            at = body.index("]", at + 2)
+        elif x == "(":
+            depth += 1
+        elif x == ")":
+            if not depth:
+                return out, at + 1
+            depth -= 1
+        elif x == "|" and not depth:
+            begins = True
+        at += 1
+    return None, at
+
+
+@cache
+def quick(pattern: str) -> str:
+    """The same pattern with a look at the first letter ahead of a word's alternatives,
+    so that most words are passed over without trying each alternative."""
+    m = re.match(r"((?:\(\?[iU]+\))?\\b)\(\?:", pattern)
+    if not m:
+        return pattern
+    letters, behind = _firsts(pattern, m.end() - 3)
+    if not letters or pattern[behind : behind + 1] in ("?", "*", "{"):
+        return pattern
+    both = "".join(sorted(letters | ({x.upper() for x in letters})))
+    return f"{m[1]}(?=[{both}]){pattern[m.end() - 3 :]}"
 
 
 def lf(text: Column | str) -> Column:

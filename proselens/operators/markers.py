@@ -50,10 +50,20 @@ def prose(text: Column | str) -> Column:
     """Prose for claim markers: no LaTeX regions, lower case, contractions apart,
     and `not only` as one word."""
     drop = [r"(?<!\\)%[^\n]*", MATH_ENV, FIGURE_ENV, r"(?s)\$\$.*?\$\$|\\\[.*?\\\]|\\\(.*?\\\)", INLINE, REFERENCE, r"\\[A-Za-z@]+\*?"]
-    t = reduce(lambda t, p: F.regexp_replace(t, p, " "), drop, tx.c(text))
-    t = F.lower(F.replace(t, F.lit("’"), F.lit("'")))
-    t = reduce(lambda t, x: F.regexp_replace(t, x[0], x[1]), CONTRACTIONS, t)
-    return F.regexp_replace(t, r"\bnot\s+only\b", "not_only")
+    has = lambda t, *parts: reduce(lambda a, p: a | F.contains(t, F.lit(p)), parts[1:], F.contains(t, F.lit(parts[0])))
+
+    def plain(t: Column) -> Column:
+        # what every pattern needs is sought first, as most texts have none of it
+        t = F.when(has(t, "\\", "$", "%"), reduce(lambda t, p: F.regexp_replace(t, p, " "), drop, t)).otherwise(t)
+        return F.lower(F.replace(t, F.lit("’"), F.lit("'")))
+
+    def apart(t: Column) -> Column:
+        return F.when(has(t, "n't", "cannot"), reduce(lambda t, x: F.regexp_replace(t, x[0], x[1]), CONTRACTIONS, t)).otherwise(t)
+
+    def joined(t: Column) -> Column:
+        return F.when(has(t, "only"), F.regexp_replace(t, r"\bnot\s+only\b", "not_only")).otherwise(t)
+
+    return tx.let(tx.let(tx.let(tx.c(text), plain), apart), joined)
 
 
 def numbers(text: Column | str) -> Column:
@@ -63,6 +73,10 @@ def numbers(text: Column | str) -> Column:
 def unit_numbers(text: Column | str) -> Column:
     """Numbers with units: \\SI first, then those in the rest of the text."""
     t = tx.c(text)
+    return F.when(t.rlike(r"(?U)\d|\\SI"), _unit_numbers(t)).otherwise(F.array().cast("array<string>"))
+
+
+def _unit_numbers(t: Column) -> Column:
     si = F.zip_with(tx.every(t, SI, 1), tx.every(t, SI, 2), lambda v, u: F.concat(F.lit("SI:"), tx.squeeze(v), F.lit(":"), tx.squeeze(u)))
     rest = F.regexp_replace(t, SI, " ")
     return F.concat(si, F.zip_with(tx.every(rest, UNIT_NUMBER, 1), tx.every(rest, UNIT_NUMBER, 2), lambda v, u: F.concat_ws(" ", v, tx.squeeze(u))))
@@ -84,6 +98,11 @@ def reference_families(text: Column | str) -> Column:
 def math(text: Column | str) -> Column:
     """Bodies of environments (with their name), then of the delimited kinds."""
     t = tx.c(text)
+    none = F.array().cast("array<string>")
+    return F.when(F.contains(t, F.lit("$")) | F.contains(t, F.lit("\\")), _math(t)).otherwise(none)
+
+
+def _math(t: Column) -> Column:
     envs = F.zip_with(tx.every(t, MATH_ENV, 1), tx.every(t, MATH_ENV, 2), lambda n, b: F.concat(n, F.lit(":"), tx.squeeze(b)))
     rest = F.regexp_replace(t, MATH_ENV, " ")
     return F.concat(envs, *[F.transform(tx.every(rest, p, 1), tx.squeeze) for p in MATH])
@@ -133,7 +152,8 @@ def figures(docs: DataFrame, key: str, text: str) -> DataFrame:
 def term_counts(text: Column | str, terms: list[str]) -> Column:
     """Each term as often as it stands as a whole token, any case."""
     t = tx.c(text)
-    return F.flatten(F.array(*[F.array_repeat(F.lit(x), F.regexp_count(t, F.lit(rf"(?i)(?<![A-Za-z0-9])\Q{x}\E(?![A-Za-z0-9])")).cast("int")) for x in terms]))
+    count = lambda x: F.regexp_count(t, F.lit(rf"(?i)(?<![A-Za-z0-9])\Q{x}\E(?![A-Za-z0-9])")).cast("int")
+    return tx.let(F.lower(t), lambda low: F.flatten(F.array(*[F.when(F.contains(low, F.lit(x.lower())), F.array_repeat(F.lit(x), count(x))).otherwise(F.array().cast("array<string>")) for x in terms])))
 
 
 def _forms(pattern: str) -> list[str]:
