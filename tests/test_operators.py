@@ -262,7 +262,7 @@ def test_reachability_has_no_depth_limit(spark, monkeypatch):
     assert got == want
     monkeypatch.setattr(corpus, "FEW", 3)
     got = corpus.reachable(spark.createDataFrame(long, "src long, dst long"), spark.createDataFrame([(0,)], "node long"))
-    assert sorted(map(tuple, got.where("node <= 40").collect())) == [(k, k) for k in range(41)]
+    assert sorted(map(tuple, got.where("node <= 40").select("node", "depth", "parent").collect()), key=lambda r: r[0]) == [(k, k, k - 1 if k else None) for k in range(41)]
 
 
 def all_scope_pairs(old, new):
