@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,7 +83,7 @@ def _titles(s: S, d: str) -> DataFrame:
     signs."""
     title = F.regexp_extract(F.coalesce("html", F.lit("")), "(?s)<title>(.*?)</title>", 1)
     rows = s.read.parquet(f"{d}/pages.parquet").select("page_id", title.alias("title"))
-    wanted = rows.where("page_id % 2 = 0 and title <> ''").select(F.concat(F.lit("\\emph "), F.replace(F.upper("title"), F.lit(" "), F.lit(" - ")), F.lit("!")).alias("title"))
+    wanted = rows.where("page_id % 2 = 0 and title <> ''").select(F.concat(F.lit("\\emph "), F.replace(F.translate("title", ascii_lowercase, ascii_uppercase), F.lit(" "), F.lit(" - ")), F.lit("!")).alias("title"))
     return records.canonical(rows, wanted).select("page_id")
 
 
@@ -177,6 +179,7 @@ _TOP = _PASSES + ", t AS (SELECT *, rank() OVER (PARTITION BY stage ORDER BY n D
 _SAMPLE = lambda i: f"[{', '.join(Q(x[i]) if isinstance(x[i], str) else str(x[i]).lower() for x in SAMPLES)}][doc_id % {len(SAMPLES)} + 1]"
 _WITH_SAMPLES = f"smp AS (SELECT doc_id, {_SAMPLE(0)} AS rule, {_SAMPLE(1)} AS wanted, coalesce(text, '') AS base, {_SAMPLE(2)} AS more FROM documents), docs AS (SELECT doc_id * 2 AS doc_id, base AS text FROM smp UNION ALL SELECT doc_id * 2 + 1, base || chr(10) || chr(10) || more FROM smp)"
 _PATH = lambda x: f"'f' || (({x}) // 10) || '/n' || (({x}) % 97) || '.md'"
+_UPPER = f"translate(title, '{ascii_lowercase}', '{ascii_uppercase}')"  # engines differ on letters whose upper case is two
 _TITLE = lambda x: f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'))"
 _NORM = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -212,7 +215,7 @@ SELECT * FROM r WHERE target IS NOT NULL AND target <> path""",
     "g6_digest_set": "SELECT count(*)::BIGINT AS n, sha256(coalesce(string_agg(d, chr(10) ORDER BY d), '')) AS digest FROM (SELECT DISTINCT sha256(lang) AS d FROM documents WHERE lang IS NOT NULL)",
     "g8_limits": f"SELECT doc_id, header, lines, header <= {records.HEADER} AND lines <= {records.LINES} AS within FROM (SELECT doc_id, length(string_split(coalesce(text, ''), chr(10))[1])::INT AS header, len(string_split(coalesce(text, ''), chr(10)))::INT AS lines FROM documents)",
     "j18_numbers_in_spans": f"SELECT * FROM (SELECT doc_id, (k - 1)::INT AS span, len(regexp_extract_all(s, '[0-9]+'))::INT AS hits FROM (SELECT doc_id, unnest({oracles.SPANS('text')}) AS s, generate_subscripts({oracles.SPANS('text')}, 1) AS k FROM documents)) WHERE hits > 0",
-    "j24_canonical_titles": f"WITH t AS (SELECT page_id, regexp_extract(coalesce(html, ''), '(?s)<title>(.*?)</title>', 1) AS title FROM pages), n AS (SELECT *, {_TITLE('title')} AS own, {_TITLE('upper(title)')} AS other FROM t) SELECT page_id FROM n WHERE own IN (SELECT other FROM n WHERE page_id % 2 = 0 AND title <> '')",
+    "j24_canonical_titles": f"WITH t AS (SELECT page_id, regexp_extract(coalesce(html, ''), '(?s)<title>(.*?)</title>', 1) AS title FROM pages), n AS (SELECT *, {_TITLE('title')} AS own, {_TITLE(_UPPER)} AS other FROM t) SELECT page_id FROM n WHERE own IN (SELECT other FROM n WHERE page_id % 2 = 0 AND title <> '')",
     "j31_admission": "WITH f AS (SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents) SELECT doc_id, digest, digest IN (SELECT digest FROM f WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS admitted FROM f",
     "j32_same_order": """WITH a AS (SELECT conv_id AS series, coalesce(text, '') AS a, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations),
 b AS (SELECT conv_id AS series, coalesce(CASE WHEN conv_id % 5 = 2 THEN upper(text) ELSE text END, '') AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn, CASE WHEN conv_id % 5 = 2 THEN upper(text) ELSE text END) AS k FROM conversations WHERE NOT (conv_id % 3 = 1 AND turn = 1))
