@@ -536,6 +536,14 @@ def test_trie_precedence():
     assert say("x.org", "/es/1") == "allow" and say("a.b", "/p/q") == "block" and say("q.q", "/any/") == "block" and say("", "") is None
 
 
+def test_registered_rules_are_those_of_the_contract(spark, tmp_path):
+    contract = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    assert ", ".join(f"{action} {host}{path}" for action, host, path in urls.RULES) == contract
+    spark.createDataFrame([(1, "http://h.net/de/1"), (2, "http://m.example.net/de/8"), (3, "http://h.net/en/1")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.query(spark, str(tmp_path)).collect()}
+    assert got == {1: ("net/de/", "allow"), 2: ("example.net/de/8", "block"), 3: (None, "allow")}
+
+
 # 7 decontamination
 
 
