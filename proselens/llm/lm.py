@@ -46,6 +46,8 @@ MOST_BITS, PROBES = 29, 4
 HEAD = 1 << 19
 #: tokens that a task counts before it passes its counts on
 FLUSH = 2_500_000
+#: keys that are read from a segment at once
+SLAB = 1 << 18
 RATIO = 1.25
 END = np.uint64(0x5EED0FE2D0C5A11D)
 BEGIN = np.uint64(0xB0B51DED5EED0001)
@@ -248,6 +250,35 @@ def _broadcast_lookup(docs: DataFrame, model: Model) -> DataFrame:
     return keep(docs.mapInArrow(lean(look), ROWS), "looked")
 
 
+def _joined(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all rows in their order, and the n + 1 places where rows begin."""
+    return np.frombuffer(b"".join(blobs), np.uint64), np.concatenate([[0], np.cumsum([len(x) // 8 for x in blobs], dtype=np.int64)])
+
+
+def _in_slabs(bits: Bits, keys: np.ndarray) -> np.ndarray:
+    """Levels of any number of keys, SLAB at a time."""
+    return np.concatenate([np.zeros(0, np.uint8), *[bits.level(keys[k : k + SLAB], len(CODE)).astype(np.uint8) for k in range(0, len(keys), SLAB)]])
+
+
+def _answer(t: pa.Table, seg: int) -> pa.Table:
+    """Levels and counts of the keys that all chunks ask of one range; its row of the
+    count table is that of chunk -1."""
+    rows = t.to_pylist()
+    held = [dict(zip(("word_keys", "word_counts", "pair_keys", "pair_counts"), (r[x] for x in "abcd"))) for r in rows if r["chunk"] < 0]
+    known, n = (np.frombuffer(held[0][x], kind) if held else np.zeros(0, kind) for x, kind in (("word_keys", np.uint64), ("word_counts", np.int64)))
+    bits = Bits(0, seg, PROBES)
+    bits.data = np.frombuffer(bits.segment(np.zeros(0, np.uint64), np.zeros(0, np.int64)) if not held else segment_of(bits, held[0]), np.uint8)
+    asked = [r for r in rows if r["chunk"] >= 0]
+    # a range has a row of few keys for each chunk, so keys of many rows are read at once
+    words, at_word = _joined([r["a"] for r in asked])
+    both, at_both = _joined([r["b"] for r in asked])
+    at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
+    count = np.where(known[at] == words, n[at], 0) if len(known) else np.zeros(len(words), np.int64)
+    level, pair = (_in_slabs(bits, x) for x in (words, both))
+    out = [{"chunk": r["chunk"], "part": r["part"], "a": blob(level[w : w_end]), "b": blob(pair[p : p_end]), "c": blob(count[w : w_end])} for r, w, w_end, p, p_end in zip(asked, at_word, at_word[1:], at_both, at_both[1:])]
+    return pa.Table.from_pylist(out, _ROWS)
+
+
 def _segment_lookup(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """The same with the filter in segments: keys go to their range, levels and exact
     counts come back.  A chunk sends each distinct key once."""
@@ -265,21 +296,6 @@ def _segment_lookup(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
             rows = [(task + k, -1, blob(at_word.astype(np.uint32)), blob(at_both.astype(np.uint32)), blob(np.diff(offs)), None, batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist())]
             yield _rows(rows + [(task + k, int(p), *[blob(x[c[p] : c[p + 1]]) for x, c in zip((words, both), cuts)]) for p in full])
 
-    def answer(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        held = [dict(zip(("word_keys", "word_counts", "pair_keys", "pair_counts"), (r[x] for x in "abcd"))) for r in rows if r["chunk"] < 0]
-        known, n = (np.frombuffer(held[0][x], kind) if held else np.zeros(0, kind) for x, kind in (("word_keys", np.uint64), ("word_counts", np.int64)))
-        bits = Bits(0, seg, PROBES)
-        bits.data = np.frombuffer(bits.segment(np.zeros(0, np.uint64), np.zeros(0, np.int64)) if not held else segment_of(bits, held[0]), np.uint8)
-        out = []
-        for r in rows:
-            if r["chunk"] >= 0:
-                words, both = np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], np.uint64)
-                at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
-                c = np.where(known[at] == words, n[at], 0) if len(known) else np.zeros(len(words), np.int64)
-                out.append({"chunk": r["chunk"], "part": r["part"], "a": blob(bits.level(words, len(CODE)).astype(np.uint8)), "b": blob(bits.level(both, len(CODE)).astype(np.uint8)), "c": blob(c)})
-        return pa.Table.from_pylist(out, _ROWS)
-
     def gather(t: pa.Table) -> pa.Table:
         rows = sorted(t.to_pylist(), key=lambda r: r["part"])
         top, rest = rows[0], rows[1:]
@@ -294,7 +310,7 @@ def _segment_lookup(docs: DataFrame, model: Model, counts: DataFrame) -> DataFra
     rows = keep(docs.mapInArrow(lean(ask), ROWS), "asked")
     none = [F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<boolean>").alias("held")]
     held = counts.select(F.lit(-1).cast("long").alias("chunk"), "part", *[F.col(c).alias(x) for c, x in zip(("word_keys", "word_counts", "pair_keys", "pair_counts"), "abcd")], *none)
-    replies = rows.where("part >= 0").unionByName(held).groupBy("part").applyInArrow(lean_group(answer), ROWS)
+    replies = rows.where("part >= 0").unionByName(held).groupBy("part").applyInArrow(lean_group(lambda t: _answer(t, seg)), ROWS)
     return keep(rows.where("part < 0").unionByName(replies).groupBy("chunk").applyInArrow(lean_group(gather), ROWS), "looked")
 
 

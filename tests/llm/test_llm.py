@@ -181,6 +181,25 @@ def test_lm_filter_in_segments_scores_alike(spark, small, monkeypatch):
         assert apart[k][:5] == v[:5] and apart[k][5:] == pytest.approx(v[5:], rel=1e-9)
 
 
+def test_lm_segment_is_read_for_many_chunks_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    keys, n = np.unique(rng.integers(0, 2**63, 900, dtype=np.uint64)), np.arange(900) % 40 + 1
+    half = {"word_keys": keys[:400], "word_counts": n[:400].astype(np.int64), "pair_keys": keys[400:], "pair_counts": n[400:].astype(np.uint32)}
+    rows = [(-1, 5, *[kernel.blob(x) for x in half.values()])]
+    chunks = [(np.sort(rng.choice(keys[:400], k % 4)), np.sort(rng.choice(keys[400:], 3))) for k in range(300)]
+    rows += [(k, 5, kernel.blob(a), kernel.blob(b)) for k, (a, b) in enumerate(chunks)]
+    calls, level = [], kernel.Bits.level
+    monkeypatch.setattr(kernel.Bits, "level", lambda self, k, most: calls.append(len(k)) or level(self, k, most))
+    monkeypatch.setattr(lm, "SLAB", 250)
+    got = {r["chunk"]: r for r in lm._answer(pa.Table.from_batches([lm._rows(rows)]), 20).to_pylist()}
+    assert len(calls) < 12 and max(calls) <= 250 and len(got) == 300
+    of = dict(zip(keys.tolist(), n.tolist()))
+    for k, (a, b) in enumerate(chunks):
+        assert np.frombuffer(got[k]["c"], np.int64).tolist() == [of[x] for x in a.tolist()]
+        for name, own in (("a", a), ("b", b)):
+            assert np.frombuffer(got[k][name], np.uint8).tolist() == lm.quantised(np.array([of[x] for x in own.tolist()], np.int64)).tolist()
+
+
 # 2 quality
 
 
