@@ -27,10 +27,43 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
+def unnest(df: DataFrame, keep: list[Column | str], array: Column | str, name: str, at: str = "_at") -> DataFrame:
+    """keep, at (0-based) and name: a row for each element of an array.  The outer form
+    is used and empty arrays go afterwards: before the inner one Spark puts a filter on
+    the array's size, which computes the whole array a second time."""
+    return df.select(*keep, F.posexplode_outer(array).alias(at, name)).where(F.col(at).isNotNull())
+
+
 def every(text: Column | str, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c(text), F.lit(quick(pattern)), F.lit(group))
 
 
+def where_any(low: Column, cues: list[str], found: Column) -> Column:
+    """found, an array of strings, where a text in lower case holds one of the cues; else
+    empty, and not computed.  Plain substrings cost a small part of a pattern."""
+    if not cues:
+        return found
+    return F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in cues]), found).otherwise(F.array().cast("array<string>"))
+
+
+def leading(form: str) -> str:
+    """The letters and digits that a word or phrase begins with, in lower case."""
+    return re.match("[a-z0-9]+", form.lower())[0]  # type: ignore[index]
+
+
+def led_by(low: Column, forms: list[str]) -> Column:
+    """Which of the forms a text (in lower case) can hold: the beginnings of forms that
+    stand in it, each behind a blank.  One pass finds those of all forms, and as they end
+    before any blank or hyphen, none hides another."""
+    cues = sorted({leading(f) for f in forms}, key=lambda x: (-len(x), x))
+    return F.concat(F.lit(" "), F.array_join(every(low, r"\b(?:" + "|".join(cues) + ")"), " "))
+
+
+def may_hold(led: Column, forms: list[str]) -> Column:
+    """Whether one of the forms can stand in a text of which `led_by` gave this."""
+    return reduce(lambda a, b: a | b, [F.contains(led, F.lit(f" {x}")) for x in sorted({leading(f) for f in forms})])
+
+
 def _firsts(body: str, at: int) -> tuple[set[str] | None, int]:
     """The letters that a group's alternatives begin with (None where one begins
     otherwise), and the place behind the group, which begins at `at`."""
@@ -110,10 +143,15 @@ def paragraphs(text: Column | str) -> Column:
     return F.filter(F.transform(F.split(c(text), r"\n\s*\n"), squeeze), lambda p: p != "")
 
 
+def pieces(paragraph: Column | str) -> Column:
+    """What a paragraph is cut into behind a mark and before a capital, digit, back-tick
+    or backslash."""
+    return F.transform(F.split(c(paragraph), r"(?<=[.!?])\s+(?=[A-Z0-9`\\])"), squeeze)
+
+
 def sentences(paragraph: Column | str) -> Column:
-    """Sentences of more than one word, cut behind a mark and before a capital,
-    digit, back-tick or backslash."""
-    return F.filter(F.transform(F.split(c(paragraph), r"(?<=[.!?])\s+(?=[A-Z0-9`\\])"), squeeze), lambda s: F.size(words(s)) > 1)
+    """Pieces of more than one word."""
+    return F.filter(pieces(paragraph), lambda s: F.size(words(s)) > 1)
 
 
 def sentence_spans(text: Column | str) -> Column:
@@ -152,7 +190,7 @@ def after(at: Column, piece: Column) -> Column:
 
 def places(text: Column | str, pattern: str) -> Column:
     """Matches of a text with their places; a text without one is not cut."""
-    t = c(text)
+    t, pattern = c(text), quick(pattern)
     none = F.array().cast("array<struct<match:string,start:int,line:int,column:int>>")
     return F.when(t.rlike(pattern), F.filter(cut(t, pattern), lambda x, i: i % 2 == 1)).otherwise(none)
 
@@ -166,7 +204,7 @@ def matches(df: DataFrame, text: str, pattern: str, keep: list[str]) -> DataFram
     """A row per match: the columns of `keep`, ordinal (1-based), match, start
     (0-based code points)."""
     hit = F.transform(places(text, pattern), lambda x, i: F.struct((i + 1).alias("ordinal"), x["match"].alias("match"), x["start"].alias("start")))
-    return df.select(*keep, F.explode(hit).alias("_hit")).select(*keep, "_hit.*")
+    return unnest(df, keep, hit, "_hit").select(*keep, "_hit.*")
 
 
 #: fixed values: headings of sections, and the types of titles in their order
@@ -192,7 +230,7 @@ def sections(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     heading is Preamble (left out if blank); a text without headings is one
     section named Document."""
     marked = F.split(F.regexp_replace(F.col(text), HEADING, "\u0001$1$2\u0002"), "\u0001")
-    parts = df.select(*keep, F.posexplode(marked).alias("sec_no", "_part"), F.size(marked).alias("_n"))
+    parts = unnest(df.withColumn("_parts", marked), [*keep, F.size("_parts").alias("_n")], "_parts", "_part", "sec_no")
     head = F.when(F.col("_n") == 1, "Document").when(F.col("sec_no") == 0, "Preamble").otherwise(squeeze(F.substring_index("_part", "\u0002", 1)))
     body = F.when(F.col("sec_no") == 0, F.col("_part")).otherwise(F.substring_index("_part", "\u0002", -1))
     out = parts.select(*keep, "sec_no", head.alias("title"), body.alias("body"))

@@ -186,7 +186,7 @@ def long_form(pairs: DataFrame, extractors: dict, key: str = "pair_id") -> DataF
     either side.  extractors: category to a function from text to an array."""
 
     each = [F.struct(F.lit(side).alias("side"), F.lit(cat).alias("category"), make(side).alias("values")) for side in ("before", "after") for cat, make in extractors.items()]
-    rows = pairs.select(key, F.explode(F.array(*each)).alias("x")).select(key, "x.side", "x.category", F.explode("x.values").alias("value"))
+    rows = tx.unnest(tx.unnest(pairs, [key], F.array(*each), "x"), [key, "x.side", "x.category"], "x.values", "value")
     return counted(rows, key)
 
 

@@ -20,7 +20,7 @@ def scoped_differences(pairs: DataFrame, once: tuple[str, ...] = ()) -> DataFram
     `once` count once in a scope, however often they stand there."""
     cut = pairs.select("pair_id", tx.scopes(mk.prose("before")).alias("old"), tx.scopes(mk.prose("after")).alias("new"))
     rows = align.changed_scopes(cut)  # equal scopes have equal markers, which cancel
-    rows = rows.select("pair_id", "scope", "side", F.explode(mk.prose_claims(F.col("text"))).alias("value"))
+    rows = tx.unnest(rows, ["pair_id", "scope", "side"], mk.prose_claims(F.col("text")), "value")
     n = lambda side: F.count_if(F.col("side") == side)
     kind = F.substring_index("value", ":", 1).isin(*once) if once else F.lit(False)
     both = rows.groupBy("pair_id", "scope", "value").agg(n("old").alias("n_old"), n("new").alias("n_new"))
