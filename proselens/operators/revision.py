@@ -116,16 +116,25 @@ def occurrences(pairs: DataFrame, ladders: dict[str, list[list[str]]], side: str
     """pair_id, ladder, ordinal, match, level, start, anchored; all ladders in one
     plan.  With `anchored`, ladders that have anchors keep only words with one at
     most two words away and no punctuation between."""
-    out = None
+    none = F.array().cast("array<struct<match:string,start:int,line:int,column:int>>")
+
+    own = {name: [w for t in tiers for w in t] for name, tiers in ladders.items()}
+
+    def found(led: Column) -> Column:
+        each = F.array(*[F.struct(F.lit(name).alias("ladder"), F.when(tx.may_hold(led, forms), tx.places(side, _alternation(forms))).otherwise(none).alias("hits")) for name, forms in own.items()])
+        return F.filter(each, lambda x: F.size(x["hits"]) > 0)
+
+    rows = tx.unnest(pairs, ["pair_id", side], tx.let(tx.led_by(F.lower(side), [w for forms in own.values() for w in forms]), found), "x")
+    rows = tx.unnest(rows, ["pair_id", side, "x.ladder"], "x.hits", "h").select("pair_id", side, "ladder", "h.match", "h.start")
+    level, ok = F.lit(None).cast("int"), F.lit(True)
     for name, tiers in ladders.items():
-        level = reduce(lambda c, x: F.when(F.lower("match").isin([w.lower() for w in x[1]]), x[0]).otherwise(c), list(enumerate(tiers)), F.lit(None).cast("int"))
-        rows = tx.matches(pairs, side, _alternation([w for t in tiers for w in t]), ["pair_id", side]).withColumn("level", level)
-        ok = near_anchor(F.col(side), F.col("match"), F.col("start"), ANCHORS[name]) if name in ANCHORS else F.lit(True)
-        rows = rows.withColumn("anchored", ok)
-        if anchored:
-            rows = rows.where("anchored")
-        rows = rows.select("pair_id", F.lit(name).alias("ladder"), "match", "level", "start", "anchored")
-        out = rows if out is None else out.unionByName(rows)
+        mine = F.col("ladder") == name
+        level = reduce(lambda c, x: F.when(mine & F.lower("match").isin([w.lower() for w in x[1]]), x[0]).otherwise(c), list(enumerate(tiers)), level)
+        if name in ANCHORS:
+            ok = F.when(mine, near_anchor(F.col(side), F.col("match"), F.col("start"), ANCHORS[name])).otherwise(ok)
+    out = rows.select("pair_id", "ladder", "match", level.alias("level"), "start", ok.alias("anchored"))
+    if anchored:
+        out = out.where("anchored")
     by = W.partitionBy("pair_id", "ladder").orderBy("start")
     return out.withColumn("ordinal", F.row_number().over(by))
 
@@ -146,7 +155,10 @@ def near_anchor(text: Column, match: Column, start: Column, anchors: list[str])
 def moves(pairs: DataFrame, ladders: dict[str, list[list[str]]] = LADDERS, anchored: bool = False) -> DataFrame:
     """The n-th old word against the n-th new one; what has no partner is
     left out."""
-    old, new = occurrences(pairs, ladders, "before", anchored), occurrences(pairs, ladders, "after", anchored)
+    return _moved(occurrences(pairs, ladders, "before", anchored), occurrences(pairs, ladders, "after", anchored))
+
+
+def _moved(old: DataFrame, new: DataFrame) -> DataFrame:
     both = old.alias("o").join(new.alias("n"), ["pair_id", "ladder", "ordinal"])
     return both.where("n.level <> o.level").select("pair_id", "ladder", "ordinal", F.lower("o.match").alias("original"), F.lower("n.match").alias("revised"), (F.col("n.level") - F.col("o.level")).alias("span"))
 
@@ -160,7 +172,7 @@ def crypto_moves(pairs: DataFrame) -> DataFrame:
     sides hold each level equally often nothing moved: at most, words changed place."""
     old, new = (occurrences(pairs, CRYPTO, side, True) for side in ("before", "after"))
     same = _levels(old, "a").join(_levels(new, "b"), ["pair_id", "ladder"]).where("a = b").select("pair_id", "ladder")
-    return moves(pairs, CRYPTO, True).join(same, ["pair_id", "ladder"], "left_anti")
+    return _moved(old, new).join(same, ["pair_id", "ladder"], "left_anti")
 
 
 def candidates(pairs: DataFrame) -> DataFrame:
@@ -187,7 +199,7 @@ def removed_by_count(pairs: DataFrame, pattern: str, name: str) -> DataFrame:
 def removed_by_token(pairs: DataFrame, pattern: str = QUALIFIER) -> DataFrame:
     """Occurrences of a phrase beyond those that the revision still has."""
     after = F.transform(tx.every("after", pattern), F.lower)
-    rows = tx.matches(pairs.withColumn("_after", after), "before", pattern, ["pair_id", "_after"])
+    rows = tx.matches(pairs.where(F.col("before").rlike(pattern)).withColumn("_after", after), "before", pattern, ["pair_id", "_after"])
     rows = rows.withColumn("_r", F.row_number().over(W.partitionBy("pair_id", F.lower("match")).orderBy("start")))
     return rows.where(F.col("_r") > F.size(F.filter("_after", lambda x: x == F.lower(F.col("match"))))).select("pair_id", F.col("match"), "start")
 
