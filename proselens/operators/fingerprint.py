@@ -26,10 +26,10 @@ BASELINE = ["mean_sentence_length", "sentence_length_sd", "alternation_index", "
 THIN = 5
 
 
-def opening(sentence: Column | str) -> Column:
-    """What a sentence opens with; connectives win over clause openers."""
+def opening(sentence: Column | str, first: Column) -> Column:
+    """What a sentence opens with (first: its first word, in lower case); connectives win
+    over clause openers."""
     s = tx.c(sentence)
-    first = F.lower(F.regexp_extract(s, tx.WORD, 0))
     return (
         F.when(first == "", "other")
         .when(first.isin(CONNECTIVES), "connective")
@@ -50,30 +50,40 @@ def _flag(kind: Column) -> Column:
 
 
 def hedge_count(text: Column) -> Column:
-    return reduce(lambda a, h: a + F.regexp_count(text, F.lit(rf"(?i)\b{h}\b")), HEDGES, F.lit(0))
+    """All hedges; no two of them share a word, so one pass counts all."""
+    return F.regexp_count(text, F.lit(tx.quick(rf"(?i)\b(?:{'|'.join(HEDGES)})\b")))
 
 
 def paragraph_rows(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """A row per paragraph with its counts and the list of its sentences' facts."""
-    paras = docs.select(*keep, F.posexplode(tx.paragraphs(text)).alias("par_no", "paragraph"))
-    words = lambda s: F.size(tx.words(s))
-    facts = lambda s: F.struct(
-        words(s).alias("n"),
-        opening(s).alias("opening"),
-        s.rlike(PASSIVE).alias("passive"),
-        hedge_count(s).alias("hedges"),
-        s.rlike(CLAIM).alias("claim"),
-        F.size(F.array_intersect(F.transform(tx.words(s), F.lower), F.array(*[F.lit(x) for x in CONNECTIVES]))).alias("connectives"),
-    )
+    paras = tx.unnest(docs, keep, tx.paragraphs(text), "paragraph", "par_no")
+    known = F.array(*[F.lit(x) for x in CONNECTIVES])
+
+    def facts(x: Column) -> Column:
+        s, w = x["s"], x["w"]
+        return F.struct(
+            F.size(w).alias("n"),
+            opening(s, F.lower(F.get(w, F.lit(0)))).alias("opening"),
+            s.rlike(tx.quick(PASSIVE)).alias("passive"),
+            hedge_count(s).alias("hedges"),
+            s.rlike(tx.quick(CLAIM)).alias("claim"),
+            F.size(F.array_intersect(F.transform(w, F.lower), known)).alias("connectives"),
+        )
+
+    # words of a sentence are read once; as no word spans a blank, those of all pieces
+    # of a paragraph are those of the paragraph
+    pieces = F.transform(tx.pieces("paragraph"), lambda s: F.struct(s.alias("s"), tx.words(s).alias("w")))
+    read = lambda p: F.struct(F.aggregate(p, F.lit(0), lambda a, x: a + F.size(x["w"])).alias("words"), F.transform(F.filter(p, lambda x: F.size(x["w"]) > 1), facts).alias("sentences"))
     n = F.expr("transform(sentences, x -> x.n)")
     gaps = F.when(F.size("sentences") > 1, F.aggregate(F.transform(F.sequence(F.lit(1), F.size("sentences") - 1), lambda i: F.abs(F.element_at(n, i + 1) - F.element_at(n, i))), F.lit(0), lambda a, x: a + x))
     return (
-        paras.withColumn("sentences", F.transform(tx.sentences("paragraph"), facts))
-        .withColumn("words", words(F.col("paragraph")))
+        paras.withColumn("_read", tx.let(pieces, read))
+        .withColumns({"sentences": F.col("_read.sentences"), "words": F.col("_read.words")})
+        .drop("_read")
         .withColumn("dashes", F.length("paragraph") - F.length(F.replace(F.col("paragraph"), F.lit("—"), F.lit(""))))
-        .withColumn("person", F.regexp_count("paragraph", F.lit(PERSON)))
-        .withColumn("contributions", F.regexp_count("paragraph", F.lit(CONTRIBUTION)))
-        .withColumn("limitations", F.regexp_count("paragraph", F.lit(LIMITATION)))
+        .withColumn("person", F.regexp_count("paragraph", F.lit(tx.quick(PERSON))))
+        .withColumn("contributions", F.regexp_count("paragraph", F.lit(tx.quick(CONTRIBUTION))))
+        .withColumn("limitations", F.regexp_count("paragraph", F.lit(tx.quick(LIMITATION))))
         .withColumn("gap_sum", gaps)
         .withColumn("openings", F.aggregate(F.transform("sentences", lambda x: _flag(x["opening"])), F.lit(0), lambda a, x: a.bitwiseOR(x)))
         .withColumn("first_opening", F.coalesce(_flag(F.get("sentences", F.lit(0))["opening"]), F.lit(0)))
@@ -170,13 +180,13 @@ def by_section_type(docs: DataFrame) -> DataFrame:
 
 def openings(docs: DataFrame) -> DataFrame:
     """How often each opening type occurs: in all sentences, and first in paragraphs."""
-    rows = paragraph_rows(docs, ["doc_id"]).select("doc_id", F.posexplode("sentences").alias("k", "s"))
+    rows = tx.unnest(paragraph_rows(docs, ["doc_id"]), ["doc_id"], "sentences", "s", "k")
     return rows.groupBy("doc_id", F.col("s.opening").alias("opening")).agg(F.count("*").alias("n"), F.count_if(F.col("k") == 0).alias("first"))
 
 
 def claim_positions(docs: DataFrame) -> DataFrame:
     """Mean of the places of claims, each as a share of its paragraph."""
-    rows = paragraph_rows(docs, ["doc_id"]).select("doc_id", F.size("sentences").alias("n"), F.posexplode("sentences").alias("k", "s")).where("s.claim")
+    rows = tx.unnest(paragraph_rows(docs, ["doc_id"]), ["doc_id", F.size("sentences").alias("n")], "sentences", "s", "k").where("s.claim")
     return rows.groupBy("doc_id").agg(F.count("*").alias("claims"), F.sum(((F.col("k") + 1) * 1000000 / F.col("n")).cast("long")).alias("position_sum"))
 
 
@@ -220,6 +230,6 @@ def compared(measured: DataFrame, base: DataFrame, key: str = "doc_id", limit: f
 
 def adjacent_gaps(docs: DataFrame) -> DataFrame:
     """Lengths of sentences and their distance to the one before, by paragraph."""
-    rows = paragraph_rows(docs, ["doc_id"]).select("doc_id", "par_no", F.posexplode("sentences").alias("k", "s"))
+    rows = tx.unnest(paragraph_rows(docs, ["doc_id"]), ["doc_id", "par_no"], "sentences", "s", "k")
     by = W.partitionBy("doc_id", "par_no").orderBy("k")
     return rows.select("doc_id", "par_no", "k", F.col("s.n").alias("n"), F.abs(F.col("s.n") - F.lag("s.n").over(by)).alias("gap"))
