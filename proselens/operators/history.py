@@ -35,7 +35,7 @@ def common(stages: DataFrame, items: Column) -> DataFrame:
     """Keys (lower case) that all stages of a series hold, in the first
     stage's first spelling."""
     every = stages.groupBy("series").agg(F.countDistinct("stage").alias("stages"))
-    rows = stages.select("series", "stage", F.posexplode(items).alias("pos", "spelling")).withColumn("key", F.lower("spelling"))
+    rows = tx.unnest(stages, ["series", "stage"], items, "spelling", "pos").withColumn("key", F.lower("spelling"))
     got = rows.groupBy("series", "key").agg(F.countDistinct("stage").alias("n"), F.min_by("spelling", F.struct("stage", "pos")).alias("spelling"))
     return got.join(every, "series").where("n = stages").select("series", "key", "spelling")
 
@@ -56,9 +56,17 @@ def shingles(text: Column | str = "text", n: int = 4, long_word: int = 6) -> Col
 
 
 def common_expressions(stages: DataFrame, most: int = EXPRESSIONS) -> DataFrame:
-    """The first shared expressions in order, at most `most` for a series."""
-    rows = common(stages, shingles()).withColumn("place", F.row_number().over(W.partitionBy("series").orderBy("key")))
-    return rows.where(F.col("place") <= most).select("series", "place", F.col("key").alias("expression"))
+    """The first shared expressions in order, at most `most` for a series.
+
+    The texts of a series come together, and their expressions are made and compared in
+    its row: an expression for each word is many times the text, and is never shuffled.
+    Rows that share a series and stage count as one stage; a null text is empty."""
+    texts = stages.where(F.col("stage").isNotNull()).groupBy("series").agg(F.collect_list(F.struct("stage", F.coalesce("text", F.lit("")).alias("text"))).alias("v"))
+    of = lambda k: F.array_distinct(F.flatten(F.transform(F.filter("v", lambda x: x["stage"] == k), lambda x: shingles(x["text"]))))
+    none = F.lit(None).cast("array<string>")
+    shared = F.aggregate(F.array_distinct(F.transform("v", lambda x: x["stage"])), none, lambda own, k: F.when(own.isNull(), of(k)).otherwise(F.array_intersect(own, of(k))))
+    rows = tx.unnest(texts, ["series"], F.slice(F.array_sort(shared), 1, most), "expression")
+    return rows.select("series", (F.col("_at") + 1).alias("place"), "expression")
 
 
 def without_reserved(paragraphs: DataFrame, reserved: DataFrame) -> DataFrame:
@@ -77,25 +85,30 @@ def rule_changes(pairs: DataFrame) -> DataFrame:
 def classified(pairs: DataFrame) -> DataFrame:
     """The passes that a change of one text belongs to."""
     count = lambda t: F.array_sort(F.transform(rules.hits(t), lambda h: h["rule"]))
-    three = lambda t: F.size(F.filter(count(t), lambda r: r == 3))
+    three = lambda own: F.size(F.filter(own, lambda r: r == 3))
     scope = lambda t: tx.every(t, CLAIM_WORDS)
     status = F.when(F.col("before") == F.col("after"), "equal").when(F.trim("before") == "", "inserted").when(F.trim("after") == "", "deleted").otherwise("modified")
-    rows = pairs.withColumn("status", status)
-    passes = F.array_compact(
-        F.array(
-            F.when(scope("before") != scope("after"), "P1"),
-            F.when(F.col("status").isin("inserted", "deleted"), "P2"),
-            F.when(three("before") != three("after"), "P3"),
-            F.when(F.col("status") == "modified", "P4"),
-            F.when(count("before") != count("after"), "P5"),
+
+    def passes(b: Column, a: Column) -> Column:
+        return F.array_compact(
+            F.array(
+                F.when(scope("before") != scope("after"), "P1"),
+                F.when(F.col("status").isin("inserted", "deleted"), "P2"),
+                F.when(three(b) != three(a), "P3"),
+                F.when(F.col("status") == "modified", "P4"),
+                F.when(b != a, "P5"),
+            )
         )
-    )
-    return rows.select("series", "stage", "status", passes.alias("passes"))
+
+    # rules read each side once; what is equal has no passes and is not read
+    own = tx.let(F.struct(count("before").alias("b"), count("after").alias("a")), lambda x: passes(x["b"], x["a"]))
+    rows = pairs.withColumn("status", status).withColumn("passes", F.when(F.col("status") == "equal", F.array().cast("array<string>")).otherwise(own))
+    return rows.select("series", "stage", "status", "passes")
 
 
 def pass_counts(changes: DataFrame) -> DataFrame:
     """How many series change by each pass, at each stage."""
-    return changes.select("stage", F.explode("passes").alias("pass")).groupBy("stage", "pass").agg(F.count("*").alias("n"))
+    return tx.unnest(changes, ["stage"], "passes", "pass").groupBy("stage", "pass").agg(F.count("*").alias("n"))
 
 
 def dominant(counts: DataFrame) -> DataFrame:
