@@ -134,7 +134,7 @@ def _values(pairs: DataFrame, make) -> DataFrame:  # type: ignore[no-untyped-def
 
 
 def _one_rule(n: int):  # type: ignore[no-untyped-def]
-    return lambda s, d: _report(s, d).where((F.col("rule") == n) & (F.col("hits") > 0)).select("doc_id", "hits")
+    return lambda s, d: rules.report(_docs(s, d), only=[n]).where(F.col("hits") > 0).select("doc_id", "hits")
 
 
 _RULES = {1: "importance", 2: "adjective", 3: "domain_phrase", 4: "filler", 5: "connectors", 6: "shell", 7: "nominals", 8: "paraphrase", 9: "hedges", 10: "participle", 11: "copula", 12: "not_only", 13: "triple", 14: "dashes"}
