@@ -635,3 +635,57 @@ def test_a_field_is_set_once(spark):
     for bad in ("direction: old\nfingerprint:\n", "direction:\ndirection:\n", "x: 1\n", "fingerprint:\nfingerprint:\n"):
         with pytest.raises(Exception):
             put(bad)
+
+
+def _runs(df, what):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(what)
+
+
+def test_one_rule_runs_no_other(spark):
+    plan = rules.report(one(spark, "It ran, improving things a lot."), only=[10])._jdf.queryExecution().optimizedPlan().toString()
+    assert "thereby" in plan and "tapestry" not in plan
+
+
+def test_rules_read_each_side_once(spark):
+    rows = spark.createDataFrame([(1, 0, "It is pivotal.", "It is useful.")], "series long, stage int, before string, after string")
+    plan = history.pass_counts(history.classified(rows))
+    assert _runs(plan, "(?:thereby") == 2
+    assert {tuple(r) for r in plan.collect()} == {(0, "P4", 1), (0, "P5", 1)}
+
+
+def test_leading_words_hide_no_rule(spark):
+    texts = ["It boasts a landscape, not only Game-changing.", "Intricate? MOREOVER it. However, it. Furthermore, it.", "secure and\nefficient", "Full homomorphic encryption serves as it", "x_efficient efficiently"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bare = F.concat(*[F.array_repeat(F.lit(n), F.size(own)) for n, own in [(n, tx.every("text", p)) for n, _, p in rules.PATTERNS if n != 10] + [(2, F.transform(rules.adjectives(F.col("text")), lambda x: x["match"])), (5, rules.connectives(F.col("text")))]])
+    for r in docs.select(F.array_sort(bare).alias("a"), F.array_sort(F.transform(rules.hits("text"), lambda h: h["rule"])).alias("b")).collect():
+        assert r.a == r.b
+
+
+def test_sentences_are_computed_once_for_a_row_each(spark):
+    docs = one(spark, "If it rains, we go. The map is here.\n\nWe show it here. 3. 5")
+    assert _runs(fingerprint.openings(docs), "(?:is|are|was|were|be|been|being)") == 1
+    assert {(r["opening"], r["n"], r["first"]) for r in fingerprint.openings(docs).collect()} == {("clause", 1, 1), ("noun_phrase_subject", 2, 1)}
+    assert fingerprint.by_document(docs).first()["word_count"] == 15
+
+
+def test_common_expressions_shuffle_texts_only(spark):
+    rows = spark.createDataFrame([(1, 0, "Every careful reader writes notes."), (1, 1, "every Careful reader writes more"), (1, 1, "of all"), (2, 0, None), (3, 0, "one longer word here"), (3, 0, "and another longer one")], "series long, stage int, text string")
+    got = history.common_expressions(rows)
+    assert [tuple(r) for r in got.orderBy("series", "place").collect()] == [(1, 1, "every careful reader writes"), (3, 1, "and another longer one"), (3, 2, "one longer word here")]
+    assert _runs(got, "Join") == 0 and _runs(got, "Aggregate [") == 1
+
+
+def test_settled_scopes_are_not_compared(monkeypatch):
+    old = [f"{a} {b} {c} river town" for a in ("red", "blue") for b in ("old", "new") for c in ("bridge", "mill")]
+    seen = []
+    similar = align._similar
+    monkeypatch.setattr(align, "_similar", lambda *x: seen.append(similar(*x)) or seen[-1])
+    assert align.aligned_scopes(old, old) == [(k, k, 1.0) for k in range(8)]
+    assert seen == [{}]
+
+
+def test_ladder_words_are_found_in_one_scan(spark):
+    rows = pair(spark, "An honest-but-curious peer may go. No leakage of any exact result.", "A malicious peer shows it. Bounded leakage of an approximate result.")
+    assert _runs(revision.occurrences(rows, revision.CRYPTO, "before", True), "LogicalRDD") + _runs(revision.occurrences(rows, revision.CRYPTO, "before", True), "LocalRelation") <= 2
+    got = {(r["ladder"], r["original"], r["revised"], r["span"]) for r in revision.crypto_moves(rows).collect()}
+    assert got == {("adversary_model", "honest-but-curious", "malicious", 1), ("leakage", "no leakage", "bounded leakage", -1), ("exactness", "exact", "approximate", -1)}
