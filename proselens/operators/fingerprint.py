@@ -3,6 +3,7 @@ a baseline over papers; distance and drift."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,8 @@ SYNONYMS = {"ciphertext object": ["ciphertext", "encrypted value", "encrypted in
 PERSON = r"(?i)\b(?:we|our|ours)\b"
 BASELINE = ["mean_sentence_length", "sentence_length_sd", "alternation_index", "connective_density", "em_dash_per_1000_words"]
 THIN = 5
+#: sums of a text that its ratios come from
+SUMS = ["paragraph_count", "word_count", "word_squares", "sentence_count", "length_sum", "length_squares", "passive_sentences", "hedge_count", "connective_count", "first_person", "alternation_sum", "alternation_count"]
 
 
 def opening(sentence: Column | str, first: Column) -> Column:
@@ -57,6 +60,29 @@ def hedge_count(text: Column) -> Column:
 def paragraph_rows(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """A row per paragraph with its counts and the list of its sentences' facts."""
     paras = tx.unnest(docs, keep, tx.paragraphs(text), "paragraph", "par_no")
+    return (
+        paras.withColumn("_read", read("paragraph"))
+        .withColumns({"sentences": F.col("_read.sentences"), "words": F.col("_read.words")})
+        .drop("_read")
+        .withColumn("dashes", F.length("paragraph") - F.length(F.replace(F.col("paragraph"), F.lit("—"), F.lit(""))))
+        .withColumn("person", F.regexp_count("paragraph", F.lit(tx.quick(PERSON))))
+        .withColumn("contributions", F.regexp_count("paragraph", F.lit(tx.quick(CONTRIBUTION))))
+        .withColumn("limitations", F.regexp_count("paragraph", F.lit(tx.quick(LIMITATION))))
+        .withColumn("gap_sum", _gaps(F.col("sentences")))
+        .withColumn("openings", F.aggregate(F.transform("sentences", lambda x: _flag(x["opening"])), F.lit(0), lambda a, x: a.bitwiseOR(x)))
+        .withColumn("first_opening", F.coalesce(_flag(F.get("sentences", F.lit(0))["opening"]), F.lit(0)))
+    )
+
+
+def _gaps(sentences: Column) -> Column:
+    """The sum of the distances of adjacent sentences' lengths; null for fewer than two."""
+    n = F.transform(sentences, lambda x: x["n"])
+    steps = F.transform(F.sequence(F.lit(1), F.size(sentences) - 1), lambda i: F.abs(F.element_at(n, i + 1) - F.element_at(n, i)))
+    return F.when(F.size(sentences) > 1, F.aggregate(steps, F.lit(0), lambda a, x: a + x))
+
+
+def read(paragraph: Column | str) -> Column:
+    """How many words a paragraph has, and the facts of its sentences."""
     known = F.array(*[F.lit(x) for x in CONNECTIVES])
 
     def facts(x: Column) -> Column:
@@ -72,22 +98,29 @@ def paragraph_rows(docs: DataFrame, keep: list[str], text: str = "text") -> Data
 
     # words of a sentence are read once; as no word spans a blank, those of all pieces
     # of a paragraph are those of the paragraph
-    pieces = F.transform(tx.pieces("paragraph"), lambda s: F.struct(s.alias("s"), tx.words(s).alias("w")))
-    read = lambda p: F.struct(F.aggregate(p, F.lit(0), lambda a, x: a + F.size(x["w"])).alias("words"), F.transform(F.filter(p, lambda x: F.size(x["w"]) > 1), facts).alias("sentences"))
-    n = F.expr("transform(sentences, x -> x.n)")
-    gaps = F.when(F.size("sentences") > 1, F.aggregate(F.transform(F.sequence(F.lit(1), F.size("sentences") - 1), lambda i: F.abs(F.element_at(n, i + 1) - F.element_at(n, i))), F.lit(0), lambda a, x: a + x))
-    return (
-        paras.withColumn("_read", tx.let(pieces, read))
-        .withColumns({"sentences": F.col("_read.sentences"), "words": F.col("_read.words")})
-        .drop("_read")
-        .withColumn("dashes", F.length("paragraph") - F.length(F.replace(F.col("paragraph"), F.lit("—"), F.lit(""))))
-        .withColumn("person", F.regexp_count("paragraph", F.lit(tx.quick(PERSON))))
-        .withColumn("contributions", F.regexp_count("paragraph", F.lit(tx.quick(CONTRIBUTION))))
-        .withColumn("limitations", F.regexp_count("paragraph", F.lit(tx.quick(LIMITATION))))
-        .withColumn("gap_sum", gaps)
-        .withColumn("openings", F.aggregate(F.transform("sentences", lambda x: _flag(x["opening"])), F.lit(0), lambda a, x: a.bitwiseOR(x)))
-        .withColumn("first_opening", F.coalesce(_flag(F.get("sentences", F.lit(0))["opening"]), F.lit(0)))
-    )
+    pieces = F.transform(tx.pieces(paragraph), lambda s: F.struct(s.alias("s"), tx.words(s).alias("w")))
+    both = lambda p: F.struct(F.aggregate(p, F.lit(0), lambda a, x: a + F.size(x["w"])).alias("words"), F.transform(F.filter(p, lambda x: F.size(x["w"]) > 1), facts).alias("sentences"))
+    return tx.let(pieces, both)
+
+
+def summed(text: Column) -> Column:
+    """SUMS of a text, as doubles, in one row."""
+    add = lambda a, f: F.aggregate(a, F.lit(0).cast("bigint"), lambda t, x: t + f(x).cast("bigint"))
+    inner = lambda f: lambda x: add(x["sentences"], f)
+    mean = lambda x: x["gap_sum"] / (F.size(x["sentences"]) - 1)
+
+    def of(p: Column) -> Column:
+        each = [
+            F.size(p), add(p, lambda x: x["words"]), add(p, lambda x: x["words"] * x["words"]), add(p, lambda x: F.size(x["sentences"])),
+            add(p, inner(lambda y: y["n"])), add(p, inner(lambda y: y["n"] * y["n"])), add(p, inner(lambda y: y["passive"].cast("int"))),
+            add(p, inner(lambda y: y["hedges"])), add(p, inner(lambda y: y["connectives"])), add(p, lambda x: x["person"]),
+            F.aggregate(p, F.lit(0.0), lambda t, x: t + F.coalesce(mean(x), F.lit(0.0))), add(p, lambda x: (F.size(x["sentences"]) > 1).cast("int")),
+        ]
+        return F.array(*[x.cast("double") for x in each])
+
+    person = lambda p: F.regexp_count(p, F.lit(tx.quick(PERSON)))
+    facts = lambda p: tx.let(read(p), lambda r: F.struct(r["words"].alias("words"), r["sentences"].alias("sentences"), person(p).alias("person"), _gaps(r["sentences"]).alias("gap_sum")))
+    return tx.let(F.transform(tx.paragraphs(text), facts), of)
 
 
 def _total(expr: str, cond: str = "true") -> Column:
@@ -122,31 +155,48 @@ def metrics(paras: DataFrame, by: list[str]) -> DataFrame:
         F.bit_count(F.bit_or("openings")).alias("opening_type_count"),
         F.bit_count(F.bit_or("first_opening")).alias("paragraph_opening_type_count"),
     )
-    n = F.col("sentence_count")
-    safe = F.greatest(n, F.lit(1))
-    words = F.greatest("word_count", F.lit(1))
-    sd = lambda squares, total, count: F.sqrt(F.greatest(F.lit(0.0), (squares * count - total * total).cast("double"))) / F.greatest(count, F.lit(1))
+    ratios = _ratios(F.col)
     return sums.select(
         *by, "paragraph_count", "word_count", "sentence_count", "short_1_14", "medium_15_29", "long_30_plus", "claim_sentence_count", "contribution_move_count", "limitation_move_count",
         F.coalesce("min_sentence_length", F.lit(0)).alias("min_sentence_length"),
         F.coalesce("max_sentence_length", F.lit(0)).alias("max_sentence_length"),
         F.coalesce("max_hedges_in_sentence", F.lit(0)).alias("max_hedges_in_sentence"),
         "passive_sentences", "hedge_count", "connective_count", "em_dashes", "first_person", "paragraph_opening_count", "opening_type_count", "paragraph_opening_type_count",
-        (F.col("word_count") / F.col("paragraph_count")).alias("mean_paragraph_words"),
-        (n / F.col("paragraph_count")).alias("mean_sentences_per_paragraph"),
-        (F.col("length_sum") / safe).alias("mean_sentence_length"),
-        sd(F.col("length_squares"), F.col("length_sum"), n).alias("sentence_length_sd"),
-        sd(F.col("word_squares"), F.col("word_count"), F.col("paragraph_count")).alias("paragraph_word_sd"),
+        *[ratios[m].alias(m) for m in ("mean_paragraph_words", "mean_sentences_per_paragraph", "mean_sentence_length", "sentence_length_sd", "paragraph_word_sd")],
         F.coalesce("alternation", F.lit(0.0)).alias("alternation_index"),
-        (F.col("connective_count") / safe).alias("connective_density"),
-        (F.col("em_dashes") * 1000 / words).alias("em_dash_per_1000_words"),
-        (F.col("passive_sentences") / safe).alias("passive_sentence_ratio"),
-        ((n - F.col("passive_sentences")) / safe).alias("active_sentence_ratio"),
-        (F.col("first_person") * 1000 / words).alias("first_person_per_1000_words"),
-        (F.col("hedge_count") * 1000 / words).alias("hedges_per_1000_words"),
+        ratios["connective_density"].alias("connective_density"),
+        (F.col("em_dashes") * 1000 / F.greatest("word_count", F.lit(1))).alias("em_dash_per_1000_words"),
+        *[ratios[m].alias(m) for m in ("passive_sentence_ratio", "active_sentence_ratio", "first_person_per_1000_words", "hedges_per_1000_words")],
     )
 
 
+def _ratios(v: Callable[[str], Column]) -> dict[str, Column]:
+    """Metrics from whole counts; v gives a count by its name."""
+    n, paragraphs, words = v("sentence_count"), v("paragraph_count"), F.greatest(v("word_count"), F.lit(1))
+    safe = F.greatest(n, F.lit(1))
+    sd = lambda squares, total, count: F.sqrt(F.greatest(F.lit(0.0), (squares * count - total * total).cast("double"))) / F.greatest(count, F.lit(1))
+    return {
+        "mean_paragraph_words": v("word_count") / paragraphs,
+        "mean_sentences_per_paragraph": n / paragraphs,
+        "mean_sentence_length": v("length_sum") / safe,
+        "sentence_length_sd": sd(v("length_squares"), v("length_sum"), n),
+        "paragraph_word_sd": sd(v("word_squares"), v("word_count"), paragraphs),
+        "connective_density": v("connective_count") / safe,
+        "passive_sentence_ratio": v("passive_sentences") / safe,
+        "active_sentence_ratio": (n - v("passive_sentences")) / safe,
+        "first_person_per_1000_words": v("first_person") * 1000 / words,
+        "hedges_per_1000_words": v("hedge_count") * 1000 / words,
+    }
+
+
+def from_sums(own: Column) -> dict[str, Column]:
+    """paragraph_count and the ratios of a text from its SUMS (an array of doubles)."""
+    v = lambda name: F.get(own, F.lit(SUMS.index(name)))
+    whole = lambda name: v(name).cast("bigint")
+    alternation = F.when(v("alternation_count") > 0, v("alternation_sum") / v("alternation_count")).otherwise(0.0)
+    return {"paragraph_count": whole("paragraph_count"), "alternation_index": alternation, **_ratios(whole)}
+
+
 def plain(docs: DataFrame) -> DataFrame:
     """docs with the LaTeX of `.tex` texts removed; without a column `suffix` no text
     is one."""

@@ -78,9 +78,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair_id, before, after: each document and its revision."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return revised(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def revised(docs: DataFrame, *more: Column) -> DataFrame:
+    """The pairs of some documents, and more columns of them."""
     own = F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n"))
-    return docs.select(F.col("doc_id").alias("pair_id"), F.concat(own, _pick(PASSAGES)).alias("before"), F.concat(own, _pick(REVISED)).alias("after"))
+    return docs.select(F.col("doc_id").alias("pair_id"), F.concat(own, _pick(PASSAGES)).alias("before"), F.concat(own, _pick(REVISED)).alias("after"), *more)
 
 
 #: a closing paragraph whose markers change places in the revision, word for word
@@ -93,9 +97,15 @@ MOVED = (
 def moved_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs, each with the closing paragraph; in every third the revision moves
     its markers."""
-    moved = F.col("pair_id") % 3 == 0
-    close = lambda x: F.concat(x, F.lit("\n\n" + MOVED[0]))
-    return pairs(spark, sf_dir).select("pair_id", close("before").alias("before"), F.when(moved, F.concat("before", F.lit("\n\n" + MOVED[1]))).otherwise(close("after")).alias("after"))
+    return pairs(spark, sf_dir).select("pair_id", _closed("before").alias("before"), moved_after().alias("after"))
+
+
+def _closed(x: str) -> Column:
+    return F.concat(x, F.lit("\n\n" + MOVED[0]))
+
+
+def moved_after() -> Column:
+    return F.when(F.col("pair_id") % 3 == 0, F.concat("before", F.lit("\n\n" + MOVED[1]))).otherwise(_closed("after"))
 
 
 DOCS_SQL = f"docs AS (SELECT doc_id, lang, source, coalesce(text, '') || chr(10) || chr(10) || {_pick_sql(PASSAGES)} AS text FROM documents)"

@@ -113,10 +113,12 @@ def _cases(s: S, d: str) -> DataFrame:
     document itself, another passage behind the document, or the revision with a
     closing paragraph."""
     k = F.col("pair_id")
-    moved = seed.moved_pairs(s, d).select(F.col("pair_id").alias("_k"), F.col("after").alias("closed"))
-    docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("_d"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n"), F.lit(seed.PASSAGES[9]), F.lit(" "), F.lit(seed.PASSAGES[0])).alias("other"))
-    rows = seed.pairs(s, d).join(moved, k == F.col("_k")).join(docs, k == F.col("_d"))
-    target = F.when(k % 4 == 0, F.col("after")).when(k % 4 == 1, F.col("before")).when(k % 4 == 2, F.col("other")).otherwise(F.col("closed"))
+    # all texts of a case come from its document, which is read once; documents are dealt
+    # by their ids, as one file may be one task
+    docs = s.read.parquet(f"{d}/documents.parquet").where("doc_id is not null").select("doc_id", "text").repartition("doc_id")
+    other = F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n"), F.lit(seed.PASSAGES[9]), F.lit(" "), F.lit(seed.PASSAGES[0]))
+    rows = seed.revised(docs, other.alias("other"))
+    target = F.when(k % 4 == 0, F.col("after")).when(k % 4 == 1, F.col("before")).when(k % 4 == 2, F.col("other")).otherwise(seed.moved_after())
     return rows.select("pair_id", "before", F.col("after").alias("output"), target.alias("target"))
 
 

@@ -283,3 +283,75 @@ def test_what_stands_in_one_cell_is_bounded(spark, monkeypatch):
     for make in (lambda: corpus.manifest(rows, ["series"], "place", "text"), lambda: records.digest_set(rows, "text"), lambda: records.dossier(rows), lambda: records.numbered(rows, "series", F.col("text"), 1)):
         with pytest.raises(ValueError):
             make()
+
+
+#: what texts of the next tests are made of
+PARTS = [
+    "This groundbreaking, Remarkable system is pivotal.", "It serves as a tool; in other words, it works", "Moreover, it was quickly opened. Furthermore, it may be 12.5 ms. However, we wait! Additionally, our map\n likely suggests more.",
+    "A secure and  efficient map", "Latency falls 40%.", "It is SIGNIFICANTLY faster. The throughput is 3 GB!", "The evaluation, implementation and configuration of the optimization's statement-mention",
+    "It appears to hold; we conjecture more. It suggests 5%", "not only fast\n\nbut also small", "maps, towns,\n and bridges", ", thereby improving trust by 5 ms.", ", using\n\nit, showing growth!", "l'été is opened; ÉTÉ was élargied — été-we our-ours wé _we", "état—moreover naïvetion x–y ‘quoted’ “we” …",
+    "1.2.3 a-b-c a-b x'y 3.a 4-5 12\n\nms 7 bits 8bits 9.0 % v1.0 1a", "Because although while while it is not. `Code` is written by hand. \\emph{X} was seen.", "\\cite[see p. 3.\n\nx]{a, b,,c} \\ref {t} $x + y$ \\$5 $$z\n$$ \\[q\\] \\(w\\)", "\\begin{figure*}\n\\caption{Cost {of} it}\n\\label{ fig:a }\n\\end{figure*}", "\\begin{align}\na &= b\n\\end{align}", "\\begin{figure}\\caption{Costs}\\label{fig:b}\\end{figure}",
+    "", "  ", "\t", "\r\n", "The peer is hidden. We? our! Ours", "e\u0301tude is o\u0301pened", "карта не moreover", "a\u00a0is\u00a0opened", "\u0001marks\u0002", "١٢ ms ½ x² ſhow", "a\u200db is moved", "\u001f", "delve-landscapes underscored seamlessly_x", "it should be noted that it is important to observe that", "Essentially that is all", "It holds, thereby improving trust.", "It is a thing, showing\n\nall of it!", "The technical packaging — a large model privacy inference — boasts it",
+]
+
+
+def made_texts(n, seed, parts=PARTS):
+    r = random.Random(seed)
+    return ["".join(x for _ in range(r.randint(0, 12)) for x in (r.choice(parts), r.choice([" ", " ", ". ", "\n", "\n\n", ".\n\n", "!\n \n", "?\n\n  ", ".", ""]))) for _ in range(n)]
+
+
+def test_counts_are_those_of_the_expressions(spark):
+    from proselens.operators import counted, fingerprint, revision, rules
+
+    plain = [p for p in PARTS if not counted.STRANGE.search(p)]
+    texts = [*PARTS, *made_texts(500, 1, plain), *made_texts(100, 2)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    n = F.transform(F.array(*[F.lit(r) for r in counted.RULES]), lambda r: F.size(F.filter("h", lambda x: x["rule"] == r)).cast("double"))
+    want = {r["k"]: r["w"] for r in rows.select("k", "text", rules.hits("text").alias("h")).select("k", F.concat(fingerprint.summed(F.col("text")), n).alias("w")).collect()}
+    known: dict = {}
+    got = {k: counted.counts(t, known) for k, t in enumerate(texts)}
+    wrong = [(texts[k], got[k], want[k]) for k in got if got[k] is not None and [round(x, 9) for x in got[k]] != [round(x, 9) for x in want[k]]]
+    assert not wrong, wrong[0]
+    assert all((v is None) == bool(counted.STRANGE.search(texts[k])) for k, v in got.items())
+    assert all(any(v[k] for v in got.values() if v) for k in range(counted.WIDTH))  # each count is met
+    # the sums give the metrics
+    measured = {r["k"]: r.asDict() for r in fingerprint.metrics(fingerprint.paragraph_rows(rows, ["k"]), ["k"]).collect()}
+    own = rows.select("k", fingerprint.summed(F.col("text")).alias("s")).where("s[0] > 0").select("k", *[v.alias(m) for m, v in fingerprint.from_sums(F.col("s")).items()])
+    for r in own.collect():
+        assert all(measured[r["k"]][m] == pytest.approx(r[m], abs=1e-9) for m in r.asDict()), r
+    # the guard's verdict
+    others = [t if k % 5 == 0 else made_texts(1, k)[0] + t if k % 5 == 1 else t.replace("12", "13").replace("fig:a", "fig:c") if k % 5 == 2 else t.replace("Cost", "Price") if k % 5 == 3 else t + "?" for k, t in enumerate(texts)]
+    pairs = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip(texts, others))], "pair_id long, before string, after string")
+    frozen = {r["pair_id"]: r["passed"] for r in revision.frozen_verdict(pairs).collect()}
+    cases = [(k, a, b, None if k % 50 == 7 else a) for k, (a, b) in enumerate(zip(texts, others))]
+    kept = {r["k"]: r for r in targets.evaluated(spark.createDataFrame(cases, "k long, before string, output string, target string"), "k").collect()}
+    assert {k: r["output_kept"] for k, r in kept.items()} == frozen and len(set(frozen.values())) == 2
+    assert all(r["target_kept"] or k % 50 == 7 for k, r in kept.items())
+
+
+def test_evaluation_counts_each_paragraph_once_in_one_row(spark, monkeypatch):
+    from proselens.operators import counted
+
+    seen = []
+    real = counted.block
+    monkeypatch.setattr(counted, "block", lambda t: seen.append(t) or real(t))
+    paragraphs = [f"Paragraph {k} is here. It was opened by {k} users." for k in range(20)]
+    versions = ["\n\n".join(paragraphs), "\n\n".join([*paragraphs[:10], "A new one is here.", *paragraphs[10:]]), "\n\n".join(paragraphs[1:])]
+    known: dict = {}
+    assert len(counted.case(*versions, known)) == 2 + 3 * counted.WIDTH and len(seen) == 21
+    # no text is shuffled or joined, and the texts reach Python once
+    df = targets.evaluated(spark.createDataFrame([(1, *versions)], "k long, before string, output string, target string"), "k")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("ArrowEvalPython") == 1
+    assert df.collect()[0]["rule_initial"] == 0
+
+
+def test_evaluation_of_odd_cases(spark):
+    same = "We map it. It is moved by hand."
+    cases = [(1, None, None, None), (2, "", same, same), (3, same, same, same), (None, same, same, same), (4, "карта is moved. 12 ms is it.", "карта is moved. 13 ms is it.", "карта is moved. 12 ms is it.")]
+    got = {r["k"]: r for r in targets.evaluated(spark.createDataFrame(cases, "k long, before string, output string, target string"), "k").collect()}
+    assert sorted(got) == [1, 2, 3, 4]
+    assert got[1]["eligible"] == got[2]["eligible"] == 0 and got[2]["structural"] == "insufficient_signal" and got[1]["status"] == "insufficient_evidence"
+    assert got[3]["eligible"] > 0 and got[3]["output_kept"] and got[3]["structural"] == "insufficient_signal"
+    assert not got[4]["output_kept"] and got[4]["target_kept"] and got[4]["eligible"] > 0
+    assert all(r["eligible"] == 0 and r["convergence"] is None for r in targets.evaluated(spark.createDataFrame(cases[2:3], "k long, before string, output string, target string"), "k", passes=()).collect())
