@@ -189,9 +189,9 @@ def _ratios(v: Callable[[str], Column]) -> dict[str, Column]:
     }
 
 
-def from_sums(own: Column) -> dict[str, Column]:
-    """paragraph_count and the ratios of a text from its SUMS (an array of doubles)."""
-    v = lambda name: F.get(own, F.lit(SUMS.index(name)))
+def from_sums(at: Callable[[int], Column]) -> dict[str, Column]:
+    """paragraph_count and the ratios of a text; at gives the SUMS by place (doubles)."""
+    v = lambda name: at(SUMS.index(name))
     whole = lambda name: v(name).cast("bigint")
     alternation = F.when(v("alternation_count") > 0, v("alternation_sum") / v("alternation_count")).otherwise(0.0)
     return {"paragraph_count": whole("paragraph_count"), "alternation_index": alternation, **_ratios(whole)}

@@ -129,36 +129,28 @@ def evaluated(cases: DataFrame, key: str, rule_sourced: tuple[str, ...] = (), pa
     kept = [(flag(k) & (known | same(s))).alias(f"{s}_kept") for k, s in enumerate(sides[1:])]
     rows = rows.select(key, F.when(known, F.slice("_n", 3, 3 * counted.WIDTH)).otherwise(others).alias("_n"), *kept)
 
-    # the structural channel: null where a text has no prose
-    sums = [F.slice("_n", k * counted.WIDTH + 1, len(counted.SUMS)) for k in range(3)]
-    metrics = [fingerprint.from_sums(x) for x in sums]
-    r4 = lambda m: [F.round(x[m].cast("double"), 4) for x in metrics]
-    paragraphs = F.least(*[x["paragraph_count"] for x in metrics])
+    # plain sums over metrics and rules: functions of small arrays cost more than the texts
+    count = lambda k, at: F.get("_n", F.lit(k * counted.WIDTH + at))
+    metrics = [fingerprint.from_sums(lambda at, k=k: count(k, at)) for k in range(3)]
     gap = lambda x, t: F.round(F.abs(x - t), 6) / F.greatest(F.abs(t), F.lit(1.0))
-
-    def gaps(m: str) -> Column:
-        b, o, t = r4(m)
-        own = F.struct(gap(b, t).alias("b"), gap(o, t).alias("o"))
-        return F.when(paragraphs > 1, own) if m in PARAGRAPH else own
-
-    each = F.array(*[gaps(m) for m in METRICS if m not in masked]).cast("array<struct<b:double,o:double>>")
-    rows = rows.withColumn("_gaps", F.when(paragraphs > 0, F.array_compact(each)).otherwise(F.array().cast("array<struct<b:double,o:double>>")))
-    mean = lambda c: F.when(F.size("_gaps") > 0, F.aggregate("_gaps", F.lit(0.0), lambda a, x: a + x[c]) / F.size("_gaps"))
-    convergence, structural_ = _channel(mean("b"), mean("o"))
-
-    # the rules' channel
-    found = lambda k, r: F.get("_n", F.lit(k * counted.WIDTH + len(counted.SUMS) + r)).cast("bigint")
-    per_rule = F.array(*[F.struct(F.abs(found(0, r) - found(2, r)).alias("i"), F.abs(found(1, r) - found(2, r)).alias("r")) for r in range(len(counted.RULES))])
-    total = lambda f: F.aggregate("_rules", F.lit(0).cast("bigint"), lambda a, x: a + f(x))
-    rows = rows.withColumn("_rules", per_rule)
-    rows = rows.withColumns({
-        "eligible": F.size("_gaps").cast("bigint"),
-        "convergence": convergence,
-        "structural": structural_,
-        "rule_initial": total(lambda x: x["i"]),
-        "rule_revised": total(lambda x: F.when(x["i"] > 0, x["r"]).otherwise(0)),
-        "off_target": F.coalesce(total(lambda x: ((x["i"] == 0) & (x["r"] > 0)).cast("bigint")), F.lit(0)),
-    })
+    total = lambda xs: reduce(lambda a, x: a + x, xs)
+    paragraphs = F.least(*[x["paragraph_count"] for x in metrics])
+    prose = [F.when(paragraphs > 0, F.round(x[m].cast("double"), 4)).alias(f"_{s}_{m}") for s, x in zip(sides, metrics) for m in METRICS if m not in masked]
+    per_rule = [(F.abs(count(0, at) - count(2, at)), F.abs(count(1, at) - count(2, at))) for at in range(len(counted.SUMS), counted.WIDTH)]
+    rows = rows.select(
+        key, *[f"{s}_kept" for s in sides[1:]], *prose, paragraphs.alias("_paragraphs"),
+        total([i for i, _ in per_rule]).cast("bigint").alias("rule_initial"),
+        total([F.when(i > 0, r).otherwise(0.0) for i, r in per_rule]).cast("bigint").alias("rule_revised"),
+        total([F.when((i == 0) & (r > 0), 1).otherwise(0) for i, r in per_rule]).cast("bigint").alias("off_target"),
+    )
+
+    # metrics of paragraphs count where each text has two, none where one has no prose
+    here = {m: F.col("_paragraphs") > (1 if m in PARAGRAPH else 0) for m in METRICS if m not in masked}
+    gaps = lambda s: total([F.lit(0.0), *[F.when(ok, gap(F.col(f"_{s}_{m}"), F.col(f"_target_{m}"))).otherwise(0.0) for m, ok in here.items()]])
+    rows = rows.withColumns({"eligible": total([F.lit(0), *[ok.cast("int") for ok in here.values()]]).cast("bigint"), "_b": gaps("before"), "_o": gaps("output")})
+    mean = lambda c: F.when(F.col("eligible") > 0, F.col(c) / F.col("eligible"))
+    convergence, structural_ = _channel(mean("_b"), mean("_o"))
+    rows = rows.withColumns({"convergence": convergence, "structural": structural_})
     rows = rows.withColumn("rules", _rule_status(F.col("rule_initial"), F.col("rule_revised"), F.col("off_target")))
     status = overall(F.col("structural"), F.col("rules"))
     improved = F.when(status == IMPROVED, F.lit(True)).when(status != "insufficient_evidence", F.lit(False))
